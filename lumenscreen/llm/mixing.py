@@ -52,42 +52,60 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return levels.withColumn("target", target).select("source", "n_docs", "source_size", "target")
 
 
+def _let(values: dict[str, Column], body) -> Column:
+    """body(row of values), with each value computed once."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
+def _walk(v: Column, up: bool, goal: Column | None) -> Column:
+    """Add up probabilities, relative to the mode's, step by step from the mode; ``at``: the step that passes the goal."""
+    steps = F.floor(F.when(F.lit(up), v["top"] - v["mode"]).otherwise(v["mode"] - v["bottom"])).cast("int")
+    # A sequence has at least one element: step 0 stands for the mode itself and adds nothing.
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
+
+    def step(s: Column, i: Column) -> Column:
+        if up:
+            x = v["mode"] + i - 1
+            ratio = (v["k"] - x) * (v["n"] - x) / ((x + 1) * (v["m"] - v["k"] - v["n"] + x + 1))
+        else:
+            x = v["mode"] - i + 1
+            ratio = x * (v["m"] - v["k"] - v["n"] + x) / ((v["k"] - x + 1) * (v["n"] - x + 1))
+        w = F.when(i > 0, s["w"] * ratio).otherwise(s["w"])
+        total = F.when(i > 0, s["sum"] + w).otherwise(s["sum"])
+        at = F.lit(None).cast("double") if goal is None else F.when(s["at"].isNull() & (i > 0) & (total > goal), x + (1 if up else -1)).otherwise(s["at"])
+        return F.struct(w.alias("w"), total.alias("sum"), at.alias("at"))
+
+    return F.aggregate(F.sequence(F.lit(0), steps), start, step)
+
+
 def _hypergeometric(u: Column, successes: Column, draws: Column, population: Column) -> Column:
     """Exact inverse transform, walking outward from the mode by ratios of neighbouring probabilities.
 
     The walk ends 12 standard deviations away, where what is left is under the resolution of a double.
     """
-    k, n, m = successes.cast("double"), draws.cast("double"), population.cast("double")
-    low, high = F.greatest(F.lit(0.0), n + k - m), F.least(k, n)
-    mode = F.least(high, F.greatest(low, F.floor((n + 1) * (k + 1) / (m + 2)).cast("double")))
-    p = k / F.greatest(m, F.lit(1.0))
-    reach = F.ceil(12 * F.sqrt(n * p * (1 - p)) + 24).cast("double")
-    up_to, down_to = F.least(high, mode + reach), F.greatest(low, mode - reach)
-
-    def up(x: Column) -> Column:
-        return (k - x) * (n - x) / ((x + 1) * (m - k - n + x + 1))
-
-    def down(x: Column) -> Column:
-        return x * (m - k - n + x) / ((k - x + 1) * (n - x + 1))
-
-    def walk(steps: Column, ratio, goal: Column | None) -> Column:
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
-
-        def step(s: Column, x: Column) -> Column:
-            w = s["w"] * ratio(x)
-            total = s["sum"] + w
-            at = F.lit(None).cast("double") if goal is None else F.when(s["at"].isNull() & (total > goal), x).otherwise(s["at"])
-            return F.struct(w.alias("w"), total.alias("sum"), at.alias("at"))
-
-        return F.aggregate(steps, start, step)
-
-    none = F.array().cast("array<double>")
-    ups = F.when(up_to > mode, F.transform(F.sequence(F.lit(0), (up_to - mode - 1).cast("int")), lambda i: mode + i)).otherwise(none)
-    downs = F.when(mode > down_to, F.transform(F.sequence(F.lit(0), (mode - down_to - 1).cast("int")), lambda i: mode - i)).otherwise(none)
-    right, left = walk(ups, up, None)["sum"], walk(downs, down, None)["sum"]
-    goal = u * (1 + right + left)
-    to_right, to_left = walk(ups, up, goal - 1)["at"] + 1, walk(downs, down, goal - 1 - right)["at"] - 1
-    return F.coalesce(F.when(goal < 1, mode), F.when(goal < 1 + right, to_right), to_left, mode).cast("long")
+
+    def centred(v: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), v["n"] + v["k"] - v["m"]), F.least(v["k"], v["n"])
+        mode = F.least(high, F.greatest(low, F.floor((v["n"] + 1) * (v["k"] + 1) / (v["m"] + 2)).cast("double")))
+        p = v["k"] / F.greatest(v["m"], F.lit(1.0))
+        reach = F.ceil(12 * F.sqrt(v["n"] * p * (1 - p)) + 24).cast("double")
+        known = {c: v[c] for c in ("u", "k", "n", "m")}
+        return _let(known | {"low": low, "high": high, "mode": mode, "reach": reach}, bounded)
+
+    def bounded(v: Column) -> Column:
+        known = {c: v[c] for c in ("u", "k", "n", "m", "mode")}
+        return _let(known | {"top": F.least(v["high"], v["mode"] + v["reach"]), "bottom": F.greatest(v["low"], v["mode"] - v["reach"])}, summed)
+
+    def summed(v: Column) -> Column:
+        known = {c: v[c] for c in ("u", "k", "n", "m", "mode", "top", "bottom")}
+        return _let(known | {"right": _walk(v, True, None)["sum"], "left": _walk(v, False, None)["sum"]}, drawn)
+
+    def drawn(v: Column) -> Column:
+        goal = v["u"] * (1 + v["right"] + v["left"])
+        found = F.when(goal < 1, v["mode"]).when(goal < 1 + v["right"], _walk(v, True, goal - 1)["at"]).otherwise(_walk(v, False, goal - 1 - v["right"])["at"])
+        return F.coalesce(found, v["mode"]).cast("long")
+
+    return _let({"u": u, "k": successes.cast("double"), "n": draws.cast("double"), "m": population.cast("double")}, centred)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
