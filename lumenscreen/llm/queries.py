@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -45,9 +45,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT html, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN m IS NOT NULL AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN m ON p.html = m.html
+"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op9_mixing": op9_mixing}
+    return {"op7_warc": op7_warc, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
