@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import decontamination, mixing, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -59,9 +59,34 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(0, greatest(1, len(w) - 12)), i -> list_aggregate(w[i + 1 : i + 13], 'string_agg', ' '))) AS win FROM b WHERE len(w) > 0
+), lens AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS pos, unnest(list_transform(range(0, len(w) - n + 1), i -> list_aggregate(w[i + 1 : i + n], 'string_agg', ' '))) AS win
+  FROM d, lens WHERE len(w) >= n
+), hits AS (SELECT doc_id, pos, dw.n, item_id FROM dw JOIN bw USING (win)),
+words AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS k FROM hits),
+nh AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op7_warc": op7_warc, "op9_mixing": op9_mixing}
+    return {"op1_decontamination": op1_decontamination, "op7_warc": op7_warc, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
