@@ -65,10 +65,10 @@ WITH d AS (
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), bw AS (
-  SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(0, greatest(1, len(w) - 12)), i -> list_aggregate(w[i + 1 : i + 13], 'string_agg', ' '))) AS win FROM b WHERE len(w) > 0
+  SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(0, greatest(1, len(w) - 12)), lambda i: list_aggregate(w[i + 1 : i + 13], 'string_agg', ' '))) AS win FROM b WHERE len(w) > 0
 ), lens AS (SELECT DISTINCT n FROM bw),
 dw AS (
-  SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS pos, unnest(list_transform(range(0, len(w) - n + 1), i -> list_aggregate(w[i + 1 : i + n], 'string_agg', ' '))) AS win
+  SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS pos, unnest(list_transform(range(0, len(w) - n + 1), lambda i: list_aggregate(w[i + 1 : i + n], 'string_agg', ' '))) AS win
   FROM d, lens WHERE len(w) >= n
 ), hits AS (SELECT doc_id, pos, dw.n, item_id FROM dw JOIN bw USING (win)),
 words AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS k FROM hits),
