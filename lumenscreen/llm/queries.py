@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, warc
+from . import decontamination, language, mixing, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -84,8 +84,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op7_warc": op7_warc, "op9_mixing": op9_mixing}
+    return {"op1_decontamination": op1_decontamination, "op4_language_id": op4_language_id, "op7_warc": op7_warc, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
