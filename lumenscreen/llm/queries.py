@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, warc
+from . import decontamination, language, mixing, near_duplicates, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -88,9 +88,29 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_transform(range(0, len(w) - 2), lambda i: list_aggregate(w[i + 1 : i + 3], 'string_agg', ' ')) END) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+m AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(root, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = d.doc_id
+"""
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=3)
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op4_language_id": op4_language_id, "op7_warc": op7_warc, "op9_mixing": op9_mixing}
+    return {"op1_decontamination": op1_decontamination, "op4_language_id": op4_language_id, "op7_warc": op7_warc, "op9_mixing": op9_mixing, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL, "op10_minhash": OP10_SQL}
