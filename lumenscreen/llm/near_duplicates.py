@@ -3,7 +3,8 @@
 1. A scan gives each document its number of shingles, a hash of its word sequence and band keys of MinHash samples.
    Documents with equal sequences are copies; only the first of them goes on.
 2. Documents that share a band key form a bucket. Every member is compared with the smallest one of its bucket.
-3. Buckets whose members are still in several components are compared in full, block by block, but only by sketch.
+3. Buckets whose members are still in several components are compared in full, block by block, inside tasks that
+   hold two blocks of sketches and sets; only links leave them.
 4. A pair is compared by odd sketches: parity bitmaps of 512 MinHash samples, whose XOR has few bits where the sets
    are alike. Pairs far below the threshold end there; the others are confirmed on their whole shingle sets.
 5. Confirmed links give components by large-star and small-star steps.
@@ -31,7 +32,7 @@ from .shared import salted_join, small_batches, stored
 from .sketches import SIGNATURE, SKETCH_BITS, setter, signer
 from .text import NOT_SPACE
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def sketch_limit(percent: int, samples: int) -> int:
@@ -67,47 +68,60 @@ def _exact(percent: int):
     return keep
 
 
-def _cross_pairs(limit: int):
-    """Members of a block pair of one bucket, sorted by it -> pairs of different components with near sketches."""
+def _cross_links(limit: int, percent: int):
+    """Members of a block pair of one bucket, sorted by it -> links between different components.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A pair that shares an earlier band is left to that bucket, and the pivot's pairs are known. Pairs stay in numpy:
+    sketches sort out most, the others are confirmed on their whole sets, and only links are returned.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def starts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             group = np.stack([rows[n].to_numpy() for n in ("band", "key", "i", "j")], 1)
-            edge = np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1))), len(group))
-            block, comp, doc = (rows[n].to_numpy() for n in ("block", "comp", "doc"))
+            return group, np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))
+
+        def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            group, first = starts(rows)
+            block, comp, doc, pivot = (rows[n].to_numpy() for n in ("block", "comp", "doc", "pivot"))
+            bands = np.asarray(rows["bands"].combine_chunks().flatten()).reshape(len(group), -1)
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(group), -1)
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
+            sets = rows["shingles"].combine_chunks()
+            for s, e in zip(first, np.append(first[1:], len(group)), strict=True):
                 left, right = s + np.flatnonzero(block[s:e] == group[s, 2]), s + np.flatnonzero(block[s:e] == group[s, 3])
                 out = []
-                for at in range(0, len(left), 64):
-                    some = left[at : at + 64]
-                    other = comp[some][:, None] != comp[right][None, :]
+                for u in left:
+                    v = right[(comp[right] != comp[u]) & (doc[right] != pivot[s])] if doc[u] != pivot[s] else right[:0]
                     if group[s, 2] == group[s, 3]:
-                        other &= some[:, None] < right[None, :]
-                    u, v = np.nonzero(other)
-                    for k in range(0, len(u), 8192):
-                        p, q = some[u[k : k + 8192]], right[v[k : k + 8192]]
-                        near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1) <= limit
-                        out.append(np.stack([doc[p[near]], doc[q[near]]], 1))
+                        v = v[v > u]
+                    v = v[~(bands[v, : group[s, 0]] == bands[u, : group[s, 0]]).any(1)] if group[s, 0] else v
+                    v = v[np.bitwise_count(sketch[v] ^ sketch[u]).sum(1) <= limit]
+                    for k in range(0, len(v), 256):
+                        some = v[k : k + 256]
+                        own = np.frombuffer(sets[int(u)].as_buffer(), np.uint64)
+                        others = [np.frombuffer(sets[int(x)].as_buffer(), np.uint64) for x in some]
+                        sizes = np.array([len(x) for x in others])
+                        values = np.concatenate(others)
+                        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                        common = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+                        good = some[100 * common >= percent * (len(own) + sizes - common)]
+                        out.append(np.stack([np.minimum(doc[good], doc[u]), np.maximum(doc[good], doc[u])], 1))
                 if out and len(found := np.concatenate(out)):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], names=["a", "b"])
-
-        def last_start(rows: pa.Table) -> int:
-            group = np.stack([rows[n].to_numpy() for n in ("band", "key", "i", "j")], 1)
-            return int(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))[-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows >= 4 * BLOCK and (at := last_start(rows)):
-                yield from solve(rows.slice(0, at))
-                held = rows.slice(at).to_batches()
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield from solve(rows)
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= 2 * BLOCK:
+                rows = pa.Table.from_batches(held)
+                if at := int(starts(rows)[1][-1]):
+                    yield from solve(rows.slice(0, at))
+                    held = rows.slice(at).to_batches()
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
-    return pairs
+    return links
 
 
 def _with_both(pairs: DataFrame, per_doc: DataFrame, column: str, chunk: int = 256) -> DataFrame:
@@ -139,7 +153,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     # A hot bucket's row is repeated for every salt; of the other side only rows of shared buckets stay.
     members = stored(salted_join(banded, buckets, "bucket", F.col("doc"), salts=8).where("pivot IS NOT NULL").select("doc", "band", "key", "pivot", "size"))
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    detail = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(setter(inside, words, samples), "doc_id long, shingles binary, sketch binary").dropDuplicates(["doc_id"]))
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(setter(inside, words, samples), "doc_id long, shingles binary, sketch binary")
+    keys = classes.groupBy("doc_id").agg(F.first("bands").alias("bands"))
+    detail = stored(sets.dropDuplicates(["doc_id"]).join(keys, "doc_id"))
 
     limit = sketch_limit(percent, samples)
     pair = "a long, b long"
@@ -158,12 +174,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     open_ = placed.join(mixed.select("band", "key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("block", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "doc", "comp")
-    sketched = dealt.join(detail.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
+    dealt = dealt.select("band", "key", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "doc", "comp", "pivot")
+    detailed = dealt.join(detail.withColumnRenamed("doc_id", "doc"), "doc")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = sketched.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    cross = sorted_.mapInArrow(_cross_pairs(limit), pair).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(confirm(stored(cross)))
+    in_order = detailed.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    more = stored(in_order.mapInArrow(_cross_links(limit, percent), pair).distinct())
     if more.limit(1).count():
         roots = components(links.union(more))
 
