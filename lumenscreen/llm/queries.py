@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, near_duplicates, warc
+from . import decontamination, language, mixing, near_duplicates, suffix_dedup, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -108,8 +108,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=3)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op4_language_id": op4_language_id, "op7_warc": op7_warc, "op9_mixing": op9_mixing, "op10_minhash": op10_minhash}
+    return {"op1_decontamination": op1_decontamination, "op4_language_id": op4_language_id, "op6_suffix_dedup": op6_suffix_dedup, "op7_warc": op7_warc, "op9_mixing": op9_mixing, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
