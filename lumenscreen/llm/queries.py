@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language, mixing, near_duplicates, secrets, suffix_dedup, warc
+from . import ann, decontamination, language, licenses, line_templates, mixing, near_duplicates, secrets, suffix_dedup, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -121,8 +121,27 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_ann": op2_ann, "op3_secrets": op3_secrets, "op4_language_id": op4_language_id, "op6_suffix_dedup": op6_suffix_dedup, "op7_warc": op7_warc, "op9_mixing": op9_mixing, "op10_minhash": op10_minhash}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op2_ann": op2_ann,
+        "op3_secrets": op3_secrets,
+        "op4_language_id": op4_language_id,
+        "op5_line_templates": op5_line_templates,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_warc": op7_warc,
+        "op8_licenses": op8_licenses,
+        "op9_mixing": op9_mixing,
+        "op10_minhash": op10_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
