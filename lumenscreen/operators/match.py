@@ -19,7 +19,7 @@ def registration_gate(fields: DataFrame, least_cc: float = 0.30, most_distance:
 def candidate_tiles(fields: DataFrame, tiles: DataFrame, size: float, keys: list[str] = PLACE) -> DataFrame:
     """A range join, strict at both ends. Tiles are binned by size, so it is an equi-join on neighbouring bins."""
     bins = lambda c: F.floor(F.col(c) / size).cast("long")
-    near = lambda c: F.explode(F.array(bins(c) - 1, bins(c), bins(c) + 1))
+    near = lambda c: F.explode(F.array(*[bins(c) + k for k in (-2, -1, 0, 1)]))
     t = tiles.withColumn("_bx", bins("tile_x")).withColumn("_by", bins("tile_y"))
     f = fields.withColumn("_bx", near("x")).withColumn("_by", near("y"))
     inside = lambda c, o: (F.col(c) > F.col(o) - 0.15 * size) & (F.col(c) < F.col(o) + 1.15 * size)

@@ -103,7 +103,7 @@ def texture(pixels: DataFrame, offset: int = 5, keep_zero: bool = False, keys: l
     a = rows.select(*keys, "label", "channel", "row", "col", F.col("level").alias("i"))
     b = rows.select(*keys, "label", "channel", "row", (F.col("col") - offset).alias("col"), F.col("level").alias("j"))
     counts = a.join(b, [*keys, "label", "channel", "row", "col"]).groupBy(*keys, "label", "channel", "i", "j").agg(F.count("*").alias("n"))
-    sym = counts.unionByName(counts.withColumnsRenamed({"i": "j", "j": "i"})).groupBy(*keys, "label", "channel", "i", "j").agg(F.sum("n").alias("n"))
+    sym = counts.unionByName(counts.select(*keys, "label", "channel", F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy(*keys, "label", "channel", "i", "j").agg(F.sum("n").alias("n"))
     w, d = F.col("n"), F.col("i") - F.col("j")
     total = F.sum(w)
     out = sym.groupBy(*keys, "label", "channel").agg(

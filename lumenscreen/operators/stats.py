@@ -45,7 +45,8 @@ def shared_means(first: DataFrame, second: DataFrame, x: str, barcodes: DataFram
 
 
 def _for_requested(barcodes: DataFrame, stats: DataFrame) -> DataFrame:
-    return barcodes.select(F.col("barcode").alias(BARCODE)).distinct().join(stats, BARCODE, "left")
+    out = barcodes.select(F.col("barcode").alias(BARCODE)).distinct().join(stats, BARCODE, "left")
+    return out.withColumn("n_in_range", F.coalesce("n_in_range", F.lit(0))) if "n_in_range" in stats.columns else out
 
 
 def mean_condensates(cells: DataFrame, barcodes: DataFrame, intensity: str, low: float = 100.0, high: float = 10000.0, enforce_coverage: bool = False, min_frac: float = 0.3) -> DataFrame:
