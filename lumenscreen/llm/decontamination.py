@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each training shard (operator 1).
 
-A task cuts its documents into shards of a few megabytes. The words of a shard become identifiers of the benchmark's
+A task cuts its documents into shards of about a megabyte. The words of a shard become identifiers of the benchmark's
 vocabulary; runs of known words that are long enough to hold a window are indexed, as no window can lie elsewhere.
 All benchmark windows are searched backwards through the index at once, their occurrences are located from sampled
 suffix positions, and overlapping occurrences merge into removal spans. Documents are never shuffled.
@@ -136,7 +136,7 @@ def _span_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_words": F.lit(0).cast("long"), "word_spans": none, "byte_spans": none, "items": F.array().cast("array<string>"), "new_items": F.array().cast("array<string>")})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 4_000_000, block_bytes: int = 16_000_000, sample: int = 16) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 1_500_000, block_bytes: int = 16_000_000, sample: int = 16) -> DataFrame:
     """doc_id, doc (the whole row), n_words, word_spans and byte_spans (start, end, start, end ...), sorted items."""
     spark = docs.sparkSession
     small_batches(spark)

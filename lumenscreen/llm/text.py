@@ -1,6 +1,6 @@
 """Vectorised work on the UTF-8 bytes of Arrow text columns.
 
-A batch is cut into slices of a few megabytes, and a slice is handled as one byte array with the bounds of its
+A batch is cut into slices of about a megabyte, and a slice is handled as one byte array with the bounds of its
 documents. All character classes in use are ASCII ranges and "everything else", so bytes are enough.
 """
 
@@ -95,7 +95,7 @@ class Slice:
         return starts, ends, bounds
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[Slice]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[Slice]:
     """Slices of about ``most`` bytes; a longer document gets one of its own. A null text counts as empty."""
     for batch in batches:
         if not batch.num_rows:
