@@ -18,13 +18,13 @@ def write_tables(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_registrations(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: numbers are read from the end of a line, eight or (old form) three; the last line of a file wins."""
+    """S3: the numbers are read from the end of a line, seven or (old form) three, behind the image's path; the last line of a file wins."""
     lines = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("file_40x"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("n", "line"))
     last = lines.where("trim(line) <> ''").groupBy("file_40x").agg(F.max_by("line", "n").alias("line"))
     words = F.split(F.trim("line"), r"\s+")
     number = lambda k: F.try_element_at("_w", F.lit(k)).try_cast("double")
-    numeric = F.forall(F.slice("_w", -8, 8), lambda x: x.try_cast("double").isNotNull())
-    rows = last.withColumn("_w", words).withColumn("_new", (F.size("_w") >= 9) & F.when(F.size("_w") >= 8, numeric).otherwise(False))
+    numeric = F.forall(F.slice("_w", -7, 7), lambda x: x.try_cast("double").isNotNull())
+    rows = last.withColumn("_w", words).withColumn("_new", F.when(F.size("_w") >= 8, numeric).otherwise(False))
     names = ["cc_mag", "shift_x", "shift_y", "expected_x", "expected_y", "actual_x", "actual_y"]
     image = F.regexp_replace(F.array_join(F.slice("_w", 1, F.greatest(F.lit(1), F.size("_w") - F.when(F.col("_new"), 7).otherwise(3))), " "), "//+", "/")
     values = [F.when(F.col("_new"), number(k - 7)).otherwise(number(k - 3) if k < 3 else F.lit(None)).alias(n) for k, n in enumerate(names)]
