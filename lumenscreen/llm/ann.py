@@ -2,12 +2,14 @@
 
 Coarse centroids and the residual codebooks are fitted on at most ``sample`` vectors (a documented bound; a hash of the
 id picks them). The number of lists to probe is measured on the same sample: as many as hold 0.97 of the neighbours
-there. Every vector is then assigned to its centroid's list and coded. A query probes its nearest lists; within a list it scores all codes through its table of inner products, the asymmetric distance table. The best of all
-lists are reranked on the original vectors in double precision.
+there. Every vector is then assigned to its centroid's list and coded. A query probes
+its nearest lists and scores their codes through its table of inner products, the asymmetric distance table. The best
+are reranked on the original vectors in double precision.
 
-A list is dealt into buckets of bounded size, so that a list with a third of all rows is many tasks' work, and the
-queries of a list meet all its buckets. Query vectors are joined, never broadcast; only the fitted index is, whose
-size the parameters bound.
+Lists are cut into parts of bounded size, so that a list with a third of all rows is many tasks' work, and the parts
+are dealt to units. A task holds the candidates of one unit; the queries that probe a list of it stream by. Only the k
+best of a query leave a unit, after the exact reranking there. Query vectors are shuffled, never broadcast; only the
+fitted index is, whose size the parameters bound.
 
 Defined cases: a vector that is null, empty, zero, of another length than most, or holds null or non-finite components
 takes no part; a null id takes no part; equal scores go to the smaller id; with fewer candidates than k all are
@@ -19,12 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import small_batches
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -93,72 +94,164 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, -1)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _rows(column: pa.Array, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _coder(shared):
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component: the same cosine to the last bit, without overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+class Deal:
+    """Where the parts of the lists go: part p of list l is in unit (start[l] + p) % units."""
+
+    def __init__(self, sizes: np.ndarray, units: int, part_rows: int):
+        self.parts = np.maximum(1, -(-sizes // part_rows))
+        self.start = np.cumsum(self.parts) - self.parts
+        self.units = units
+
+    def of_rows(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return (self.start[own] + (mixed % self.parts[own].astype(np.uint64)).astype(np.int64)) % self.units
+
+    def of_query(self, lists: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each unit that holds a part of these lists, with those of the lists that it holds."""
+        many = np.minimum(self.parts[lists], self.units)
+        each = np.repeat(lists, many)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        unit = (self.start[each] + at) % self.units
+        order = np.argsort(unit, kind="stable")
+        cuts = np.flatnonzero(np.diff(unit[order])) + 1
+        return [(int(unit[some[0]]), each[some]) for some in np.split(order, cuts)]
+
+
+SCANNED = "unit int, side int, id long, v binary, list int, code binary"
+
+
+def _assigner(shared):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.nearest(_unit(_matrix(batch, "v")), 1)[:, 0], pa.int32())], names=["list"])
+
+    return assign
+
+
+def _coder(shared, deal: Deal, dtype: str):
+    """Candidates, side 0: their vector, list and code."""
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, codes = shared.value.encode(_unit(_matrix(batch, "v")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "code"])
+                v = _matrix(batch, "v")
+                own, codes = shared.value.encode(_unit(v))
+                unit = deal.of_rows(own, batch.column(0).to_numpy())
+                side = pa.array(np.zeros(len(v)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), side, batch.column(0), _binary(v.astype(dtype)), pa.array(own, pa.int32()), _binary(codes)], names=["unit", "side", "id", "v", "list", "code"])
 
     return code
 
 
-def _prober(shared, probes: int):
+def _prober(shared, deal: Deal, probes: int, dtype: str):
+    """Queries, side 1: once for each unit that holds a probed list, with those lists in place of a code."""
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                lists = shared.value.nearest(_unit(_matrix(batch, "v")), probes)
-                n = lists.shape[1]
-                take = pa.array(np.repeat(np.arange(batch.num_rows), n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lists.ravel(), pa.int32())], names=["query_id", "v", "list"])
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                v = _matrix(some, "v")
+                row, unit, lists = [], [], []
+                for i, near in enumerate(shared.value.nearest(_unit(v), probes)):
+                    for u, held in deal.of_query(near):
+                        row.append(i)
+                        unit.append(u)
+                        lists.append(held.astype(np.int32).tobytes())
+                take = pa.array(row, pa.int64())
+                side = pa.array(np.ones(len(row)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), side, some.column(0).take(take), _binary(v.astype(dtype)).take(take), pa.nulls(len(row), pa.int32()), pa.array(lists, pa.binary())], names=["unit", "side", "id", "v", "list", "code"])
 
     return probe
 
 
-def _scan_list(shared, best: int):
-    def scan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            index = shared.value
-            rows = rows.sort_values("vec_id", kind="stable")
-            ids = rows["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            centre = index.centres[int(rows["list"].iloc[0])]
-            for at in range(0, len(queries), 256):
-                some = queries.iloc[at : at + 256]
-                q = _unit(np.stack(some["v"].to_numpy()).astype(np.float64))
-                tables, base = index.tables(q), q @ centre
-                for i, query in enumerate(some["query_id"]):
-                    score = base[i] + tables[i][np.arange(codes.shape[1]), codes].sum(1)
-                    score[ids == query] = -np.inf
-                    n = min(best, len(score))
-                    # A stable sort: equal codes are ranked by id, and none above the cut is lost to a tie.
-                    top = np.argsort(-score, kind="stable")[:n] if len(score) <= 4 * n else None
-                    if top is None:
-                        limit = -np.partition(-score, n - 1)[n - 1]
-                        top = np.flatnonzero(score >= limit)
-                        top = top[np.argsort(-score[top], kind="stable")][:n]
-                    top = top[np.isfinite(score[top])]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[top], "near": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})
+class _Unit:
+    """The candidates of one unit, list by list."""
+
+    def __init__(self, index: Index, rows: pa.Table, dtype: str):
+        own, ids = rows["list"].to_numpy(), rows["id"].to_numpy()
+        order = np.lexsort((ids, own))
+        self.index, self.own, self.ids = index, own[order], ids[order]
+        self.codes = _rows(rows["code"].combine_chunks(), np.uint8)[order]
+        self.v = _rows(rows["v"].combine_chunks(), dtype)[order]
+        self.lists, first = np.unique(self.own, return_index=True)
+        self.edges = np.append(first, len(ids))
+
+    def nearest(self, queries: pa.RecordBatch, dtype: str, best: int, k: int) -> pa.RecordBatch:
+        """The k best of each query: the ``best`` by its distance tables, reranked by the cosine of the vectors."""
+        raw = _rows(queries.column(3), dtype).astype(np.float64)
+        unit = _unit(raw)
+        tables = self.index.tables(unit).astype(np.float32)
+        probed = np.zeros((len(raw), len(self.index.centres)), bool)
+        for i, lists in enumerate(queries.column(5).to_pylist()):
+            probed[i, np.frombuffer(lists, np.int32)] = True
+        score = np.full((len(raw), len(self.ids)), -np.inf, np.float32)
+        for which, s, e in zip(self.lists, self.edges[:-1], self.edges[1:], strict=True):
+            wanted = np.flatnonzero(probed[:, which])
+            if len(wanted):
+                part = np.repeat((unit[wanted] @ self.index.centres[which]).astype(np.float32)[:, None], e - s, 1)
+                for m in range(self.codes.shape[1]):
+                    part += np.take(tables[wanted, m], self.codes[s:e, m], 1)
+                score[wanted, s:e] = part
+        query_id, vec_id, exact = [], [], []
+        for i, query in enumerate(queries.column(2).to_pylist()):
+            score[i, self.ids == query] = -np.inf
+            n = min(best, score.shape[1])
+            limit = np.partition(score[i], score.shape[1] - n)[score.shape[1] - n]
+            # All that tie with the last one compete, and the smaller ids among equals stay.
+            top = np.flatnonzero((score[i] >= limit) & np.isfinite(score[i]))
+            top = top[np.lexsort((self.ids[top], -score[i, top]))][:best]
+            x, y = _scaled(raw[i : i + 1]), _scaled(self.v[top].astype(np.float64)) if len(top) else self.v[top]
+            found = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+            chosen = np.lexsort((self.ids[top], -found))[:k]
+            query_id.append(np.full(len(chosen), query))
+            vec_id.append(self.ids[top][chosen])
+            exact.append(found[chosen])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(query_id), pa.int64()), pa.array(np.concatenate(vec_id), pa.int64()), pa.array(np.concatenate(exact), pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def _scanner(shared, dtype: str, best: int, k: int):
+    """Units in order, candidates before queries: the candidates of one unit are held, its queries stream by."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if key[s, 0] != current:
+                    current, held, block = key[s, 0], [], None
+                if key[s, 1] == 0:
+                    held.append(batch.slice(s, e - s))
+                elif held:
+                    block = block or _Unit(shared.value, pa.Table.from_batches(held), dtype)
+                    for at in range(s, e, 64):
+                        yield block.nearest(batch.slice(at, min(64, e - at)), dtype, best, k)
 
     return scan
 
 
-def _rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = _matrix(batch, "q"), _matrix(batch, "v")
-            score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-
-def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_rows: int = 256, most_lists: int = 2048, recall: float = 0.97, parts: int = 32, codes: int = 256, rerank: int = 200, bucket: int = 8192, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_rows: int = 256, most_lists: int = 2048, recall: float = 0.97, parts: int = 32, codes: int = 256, rerank: int = 200, unit_rows: int = 32768, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -167,7 +260,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
         return empty
-    rows = rows.where(F.size("v") == sizes["n"])
+    rows = rows.where(F.size("v") == sizes["n"]).withColumn("vec_id", F.col("vec_id").cast("long"))
     total = sizes["count"]
     share = min(1.0, sample / total)
     picked = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").toArrow()["v"].combine_chunks()
@@ -177,17 +270,15 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_
     probes = index.probes_for(recall, k, seed)
     shared = spark.sparkContext.broadcast(index)
 
-    coded = stored(rows.mapInArrow(_coder(shared), "vec_id long, list int, code binary"))
-    buckets = coded.groupBy("list").agg(F.ceil(F.count("*") / bucket).cast("int").alias("n"))  # one row for each list at most
-    dealt = coded.join(F.broadcast(buckets), "list").select("vec_id", "list", "code", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int").alias("part"))
-    queries = rows.where(is_query)
-    probed = queries.mapInArrow(_prober(shared, probes), "query_id long, v array<double>, list int")
-    again = buckets.select(F.col("list").alias("own"), F.col("n").alias("parts"))
-    probed = probed.join(F.broadcast(again), F.col("list") == F.col("own")).select("query_id", "v", F.col("own").alias("list"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    found = dealt.groupBy("list", "part").cogroup(probed.groupBy("list", "part")).applyInPandas(_scan_list(shared, rerank), "query_id long, vec_id long, near double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    top = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rerank).select("query_id", "vec_id")
-    pairs = top.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(_rescore, "query_id long, vec_id long, score double")
+    counted = np.zeros(len(index.centres), np.int64)  # most_lists numbers at most
+    for row in rows.select("v").mapInArrow(_assigner(shared), "list int").groupBy("list").count().collect():
+        counted[row["list"]] = row["count"]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = Deal(counted, max(partitions, -(-total // unit_rows)), unit_rows // 4)
+    dtype = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    coded = rows.select("vec_id", "v").mapInArrow(_coder(shared, deal, dtype), SCANNED)
+    asked = rows.where(is_query).select("vec_id", "v").mapInArrow(_prober(shared, deal, probes, dtype), SCANNED)
+    in_order = coded.unionAll(asked).repartition(partitions, "unit").sortWithinPartitions("unit", "side")
+    found = in_order.mapInArrow(_scanner(shared, dtype, rerank, k), "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
