@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import clean, match, pixels, reads, stats, track
+from ..operators import clean, match, pixels, reads, regions, stats, track
 from ..sources import tables
 from . import views as v
 
@@ -437,6 +437,34 @@ def _(spark, d):
     return _rounded(_rounded(out, "dissimilarity", "homogeneity"), "contrast", digits=4)
 
 
+@_query("x15_grown_labels", f"""{P}, o AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE i * i + j * j BETWEEN 1 AND 4), n AS (SELECT {IMG}, channel, row + i AS row, col + j AS col, min((i * i + j * j) * 1000 + label) % 1000 AS near FROM pixels, o WHERE label <> 0 GROUP BY ALL)
+SELECT {IMG}, channel, row, col, (CASE WHEN label <> 0 THEN label ELSE coalesce(near, 0) END)::INT AS label FROM pixels LEFT JOIN n USING (plate, well, field, channel, row, col)""")
+def _(spark, d):
+    return regions.grown_labels(v.pixels(spark, d), 2).select("plate", "well", "field", "channel", "row", "col", F.col("label").cast("int").alias("label"))
+
+
+@_query("x19_crops", f"""{P}, b AS (SELECT {IMG}, label, channel, min(row) AS r, min(col) AS c, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w, count(*) FILTER (value > 50000) AS n_clipped FROM pixels WHERE label <> 0 GROUP BY ALL)
+SELECT {IMG}, label, channel, (row - r + floor((25 - h) / 2))::INT AS row, (col - c + floor((25 - w) / 2))::INT AS col, floor(least(value, 50000)::DOUBLE / 50000 * 65535)::INT AS value, n_clipped FROM pixels JOIN b USING (plate, well, field, label, channel) WHERE h <= 25 AND w <= 25""")
+def _(spark, d):
+    return regions.crops(v.pixels(spark, d), 25, 50000.0)
+
+
+@_query("x13_objects")
+def _(spark, d):
+    return regions.label_objects(v.pixels(spark, d).withColumn("bright", F.col("value") > 2500), "bright")
+
+
+@_query("x1_flat_field")
+def _(spark, d):
+    return _rounded(regions.smoothed_field(v.pixels(spark, d), ["plate", "well"]), "value")
+
+
+@_query("a13_robust_affine")
+def _(spark, d):
+    rows = v.nuclei(spark, d).select(F.col("tile"), "x", "y", (2 * F.col("x") + F.col("intensity") / 50 + 5).alias("to_x"), (2 * F.col("y") - 3).alias("to_y"))
+    return regions.robust_affine(rows, ["tile"], trials=200)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
