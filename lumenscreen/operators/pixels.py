@@ -66,7 +66,7 @@ def halved(pixels: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
 
 
 def condensate_threshold(pixels: DataFrame, k: float = 3.0, cutoff: float = 300.0, keys: list[str] = IMAGE) -> DataFrame:
-    """max(mean(dilute) + k * std(dilute), cutoff), dilute: below twice the mean.
+    """max(mean(dilute) + k * std(dilute), cutoff), dilute: below twice the mean.
 
     Column hole, if there, marks pixels left out, unless they cover more than three quarters of the cell.
     """
@@ -79,6 +79,13 @@ def condensate_threshold(pixels: DataFrame, k: float = 3.0, cutoff: float = 300.
     return dilute.groupBy(*keys, "label", "channel").agg(F.greatest(F.avg("value") + k * F.stddev_pop("value"), F.lit(cutoff)).alias("threshold"))
 
 
+def nucleolus_threshold(pixels: DataFrame, k: float = 0.9, cutoff: float = 300.0, keys: list[str] = IMAGE) -> DataFrame:
+    """max(mean + k * std(dilute), cutoff), dilute: below twice the mean; the mean is that of all pixels."""
+    cells = pixels.where("label <> 0").withColumn("_m", F.avg("value").over(_cell(keys)))
+    dilute = F.when(F.col("value") < 2 * F.col("_m"), F.col("value"))
+    return cells.groupBy(*keys, "label", "channel").agg(F.greatest(F.avg("value") + k * F.stddev_pop(dilute), F.lit(cutoff)).alias("threshold"))
+
+
 def object_properties(objects: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
     """Number, area, intensity and eccentricity of the objects of each cell; no objects: 0 and nulls."""
     one = objects.where("label <> 0 AND object <> 0").groupBy(*keys, "label", "object").agg(F.count("*").alias("area"), F.avg("value").alias("mean"), F.sum("value").alias("total"), F.var_pop("row").alias("a"), F.var_pop("col").alias("b"), F.covar_pop("row", "col").alias("c"))

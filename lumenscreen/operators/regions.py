@@ -87,6 +87,127 @@ def label_objects(pixels: DataFrame, mask: str, least_hole: int = 4, least_area:
     return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", object int")
 
 
+def _box(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of a cell's pixels in its box, the pixels inside, and the box's values (0 outside)."""
+    r, c = (g[n].to_numpy() - g[n].min() for n in ("row", "col"))
+    inside = np.zeros((r.max() + 1, c.max() + 1), bool)
+    value = np.zeros(inside.shape)
+    inside[r, c], value[r, c] = True, g["value"]
+    return r, c, inside, value
+
+
+def _enclosed(mask: np.ndarray) -> np.ndarray:
+    """Pixels outside the mask that no path by edges joins to the border."""
+    label = connected(np.pad(~mask, 1, constant_values=True), False)
+    return ((label != label[0, 0]) & (label != 0))[1:-1, 1:-1]
+
+
+def cross_entropy_threshold(values: np.ndarray, guess: float, tolerance: float = 0.5) -> float:
+    """Iterated minimum cross-entropy threshold of Li and Tam; a guess outside the values becomes their top less a half."""
+    low, high = float(values.min()), float(values.max())
+    if low == high:
+        return high
+    shifted = values - low
+    now, following = -np.inf, (guess if low < guess < high else high - 0.5) - low
+    while abs(following - now) > tolerance:
+        now = following
+        above = shifted > now
+        if above.all() or not above.any() or (back := shifted[~above].mean()) == 0:
+            break
+        fore = shifted[above].mean()
+        following = (back - fore) / (np.log(back) - np.log(fore))
+    return following + low
+
+
+def flag_holes(pixels: DataFrame, most_fill: int = 50, least_hole: int = 10, keys: list[str] = IMAGE) -> DataFrame:
+    """X11: pixels of a cell with a boolean column hole: darker than a threshold of the inverted image of its box.
+
+    Bright spots of fewer than ``most_fill`` pixels inside a hole belong to it; holes below ``least_hole`` pixels,
+    counted with the dark surroundings that touch them, go. A null value counts as 0.
+    """
+    by = [*keys, "label", "channel"]
+    cells = pixels.where("label <> 0").select(*by, "row", "col", F.coalesce("value", F.lit(0)).alias("value"))
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        r, c, inside, value = _box(g)
+        dark = value < -cross_entropy_threshold(-value, -1.0)
+        dark |= _small(connected(_enclosed(dark), True), most_fill)
+        dark &= ~_small(connected(dark, False), least_hole)
+        g["hole"] = dark[r, c]
+        return g[[*by, "row", "col", "value", "hole"]]
+
+    return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", hole boolean")
+
+
+def nucleolus_mask(pixels: DataFrame, thresholds: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
+    """Pixels of a cell with a boolean column nucleolus: above the cell's threshold, or enclosed by such pixels."""
+    by = [*keys, "label", "channel"]
+    cells = pixels.where("label <> 0").join(thresholds, by).select(*by, "row", "col", "value", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("nucleolus"))
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        r, c, inside, _ = _box(g)
+        mask = np.zeros(inside.shape, bool)
+        mask[r, c] = g["nucleolus"]
+        g["nucleolus"] = (mask | _enclosed(mask))[r, c]
+        return g[[*by, "row", "col", "value", "nucleolus"]]
+
+    return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", nucleolus boolean")
+
+
+def masked_correlation(fixed: np.ndarray, moving: np.ndarray, fixed_mask: np.ndarray, moving_mask: np.ndarray, least_overlap: float) -> np.ndarray:
+    """Normalised cross-correlation of two masked images at all shifts, by FFT (Padfield 2012).
+
+    Entry (i, j) has the moving image's first pixel at (i, j) - moving shape + 1 of the fixed one. Shifts whose
+    overlap is below a share of the largest one are 0.
+    """
+    shape = [a + b - 1 for a, b in zip(fixed.shape, moving.shape, strict=True)]
+    fast = [1 << (n - 1).bit_length() for n in shape]
+    into = lambda x: np.fft.rfft2(x, fast)
+    back = lambda x: np.fft.irfft2(x, fast)[: shape[0], : shape[1]]
+    fixed, moving = np.where(fixed_mask, fixed, 0.0), np.where(moving_mask, moving, 0.0)[::-1, ::-1]
+    f, m, fm, mm = into(fixed), into(moving), into(fixed_mask.astype(float)), into(moving_mask[::-1, ::-1].astype(float))
+    overlap = np.maximum(np.round(back(fm * mm)), np.finfo(float).eps)
+    f_sum, m_sum = back(f * mm), back(fm * m)
+    f_var = np.maximum(back(into(fixed * fixed) * mm) - f_sum**2 / overlap, 0)
+    m_var = np.maximum(back(fm * into(moving * moving)) - m_sum**2 / overlap, 0)
+    scale = np.sqrt(f_var * m_var)
+    enough = scale > 1e3 * np.finfo(float).eps * max(scale.max(), 1e-300)
+    out = np.zeros(shape)
+    np.divide(back(f * m) - f_sum * m_sum / overlap, scale, out=out, where=enough)
+    out[overlap < least_overlap * overlap.max()] = 0
+    return np.clip(out, -1, 1)
+
+
+def registration_scores(pairs: DataFrame, keys: list[str], least_overlap: float = 0.3) -> DataFrame:
+    """Keys, cc (the largest correlation) and shift_row, shift_col, which lay the target over the source.
+
+    A row of ``pairs`` holds two images row by row: source and target, each with _height and _width; null pixels are
+    masked out. Equal largest correlations (to 1e-9) give the mean of their shifts. A pair with a null or empty
+    image, or without any valid pixel, has nulls. One task holds one pair's images at a time.
+    """
+    images = [f"{side}{part}" for side in ("source", "target") for part in ("", "_height", "_width")]
+    used = pairs.select(*keys, F.monotonically_increasing_id().alias("_pair"), *images)
+
+    def image(row: pd.Series, side: str) -> np.ndarray | None:
+        h, w = row[f"{side}_height"], row[f"{side}_width"]
+        if row[side] is None or not len(row[side]) or pd.isna(h) or pd.isna(w):
+            return None
+        out = np.asarray(row[side], float).reshape(int(h), int(w))
+        return None if np.isnan(out).all() else out
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        source, target = image(g.iloc[0], "source"), image(g.iloc[0], "target")
+        out = g[keys].assign(cc=None, shift_row=None, shift_col=None)
+        if source is not None and target is not None:
+            cc = masked_correlation(target, source, ~np.isnan(target), ~np.isnan(source), least_overlap)
+            shift = np.argwhere(cc >= cc.max() - 1e-9).mean(0) - np.array(source.shape) + 1
+            shift = -shift + (np.array(target.shape) - np.array(source.shape)) / 2
+            out = g[keys].assign(cc=float(cc.max()), shift_row=shift[0], shift_col=shift[1])
+        return out
+
+    return used.groupBy(*keys, "_pair").applyInPandas(one, _schema(used, keys) + ", cc double, shift_row double, shift_col double")
+
+
 def grown_labels(pixels: DataFrame, distance: int, keys: list[str] = IMAGE) -> DataFrame:
     """Background pixels within a distance take the nearest label, the smaller one of equals."""
     disk = [(i, j) for i in range(-distance, distance + 1) for j in range(-distance, distance + 1) if 0 < i * i + j * j <= distance * distance]

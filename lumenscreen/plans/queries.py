@@ -454,6 +454,66 @@ def _(spark, d):
     return regions.label_objects(v.pixels(spark, d).withColumn("bright", F.col("value") > 2500), "bright")
 
 
+@_query("x11_holes")
+def _(spark, d):
+    return regions.flag_holes(v.pixels(spark, d))
+
+
+@_query("x12_threshold", f"""{P}, m AS (SELECT *, avg(value) OVER (PARTITION BY {IMG}, label, channel) AS m FROM pixels WHERE label <> 0)
+SELECT {IMG}, label, channel, round(greatest(avg(value) + 0.9 * stddev_pop(value) FILTER (value < 2 * m), 300), 4) AS threshold FROM m GROUP BY ALL""")
+def _(spark, d):
+    return _rounded(pixels.nucleolus_threshold(v.pixels(spark, d)), "threshold", digits=4)
+
+
+@_query("x12_nucleoli")
+def _(spark, d):
+    rows = v.pixels(spark, d)
+    return regions.nucleolus_mask(rows, pixels.nucleolus_threshold(rows))
+
+
+@_query("x14_object_properties", f"""{P}, o AS (SELECT *, CASE WHEN value > 2500 THEN 1 + col % 2 ELSE 0 END AS object FROM pixels WHERE label <> 0 AND channel = 'c1'), part_ AS (SELECT {IMG}, label, object, count(*) AS area, sum(value) AS total FROM o WHERE object <> 0 GROUP BY ALL)
+SELECT {IMG}, label, count(total) AS num, sum(total)::BIGINT AS total_intensity, sum(area)::BIGINT AS total_area, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area FROM (SELECT DISTINCT {IMG}, label FROM o) LEFT JOIN part_ USING (plate, well, field, label) GROUP BY ALL""")
+def _(spark, d):
+    rows = v.pixels(spark, d).where("channel = 'c1'").withColumn("object", F.when(F.col("value") > 2500, 1 + F.col("col") % 2).otherwise(0))
+    out = pixels.object_properties(rows).select("plate", "well", "field", "label", "num", "total_intensity", "total_area", "mean_area", "std_area")
+    return _rounded(out, "mean_area", "std_area")
+
+
+@_query("x18_registration")
+def _(spark, d):
+    """Each field's first channel against that of the next field of its well."""
+    rows = v.pixels(spark, d).where("channel = 'c0'")
+    dark = F.lit(None).cast("double")
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("row") * 40 + F.col("col")).alias("at"), F.col("value").cast("double").alias("value"))))
+    images = rows.groupBy("plate", "well", "field").agg(at.alias("_at")).select("plate", "well", "field", F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.coalesce(F.try_element_at("_at", i), dark)).alias("pixels"))
+    size = lambda side: [F.lit(40).alias(f"{side}_height"), F.lit(40).alias(f"{side}_width")]
+    source = images.select("plate", "well", "field", F.col("pixels").alias("source"), *size("source"))
+    target = images.select("plate", "well", (F.col("field") - 1).alias("field"), F.col("pixels").alias("target"), *size("target"))
+    return _rounded(regions.registration_scores(source.join(target, ["plate", "well", "field"]), ["plate", "well", "field"]), "cc", "shift_row", "shift_col")
+
+
+@_query("j4_overlap_match", f"""{P}, b AS (SELECT {IMG}, row, (col + 4) % 40 AS col, label AS label_10x FROM pixels WHERE label <> 0 AND channel = 'c0'), a AS (SELECT {IMG}, row, col, label AS label_40x FROM pixels WHERE label <> 0 AND channel = 'c0'),
+ar AS (SELECT {IMG}, label_40x, count(*) AS area FROM a GROUP BY ALL), n AS (SELECT {IMG}, label_40x, label_10x, count(*) AS n FROM a JOIN b USING (plate, well, field, row, col) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS nxt FROM n WINDOW w AS (PARTITION BY {IMG}, label_40x ORDER BY n DESC, label_10x)),
+g AS (SELECT {IMG}, label_40x, label_10x, n, area FROM r JOIN ar USING (plate, well, field, label_40x) WHERE rn = 1 AND n / area > 0.25 AND (nxt IS NULL OR n / nxt > 1.5))
+SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY {IMG}, label_10x) = 1""")
+def _(spark, d):
+    rows = v.pixels(spark, d).where("channel = 'c0'")
+    moved = rows.withColumn("col", ((F.col("col") + 4) % 40).cast("int"))
+    return match.overlap_match(rows, moved, ["plate", "well", "field"])
+
+
+@_query("j5_attach_once", """WITH m AS (SELECT o_orderkey AS field, o_custkey AS nucleus, o_orderkey % 3 AS well, o_orderkey % 500 AS cell FROM orders), s AS (SELECT ps AS cell, sum(1) AS n, min(k) AS s_value FROM (SELECT l_partkey % 500 AS ps, l_orderkey AS k FROM lineitem WHERE l_quantity < 2 AND l_linenumber = 1) GROUP BY 1 HAVING count(*) = 1),
+p AS (SELECT l_orderkey AS field, l_suppkey % 3 AS pwell, max(l_quantity) AS feature FROM lineitem WHERE l_linenumber > 4 GROUP BY ALL), u AS (SELECT field, min(pwell) AS pwell, min(feature) AS feature FROM p GROUP BY 1 HAVING count(*) = 1)
+SELECT m.field, m.cell, m.well, CASE WHEN pwell = well THEN feature END AS feature, s_value FROM m JOIN u USING (field) JOIN s USING (cell)""")
+def _(spark, d):
+    matches = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("field"), (F.col("o_orderkey") % 3).alias("well"), (F.col("o_orderkey") % 500).alias("cell"))
+    lines = v.table(spark, d, "lineitem")
+    sbs = lines.where("l_quantity < 2 AND l_linenumber = 1").select((F.col("l_partkey") % 500).alias("cell"), F.col("l_orderkey").alias("s_value"))
+    phenotype = lines.where("l_linenumber > 4").groupBy(F.col("l_orderkey").alias("field"), (F.col("l_suppkey") % 3).alias("well")).agg(F.max("l_quantity").alias("feature"))
+    return match.attach_once(matches, sbs, phenotype, ["cell"], ["field"]).select("field", "cell", "well", "feature", "s_value")
+
+
 @_query("x1_flat_field")
 def _(spark, d):
     return _rounded(regions.smoothed_field(v.pixels(spark, d), ["plate", "well"]), "value")

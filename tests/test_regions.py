@@ -50,3 +50,59 @@ def test_crops_flat_field_and_affine(spark):
     rows = [("a", *map(float, x), *map(float, y)) for x, y in zip(xy, to, strict=True)] + [("a", None, 1.0, 1.0, 1.0), ("b", 1.0, 1.0, 1.0, 1.0)]
     fit = {r.k: r for r in regions.robust_affine(spark.createDataFrame(rows, "k string, x double, y double, to_x double, to_y double"), ["k"], trials=200).collect()}
     assert np.allclose(fit["a"].of_x, [5, 2, 0]) and np.allclose(fit["a"].of_y, [-3, 0, 2]) and fit["a"].n_inliers == 28 and fit["b"].of_x is None
+
+
+def test_holes_and_nucleoli(spark):
+    value = np.full((14, 14), 1000)
+    value[2:6, 2:6] = 10  # a hole of 16 pixels
+    value[3, 3] = 900  # a spot inside it
+    value[9, 9] = 10  # too small
+    label = np.ones((14, 14), int)
+    df = spark.createDataFrame(image(label, value), PIXELS)
+    got = {(r.row, r.col) for r in regions.flag_holes(df).collect() if r.hole}
+    assert got == {(r, c) for r in range(2, 6) for c in range(2, 6)}
+    flat = spark.createDataFrame(image(label, label * 7), PIXELS)
+    assert regions.flag_holes(flat).where("hole").count() == 0 and regions.flag_holes(df.where("label = 9")).count() == 0
+    limits = spark.createDataFrame([("p", "w", 0, 1, "c", 500.0)], "plate string, well string, field int, label int, channel string, threshold double")
+    ring = {(r.row, r.col) for r in regions.nucleolus_mask(df, limits).collect() if r.nucleolus}
+    assert ring == {(r, c) for r in range(14) for c in range(14)}
+    gap = spark.createDataFrame(image(label, np.where(np.arange(14)[None, :] == 3, 10, value)), PIXELS)  # opens to the edge
+    assert {(r.row, r.col) for r in regions.nucleolus_mask(gap, limits).collect() if not r.nucleolus} == {(r, 3) for r in range(14)} | {(r, c) for r in range(2, 6) for c in range(2, 6)}
+
+
+def test_cross_entropy_threshold_separates_two_levels():
+    values = np.random.default_rng(2).permutation(np.append(np.full(300, 20.0), np.full(100, 200.0)))
+    assert 20 < regions.cross_entropy_threshold(values, 100.0) < 200
+    assert regions.cross_entropy_threshold(np.full(9, 3.0), 1.0) == 3.0
+
+
+def _slow(fixed, moving, least):
+    (h, w), (a, b) = fixed.shape, moving.shape
+    out, over = np.zeros((h + a - 1, w + b - 1)), np.zeros((h + a - 1, w + b - 1))
+    for i in range(h + a - 1):
+        for j in range(w + b - 1):
+            pairs = [(fixed[r, c], moving[r - i + a - 1, c - j + b - 1]) for r in range(h) for c in range(w) if 0 <= r - i + a - 1 < a and 0 <= c - j + b - 1 < b]
+            pairs = np.array([p for p in pairs if not np.isnan(p).any()]).reshape(-1, 2)
+            over[i, j] = len(pairs)
+            d = pairs - pairs.mean(0) if len(pairs) else pairs
+            scale = np.sqrt((d**2).sum(0).prod()) if len(pairs) else 0
+            out[i, j] = (d[:, 0] * d[:, 1]).sum() / scale if scale > 1e-6 else 0
+    out[over < least * over.max()] = 0
+    return out
+
+
+def test_masked_correlation_against_loops_and_known_shift(spark):
+    rng = np.random.default_rng(7)
+    big = rng.integers(0, 100, (24, 24)).astype(float)
+    fixed, moving = big[4:16, 5:17].copy(), big[6:18, 2:14].copy()
+    fixed[0, :3] = np.nan
+    moving[5, 5] = np.nan
+    got = regions.masked_correlation(fixed, moving, ~np.isnan(fixed), ~np.isnan(moving), 0.3)
+    assert np.allclose(got, _slow(fixed, moving, 0.3), atol=1e-8)
+    flat = lambda x: [None if np.isnan(v) else float(v) for v in x.ravel()]
+    schema = "k string, source array<double>, source_height int, source_width int, target array<double>, target_height int, target_width int"
+    rows = [("a", flat(moving), 12, 12, flat(fixed), 12, 12), ("b", None, 12, 12, flat(fixed), 12, 12), ("c", [None] * 4, 2, 2, flat(fixed), 12, 12)]
+    found = {r.k: r for r in regions.registration_scores(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    assert abs(found["a"].cc - 1) < 1e-9 and (found["a"].shift_row, found["a"].shift_col) == (-2.0, 3.0)
+    assert found["b"].cc is None and found["c"].cc is None and len(found) == 3
+    assert regions.registration_scores(spark.createDataFrame([], schema), ["k"]).count() == 0
