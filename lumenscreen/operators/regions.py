@@ -154,6 +154,42 @@ def nucleolus_mask(pixels: DataFrame, thresholds: DataFrame, keys: list[str] = I
     return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", nucleolus boolean")
 
 
+def _within(mask: np.ndarray, distance: int) -> np.ndarray:
+    """Pixels whose Euclidean distance to the mask is at most ``distance``."""
+    h, w = mask.shape
+    wide, out = np.pad(mask, distance), np.zeros_like(mask)
+    for i in range(-distance, distance + 1):
+        for j in range(-distance, distance + 1):
+            if i * i + j * j <= distance * distance:
+                out |= wide[distance + i : distance + i + h, distance + j : distance + j + w]
+    return out
+
+
+def condensate_intensities(objects: DataFrame, every: str = "object", hole: str | None = None, shrink: int = 2, grow: int = 8, keys: list[str] = IMAGE) -> DataFrame:
+    """Mean and population std of the pixels of a cell's objects, whole and shrunk, and of its dilute phase.
+
+    ``object`` numbers the final objects (0: none). The dilute phase leaves out holes (a boolean column) and what is
+    within ``grow`` pixels of any object in column ``every``, which also holds objects dropped from the final ones.
+    Pixels of the cell's box outside the cell are background. A statistic of no pixel is null.
+    """
+    by = [*keys, "label", "channel"]
+    no_hole = F.lit(False) if hole is None else F.coalesce(F.col(hole), F.lit(False))
+    cells = objects.where("label <> 0").select(*by, "row", "col", "value", (F.coalesce("object", F.lit(0)) != 0).alias("_own"), (F.coalesce(F.col(every).cast("int"), F.lit(0)) != 0).alias("_every"), no_hole.alias("_hole"))
+
+    def flagged(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        r, c, inside, _ = _box(g)
+        own, near = np.zeros(inside.shape, bool), np.zeros(inside.shape, bool)
+        own[r, c], near[r, c] = g["_own"], g["_every"]
+        g["_core"] = (own & ~_within(~own, shrink))[r, c]
+        g["_dilute"] = ~_within(near, grow)[r, c] & ~g["_hole"].to_numpy()
+        return g[[*by, "value", "_own", "_hole", "_core", "_dilute"]]
+
+    flags = cells.groupBy(*by).applyInPandas(flagged, _schema(cells, [*by, "value"]) + ", _own boolean, _hole boolean, _core boolean, _dilute boolean")
+    chosen = {"condensate": "_core", "condensate_no_shrink": "_own", "dilute": "_dilute"}
+    parts = [f(F.when(F.col(flag), F.col("value"))).alias(f"{stat}_{name}") for name, flag in chosen.items() for stat, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return flags.groupBy(*by).agg(*parts, F.avg(F.when(~F.col("_hole"), F.col("value"))).alias("mean_no_holes"))
+
+
 def masked_correlation(fixed: np.ndarray, moving: np.ndarray, fixed_mask: np.ndarray, moving_mask: np.ndarray, least_overlap: float) -> np.ndarray:
     """Normalised cross-correlation of two masked images at all shifts, by FFT (Padfield 2012).
 

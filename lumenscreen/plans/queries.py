@@ -479,6 +479,25 @@ def _(spark, d):
     return _rounded(out, "mean_area", "std_area")
 
 
+def _condensates(name: str, flag: str) -> str:
+    case = f"CASE WHEN {flag} THEN value END"
+    return f"round(avg({case}), 4) AS mean_{name}, round(stddev_pop({case}), 4) AS std_{name}"
+
+
+X14 = f"""{P}, o AS (SELECT *, value > 4500 AS own FROM pixels WHERE label <> 0 AND channel = 'c1'), box AS (SELECT {IMG}, label, channel, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM o GROUP BY ALL),
+grid AS (SELECT {IMG}, label, channel, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM box)), empty AS (SELECT g.* FROM grid g LEFT JOIN o ON (g.plate, g.well, g.field, g.label, g.r, g.c) = (o.plate, o.well, o.field, o.label, o.row, o.col) WHERE NOT coalesce(own, FALSE)),
+f AS (SELECT o.*, NOT EXISTS (SELECT 1 FROM o b WHERE b.own AND (b.plate, b.well, b.field, b.label) = (o.plate, o.well, o.field, o.label) AND (b.row - o.row) * (b.row - o.row) + (b.col - o.col) * (b.col - o.col) <= 9) AS dil,
+own AND NOT EXISTS (SELECT 1 FROM empty e WHERE (e.plate, e.well, e.field, e.label) = (o.plate, o.well, o.field, o.label) AND (e.r - o.row) * (e.r - o.row) + (e.c - o.col) * (e.c - o.col) <= 1) AS core FROM o)
+SELECT {IMG}, label, channel, {_condensates("condensate", "core")}, {_condensates("condensate_no_shrink", "own")}, {_condensates("dilute", "dil")}, round(avg(CASE WHEN value % 5 <> 0 THEN value END), 4) AS mean_no_holes FROM f GROUP BY ALL""".replace("AS dil,", "AND value % 5 <> 0 AS dil,")
+
+
+@_query("x14_condensate_intensities", X14)
+def _(spark, d):
+    rows = v.pixels(spark, d).where("channel = 'c1'").withColumns({"object": (F.col("value") > 4500).cast("int"), "hole": F.col("value") % 5 == 0})
+    out = regions.condensate_intensities(rows, hole="hole", shrink=1, grow=3)
+    return _rounded(out, *[c for c in out.columns if c.startswith(("mean", "std"))], digits=4)
+
+
 @_query("x18_registration")
 def _(spark, d):
     """Each field's first channel against that of the next field of its well."""

@@ -106,3 +106,26 @@ def test_masked_correlation_against_loops_and_known_shift(spark):
     assert abs(found["a"].cc - 1) < 1e-9 and (found["a"].shift_row, found["a"].shift_col) == (-2.0, 3.0)
     assert found["b"].cc is None and found["c"].cc is None and len(found) == 3
     assert regions.registration_scores(spark.createDataFrame([], schema), ["k"]).count() == 0
+
+
+def test_condensate_intensities_against_loops(spark):
+    rng = np.random.default_rng(9)
+    label = np.ones((20, 20), int)
+    value = rng.integers(1, 100, label.shape)
+    own = np.zeros(label.shape, bool)
+    own[3:10, 3:10] = True
+    own[15, 15] = True
+    every = own.copy()
+    every[0, 19] = True
+    hole = rng.random(label.shape) < 0.1
+    rows = [(*r, int(own[r[4], r[5]]), bool(every[r[4], r[5]]), bool(hole[r[4], r[5]])) for r in image(label, value)]
+    df = spark.createDataFrame(rows, PIXELS + ", object int, every boolean, hole boolean")
+    far = lambda r, c, mask, most: all((r - i) ** 2 + (c - j) ** 2 > most**2 for i, j in np.argwhere(mask))
+    places = [(r, c) for r in range(20) for c in range(20)]
+    core = [value[p] for p in places if own[p] and far(*p, ~own, 2)]
+    dilute = [value[p] for p in places if not hole[p] and far(*p, every, 8)]
+    got = regions.condensate_intensities(df, "every", "hole").first()
+    want = [np.mean(core), np.std(core), value[own].mean(), value[own].std(), np.mean(dilute), np.std(dilute), value[~hole].mean()]
+    assert core and dilute and np.allclose(list(got)[-7:], want)
+    none = regions.condensate_intensities(df.selectExpr("* except (object)", "0 object")).first()
+    assert none.mean_condensate is None and none.mean_condensate_no_shrink is None and abs(none.mean_dilute - value.mean()) < 1e-9
