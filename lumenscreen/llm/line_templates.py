@@ -5,9 +5,12 @@ a digit are variable fields. Within a leaf a place is constant if one token hold
 lines; a line that agrees with all constant places has the leaf's template, with its other fields generalised. A leaf
 with too few constant places has none, and its lines stand for themselves.
 
-A template recurs if it stands in at least ``min_contexts`` different surroundings (the pair of lines around it), so
-that copies of a whole document, which bring their surroundings along, are left to near-duplicate removal. Recurring
-templates are dropped from all documents but the first that has them.
+A line recurs if it stands, digits aside, in at least ``min_contexts`` different documents: alone, between blank lines,
+at an edge of the text or within a block of other repeated lines. Documents that are equal but for blank lines and
+spacing are one document, so that copies of a whole document are left to near-duplicate removal. Near copies are
+different documents: lines that min_contexts of them share recur. A template of lines that differ in words recurs if it
+stands in so many different surroundings, which are the pair of lines around it, blank ones skipped. What recurs is
+dropped from all documents but the first that has it.
 
 Everything is grouped aggregation and salted joins on hashes; only distinct lines of crowded leaves are split into
 tokens. Defined cases: null text stays null; blank lines are never dropped; a document whose lines are all dropped
@@ -24,23 +27,31 @@ from .shared import cut, salted_join, stored
 FIELD = "<*>"
 
 
+def _spaced(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"\s+", " "))
+
+
 def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"\S*[0-9]\S*", FIELD)
+    return F.regexp_replace(line, r"\S*[0-9]\S*", FIELD)
 
 
 def parsed_lines(docs: DataFrame, depth: int = 3) -> DataFrame:
-    """doc_id, pos, masked, line and leaf (hashes), context: a row for each line with a token."""
-    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("_l"))
-    lines = lines.select("doc_id", F.transform("_l", _masked).alias("_m"))
-    around = F.transform("_m", lambda x, i: F.struct(x.alias("masked"), F.xxhash64(F.coalesce(F.get("_m", i - 1), F.lit("")), F.coalesce(F.get("_m", i + 1), F.lit(""))).alias("context")))
-    rows = lines.select("doc_id", F.posexplode(around).alias("pos", "x")).select("doc_id", "pos", "x.masked", "x.context").where("masked <> ''")
+    """doc_id, pos, masked, line and leaf (hashes), context, copy (hash of the whole text): a row for each line with a token."""
+    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.transform(F.split("text", "\n"), _spaced).alias("_l"))
+    copy = F.xxhash64(F.array_join(F.filter("_l", lambda x: x != ""), "\n"))
+    numbered = F.transform("_l", lambda x, i: F.struct(i.alias("pos"), _masked(x).alias("masked")))
+    lines = lines.select("doc_id", copy.alias("copy"), F.filter(numbered, lambda x: x["masked"] != "").alias("_m"))
+    near = lambda i: F.coalesce(F.get("_m", i)["masked"], F.lit(""))
+    around = F.transform("_m", lambda x, i: F.struct(x["pos"].alias("pos"), x["masked"].alias("masked"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))
+    rows = lines.select("doc_id", "copy", F.explode(around).alias("x")).select("doc_id", "x.pos", "x.masked", "x.context", "copy")
     tokens = F.split("masked", " ")
     leaf = F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))
-    return rows.select("doc_id", "pos", "masked", F.xxhash64("masked").alias("line"), leaf.alias("leaf"), "context")
+    return rows.select("doc_id", "pos", "masked", F.xxhash64("masked").alias("line"), leaf.alias("leaf"), "context", "copy")
 
 
 def templates(rows: DataFrame, hashed: DataFrame, min_contexts: int = 8, constant_share: float = 0.6, constant_places: float = 0.5) -> DataFrame:
-    """line, template of the recurring templates, and the first document of each. hashed: rows without their text."""
+    """line, first_doc of the lines that recur by themselves or by their template. hashed: rows without their text."""
+    alone = hashed.groupBy("line", "copy").agg(F.min("doc_id").alias("doc_id")).groupBy("line").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
     crowded = hashed.select("leaf", "context").distinct().groupBy("leaf").count().where(F.col("count") >= min_contexts).select("leaf", F.lit(True).alias("_crowded"))
     distinct = salted_join(rows.select("line", "leaf", "masked"), crowded, "leaf", F.col("line")).where("_crowded")
     distinct = cut(distinct.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("masked").alias("masked")))
@@ -53,10 +64,13 @@ def templates(rows: DataFrame, hashed: DataFrame, min_contexts: int = 8, constan
     matched = salted_join(distinct, trees, "leaf", F.col("line"), salts=4)
     agrees = F.forall(F.zip_with("form", F.split("masked", " "), lambda c, t: c.isNull() | c.eqNullSafe(t)), lambda x: x)
     named = matched.select("line", F.when(F.coalesce(agrees, F.lit(False)), F.xxhash64("leaf", F.lit("template"))).otherwise(F.col("line")).alias("template"))
+    named = named.where("template <> line")
+    named = named.where("template <> line")
     used = salted_join(hashed.select("doc_id", "line", "context"), named, "line", F.col("doc_id")).where("template IS NOT NULL")
     found = used.select("template", "context", "doc_id").groupBy("template", "context").agg(F.min("doc_id").alias("doc_id"))
     recurring = found.groupBy("template").agg(F.count("*").alias("contexts"), F.min("doc_id").alias("first_doc")).where(F.col("contexts") >= min_contexts)
-    return named.join(recurring, "template").select("line", "template", "contexts", "first_doc")
+    by_template = named.join(recurring, "template").select("line", "first_doc")
+    return alone.where(F.col("copies") >= min_contexts).select("line", "first_doc").union(by_template).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
 
 
 def dropped_lines(docs: DataFrame, depth: int = 3, min_contexts: int = 8) -> DataFrame:
@@ -64,7 +78,7 @@ def dropped_lines(docs: DataFrame, depth: int = 3, min_contexts: int = 8) -> Dat
     rows = parsed_lines(docs, depth)
     hashed = stored(rows.drop("masked"))
     found = stored(templates(rows, hashed, min_contexts))
-    hit = salted_join(hashed.select("doc_id", "pos", "line"), found.select("line", "first_doc"), "line", F.col("doc_id")).where("first_doc IS NOT NULL AND doc_id <> first_doc")
+    hit = salted_join(hashed.select("doc_id", "pos", "line"), found, "line", F.col("doc_id")).where("first_doc IS NOT NULL AND doc_id <> first_doc")
     return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
 
 
