@@ -57,6 +57,41 @@ RULES = [
     ("LGPL-3.0", ("lgpl-notice",)), ("MIT", ("mit-grant", "mit-notice", "mit-warranty")), ("MIT", ("mit-grant",)), ("MIT", ("mit-licensed",)), ("MIT", ("mit-released",)),
     ("MPL-2.0", ("mpl-notice",)), ("Unlicense", ("unlicense",)), ("all-rights-reserved", ("all-rights",)),
 ]
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+_ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+#: Whole sentences of public licenses (of the long ones, their notices), a line each; all must follow.
+TEXTS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+""",
+    "BSD-2-Clause": _BSD + _BSD_WARRANTY,
+    "BSD-3-Clause": _BSD + _BSD_ENDORSE + _BSD_WARRANTY,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_WARRANTY,
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_WARRANTY,
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty.
+In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+This notice may not be removed or altered from any source distribution.
+""",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2.\n",
+    "GPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.\n",
+}
 #: A sentence ends at a line end, or at a mark that stands before a space or the text's end (not within "2.0" or a url).
 _SENTENCE = re.compile(r"[^\n]+?(?:[.;:!?]+(?=\s|$)|(?=\n)|$)", re.MULTILINE)
 _PART = re.compile(r"[a-z0-9]+")
@@ -66,12 +101,18 @@ def normal(sentence: str) -> str:
     return " ".join(_PART.findall(sentence.lower()))
 
 
-def _known() -> dict[str, str]:
-    """Sentences as the same rules cut them: a known sentence with inner marks is known by each of its parts' joint form."""
-    return {normal(s): name for name, s in SENTENCES.items()}
+def _known() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Identifiers by normal form, and the rules: a known sentence with inner marks is known by its parts' joint form."""
+    known, rules = {normal(s): name for name, s in SENTENCES.items()}, list(RULES)
+    for license_, text in TEXTS.items():
+        wanted = tuple(known.setdefault(normal(s), f"{license_}-{i}") for i, s in enumerate(text.splitlines()))
+        rules.append((license_, wanted))
+    # The whole first sentence of MIT shows it as its first part does.
+    rules.append(("MIT", (known[normal(TEXTS["MIT"].splitlines()[0])],)))
+    return known, sorted(rules, key=lambda r: -len(r[1]))
 
 
-_BY_NORMAL = _known()
+_BY_NORMAL, _RULES = _known()
 _LEADS = {s.split()[0] + " " + s.split()[1] for s in _BY_NORMAL}
 _MOST_WORDS = max(len(s.split()) for s in _BY_NORMAL)
 
@@ -99,11 +140,10 @@ def sentences(text: str) -> list[tuple[str | None, int, int]]:
 
 def match_rules(found: list[tuple[str | None, int, int]], gap: int = 1) -> list[tuple[str, int, int]]:
     """(license, start, end): at each place the longest rule whose identifiers follow."""
-    rules = sorted(RULES, key=lambda r: -len(r[1]))
     out, i = [], 0
     while i < len(found):
         step = 1
-        for name, wanted in rules:
+        for name, wanted in _RULES:
             at, k = i, 0
             while k < len(wanted) and at < len(found):
                 skipped = 0
@@ -121,7 +161,7 @@ def match_rules(found: list[tuple[str | None, int, int]], gap: int = 1) -> list[
 
 
 def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    leads = re.compile(r"\b(?:" + "|".join(sorted(re.escape(x.split()[0]) for x in _BY_NORMAL)) + r")\b", re.IGNORECASE)
+    leads = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted(x.replace(" ", "[^a-z0-9]+") for x in _LEADS)) + ")", re.IGNORECASE)
     for batch in batches:
         names, spans = [], []
         for text in batch.column(1).to_pylist():
