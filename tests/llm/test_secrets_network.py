@@ -2,7 +2,7 @@
 
 import hashlib
 
-from lumenscreen.llm.secrets import INSIDE, WIDTH, pieces, scan, window
+from lumenscreen.llm.secrets import INSIDE, WIDTH, pieces, scan, train, window
 
 
 def corpus(findings=200):
@@ -29,3 +29,16 @@ def test_keys_behind_long_paths_are_found(spark):
     rows = corpus() + [(1000 + i, f"some prose before {path}{hashlib.sha1(str(9000 + i).encode()).hexdigest()[:28]} and after") for i in range(40)]
     got = {r["doc_id"]: r["spans"] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("cnn:" in got[1000 + i] for i in range(40)) >= 30
+
+
+def distinct(findings):
+    return [(i, f"{text} longwordnumber{'abcdefghijklmnopqrstuvwxyz'[i]}") for i, text in corpus(findings)]
+
+
+def test_rare_findings_are_learned_from(spark):
+    # 12 findings in 50,024 documents: a sample of 20,000 documents holds about 5.
+    plain = spark.range(10_000, 60_000).selectExpr("id AS doc_id", "'the and of with reeding' AS text")
+    rows = spark.createDataFrame(distinct(12), "doc_id long, text string").union(plain)
+    model = train(rows)
+    assert model is not None and 0 < model.threshold < 1
+    assert train(rows.where("doc_id >= 10000")) is None
