@@ -12,10 +12,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _smallest(links: DataFrame) -> DataFrame:
+def _smallest(links: DataFrame, total: int) -> DataFrame:
     """links (u, v) with m: the smallest of u and all its v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    return salted_join(links, least, "u", F.col("v")).withColumn("m", F.least("u", "m"))
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return salted_join(links, least, "u", F.col("v"), "n", total).withColumn("m", F.least("u", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
-        large = _smallest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = _smallest(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        large = _smallest(both, 2 * before[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = _smallest(large.select(F.col("a").alias("u"), F.col("b").alias("v")), 2 * before[0])
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).where("a <> b").distinct()
         now = cut(small)
         after = _state(now)

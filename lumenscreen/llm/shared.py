@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Only Spark opens the path, so any store that Spark reads will do."""
@@ -15,15 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir.
+    """A new folder that driver and executors share, below spark.checkpoint.dir in one folder for the application.
 
-    A local folder is used only where that setting is absent, as in tests.
+    Without that setting a local folder is used if all tasks run in this process, as in tests; elsewhere it is an
+    error. The application's folder is deleted when the application ends; results must be written elsewhere by then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_lumen_shared", None) or f"file://{tempfile.mkdtemp(prefix='lumen-')}"
-        spark.sparkContext._lumen_shared = base
-    return f"{base.rstrip('/')}/lumen-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    base = getattr(context, "_lumen_shared", None)
+    if base is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = root or f"file://{tempfile.mkdtemp(prefix='lumen-')}"
+        base = context._lumen_shared = f"{root.rstrip('/')}/lumen-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,23 +47,42 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df as compressed Parquet in the shared folder and read it again."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as compressed Parquet in the shared folder and read it again; shuffle files of the write go at once."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, however long the texts are: a setting of the session, the same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Few documents in each Arrow batch: the longest texts have over a hundred kilobytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or name with underscores before it until no column of that name is there."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
 
 
-def salted_join(left: DataFrame, small: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, small: DataFrame, key: str, spread: Column, rows: str, total: int | None = None, share: int = 1000) -> DataFrame:
     """left LEFT JOIN small on key, where one key may own a third of the rows of left.
 
-    small has one row for each key. Its rows are repeated for every salt, and the rows of left are dealt over
-    the salts by ``spread``, so that no task gets all rows of a hot key.
+    small has one row for each key and, in the column ``rows``, how many rows of left have it (about). ``total`` is the
+    number of rows of left, which is counted if it isn't given. A key with over a thousandth of the rows is hot: its rows are dealt over salts by
+    ``spread`` and its row of small is repeated for each. There are under a thousand hot keys, so their list is
+    broadcast, and at most two thousand rows are added to small. The column ``rows`` isn't kept.
     """
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
+    most = max(1, (left.count() if total is None else total) // share)
+    sized = small.withColumn("_salts", F.ceil(F.col(rows) / most).cast("int")).drop(rows)
+    hot = sized.where("_salts > 1").select(key, "_salts")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
+    b = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return a.join(b, [key, "_salt"], "left").drop("_salt")

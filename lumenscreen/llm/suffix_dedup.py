@@ -4,20 +4,27 @@ A byte of a document goes when a string of 50 bytes that covers it also starts i
 
 1. Anchors. Every 50-byte window picks one of its 24-byte grams, the one with the smallest hash, so equal windows
    pick the same gram. Neighbouring windows mostly pick the same one: an anchor, with the segment of text that its
-   windows cover. Anchors (a 6-byte hash of the gram, a 5-byte hash of the segment, place and shape) are packed by
-   buckets of the gram's hash; a task keeps only the smallest document of equal segments, the others are done.
-2. Buckets. A gram that only one document has settles its windows. Of equal segments, all but the smallest document's
-   go. What is left are segments that share a gram without being equal.
-3. Suffix sort. The text of these segments is fetched, and the suffixes at all their windows are mergesorted by gram
-   and offset. Two suffixes are compared through polynomial prefix hashes: binary search finds how far they agree.
-   Neighbours that agree over 50 bytes are verified byte by byte; the smallest document of each class stays.
-4. Removed ranges meet their document, and the remaining bytes are hashed or returned.
-
-The text is shuffled once, by document, for steps 3 and 4.
+   windows cover.
+2. Sort in a slice. Segments of a slice of text that share a gram are mergesorted as suffixes; two are compared through
+   polynomial prefix hashes, where binary search finds how far they agree. Neighbours that agree over their length are
+   verified byte by byte. The smallest document of each class goes on, the ranges of the others are done.
+3. Buckets. The other anchors (6 bytes of the gram's hash, 5 of the segment's, place and shape) are packed by buckets of
+   the gram's hash. A gram that only one document has settles its windows. Of segments with equal hashes the smallest
+   document's stands for the others. Segments that share a gram otherwise are open.
+4. Verification. Neighbouring segments of a document with the same representative, equally far apart, form one range.
+   Its bytes and those of the representative are compared by their SHA-256. Where they differ, as after a collision,
+   all segments of the grams concerned become open.
+5. Suffix sort of open segments. Their text is fetched, and the suffixes at all their windows are mergesorted by gram
+   and offset, compared and verified as in step 2; the smallest document of each class stays.
+6. Removed ranges meet their document, and the remaining bytes are hashed or returned.
+
+Hot grams: if a slice has more than ``hot_segments`` different segments of a gram, they are dealt over all buckets by
+their own hash, and all segments of the gram are open in step 5, where single windows are dealt by the hash of their
+bytes. The same holds, there, for a gram with many open segments. So no task gets all of a gram.
 
 Defined cases: a null or empty text has no bytes; a text below 50 bytes is left alone; a null doc_id neither removes
 nor loses anything; rows that repeat a doc_id must repeat its text, and don't count as smaller than each other; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; a text of any length is handled whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +37,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import salted_join, small_batches, stored
 from .text import mix, powers, prefix_hashes, runs, slices, span_hashes
 
 GRAM = 24
-_PACKED = "kind int, bucket int, grams binary, segments binary, starts binary, shapes binary, docs binary, counts binary"
+#: kind 0: anchors of a bucket, 1: ranges settled in the slice, 2: anchors of hot grams, 3: the hot grams' names.
+_PACKED = "kind int, bucket long, grams binary, segments binary, starts binary, shapes binary, docs binary, counts binary"
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
+#: gram null: a settled range; rep_doc not null: all windows go if the representative's bytes are equal; else open.
+_SETTLED = "doc_id long, start int, windows int, offset int, gram long, rep_doc long, rep_start int, split int"
+#: kind 0: bytes of an open segment or, of a split gram, of a window; 1: a range to verify; 2: a settled range.
+_FETCHED = "kind int, doc_id long, start int, end int, windows int, offset int, gram long, part int, piece binary, rep_doc long, rep_start int, digest binary"
 _RANGES = "doc_id long, start int, end int"
+HOT_PARTS = 256
+
+
+def _masked(x: np.ndarray, bits: int) -> np.ndarray:
+    return x if bits == 64 else x & np.uint64((1 << bits) - 1)
 
 
-def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int, bits: int = 64) -> dict[str, np.ndarray]:
     """Of each anchor: gram and segment hash, document row, first window (from the document's start), windows, offset."""
     n, width = len(data), length - gram + 1
     long_enough = end - start >= length
@@ -68,7 +86,7 @@ def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, g
     row = np.searchsorted(start, at, "right") - 1
     offset = anchor - at
     segment = span_hashes(prefix, at, at + count - 1 + length) + mix((offset * 64 + count).astype(np.uint64))
-    return {"gram": hashes[anchor], "segment": mix(segment), "row": row, "start": at - start[row], "windows": count, "offset": offset}
+    return {"gram": _masked(hashes[anchor], bits), "segment": _masked(mix(segment), bits), "row": row, "start": at - start[row], "windows": count, "offset": offset}
 
 
 def _bytes(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,51 +99,92 @@ def _whole(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _scanner(buckets: int, length: int, gram: int):
-    """(doc_id, text) -> packed anchors by bucket (kind 0), and ranges settled within the slice (kind 1)."""
+def _rows_of(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(columns, kinds, strict=True)], names=_NAMES)
+
+
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first, start and end of maximal runs of overlapping or touching ranges, sorted by row and start.
+
+    Ranges whose ``same`` differs aren't joined. Ends must not decrease within a row.
+    """
+    apart = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    if same is not None:
+        apart |= same[1:] != same[:-1]
+    first = np.flatnonzero(np.append(True, apart)) if len(row) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(row)) - 1 if len(row) else first
+    return first, start[first], end[last]
+
+
+def _scanner(buckets: int, length: int, gram: int, hot_segments: int, bits: int):
+    """(doc_id, text) -> packed anchors by bucket, and ranges settled within the slice."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=4_000_000):
-            a = anchors(part.data, part.start, part.end, length, gram)
-            docs = np.asarray(part.batch.column(0).cast(pa.int64()))
-            doc = docs[a["row"]]
-            order = np.lexsort((doc, a["segment"], a["gram"]))
-            a = {k: v[order] for k, v in a.items()}
-            doc = doc[order]
-            first = np.flatnonzero(np.append(True, (a["gram"][1:] != a["gram"][:-1]) | (a["segment"][1:] != a["segment"][:-1]))) if len(doc) else doc
-            least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
-            late = doc > least
-            if late.any():
-                ends = a["start"] + a["windows"] - 1 + length
-                blank = [pa.array([b""], pa.binary())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([a["start"][late].astype("<i4").tobytes()]), pa.array([ends[late].astype("<i4").tobytes()]), pa.array([doc[late].astype("<i8").tobytes()]), blank[0]], names=["kind", "bucket", "grams", "segments", "starts", "shapes", "docs", "counts"])
+        for part in slices(batches, most=2_000_000):
+            a = anchors(part.data, part.start, part.end, length, gram, bits)
+            doc = np.asarray(part.batch.column(0).cast(pa.int64()))[a["row"]]
+            late = settled_here(part, a, doc, length, bits)
+            if len(gone := np.flatnonzero(late)):
+                gone = gone[np.lexsort((a["start"][gone], a["row"][gone]))]
+                first, start, end = merged(a["row"][gone], a["start"][gone], a["start"][gone] + a["windows"][gone] - 1 + length)
+                own = doc[gone][first]
+                yield _rows_of([[1], [0], [b""], [b""], [start.astype("<i4").tobytes()], [end.astype("<i4").tobytes()], [own.astype("<i8").tobytes()], [b""]])
             keep = np.flatnonzero(~late)
             if not len(keep):
                 continue
-            bucket = (a["gram"][keep] >> np.uint64(48)).astype(np.int64) % buckets
-            keep = keep[np.lexsort((a["start"][keep], doc[keep], bucket))]
-            bucket = (a["gram"][keep] >> np.uint64(48)).astype(np.int64) % buckets
-            edges = np.append(runs(bucket), len(keep))
-            rows: list[list] = [[] for _ in range(8)]
+            name, which, n = np.unique(a["gram"][keep], return_inverse=True, return_counts=True)
+            hot = (n > hot_segments)[which]
+            bucket = mix(np.where(hot, a["gram"][keep] ^ a["segment"][keep], a["gram"][keep]) + np.uint64(1)) % np.uint64(buckets)
+            order = np.lexsort((a["start"][keep], doc[keep], bucket, hot))
+            keep, bucket, hot = keep[order], bucket[order].astype(np.int64), hot[order]
+            rows: list[list] = [[] for _ in _NAMES]
             grams, segments = _bytes(a["gram"][keep], 6), _bytes(a["segment"][keep], 5)
-            starts = a["start"][keep].astype("<i4")
-            shapes = np.stack([a["windows"][keep], a["offset"][keep]], 1).astype(np.uint8)
+            starts, shapes = a["start"][keep].astype("<i4"), np.stack([a["windows"][keep], a["offset"][keep]], 1).astype(np.uint8)
+            edges = np.append(np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1]))), len(keep))
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 own = doc[keep[s:e]]
                 firsts = runs(own)
                 counts = np.diff(np.append(firsts, len(own))).astype("<i4")
-                for r, v in zip(rows, (0, int(bucket[s]), grams[s:e].tobytes(), segments[s:e].tobytes(), starts[s:e].tobytes(), shapes[s:e].tobytes(), own[firsts].astype("<i8").tobytes(), counts.tobytes()), strict=True):
+                for r, v in zip(rows, (2 if hot[s] else 0, int(bucket[s]), grams[s:e].tobytes(), segments[s:e].tobytes(), starts[s:e].tobytes(), shapes[s:e].tobytes(), own[firsts].astype("<i8").tobytes(), counts.tobytes()), strict=True):
+                    r.append(v)
+            for g in name[n > hot_segments]:
+                for r, v in zip(rows, (3, int(mix(np.array([g]) + np.uint64(1))[0] % np.uint64(buckets)), _bytes(np.array([g]), 6).tobytes(), *[b""] * 5), strict=True):
                     r.append(v)
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["kind", "bucket", "grams", "segments", "starts", "shapes", "docs", "counts"])
+            yield _rows_of(rows)
 
     return scan
 
 
-def _settler(length: int):
-    """Packed anchors, sorted by bucket -> doc_id, start, windows, offset, gram; gram null: all windows go."""
-
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def settled_here(part, a: dict[str, np.ndarray], doc: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """Which anchors have the same segment in a smaller document of the slice: suffix sort of those with a common gram."""
+    late = np.zeros(len(doc), bool)
+    order = np.argsort(a["gram"], kind="stable")
+    first = runs(a["gram"][order])
+    if not len(first):
+        return late
+    size = np.diff(np.append(first, len(order)))
+    common = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+    order = order[np.repeat(common, size)]
+    if not len(order):
+        return late
+    shape = a["windows"] * 64 + a["offset"]
+    order = order[np.lexsort((shape[order], a["gram"][order]))]
+    new = np.append(True, (a["gram"][order][1:] != a["gram"][order][:-1]) | (shape[order][1:] != shape[order][:-1]))
+    at = part.start[a["row"][order]] + a["start"][order]
+    by, same = classes(part.data, prefix_hashes(part.data), at, np.cumsum(new), a["windows"][order] - 1 + length, bits)
+    order = order[by]
+    head = np.flatnonzero(~same)
+    least = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.append(head, len(order))))
+    late[order] = doc[order] > least
+    return late
+
+
+def _settler(length: int, split_rows: int):
+    """Packed anchors and ranges, sorted by bucket -> _SETTLED."""
+
+    def solve(rows: list[tuple], named: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """named: the hot grams of this bucket; None: all grams are hot."""
         gram = np.concatenate([_whole(r[0], 6) for r in rows])
         segment = np.concatenate([_whole(r[1], 5) for r in rows])
         start = np.concatenate([np.frombuffer(r[2], "<i4") for r in rows])
@@ -136,57 +195,75 @@ def _settler(length: int):
         size = np.diff(np.append(first, len(order)))
         ordered = doc[order]
         shared = np.minimum.reduceat(ordered, first) < np.maximum.reduceat(ordered, first)
+        shared |= True if named is None else np.isin(gram[order][first], named)
         order = order[np.repeat(shared, size)]
         if not len(order):
             return
-        order = order[np.lexsort((doc[order], segment[order], gram[order]))]
+        order = order[np.lexsort((start[order], doc[order], shape[order, 0], shape[order, 1], segment[order], gram[order]))]
         gram, segment, start, shape, doc = gram[order], segment[order], start[order], shape[order], doc[order]
         new_gram = np.append(True, gram[1:] != gram[:-1])
-        new_segment = new_gram | np.append(True, segment[1:] != segment[:-1])
+        new_segment = new_gram | np.append(True, (segment[1:] != segment[:-1]) | (shape[1:] != shape[:-1]).any(1))
         of_gram, of_segment = np.cumsum(new_gram) - 1, np.cumsum(new_segment) - 1
-        least = doc[new_segment][of_segment]
-        several = np.add.reduceat(new_segment.astype(np.int64), np.flatnonzero(new_gram))[of_gram] > 1
-        late = doc > least
-        out = late | several
-        grams = pa.array(gram[out].view(np.int64), mask=late[out])
-        for at in range(0, int(out.sum()), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out][part]), pa.array(start[out][part], pa.int32()), pa.array(shape[out][part, 0].astype(np.int32)), pa.array(shape[out][part, 1].astype(np.int32)), grams[part]], names=["doc_id", "start", "windows", "offset", "gram"])
+        rep_doc, rep_start = doc[new_segment][of_segment], start[new_segment][of_segment]
+        late = doc > rep_doc
+        open_ = np.add.reduceat((~late).astype(np.int64), np.flatnonzero(new_gram))[of_gram]
+        hot = np.ones(len(doc), bool) if named is None else np.isin(gram, named)
+        several = (np.add.reduceat(new_segment.astype(np.int64), np.flatnonzero(new_gram))[of_gram] > 1) | hot
+        split = np.where(hot | (open_ > split_rows), HOT_PARTS, 1)
+        out = np.flatnonzero(late | several)
+        for at in range(0, len(out), 50_000):
+            o = out[at : at + 50_000]
+            columns = [doc[o], start[o].astype(np.int32), shape[o, 0].astype(np.int32), shape[o, 1].astype(np.int32), gram[o].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(rep_doc[o], mask=~late[o]), pa.array(rep_start[o].astype(np.int32), mask=~late[o]), pa.array(split[o].astype(np.int32))], names=[x.split()[0] for x in _SETTLED.split(", ")])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held: dict[int, list[tuple]] = {0: [], 2: [], 3: []}
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held[0]:
+                yield from solve(held[0], np.unique(np.concatenate([_whole(r[0], 6) for r in held[3]])) if held[3] else np.zeros(0, np.uint64))
+            if held[2]:
+                yield from solve(held[2], None)
+            for rows in held.values():
+                rows.clear()
+
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("bucket", "grams", "segments", "starts", "shapes", "docs", "counts")]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in _NAMES]
             for i in range(batch.num_rows):
-                bucket = columns[0][i].as_py()
-                if bucket != now and held:
-                    yield from solve(held)
-                    held = []
+                kind, bucket, *values = (c[i].as_py() for c in columns)
+                if kind == 1:
+                    doc, start, end = (np.frombuffer(values[k], t) for k, t in ((4, "<i8"), (2, "<i4"), (3, "<i4")))
+                    none, n = pa.nulls(len(doc), pa.int64()), np.zeros(len(doc), np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array((end - start - length + 1).astype(np.int32)), pa.array(n), none, none, pa.nulls(len(doc), pa.int32()), pa.array(n)], names=[x.split()[0] for x in _SETTLED.split(", ")])
+                    continue
+                if bucket != now:
+                    yield from done()
                 now = bucket
-                held.append(tuple(c[i].as_py() for c in columns[1:]))
-        if held:
-            yield from solve(held)
+                held[kind].append(tuple(values))
+        yield from done()
 
     return settle
 
 
-def agree(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+def agree(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray, bits: int = 64) -> np.ndarray:
     """How many bytes, up to length, the suffixes at x and y have in common: binary search over prefix hashes."""
     _, down = powers(len(prefix))
-    low, high = np.zeros(len(x), np.int64), np.full(len(x), length)
+    low, high = np.zeros(len(x), np.int64), length.astype(np.int64)
     base_x, base_y, down_x, down_y = prefix[x], prefix[y], down[x], down[y]
-    for _ in range(int(length).bit_length()):
+    for _ in range(int(length.max()).bit_length() if len(x) else 0):
         middle = (low + high + 1) >> 1
-        same = (prefix[x + middle] - base_x) * down_x == (prefix[y + middle] - base_y) * down_y
+        same = _masked((prefix[x + middle] - base_x) * down_x, bits) == _masked((prefix[y + middle] - base_y) * down_y, bits)
         low = np.where(same, middle, low)
-        high = np.where(same, high, middle - 1)
+        high = np.where(same, high, np.maximum(middle - 1, 0))
     return low
 
 
-def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray, length: np.ndarray, bits: int = 64) -> np.ndarray:
     """Order of suffixes data[at:at + length] within each run of equal group: bottom-up mergesort of all runs at once.
 
-    Each suffix finds its place in the neighbouring run by binary search, so a merge is a few vector steps.
+    Each suffix finds its place in the neighbouring run by binary search, so a merge is a few vector steps. All
+    suffixes of a group have the same length.
     """
     order = np.arange(len(at))
     first = runs(group)
@@ -205,9 +282,9 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: n
         searching = np.flatnonzero(low < high)
         while len(searching):
             middle = (low[searching] + high[searching]) >> 1
-            x, y = at[order[middle]], mine[searching]
-            common = agree(prefix, x, y, length)
-            ends = common >= length
+            x, y, most = at[order[middle]], mine[searching], length[live[searching]]
+            common = agree(prefix, x, y, most, bits)
+            ends = common >= most
             before = np.where(ends, ~left[searching], data[np.minimum(x + common, len(data) - 1)] < data[np.minimum(y + common, len(data) - 1)])
             low[searching] = np.where(before, middle + 1, low[searching])
             high[searching] = np.where(before, high[searching], middle)
@@ -221,33 +298,67 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: n
     return order
 
 
-def _sorter(length: int, rows_at_once: int = 20_000):
-    """(gram, doc_id, start, windows, offset, piece), sorted by gram -> ranges that a smaller document also has."""
+def _compared(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray, at_once: int = 4_000_000) -> np.ndarray:
+    """-1, 0 or 1 as the bytes data[x:x + length] come before, are equal to or come after data[y:y + length]."""
+    out = np.zeros(len(x), np.int8)
+    total = np.append(0, np.cumsum(length))
+    low = 0
+    while low < len(x):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + at_once, "right")) - 1)
+        n = length[low:high]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        one, other = data[np.repeat(x[low:high], n) + step], data[np.repeat(y[low:high], n) + step]
+        apart = np.flatnonzero(one != other)
+        at = np.searchsorted(apart, first)
+        differs = np.flatnonzero((at < len(apart)) & (apart[np.minimum(at, len(apart) - 1)] < first + n)) if len(apart) else apart
+        place = apart[at[differs]]
+        out[low + differs] = np.where(one[place] < other[place], -1, 1)
+        low = high
+    return out
+
+
+def classes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray, length: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): suffixes sorted within their groups; same: it has the bytes of the one before it.
+
+    All neighbours are compared on their bytes. A group that a collision of hashes left out of order is sorted again.
+    """
+    order = sort_suffixes(data, prefix, at, group, length, bits)
+    same = np.zeros(len(at), bool)
+    c = np.flatnonzero(np.append(False, group[1:] == group[:-1])) if len(at) else np.zeros(0, np.int64)
+    sign = _compared(data, at[order[c - 1]], at[order[c]], length[c])
+    same[c] = sign == 0
+    lost = np.flatnonzero(np.bincount(order, minlength=len(at)) != 1)  # two places for one: the comparisons contradict each other
+    for g in np.unique(np.append(group[c[sign > 0]], group[lost])):
+        s, e = np.searchsorted(group, [g, g + 1])
+        text = {i: data[at[i] : at[i] + length[s]].tobytes() for i in range(s, e)}
+        order[s:e] = sorted(text, key=text.__getitem__)
+        same[s + 1 : e] = [text[i] == text[j] for i, j in zip(order[s : e - 1].tolist(), order[s + 1 : e].tolist(), strict=True)]
+    return order, same
+
+
+def _sorter(length: int, bits: int, rows_at_once: int = 20_000):
+    """Pieces sorted by gram and part -> ranges that a smaller document also has."""
+
+    def key(t: pa.Table) -> np.ndarray:
+        """True at the first row of each gram and part."""
+        gram, part = t["gram"].to_numpy(), t["part"].to_numpy()
+        return np.append(True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, doc, start, count, offset = (t[n].to_numpy() for n in ("gram", "doc_id", "start", "windows", "offset"))
+        doc, start, count, offset = (t[n].to_numpy() for n in ("doc_id", "start", "windows", "offset"))
         piece = t["piece"].combine_chunks().cast(pa.large_binary())
         bounds = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
         data = np.frombuffer(piece.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds - bounds[0]
-        prefix = prefix_hashes(data)
-        row = np.repeat(np.arange(len(gram)), count)
+        row = np.repeat(np.arange(len(doc)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         at = bounds[:-1][row] + step
-        relative = offset[row] - step
-        new_gram = np.cumsum(np.append(True, gram[1:] != gram[:-1]))[row]
-        group = new_gram * 64 + relative
+        group = np.cumsum(key(t))[row] * 64 + offset[row] - step
         by_group = np.argsort(group, kind="stable")
         group, at, row, step = group[by_group], at[by_group], row[by_group], step[by_group]
-        order = sort_suffixes(data, prefix, at, group, length)
-        at, row, step, group = at[order], row[order], step[order], group[order]
-        same = np.append(False, group[1:] == group[:-1])
-        candidates = np.flatnonzero(same)
-        candidates = candidates[agree(prefix, at[candidates - 1], at[candidates], length) >= length]
-        same[:] = False
-        for k in range(0, len(candidates), 100_000):  # equal hashes are verified on the bytes
-            c = candidates[k : k + 100_000]
-            same[c] = (data[at[c - 1][:, None] + np.arange(length)] == data[at[c][:, None] + np.arange(length)]).all(1)
+        order, same = classes(data, prefix_hashes(data), at, group, np.full(len(at), length), bits)
+        row, step = row[order], step[order]
         first = np.flatnonzero(~same)
         least = np.repeat(np.minimum.reduceat(doc[row], first), np.diff(np.append(first, len(row))))
         gone = np.flatnonzero(doc[row] > least)
@@ -255,23 +366,25 @@ def _sorter(length: int, rows_at_once: int = 20_000):
             return
         gone = gone[np.lexsort((step[gone], row[gone]))]
         r, s = row[gone], step[gone]
-        begins = np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1))
-        last = np.append(np.flatnonzero(begins)[1:], len(r)) - 1
-        r, s, e = r[begins], s[begins], s[last]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((start[r] + s).astype(np.int32)), pa.array((start[r] + e + length).astype(np.int32))], names=["doc_id", "start", "end"])
+        first, s, e = merged(r, s, s + length)
+        r = r[first]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((start[r] + s).astype(np.int32)), pa.array((start[r] + e).astype(np.int32))], names=["doc_id", "start", "end"])
 
     def dedup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size, limit = 0, rows_at_once
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.num_rows for b in held) >= rows_at_once:
+                size += batch.num_rows
+            if size >= limit:
                 t = pa.Table.from_batches(held)
-                gram = t["gram"].to_numpy()
-                cut = int(np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))[-1])
+                cut = int(np.flatnonzero(key(t))[-1])
                 if cut:
                     yield from solve(t.slice(0, cut))
-                    held = t.slice(cut).to_batches()
+                    held = [pa.concat_tables([t.slice(cut)]).combine_chunks().to_batches()[0]]
+                    size = t.num_rows - cut
+                limit = max(rows_at_once, 2 * size)
         if held:
             yield from solve(pa.Table.from_batches(held))
 
@@ -279,67 +392,119 @@ def _sorter(length: int, rows_at_once: int = 20_000):
 
 
 def _fetcher(length: int):
-    """(doc_id, text, starts, windows, offsets, grams) -> a row for each segment with its bytes."""
+    """(doc_id, text, x: its settled rows) -> _FETCHED."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _FETCHED.split(", "))])
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([(c if isinstance(c := columns[f.name], pa.Array) else pa.array(np.broadcast_to(c, n), f.type)) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def pieces(part, row, doc, start, windows, offset, gram, split) -> Iterator[pa.RecordBatch]:
+        size = windows + length - 1
+        where = np.append(0, np.cumsum(size))
+        octets = part.data[np.repeat(part.start[row] + start - where[:-1], size) + np.arange(where[-1])]
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(octets)])
+        if not split:
+            yield rows(len(row), kind=0, doc_id=doc, start=start, windows=windows, offset=offset, gram=gram, part=0, piece=whole)
+            return
+        # One row for each window, dealt by the hash of its bytes.
+        each = np.repeat(np.arange(len(row)), windows)
+        step = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = where[:-1][each] + step
+        own = (span_hashes(prefix_hashes(octets), at, at + length) % np.uint64(HOT_PARTS)).astype(np.int32)
+        octets = octets[at[:, None] + np.arange(length)].ravel()
+        single = pa.BinaryArray.from_buffers(pa.binary(), len(each), [None, pa.py_buffer((np.arange(len(each) + 1) * length).astype(np.int32)), pa.py_buffer(octets)])
+        yield rows(len(each), kind=0, doc_id=doc[each], start=(start[each] + step).astype(np.int32), windows=1, offset=(offset[each] - step).astype(np.int32), gram=gram[each], part=own, piece=single)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            lists = [part.batch.column(part.batch.schema.get_field_index(n)) for n in ("starts", "windows", "offsets", "grams")]
-            n = pa.compute.list_value_length(lists[0]).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts, windows, offsets, grams = (np.asarray(x.flatten()) for x in lists)
-            doc = np.asarray(part.batch.column(0))
+            lists = part.batch.column(part.batch.schema.get_field_index("x"))
+            n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            fields = lists.flatten().flatten()
+            start, windows, offset, split = (np.asarray(fields[i]).astype(np.int64) for i in (0, 1, 2, 6))
+            gram, rep_doc, rep_start = (np.asarray(fields[i].fill_null(0)) for i in (3, 4, 5))
+            settled, late = np.asarray(fields[3].is_null()), np.asarray(fields[4].is_valid())
             row = np.repeat(np.arange(len(part)), n)
-            a = part.start[row] + starts
-            size = windows + length - 1
-            where = np.append(0, np.cumsum(size))
-            octets = part.data[np.repeat(a - where[:-1], size) + np.arange(where[-1])]
-            pieces = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(octets)])
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(doc[row]), pa.array(starts, pa.int32()), pa.array(windows, pa.int32()), pa.array(offsets, pa.int32()), pieces], names=["gram", "doc_id", "start", "windows", "offset", "piece"])
+            doc = np.asarray(part.batch.column(0))[row]
+            end = start + windows - 1 + length
+            if len(i := np.flatnonzero(settled)):
+                i = i[np.lexsort((start[i], row[i]))]
+                # Ends may decrease here, as ranges may hold others.
+                first, s, e = merged(row[i], start[i], np.maximum.accumulate(end[i] + row[i] * (1 << 40)) - row[i] * (1 << 40))
+                yield rows(len(first), kind=2, doc_id=doc[i][first], start=s, end=e)
+            if len(i := np.flatnonzero(late)):
+                i = i[np.lexsort((start[i], start[i] - rep_start[i], rep_doc[i], row[i]))]
+                pair = np.cumsum(np.append(True, (rep_doc[i][1:] != rep_doc[i][:-1]) | ((start[i] - rep_start[i])[1:] != (start[i] - rep_start[i])[:-1])))
+                first, s, e = merged(row[i], start[i], end[i], pair)
+                i = i[first]
+                digest = [hashlib.sha256(part.data[a:b]).digest() for a, b in zip((part.start[row[i]] + s).tolist(), (part.start[row[i]] + e).tolist(), strict=True)]
+                yield rows(len(i), kind=1, doc_id=doc[i], start=s, end=e, rep_doc=rep_doc[i], rep_start=rep_start[i], digest=pa.array(digest, pa.binary()))
+            for hot in (False, True):
+                if len(i := np.flatnonzero(~settled & ~late & ((split > 1) == hot))):
+                    yield from pieces(part, row[i], doc[i], start[i], windows[i], offset[i], gram[i], hot)
 
     return fetch
 
 
-def removed_ranges(docs: DataFrame, texts: DataFrame, length: int = 50, gram: int = GRAM, bucket_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, start, end (bytes, end exclusive) of all removed strings; they overlap. texts: docs dealt by doc_id."""
+def _prover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, x: ranges asked of it) -> the questions whose digest is that of the document's bytes."""
+    for part in slices(batches):
+        lists = part.batch.column(part.batch.schema.get_field_index("x"))
+        n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        start, size, digest, asked = lists.flatten().flatten()
+        row = np.repeat(np.arange(len(part)), n)
+        at = part.start[row] + np.asarray(start)
+        good = pa.array([hashlib.sha256(part.data[a:b]).digest() == d for a, b, d in zip(at.tolist(), (at + np.asarray(size)).tolist(), digest.to_pylist(), strict=True)], pa.bool_())
+        own = pa.array(np.asarray(part.batch.column(0))[row])
+        yield pa.RecordBatch.from_arrays([c.filter(good) for c in (own, start, size, digest, asked)], names=["rep_doc", "rep_start", "size", "digest", "asked"])
+
+
+def removed_ranges(docs: DataFrame, texts: DataFrame, length: int = 50, gram: int = GRAM, bucket_bytes: int = 16_000_000, hot_segments: int = 32, split_rows: int = 2000, hash_bits: int = 64) -> DataFrame:
+    """doc_id, start, end (bytes, end exclusive) of all removed strings; they overlap. texts: docs dealt by doc_id.
+
+    hash_bits shortens all hashes, so that tests meet collisions.
+    """
     known = docs.where("doc_id IS NOT NULL AND octet_length(text) >= " + str(length)).select("doc_id", "text")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(1 << 16, -(-size // bucket_bytes)))
-    packed = known.mapInArrow(_scanner(buckets, length, gram), _PACKED)
-    # One exchange carries both kinds: settled ranges keep their task, packed anchors go to their bucket.
-    dealt = packed.repartition(max(parts, buckets), F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.xxhash64("docs")))
-    dealt = dealt.sortWithinPartitions("kind", "bucket")
-    settled = stored(dealt.mapInArrow(_first_settled(length), "doc_id long, start int, windows int, offset int, gram long"))
-    whole = settled.where("gram IS NULL").select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
-    entry = F.collect_list(F.struct("start", "windows", "offset", "gram")).alias("x")
-    open_ = settled.where("gram IS NOT NULL").groupBy("doc_id").agg(entry)
-    open_ = open_.select("doc_id", F.col("x.start").alias("starts"), F.col("x.windows").alias("windows"), F.col("x.offset").alias("offsets"), F.col("x.gram").alias("grams"))
-    once = texts.where("text IS NOT NULL AND doc_id IS NOT NULL").join(open_, "doc_id").select("doc_id", "text", "starts", "windows", "offsets", "grams")
-    pieces = once.mapInArrow(_fetcher(length), "gram long, doc_id long, start int, windows int, offset int, piece binary")
-    partial = pieces.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sorter(length), _RANGES)
-    return whole.union(partial)
-
-
-def _first_settled(length: int):
-    settle = _settler(length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges: list[pa.RecordBatch] = []
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds = batch.column(0).to_numpy()
-                for i in np.flatnonzero(kinds == 1):
-                    doc, start, end = (np.frombuffer(batch.column(c)[int(i)].as_py(), k) for c, k in ((6, "<i8"), (4, "<i4"), (5, "<i4")))
-                    ranges.append(pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end - start - length + 1), pa.array(np.zeros(len(doc), np.int32)), pa.nulls(len(doc), pa.int64())], names=["doc_id", "start", "windows", "offset", "gram"]))
-                yield batch.filter(pa.array(kinds == 0))
-
-        for out in settle(packed()):
-            while ranges:
-                yield ranges.pop()
-            yield out
-        yield from ranges
-
-    return run
+    buckets = max(1, -(-size // bucket_bytes))
+    packed = known.mapInArrow(_scanner(buckets, length, gram, hot_segments, hash_bits), _PACKED)
+    # One exchange carries all kinds: settled ranges go anywhere, packed anchors to their bucket.
+    dealt = packed.repartition(max(parts, buckets), F.when(F.col("kind") != 1, F.col("bucket")).otherwise(F.xxhash64("docs"))).sortWithinPartitions("bucket", "kind")
+    settled = stored(dealt.mapInArrow(_settler(length, split_rows), _SETTLED))
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        entry = F.struct("start", "windows", "offset", "gram", "rep_doc", "rep_start", "split")
+        own = rows.groupBy("doc_id").agg(F.collect_list(entry).alias("x"))
+        return texts.where("text IS NOT NULL AND doc_id IS NOT NULL").join(own, "doc_id").select("doc_id", "text", "x").mapInArrow(_fetcher(length), _FETCHED)
+
+    def sorted_(pieces: DataFrame) -> DataFrame:
+        in_order = pieces.where("kind = 0").repartition(parts, "gram", "part").sortWithinPartitions("gram", "part")
+        return in_order.select("gram", "part", "doc_id", "start", "windows", "offset", "piece").mapInArrow(_sorter(length, hash_bits), _RANGES)
+
+    rows = stored(fetched(settled))
+    # Copies ask the same of their representative, so each question is put once.
+    claims = rows.where("kind = 1").withColumn("question", F.struct("rep_doc", "rep_start", (F.col("end") - F.col("start")).alias("size"), "digest"))
+    questions = claims.groupBy("question").agg(F.count("*").alias("asked")).select("question.*", "asked")
+    by_rep = questions.groupBy(F.col("rep_doc").alias("doc_id")).agg(F.collect_list(F.struct("rep_start", "size", "digest", "asked")).alias("x"))
+    proven = texts.where("text IS NOT NULL AND doc_id IS NOT NULL").join(by_rep, "doc_id").select("doc_id", "text", "x").mapInArrow(_prover, "rep_doc long, rep_start int, size int, digest binary, asked long")
+    proven = proven.groupBy(F.struct("rep_doc", "rep_start", "size", "digest").alias("question")).agg(F.max("asked").alias("asked"))
+    judged = stored(salted_join(claims, proven.withColumn("good", F.lit(True)), "question", F.col("doc_id"), "asked").select("doc_id", "start", "end", "rep_doc", F.coalesce("good", F.lit(False)).alias("good")))
+    ranges = [rows.where("kind = 2").select("doc_id", "start", "end"), judged.where("good").select("doc_id", "start", "end"), sorted_(rows)]
+    bad = judged.where("NOT good")
+    if bad.limit(1).count():
+        # After a collision all segments of the grams of these ranges are compared window by window.
+        late = settled.where("rep_doc IS NOT NULL")
+        inside = (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e"))
+        wrong = late.join(bad.select("doc_id", "rep_doc", F.col("start").alias("_s"), F.col("end").alias("_e")), ["doc_id", "rep_doc"]).where(inside).select("gram").distinct()
+        again = settled.where("gram IS NOT NULL").join(wrong, "gram", "left_semi")
+        whole = ["windows", "offset", "gram", F.lit(None).cast("long").alias("rep_doc"), F.lit(None).cast("int").alias("rep_start"), "split"]
+        again = again.select("doc_id", "start", *whole).union(again.where("rep_doc IS NOT NULL").select("rep_doc", "rep_start", *whole)).distinct()
+        ranges.append(sorted_(fetched(again)))
+    out = ranges[0]
+    for more in ranges[1:]:
+        out = out.union(more)
+    return out
 
 
 def _remover(texts_out: bool):

@@ -6,8 +6,8 @@ Each task streams its rows into one gzip-compressed WARC 1.1 file (a gzip member
 its own and renames it when it is whole; only files that the manifest table lists count, so a repeated or lost task
 leaves no half archive behind. Reading streams the listed files back into the same chunk rows.
 
-Records with equal payloads of at least ``revisit_bytes``: that with the largest id is the response, the others are
-revisit records that refer to it. The archive folder may be in any store that pyarrow's file systems or a mounted
+Each file begins with a warcinfo record. Records with equal payloads (of equal SHA-1) of at least ``revisit_bytes``:
+that with the largest id is the response, the others are revisit records that refer to it. The archive folder may be in any store that pyarrow's file systems or a mounted
 path reach.
 
 Defined cases: a null or empty payload is a response with no bytes; a null url is written as an empty target; ids
@@ -32,14 +32,16 @@ from .shared import salted_join, shared_folder, small_batches
 CHUNK = 1 << 20
 CHUNK_SCHEMA = "page_id long, record_type string, refers_to long, chunk long, data binary, running_sha1 string, last boolean, payload_bytes long"
 _MARK = b"WARC/1.1\r\n"
+#: Fixed value: the profile of revisits that are told by their payload's digest.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan_records(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to. The payload is shuffled once, by digest and salt."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = salted_join(rows, groups, "digest", F.col("page_id"))
+    groups = rows.where(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    joined = salted_join(rows, groups, "digest", F.col("page_id"), "_n")
     revisit = F.col("_first").isNotNull() & (F.col("_first") != F.col("page_id"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
@@ -58,11 +60,19 @@ def _header(page_id, url, kind: str, refers_to, digest: str, size: int) -> bytes
         f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Length: {size}", f"Content-Length: {0 if kind == 'revisit' else size}",
     ]
-    if refers_to is not None:
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+    if kind == "revisit":
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     return _MARK + ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
+def _about(level: int) -> bytes:
+    """The warcinfo record that begins a file, as a gzip member of its own."""
+    body = b"format: WARC File Format 1.1\r\n"
+    lines = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(_MARK + ("\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n") + packer.flush()
+
+
 def _writer(folder: str, level: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, records, store = None, "", 0, None
@@ -75,6 +85,7 @@ def _writer(folder: str, level: int):
                     store.create_dir(base)
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(path + ".part")
+                    out.write(_about(level))
                 kind = c["record_type"][i].as_py()
                 if c["chunk"][i].as_py() == 0:
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -100,7 +111,7 @@ def _writer(folder: str, level: int):
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, chunk: int = CHUNK, level: int = 1) -> DataFrame:
     """Write pages as archives into folder and return the manifest: name of each file and its number of records."""
-    small_batches(pages.sparkSession, 64)
+    small_batches(pages.sparkSession)
     rows = chunk_rows(plan_records(pages, revisit_bytes), chunk)
     manifest = rows.mapInArrow(_writer(f"{folder}/archives", level), "name string, records long")
     manifest.write.parquet(f"{folder}/manifest")
@@ -143,6 +154,12 @@ def _records(source, chunk: int) -> Iterator[tuple]:
         if lines[0] != "WARC/1.1":
             raise ValueError(f"no record starts with {lines[0][:40]!r}")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        if fields["WARC-Type"] == "warcinfo":
+            size = int(fields["Content-Length"]) + 4
+            if not fill(size):
+                raise ValueError("a record is cut off")
+            del kept[:size]
+            continue
         left, total, at, running = int(fields["Content-Length"]), int(fields["WARC-Payload-Length"]), 0, hashlib.sha1()
         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
         head = (number(fields["WARC-Record-ID"]), fields["WARC-Type"], number(fields.get("WARC-Refers-To")))

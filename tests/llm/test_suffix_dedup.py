@@ -62,3 +62,35 @@ def test_null_id_empty_table_and_extra_columns(spark):
     assert deduplicate(docs.limit(0)).count() == 0
     kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in deduplicate(docs, texts_out=True).collect()}
     assert kept == {None: text, 1: text, 2: ""}
+
+
+@pytest.mark.parametrize("options", [{"hash_bits": 8}, {"hash_bits": 5, "bucket_bytes": 2000}, {"hot_segments": 1, "bucket_bytes": 3000}, {"split_rows": 1}, {"hash_bits": 6, "hot_segments": 2, "split_rows": 1}])
+def test_collisions_and_hot_grams_change_nothing(spark, options):
+    rows = corpus(3)
+    # Documents without a common slice: their segments meet in buckets only.
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert {tuple(r) for r in deduplicate(docs, **options).collect()} == brute(rows)
+
+
+def test_a_gram_in_many_different_surroundings(spark):
+    rng = random.Random(9)
+    core = "a passage that stands everywhere and has seventy bytes or a few more of them"
+    rows = [(d, "".join(rng.choice("abcdefgh") for _ in range(60)) + core + "".join(rng.choice("abcdefgh") for _ in range(60))) for d in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for options in ({}, {"hot_segments": 4}, {"split_rows": 10}):
+        got = {tuple(r) for r in deduplicate(docs, **options).collect()}
+        assert got == brute(rows) and sum(r[2] for r in got) >= 149 * len(core)
+
+
+def test_sorting_puts_order_right_after_collisions():
+    import numpy as np
+
+    from lumenscreen.llm.suffix_dedup import classes
+    from lumenscreen.llm.text import prefix_hashes
+
+    data = np.frombuffer(bytes(random.Random(4).choice(b"ab") for _ in range(400)), np.uint8)
+    at = np.arange(0, 360)
+    for bits in (64, 2, 0):
+        order, same = classes(data, prefix_hashes(data), at, np.zeros(360, np.int64), np.full(360, 9), bits)
+        texts = [data[a : a + 9].tobytes() for a in at[order]]
+        assert texts == sorted(texts) and same.tolist() == [False, *[x == y for x, y in zip(texts, texts[1:])]]
