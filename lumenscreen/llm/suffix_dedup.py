@@ -19,8 +19,10 @@ A byte of a document goes when a string of 50 bytes that covers it also starts i
 6. Removed ranges meet their document, and the remaining bytes are hashed or returned.
 
 Hot grams: if a slice has more than ``hot_segments`` different segments of a gram, they are dealt over all buckets by
-their own hash, and all segments of the gram are open in step 5, where single windows are dealt by the hash of their
-bytes. The same holds, there, for a gram with many open segments. So no task gets all of a gram.
+their own hash, and all segments of the gram are open in step 5. There their windows are dealt by the hash of the 44
+bytes that windows with the gram at about the same place have in common; so are those of a gram with over
+``split_rows`` open segments. Grams with over a thousandth of all open segments, too, have their windows dealt one by
+one, by the hash of all their bytes. So no task gets all segments of a gram.
 
 Defined cases: a null or empty text has no bytes; a text below 50 bytes is left alone; a null doc_id neither removes
 nor loses anything; rows that repeat a doc_id must repeat its text, and don't count as smaller than each other; an
@@ -46,10 +48,10 @@ _PACKED = "kind int, bucket long, grams binary, segments binary, starts binary,
 _NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 #: gram null: a settled range; rep_doc not null: all windows go if the representative's bytes are equal; else open.
 _SETTLED = "doc_id long, start int, windows int, offset int, gram long, rep_doc long, rep_start int, split int"
-#: kind 0: bytes of an open segment or, of a split gram, of a window; 1: a range to verify; 2: a settled range.
+#: kind 0: bytes of an open segment or a part of one; 1: a range to verify; 2: a settled range.
 _FETCHED = "kind int, doc_id long, start int, end int, windows int, offset int, gram long, part int, piece binary, rep_doc long, rep_start int, digest binary"
 _RANGES = "doc_id long, start int, end int"
-HOT_PARTS = 256
+HOT_PARTS, CUTS = 256, 4
 
 
 def _masked(x: np.ndarray, bits: int) -> np.ndarray:
@@ -117,14 +119,14 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray, same: np.ndarray
     return first, start[first], end[last]
 
 
-def _scanner(buckets: int, length: int, gram: int, hot_segments: int, bits: int):
+def _scanner(buckets: int, length: int, gram: int, hot_segments: int, bits: int, thorough: bool):
     """(doc_id, text) -> packed anchors by bucket, and ranges settled within the slice."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2_000_000):
             a = anchors(part.data, part.start, part.end, length, gram, bits)
             doc = np.asarray(part.batch.column(0).cast(pa.int64()))[a["row"]]
-            late = settled_here(part, a, doc, length, bits)
+            late = settled_here(part, a, doc, length, bits, thorough)
             if len(gone := np.flatnonzero(late)):
                 gone = gone[np.lexsort((a["start"][gone], a["row"][gone]))]
                 first, start, end = merged(a["row"][gone], a["start"][gone], a["start"][gone] + a["windows"][gone] - 1 + length)
@@ -156,7 +158,7 @@ def _scanner(buckets: int, length: int, gram: int, hot_segments: int, bits: int)
     return scan
 
 
-def settled_here(part, a: dict[str, np.ndarray], doc: np.ndarray, length: int, bits: int) -> np.ndarray:
+def settled_here(part, a: dict[str, np.ndarray], doc: np.ndarray, length: int, bits: int, thorough: bool = False) -> np.ndarray:
     """Which anchors have the same segment in a smaller document of the slice: suffix sort of those with a common gram."""
     late = np.zeros(len(doc), bool)
     order = np.argsort(a["gram"], kind="stable")
@@ -172,7 +174,7 @@ def settled_here(part, a: dict[str, np.ndarray], doc: np.ndarray, length: int, b
     order = order[np.lexsort((shape[order], a["gram"][order]))]
     new = np.append(True, (a["gram"][order][1:] != a["gram"][order][:-1]) | (shape[order][1:] != shape[order][:-1]))
     at = part.start[a["row"][order]] + a["start"][order]
-    by, same = classes(part.data, prefix_hashes(part.data), at, np.cumsum(new), a["windows"][order] - 1 + length, bits)
+    by, same = classes(part.data, prefix_hashes(part.data), at, np.cumsum(new), a["windows"][order] - 1 + length, bits, thorough)
     order = order[by]
     head = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.append(head, len(order))))
@@ -209,7 +211,7 @@ def _settler(length: int, split_rows: int):
         open_ = np.add.reduceat((~late).astype(np.int64), np.flatnonzero(new_gram))[of_gram]
         hot = np.ones(len(doc), bool) if named is None else np.isin(gram, named)
         several = (np.add.reduceat(new_segment.astype(np.int64), np.flatnonzero(new_gram))[of_gram] > 1) | hot
-        split = np.where(hot | (open_ > split_rows), HOT_PARTS, 1)
+        split = np.where(hot | (open_ > split_rows), CUTS, 1)
         out = np.flatnonzero(late | several)
         for at in range(0, len(out), 50_000):
             o = out[at : at + 50_000]
@@ -318,18 +320,22 @@ def _compared(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray
     return out
 
 
-def classes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray, length: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def classes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray, length: np.ndarray, bits: int = 64, thorough: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): suffixes sorted within their groups; same: it has the bytes of the one before it.
 
-    All neighbours are compared on their bytes. A group that a collision of hashes left out of order is sorted again.
+    Neighbours whose hashes agree over their length, or all of them if ``thorough``, are compared on their bytes. A
+    group that a collision left out of order is sorted again by its bytes. Without ``thorough`` a false agreement
+    within a comparison (odds of one in 2**64 for each) could hide an equal suffix, but never make one.
     """
     order = sort_suffixes(data, prefix, at, group, length, bits)
     same = np.zeros(len(at), bool)
     c = np.flatnonzero(np.append(False, group[1:] == group[:-1])) if len(at) else np.zeros(0, np.int64)
+    if not thorough:
+        c = c[agree(prefix, at[order[c - 1]], at[order[c]], length[c], bits) >= length[c]]
     sign = _compared(data, at[order[c - 1]], at[order[c]], length[c])
     same[c] = sign == 0
     lost = np.flatnonzero(np.bincount(order, minlength=len(at)) != 1)  # two places for one: the comparisons contradict each other
-    for g in np.unique(np.append(group[c[sign > 0]], group[lost])):
+    for g in np.unique(np.append(group[c[sign != 0] if not thorough else c[sign > 0]], group[lost])):
         s, e = np.searchsorted(group, [g, g + 1])
         text = {i: data[at[i] : at[i] + length[s]].tobytes() for i in range(s, e)}
         order[s:e] = sorted(text, key=text.__getitem__)
@@ -337,7 +343,7 @@ def classes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndar
     return order, same
 
 
-def _sorter(length: int, bits: int, rows_at_once: int = 20_000):
+def _sorter(length: int, bits: int, thorough: bool, rows_at_once: int = 20_000):
     """Pieces sorted by gram and part -> ranges that a smaller document also has."""
 
     def key(t: pa.Table) -> np.ndarray:
@@ -357,7 +363,7 @@ def _sorter(length: int, bits: int, rows_at_once: int = 20_000):
         group = np.cumsum(key(t))[row] * 64 + offset[row] - step
         by_group = np.argsort(group, kind="stable")
         group, at, row, step = group[by_group], at[by_group], row[by_group], step[by_group]
-        order, same = classes(data, prefix_hashes(data), at, group, np.full(len(at), length), bits)
+        order, same = classes(data, prefix_hashes(data), at, group, np.full(len(at), length), bits, thorough)
         row, step = row[order], step[order]
         first = np.flatnonzero(~same)
         least = np.repeat(np.minimum.reduceat(doc[row], first), np.diff(np.append(first, len(row))))
@@ -391,30 +397,31 @@ def _sorter(length: int, bits: int, rows_at_once: int = 20_000):
     return dedup
 
 
-def _fetcher(length: int):
-    """(doc_id, text, x: its settled rows) -> _FETCHED."""
+def _fetcher(length: int, width: int):
+    """(doc_id, text, x: its settled rows) -> _FETCHED. Segments with a split over 1 are cut into so many at most."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _FETCHED.split(", "))])
 
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([(c if isinstance(c := columns[f.name], pa.Array) else pa.array(np.broadcast_to(c, n), f.type)) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def pieces(part, row, doc, start, windows, offset, gram, split) -> Iterator[pa.RecordBatch]:
+    def pieces(part, row, doc, start, windows, offset, gram, own) -> pa.RecordBatch:
         size = windows + length - 1
         where = np.append(0, np.cumsum(size))
         octets = part.data[np.repeat(part.start[row] + start - where[:-1], size) + np.arange(where[-1])]
         whole = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(octets)])
-        if not split:
-            yield rows(len(row), kind=0, doc_id=doc, start=start, windows=windows, offset=offset, gram=gram, part=0, piece=whole)
-            return
-        # One row for each window, dealt by the hash of its bytes.
-        each = np.repeat(np.arange(len(row)), windows)
-        step = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = where[:-1][each] + step
-        own = (span_hashes(prefix_hashes(octets), at, at + length) % np.uint64(HOT_PARTS)).astype(np.int32)
-        octets = octets[at[:, None] + np.arange(length)].ravel()
-        single = pa.BinaryArray.from_buffers(pa.binary(), len(each), [None, pa.py_buffer((np.arange(len(each) + 1) * length).astype(np.int32)), pa.py_buffer(octets)])
-        yield rows(len(each), kind=0, doc_id=doc[each], start=(start[each] + step).astype(np.int32), windows=1, offset=(offset[each] - step).astype(np.int32), gram=gram[each], part=own, piece=single)
+        return rows(len(row), kind=0, doc_id=doc, start=start.astype(np.int32), windows=windows.astype(np.int32), offset=offset.astype(np.int32), gram=gram, part=own, piece=whole)
+
+    def split_pieces(part, step, row, doc, start, windows, offset, gram) -> Iterator[pa.RecordBatch]:
+        """Windows whose gram stands at about the same place in them have most bytes in common; these bytes deal them."""
+        prefix = prefix_hashes(part.data)
+        for least in range(0, length - width + 1, step):
+            high, low = np.minimum(offset, least + step - 1), np.maximum(offset - windows + 1, least)
+            some = np.flatnonzero(high >= low)
+            if len(some):
+                at = part.start[row[some]] + start[some] + offset[some] - least
+                own = (span_hashes(prefix, at, at + length - step + 1) % np.uint64(HOT_PARTS)).astype(np.int32)
+                yield pieces(part, row[some], doc[some], (start + offset - high)[some], (high - low + 1)[some], high[some], gram[some], own)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -439,9 +446,11 @@ def _fetcher(length: int):
                 i = i[first]
                 digest = [hashlib.sha256(part.data[a:b]).digest() for a, b in zip((part.start[row[i]] + s).tolist(), (part.start[row[i]] + e).tolist(), strict=True)]
                 yield rows(len(i), kind=1, doc_id=doc[i], start=s, end=e, rep_doc=rep_doc[i], rep_start=rep_start[i], digest=pa.array(digest, pa.binary()))
-            for hot in (False, True):
-                if len(i := np.flatnonzero(~settled & ~late & ((split > 1) == hot))):
-                    yield from pieces(part, row[i], doc[i], start[i], windows[i], offset[i], gram[i], hot)
+            if len(i := np.flatnonzero(~settled & ~late & (split == 1))):
+                yield pieces(part, row[i], doc[i], start[i], windows[i], offset[i], gram[i], 0)
+            for cuts in np.unique(split[split > 1]):
+                if len(i := np.flatnonzero(~settled & ~late & (split == cuts))):
+                    yield from split_pieces(part, -(-(length - width + 1) // int(cuts)), row[i], doc[i], start[i], windows[i], offset[i], gram[i])
 
     return fetch
 
@@ -459,28 +468,34 @@ def _prover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(good) for c in (own, start, size, digest, asked)], names=["rep_doc", "rep_start", "size", "digest", "asked"])
 
 
-def removed_ranges(docs: DataFrame, texts: DataFrame, length: int = 50, gram: int = GRAM, bucket_bytes: int = 16_000_000, hot_segments: int = 32, split_rows: int = 2000, hash_bits: int = 64) -> DataFrame:
+def removed_ranges(docs: DataFrame, texts: DataFrame, length: int = 50, gram: int = GRAM, bucket_bytes: int = 16_000_000, hot_segments: int = 64, split_rows: int = 4000, hash_bits: int = 64, verify_order: bool = False) -> DataFrame:
     """doc_id, start, end (bytes, end exclusive) of all removed strings; they overlap. texts: docs dealt by doc_id.
 
-    hash_bits shortens all hashes, so that tests meet collisions.
+    hash_bits shortens all hashes, so that tests meet collisions; verify_order compares all sorted neighbours on bytes.
     """
     known = docs.where("doc_id IS NOT NULL AND octet_length(text) >= " + str(length)).select("doc_id", "text")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-size // bucket_bytes))
-    packed = known.mapInArrow(_scanner(buckets, length, gram, hot_segments, hash_bits), _PACKED)
+    packed = known.mapInArrow(_scanner(buckets, length, gram, hot_segments, hash_bits, verify_order), _PACKED)
     # One exchange carries all kinds: settled ranges go anywhere, packed anchors to their bucket.
     dealt = packed.repartition(max(parts, buckets), F.when(F.col("kind") != 1, F.col("bucket")).otherwise(F.xxhash64("docs"))).sortWithinPartitions("bucket", "kind")
     settled = stored(dealt.mapInArrow(_settler(length, split_rows), _SETTLED))
 
+    # At most a thousand grams have over a thousandth of the open segments.
+    open_rows = settled.where("gram IS NOT NULL AND rep_doc IS NULL")
+    most = max(split_rows, open_rows.count() // 1000)
+    hottest = open_rows.where("split > 1").groupBy("gram").count().where(F.col("count") > most).select("gram", F.lit(True).alias("_hottest"))
+    settled = settled.join(F.broadcast(hottest), "gram", "left").withColumn("split", F.when(F.col("_hottest"), length - gram + 1).otherwise(F.col("split"))).drop("_hottest")
+
     def fetched(rows: DataFrame) -> DataFrame:
         entry = F.struct("start", "windows", "offset", "gram", "rep_doc", "rep_start", "split")
         own = rows.groupBy("doc_id").agg(F.collect_list(entry).alias("x"))
-        return texts.where("text IS NOT NULL AND doc_id IS NOT NULL").join(own, "doc_id").select("doc_id", "text", "x").mapInArrow(_fetcher(length), _FETCHED)
+        return texts.where("text IS NOT NULL AND doc_id IS NOT NULL").join(own, "doc_id").select("doc_id", "text", "x").mapInArrow(_fetcher(length, gram), _FETCHED)
 
     def sorted_(pieces: DataFrame) -> DataFrame:
         in_order = pieces.where("kind = 0").repartition(parts, "gram", "part").sortWithinPartitions("gram", "part")
-        return in_order.select("gram", "part", "doc_id", "start", "windows", "offset", "piece").mapInArrow(_sorter(length, hash_bits), _RANGES)
+        return in_order.select("gram", "part", "doc_id", "start", "windows", "offset", "piece").mapInArrow(_sorter(length, hash_bits, verify_order), _RANGES)
 
     rows = stored(fetched(settled))
     # Copies ask the same of their representative, so each question is put once.

@@ -64,7 +64,7 @@ def test_null_id_empty_table_and_extra_columns(spark):
     assert kept == {None: text, 1: text, 2: ""}
 
 
-@pytest.mark.parametrize("options", [{"hash_bits": 8}, {"hash_bits": 5, "bucket_bytes": 2000}, {"hot_segments": 1, "bucket_bytes": 3000}, {"split_rows": 1}, {"hash_bits": 6, "hot_segments": 2, "split_rows": 1}])
+@pytest.mark.parametrize("options", [{"hash_bits": 8, "verify_order": True}, {"hash_bits": 5, "bucket_bytes": 2000, "verify_order": True}, {"hot_segments": 1, "bucket_bytes": 3000}, {"split_rows": 1}, {"hash_bits": 6, "hot_segments": 2, "split_rows": 1, "verify_order": True}])
 def test_collisions_and_hot_grams_change_nothing(spark, options):
     rows = corpus(3)
     # Documents without a common slice: their segments meet in buckets only.
@@ -91,6 +91,6 @@ def test_sorting_puts_order_right_after_collisions():
     data = np.frombuffer(bytes(random.Random(4).choice(b"ab") for _ in range(400)), np.uint8)
     at = np.arange(0, 360)
     for bits in (64, 2, 0):
-        order, same = classes(data, prefix_hashes(data), at, np.zeros(360, np.int64), np.full(360, 9), bits)
+        order, same = classes(data, prefix_hashes(data), at, np.zeros(360, np.int64), np.full(360, 9), bits, bits < 64)
         texts = [data[a : a + 9].tobytes() for a in at[order]]
         assert texts == sorted(texts) and same.tolist() == [False, *[x == y for x, y in zip(texts, texts[1:])]]
