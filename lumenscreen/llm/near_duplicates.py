@@ -1,7 +1,7 @@
 """MinHash near-duplicates with odd sketches (operator 10).
 
-1. A scan gives each document its number of shingles, a hash of its word sequence and band keys of MinHash samples.
-   Documents with equal sequences are copies; only the first of them goes on.
+1. A scan gives each document its number of shingles, the SHA-256 of its word sequence and band keys of MinHash
+   samples. Documents with equal sequences, whose sets are equal then, are copies; only the first of them goes on.
 2. Documents that share a band key form a bucket. Every member is compared with the smallest one of its bucket.
 3. Buckets whose members are still in several components are compared in full, block by block, inside tasks that
    hold two blocks of sketches and sets; only links leave them.
@@ -12,6 +12,9 @@
 With 20 bands of 4 rows a pair at a similarity of 0.85 misses all buckets once in two million, at 0.8 once in
 30,000; the sketch test is five standard deviations wide at the threshold.
 
+Batches are bounded in bytes, and a longer text is handled whole by itself. A bucket whose members stay in several
+components is compared block by block, which is quadratic in its size.
+
 Defined cases: a null, empty or wordless text has no shingles, links with nothing and is kept; a text with fewer words
 than a shingle is one shingle; a null doc_id links with nothing, has a null component and is kept; rows that repeat a
 doc_id share a result, that of the row with more shingles; extra columns are ignored or, in ``drop_near_duplicates``,
@@ -126,11 +129,11 @@ def _cross_links(limit: int, percent: int):
 
 def _with_both(pairs: DataFrame, per_doc: DataFrame, column: str, chunk: int = 256) -> DataFrame:
     """a, b, the column of a, the column of b. A document in many pairs is repeated once for each chunk of them."""
-    out = pairs
+    out, total = pairs, pairs.count()
     for side in ("a", "b"):
         n = pairs.groupBy(side).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
-        salts = n.where("_n > 1")
-        out = salted_join(out, salts, side, F.col("b" if side == "a" else "a")).withColumn("_n", F.coalesce("_n", F.lit(1)))
+        salts = n.where("_n > 1").withColumn("_rows", F.col("_n") * chunk)
+        out = salted_join(out, salts, side, F.col("b" if side == "a" else "a"), "_rows", total).withColumn("_n", F.coalesce("_n", F.lit(1)))
         out = out.withColumn("_s", F.pmod(F.xxhash64("a", "b"), F.col("_n")).cast("int")).drop("_n")
         values = per_doc.select(F.col("doc_id").alias(side), F.col(column).alias(f"{column}_{side}")).join(n, side)
         values = values.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
@@ -144,14 +147,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     small_batches(spark)
     texts = docs.select("doc_id", "text")
     signed = stored(texts.mapInArrow(signer(inside, words, bands, rows), SIGNATURE))
-    usable = signed.where("doc_id IS NOT NULL AND bands IS NOT NULL").withColumn("sequence", F.struct("sequence_1", "sequence_2", "n_shingles"))
-    copies = usable.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    classes = stored(salted_join(usable, copies, "sequence", F.col("doc_id")).select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands"))
+    usable = signed.where("doc_id IS NOT NULL AND bands IS NOT NULL").withColumn("sequence", F.col("digest"))
+    copies = usable.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1")
+    classes = stored(salted_join(usable, copies, "sequence", F.col("doc_id"), "_n").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands"))
 
     banded = classes.where("doc_id = rep").select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.struct("band", "key"))
     buckets = banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last"), F.count("*").alias("size")).where("pivot < _last").drop("_last")
-    # A hot bucket's row is repeated for every salt; of the other side only rows of shared buckets stay.
-    members = stored(salted_join(banded, buckets, "bucket", F.col("doc"), salts=8).where("pivot IS NOT NULL").select("doc", "band", "key", "pivot", "size"))
+    # Only rows of shared buckets stay.
+    members = stored(salted_join(banded, buckets.withColumn("_rows", F.col("size")), "bucket", F.col("doc"), "_rows", bands * usable.count()).where("pivot IS NOT NULL").select("doc", "band", "key", "pivot", "size"))
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(setter(inside, words, samples), "doc_id long, shingles binary, sketch binary")
     keys = classes.groupBy("doc_id").agg(F.first("bands").alias("bands"))
@@ -169,7 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     roots = components(links)
 
     # Buckets that still hold several components: their other pairs.
-    placed = salted_join(members, roots.select(F.col("node").alias("doc"), "root"), "doc", F.col("key"), salts=2).withColumn("comp", F.coalesce("root", "doc")).drop("root")
+    placed = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max("size").alias("_size")).where("_x < _y AND _size > 2")
     open_ = placed.join(mixed.select("band", "key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
@@ -182,7 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     if more.limit(1).count():
         roots = components(links.union(more))
 
-    found = salted_join(classes.select("doc_id", "rep"), roots.withColumnRenamed("node", "rep"), "rep", F.col("doc_id"))
+    of_rep = classes.groupBy("rep").agg(F.count("*").alias("_n")).join(roots.withColumnRenamed("node", "rep"), "rep")
+    found = salted_join(classes.select("doc_id", "rep"), of_rep, "rep", F.col("doc_id"), "_n")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).where("doc_id IS NOT NULL").join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -121,6 +121,29 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS spaced FROM l),
+c AS (SELECT doc_id, string_agg(spaced, chr(10) ORDER BY pos) AS copy FROM s WHERE spaced <> '' GROUP BY doc_id),
+m AS (SELECT doc_id, pos, copy, regexp_replace(spaced, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM s JOIN c USING (doc_id) WHERE spaced <> ''),
+r AS (SELECT *, (len(string_split(line, ' ')), string_split(line, ' ')[1:3]) AS leaf, (coalesce(lag(line) OVER w, ''), coalesce(lead(line) OVER w, '')) AS context FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+alone AS (SELECT line, min(doc_id) AS first_doc FROM r GROUP BY line HAVING count(DISTINCT copy) >= 8),
+crowded AS (SELECT leaf FROM r GROUP BY leaf HAVING count(DISTINCT context) >= 8),
+d AS (SELECT DISTINCT line, leaf FROM r JOIN crowded USING (leaf)),
+t AS (SELECT *, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS place FROM d),
+k AS (SELECT leaf, place, token, count(*) AS n FROM t GROUP BY ALL),
+o AS (SELECT *, n / sum(n) OVER (PARTITION BY leaf, place) AS share, row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) AS rank FROM k),
+f AS (SELECT leaf, place, CASE WHEN share >= 0.6 AND token <> '<*>' THEN token END AS form FROM o WHERE rank = 1),
+trees AS (SELECT leaf FROM f GROUP BY leaf HAVING count(form) >= 0.5 * count(*)),
+named AS (SELECT line, leaf FROM t JOIN f USING (leaf, place) WHERE leaf IN (SELECT leaf FROM trees) GROUP BY ALL HAVING bool_and(form IS NULL OR form = token)),
+recurring AS (SELECT leaf, min(doc_id) AS first_doc FROM r JOIN named USING (line, leaf) GROUP BY leaf HAVING count(DISTINCT context) >= 8),
+found AS (SELECT line, min(first_doc) AS first_doc FROM (SELECT line, first_doc FROM alone UNION ALL SELECT line, first_doc FROM named JOIN recurring USING (leaf)) GROUP BY line),
+gone AS (SELECT doc_id, pos FROM r JOIN found USING (line) WHERE doc_id <> first_doc),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN raw END, chr(10) ORDER BY l.pos), '') AS text FROM l LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.report(table(spark, sf_dir, "documents"))
 
@@ -145,4 +168,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL, "op10_minhash": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_line_templates": OP5_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL, "op10_minhash": OP10_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ from .text import LOWER, Slice, mix, prefix_hashes, slices, span_hashes
 SKETCH_BITS = 2048
 
 
-def shingle_sets(part: Slice, inside: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of each document: values, bounds (n + 1), and two hashes of the word sequence."""
+def shingle_sets(part: Slice, inside: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit shingle hashes of each document: values and bounds (n + 1)."""
     lowered = LOWER[part.data]
     start, end, first = part.words(lowered, inside)
     tokens = span_hashes(prefix_hashes(lowered), start, end)
@@ -29,16 +30,14 @@ def shingle_sets(part: Slice, inside: np.ndarray, words: int) -> tuple[np.ndarra
         for k, t in enumerate(tokens[first[i] : first[i + 1]]):
             value = mix(value * np.uint64(0x9E3779B97F4A7C15) + t + np.uint64(100 + k))
         grams[first[i]] = value[0]
-    pieces, sizes, sequence = [], np.zeros(len(part), np.int64), np.zeros((len(part), 2), np.uint64)
+    pieces, sizes = [], np.zeros(len(part), np.int64)
     for i in range(len(part)):
         own = grams[first[i] : first[i] + n[i]]
-        weights = mix(np.arange(1, len(own) + 1, dtype=np.uint64))
-        sequence[i] = (own * (weights | np.uint64(1))).sum(), (mix(own) * mix(weights)).sum()
         own = np.sort(own)
         own = own[np.append(True, own[1:] != own[:-1])] if len(own) else own
         pieces.append(own)
         sizes[i] = len(own)
-    return (np.concatenate(pieces) if pieces else grams[:0]), np.append(0, np.cumsum(sizes)), sequence
+    return (np.concatenate(pieces) if pieces else grams[:0]), np.append(0, np.cumsum(sizes))
 
 
 def minhashes(values: np.ndarray, bounds: np.ndarray, samples: int, seed: int = 11) -> np.ndarray:
@@ -80,7 +79,21 @@ def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-SIGNATURE = "doc_id long, n_shingles long, sequence_1 long, sequence_2 long, bands array<long>"
+def sequence_digests(part: Slice, inside: np.ndarray) -> list[bytes]:
+    """SHA-256 of each document's lower-cased words with a space behind each."""
+    member = inside[LOWER[part.data]]
+    stays = member.copy()
+    stays[1:] |= member[:-1]
+    stays[part.start[part.end > part.start]] = member[part.start[part.end > part.start]]
+    octets = np.where(member, LOWER[part.data], np.uint8(32))[stays]
+    at = np.append(0, np.cumsum(stays))
+    ends_in_word = np.zeros(len(part), bool)
+    full = part.end > part.start
+    ends_in_word[full] = member[part.end[full] - 1]
+    return [hashlib.sha256(octets[a:b].tobytes() + b" " * w).digest() for a, b, w in zip(at[part.start].tolist(), at[part.end].tolist(), ends_in_word.tolist(), strict=True)]
+
+
+SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
 def signer(inside: np.ndarray, words: int, bands: int, rows: int):
@@ -88,7 +101,7 @@ def signer(inside: np.ndarray, words: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            values, bounds, sequence = shingle_sets(part, inside, words)
+            values, bounds = shingle_sets(part, inside, words)
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
             keys = np.zeros((0, bands), np.uint64)
@@ -96,8 +109,8 @@ def signer(inside: np.ndarray, words: int, bands: int, rows: int):
                 keys = band_keys(minhashes(values, np.append(bounds[full], len(values)), bands * rows), rows)
             where = np.append(0, np.cumsum((sizes > 0) * bands))
             column = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=pa.array(sizes == 0))
-            seq = np.ascontiguousarray(sequence.T).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(seq[0]), pa.array(seq[1]), column], names=["doc_id", "n_shingles", "sequence_1", "sequence_2", "bands"])
+            digests = pa.array(sequence_digests(part, inside), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.batch.column(0).cast(pa.int64()), pa.array(sizes), digests, column], names=["doc_id", "n_shingles", "digest", "bands"])
 
     return sign
 
@@ -107,7 +120,7 @@ def setter(inside: np.ndarray, words: int, samples: int):
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            values, bounds, _ = shingle_sets(part, inside, words)
+            values, bounds = shingle_sets(part, inside, words)
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
