@@ -1,34 +1,36 @@
 """Language identification of words and mixed-language spans (operator 4).
 
-Words are maximal runs of letters. The script of a word, from ranges of code points, leaves the languages whose
-training words use that script; among these a word scores by hashed character n-grams (naive Bayes with add-one
-smoothing). Viterbi over the words of a document, with a penalty for every switch of language, labels spans. A
-document's language is the one whose spans hold most letters; its score is that share of all letters.
+Words are maximal runs of letters, and marks between them. The script of a word, from ranges of code points, leaves the
+languages whose training words use that script; among these a word scores by hashed character n-grams (naive Bayes with
+add-one-half smoothing). Viterbi over the words of a document, with a penalty for every switch of language, labels
+spans. A document's language is the one whose spans hold most letters; its score is that share of all letters.
 
 Training reads at most about ``train_docs`` labelled documents (a documented bound; a hash of the id picks them), but
 counts their whole texts, on the executors. What reaches the driver is one table of n-gram counts of fixed size for
-each learned language.
+each learned language; languages are taken to be a small dimension.
 
-Viterbi runs over all documents of a slice at once: texts are cut into pieces of 128 words, each piece is solved for
-every language it may start from, the solved pieces are chained, and a second pass recovers the labels.
+A slice of texts is one array of code points. Its distinct words are scored once, and their scores are kept for the
+next slices. Viterbi runs over all documents of a slice at once, word by word; as the penalty is the same for all
+switches, a step needs the best label only.
 
 Defined cases: null or letterless texts are ``und`` with score 0; ties go to the language that sorts first; repeated
-rows each get their result; with no labelled document everything is ``und``; other columns play no part.
+rows each get their result; with no labelled document everything is ``und``; a text of any length is read whole;
+other columns play no part, but none of the rows given to ``predict`` may have the names of the columns it adds.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .text import mix, slices
+from .text import Slice, mix, powers, runs, slices, span_hashes
 
 BITS = 16
 #: First and last code point of the ranges that name a script, in order of code points.
@@ -41,28 +43,74 @@ SCRIPTS = ["other", *dict.fromkeys(s for _, _, s in SCRIPT_RANGES)]
 _STARTS = np.array([a for a, _, _ in SCRIPT_RANGES], np.int64)
 _ENDS = np.array([b for _, b, _ in SCRIPT_RANGES], np.int64)
 _NAMES = np.array([SCRIPTS.index(s) for _, _, s in SCRIPT_RANGES])
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def _word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams (1 to 4 characters, with the word's edges) of all words, the word of each, each word's script."""
-    text = "".join([f"\x02{w}\x03" for w in words])
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    lengths = np.array([len(w) + 2 for w in words])
-    owner = np.repeat(np.arange(len(words)), lengths)
-    grams, owners = [], []
-    key = np.zeros(len(points), np.uint64)
-    for n in range(1, 5):
-        key = key[: len(points) - n + 1] * np.uint64(0x110000) + points[n - 1 :].astype(np.uint64)
-        whole = owner[: len(key)] == owner[n - 1 :]
-        if n == 1:
-            whole &= points > 3
-        grams.append((mix(key[whole] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32))
-        owners.append(owner[: len(key)][whole])
-    first = points[np.cumsum(lengths) - lengths + 1].astype(np.int64)
-    at = np.maximum(np.searchsorted(_STARTS, first, "right") - 1, 0)
-    script = np.where((first >= _STARTS[at]) & (first <= _ENDS[at]), _NAMES[at], 0)
-    return np.concatenate(grams), np.concatenate(owners), script
+#: Letters stand below this code point; what lies above it counts as no letter.
+_LAST = 0x34000
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: is it a letter, is it a letter or mark, and its lower case (itself if that isn't one letter)."""
+    every = [chr(i) for i in range(_LAST)]
+    letter = np.fromiter((c.isalpha() for c in every), bool, _LAST)
+    mark = np.fromiter((unicodedata.category(c)[0] == "M" for c in every), bool, _LAST)
+    lower = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in every), np.uint32, _LAST)
+    return letter, letter | mark, lower
+
+
+class Words:
+    """The words of a slice: doc, start, end (code points from the document's start), letters; name: which distinct word."""
+
+    def __init__(self, part: Slice):
+        letter, inside, lower = _tables()
+        firsts = (part.data & 0xC0) != 0x80
+        points = np.frombuffer(part.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        at = np.append(0, np.cumsum(firsts))
+        low, high = at[part.start], at[part.end]
+        if len(points) != at[-1]:  # bytes that aren't UTF-8
+            texts = [part.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(part.start.tolist(), part.end.tolist(), strict=True)]
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            high = np.cumsum([len(t) for t in texts])
+            low = np.append(0, high[:-1])
+        points = np.minimum(points, _LAST - 1)
+        member = inside[points]
+        before, after = np.append(False, member[:-1]), np.append(member[1:], False)
+        full = high > low
+        before[low[full]] = False
+        after[high[full] - 1] = False
+        start, end = np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1
+        count = np.append(0, np.cumsum(letter[points]))
+        some = count[end] > count[start]
+        start, end = start[some], end[some]
+        self.letters = count[end] - count[start]
+        self.doc = np.searchsorted(low, start, "right") - 1
+        self.start, self.end = start - low[self.doc], end - low[self.doc]
+        self.points = lower[points]
+        up, _ = powers(len(points) + 1)
+        prefix = np.append(np.uint64(0), np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * up[:-1]))
+        self.hashes, first, self.name = np.unique(span_hashes(prefix, start, end), return_index=True, return_inverse=True)
+        self._at = start[first], end[first]
+
+    def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of these distinct words: hashed n-grams (1 to 4 characters, with the word's edges), the word of each, each word's script."""
+        start, end = self._at[0][which], self._at[1][which]
+        lengths = end - start + 2
+        last = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(which)), lengths)
+        points = self.points[np.clip(np.arange(int(lengths.sum())) - np.repeat(last - lengths + 1 - start, lengths), 0, len(self.points) - 1)].astype(np.uint64)
+        points[last - lengths], points[last - 1] = 2, 3
+        grams, owners = [], []
+        key = np.zeros(len(points), np.uint64)
+        for n in range(1, 5):
+            key = key[: len(points) - n + 1] * np.uint64(0x110000) + points[n - 1 :]
+            whole = owner[: len(key)] == owner[n - 1 :]
+            if n == 1:
+                whole &= points > 3
+            grams.append((mix(key[whole] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32))
+            owners.append(owner[: len(key)][whole])
+        first = self.points[start].astype(np.int64)
+        at = np.maximum(np.searchsorted(_STARTS, first, "right") - 1, 0)
+        script = np.where((first >= _STARTS[at]) & (first <= _ENDS[at]), _NAMES[at], 0)
+        return np.concatenate(grams), np.concatenate(owners), script
 
 
 class Model:
@@ -77,87 +125,79 @@ class Model:
         uses &= scripts > 0
         self.barred = np.where(uses.T | ~uses.any(0)[:, None], 0.0, -1e4).astype(np.float32)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        grams, owner, script = _word_grams(words)
-        out = np.empty((len(words), len(self.languages)), np.float32)
+    def scores(self, words: Words, which: np.ndarray) -> np.ndarray:
+        grams, owner, script = words.grams(which)
+        out = np.empty((len(which), len(self.languages)), np.float32)
         for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, self.table[grams, k], len(words))
+            out[:, k] = np.bincount(owner, self.table[grams, k], len(which))
         out -= out.max(1, keepdims=True)
         return out + self.barred[script]
 
 
-def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float, piece: int = 128) -> np.ndarray:
+class Scorer:
+    """Scores of distinct words, kept from one slice to the next, of about ``most`` words."""
+
+    def __init__(self, model: Model, most: int = 200_000):
+        self.model, self.most = model, most
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(model.languages)), np.float32)
+
+    def __call__(self, words: Words) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, words.hashes), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == words.hashes if len(self.keys) else np.zeros(len(words.hashes), bool)
+        out = np.empty((len(words.hashes), self.rows.shape[1]), np.float32)
+        out[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = self.model.scores(words, new)
+            if len(self.keys) + len(new) > self.most:
+                self.keys, self.rows = words.hashes[: self.most], out[: self.most]
+            else:
+                keys = np.append(self.keys, words.hashes[new])
+                order = np.argsort(keys)
+                self.keys, self.rows = keys[order], np.concatenate([self.rows, out[new]])[order]
+        return out[words.name]
+
+
+def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
     """Best labels of the words of documents scores[bounds[i]:bounds[i + 1]], which hold one word at least."""
-    n_labels = scores.shape[1]
-    lengths = np.diff(bounds)
-    n_pieces = -(-lengths // piece)
-    last = np.cumsum(n_pieces)
-    first = last - n_pieces
-    begin = np.repeat(bounds[:-1], n_pieces) + piece * (np.arange(last[-1]) - np.repeat(first, n_pieces))
-    size = np.minimum(begin + piece, np.repeat(bounds[1:], n_pieces)) - begin
-    order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    live = np.searchsorted(-size, -np.arange(int(size.max())), "left")  # pieces longer than t come first
-    # Best score of each piece by the label before it (column) and its last label (row).
-    value = np.full((len(begin), n_labels, n_labels), -switch, np.float64)
-    value[:, np.arange(n_labels), np.arange(n_labels)] = 0
-    for t in range(len(live)):
-        now = value[: live[t]]
+    n_labels, lengths = scores.shape[1], np.diff(bounds)
+    order = np.argsort(-lengths, kind="stable")
+    begin, size = bounds[:-1][order], lengths[order]
+    live = np.searchsorted(-size, -np.arange(int(size.max())), "left")  # documents longer than t words come first
+    stays = np.zeros((len(scores), n_labels), bool)
+    came = np.zeros(len(scores), np.int32)
+    now, every = np.zeros((len(begin), n_labels)), np.arange(len(begin))
+    for t, n in enumerate(live.tolist()):
+        own, at = now[:n], begin[:n] + t
         if t:
-            np.maximum(now, now.max(1, keepdims=True) - switch, out=now)
-        now += scores[begin[: live[t]] + t][:, :, None]
-    # Chain the pieces of each document: the best score at the end of each piece.
-    entry = np.zeros((len(begin), n_labels))
-    at = np.zeros((len(lengths), n_labels))
-    for k in range(int(n_pieces.max())):
-        docs = np.flatnonzero(n_pieces > k)
-        here = place[first[docs] + k]
-        entry[here] = at[docs]
-        at[docs] = (value[here] + at[docs][:, None, :]).max(2)
-        if k == 0:  # nothing comes before the first word, so its label is free
-            at[docs] = (value[here] + np.zeros((len(docs), 1, n_labels))).max(2)
-    # Second pass with known entries; came[t]: the label before word t, for each label of word t.
-    came = np.zeros((len(live), len(begin), n_labels), np.uint8)
-    now = entry.copy()
-    for t in range(len(live)):
-        own = now[: live[t]]
-        best = own.argmax(1)
-        top = own[np.arange(live[t]), best] - switch
-        stays = own >= top[:, None]
-        came[t, : live[t]] = np.where(stays, np.arange(n_labels)[None, :], best[:, None])
-        now[: live[t]] = np.where(stays, own, top[:, None]) + scores[begin[: live[t]] + t]
-    labels = np.zeros(len(scores), np.uint8)
-    end = at.argmax(1).astype(np.uint8)
-    for k in range(int(n_pieces.max()) - 1, -1, -1):
-        docs = np.flatnonzero(n_pieces > k)
-        here = place[first[docs] + k]
-        label = end[docs]
-        for t in range(int(size[here].max()) - 1, -1, -1):
-            inside = size[here] > t
-            labels[begin[here[inside]] + t] = label[inside]
-            label[inside] = came[t, here[inside], label[inside]]
-        end[docs] = label
+            best = own.argmax(1)
+            top = (own[every[:n], best] - switch)[:, None]
+            stays[at] = own >= top
+            came[at] = best
+            np.maximum(own, top, out=own)
+        own += scores[at]
+    labels, label = np.zeros(len(scores), np.int32), now.argmax(1).astype(np.int32)
+    for t in range(len(live) - 1, -1, -1):
+        at = begin[: live[t]] + t
+        own = label[: live[t]]
+        labels[at] = own
+        label[: live[t]] = np.where(stays[at, own], own, came[at])
     return labels
 
 
-def _texts(part) -> list[str]:
-    raw = part.data.tobytes()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(part.start.tolist(), part.end.tolist(), strict=True)]
-
-
 def _counter(languages: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), (1 << BITS) + len(SCRIPTS)), np.int64)
         for part in slices(batches):
-            labels = part.batch.column(1).to_pylist()
-            for k, language in enumerate(languages):
-                words = [w for t, lang in zip(_texts(part), labels, strict=True) if lang == language for w in _WORDS.findall(t.lower())]
-                if words:
-                    grams, _, script = _word_grams(words)
-                    counts[k, : 1 << BITS] += np.bincount(grams, minlength=1 << BITS)
-                    counts[k, 1 << BITS :] += np.bincount(script, minlength=len(SCRIPTS))
+            own = pa.compute.index_in(part.batch.column(1), pa.array(languages, pa.string())).to_numpy(zero_copy_only=False)
+            words = Words(part)
+            if not len(words.name):
+                continue
+            grams, owner, script = words.grams(np.arange(len(words.hashes)))
+            for k in np.unique(own[words.doc]).astype(int):
+                n = np.bincount(words.name[own[words.doc] == k], minlength=len(words.hashes)).astype(np.float64)
+                counts[k, : 1 << BITS] += np.bincount(grams, n[owner], 1 << BITS).astype(np.int64)
+                counts[k, 1 << BITS :] += np.bincount(script, n, len(SCRIPTS)).astype(np.int64)
         k, gram = np.nonzero(counts)
         if len(k):
             yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "gram": gram.astype(np.int32), "n": counts[k, gram]})
@@ -176,7 +216,7 @@ def train(docs: DataFrame, train_docs: int = 8000, switch: float = 12.0) -> Mode
     if not by_language:
         return None
     languages = sorted(r["lang"] for r in by_language)
-    each = train_docs // len(languages)
+    each = max(1, train_docs // len(languages))
     share = F.create_map(*[x for r in by_language for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     rows = chosen.select("text", "lang").mapInArrow(_counter(languages), "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -191,44 +231,38 @@ SPAN = "array<struct<start:int,end:int,lang:string>>"
 def _labeller(shared, spans: bool):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, "_text"):
-            texts = _texts(part)
-            found = [list(_WORDS.finditer(t)) for t in texts] if spans else [_WORDS.findall(t) for t in texts]
-            if not all(t.isascii() for t in texts):  # the pattern also takes numerals such as a half, which aren't letters
-                found = [f if t.isascii() else [w for w in f if any(map(str.isalpha, w.group() if spans else w))] for f, t in zip(found, texts, strict=True)]
-            counts = np.array([len(f) for f in found])
-            flat = [m.group() for f in found for m in f] if spans else [w for f in found for w in f]
-            names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            rows: list[list] = [[] for _ in texts]
-            if flat:
-                coded = pc.utf8_lower(pa.array(flat, pa.string())).dictionary_encode()
-                word = coded.indices.to_numpy()
-                length = pc.utf8_length(coded.dictionary).to_numpy()[word].astype(np.float64)
-                scores = model.scores(coded.dictionary.to_pylist())[word]
-                some = np.flatnonzero(counts)
-                bounds = np.append(0, np.cumsum(counts[some]))
-                labels = viterbi(scores, bounds, model.switch)
-                doc = np.repeat(np.arange(len(some)), counts[some])
-                letters = np.stack([np.bincount(doc, length * (labels == k), len(some)) for k in range(len(model.languages))], 1)
+        scorer, n_labels = Scorer(model), len(model.languages)
+        # Words times languages bound the memory of a slice.
+        for part in slices(batches, "_text", max(100_000, min(4_000_000, 80_000_000 // n_labels))):
+            words, n = Words(part), len(part)
+            names, score = np.full(n, "und", object), np.zeros(n)
+            first = last = own = np.zeros(0, np.int64)
+            if len(words.doc):
+                some = runs(words.doc)
+                bounds = np.append(some, len(words.doc))
+                labels = viterbi(scorer(words), bounds, model.switch)
+                doc = np.repeat(np.arange(len(some)), np.diff(bounds))
+                letters = np.bincount(doc * n_labels + labels, words.letters, len(some) * n_labels).reshape(-1, n_labels)
                 best = letters.argmax(1)
-                names[some] = np.array(model.languages, object)[best]
-                score[some] = letters[np.arange(len(some)), best] / letters.sum(1)
-                if spans:
-                    for i, d in enumerate(some):
-                        own = labels[bounds[i] : bounds[i + 1]]
-                        edges = np.append(np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1), len(own))
-                        rows[d] = [{"start": found[d][a].start(), "end": found[d][b - 1].end(), "lang": model.languages[own[a]]} for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            own = {n: part.batch.column(i) for i, n in enumerate(part.batch.schema.names) if n != "_text"}
-            own |= {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score)}
+                names[words.doc[some]] = np.array(model.languages, object)[best]
+                score[words.doc[some]] = letters[np.arange(len(some)), best] / letters.sum(1)
+                first = np.flatnonzero(np.append(True, (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])))
+                last, own = np.append(first[1:], len(labels)) - 1, labels[first]
+            columns = {name: part.batch.column(i) for i, name in enumerate(part.batch.schema.names) if name != "_text"}
+            columns |= {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score)}
             if spans:
-                own["spans"] = pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
-            yield pa.RecordBatch.from_pydict(own)
+                values = pa.StructArray.from_arrays([pa.array(words.start[first], pa.int32()), pa.array(words.end[last], pa.int32()), pa.array(model.languages, pa.string()).take(pa.array(own))], ["start", "end", "lang"])
+                columns["spans"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(words.doc[first], minlength=n))), pa.int32()), values)
+            yield pa.RecordBatch.from_pydict(columns)
 
     return label
 
 
 def predict(rows: DataFrame, text: Column, model: Model | None, spans: bool = False) -> DataFrame:
     """rows with lang_pred and score, and with spans (code points, end exclusive) if asked for."""
+    added = ["_text", "lang_pred", "score", *["spans"] * spans]
+    if clash := {c.lower() for c in rows.columns} & set(added):
+        raise ValueError(f"rows already have columns {sorted(clash)}")
     small_batches(rows.sparkSession)
     if model is None:
         out = rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
@@ -239,11 +273,12 @@ def predict(rows: DataFrame, text: Column, model: Model | None, spans: bool = Fa
 
 
 def held_out_predictions(docs: DataFrame, train_docs: int = 8000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. Documents of fold 0 take no part in training."""
+    """doc_id, held_out, lang_pred, score, spans (start:end:language, comma-joined). Fold 0 takes no part in training."""
     rest = fold(F.col("doc_id"))
     model = train(docs.where(rest != 0), train_docs)
-    out = predict(docs.select("doc_id", "text").select("doc_id", F.col("text").alias("_t")).select("doc_id", (rest == 0).alias("held_out"), "_t"), F.col("_t"), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    out = predict(docs.select("doc_id", (rest == 0).alias("held_out"), F.col("text").alias("_t")), F.col("_t"), model, spans=True)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["lang"])), ",")
+    return out.select("doc_id", "held_out", "lang_pred", "score", spans.alias("spans"))
 
 
 def reject_documents(docs: DataFrame, least: float = 0.5, train_docs: int = 8000) -> DataFrame:

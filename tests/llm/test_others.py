@@ -4,10 +4,12 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenscreen.llm import ann, decontamination, language, licenses, line_templates, mixing, near_duplicates, warc
 from lumenscreen.llm.language import viterbi
+from lumenscreen.llm.text import slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int"
 
@@ -18,10 +20,10 @@ def docs(spark, rows):
 
 def test_viterbi_matches_all_paths():
     rng = np.random.default_rng(0)
-    for piece in (2, 3, 128):
+    for _ in range(3):
         bounds = np.append(0, np.cumsum(rng.integers(1, 8, 4)))
         s = rng.normal(size=(bounds[-1], 3))
-        got = viterbi(s, bounds, 0.7, piece)
+        got = viterbi(s, bounds, 0.7)
         for a, b in itertools.pairwise(bounds):
             value = lambda p, a=a, b=b: sum(s[a + j, p[j]] for j in range(b - a)) - 0.7 * sum(p[j] != p[j - 1] for j in range(1, b - a))
             assert abs(value(got[a:b]) - max(map(value, itertools.product(range(3), repeat=b - a)))) < 1e-9
@@ -33,9 +35,29 @@ def test_language(spark):
     got = {r.doc_id: r for r in language.held_out_predictions(docs(spark, rows)).collect()}
     assert all(got[i].lang_pred == ("en" if i % 2 else "fr") for i in range(200))
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].score < 1
+    assert got[900].spans == "" and got[903].spans == "0:20:en,21:48:fr"
     assert language.held_out_predictions(docs(spark, []).limit(0)).count() == 0
 
 
+def test_language_of_many_labels_long_texts_and_marks(spark):
+    # 300 languages, each with words of its own; the text of the last one is long.
+    word = lambda i, k: f"{'abcdefghijklmnopqrst'[i % 20]}{'abcdefghijklmnopqrst'[i // 20]}{'vwxyz'[k]}"
+    rows = [(1000 * k + i, " ".join(word(i, (k + j) % 5) for j in range(12)), f"l{i:03d}", "s") for i in range(300) for k in range(3)]
+    d = docs(spark, rows)
+    model = language.train(d, 10_000, switch=3.0)
+    asked = docs(spark, [(i, " ".join(word(i, j % 5) for j in range(10 if i < 299 else 30_000)), None, None) for i in (0, 17, 255, 256, 280, 299)])
+    got = {r.doc_id: r.lang_pred for r in language.predict(asked.select("doc_id", "text"), F.col("text"), model).select("doc_id", "lang_pred").collect()}
+    assert got == {i: f"l{i:03d}" for i in got} and len(got) == 6
+    marked = language.Words(next(slices(iter([pa.RecordBatch.from_pydict({"text": ["naïve cafe\u0301 ÀB ½ \u0301 x1y", None, "z"]})]))))
+    assert [(int(a), int(b), int(c)) for a, b, c in zip(marked.doc, marked.start, marked.end)] == [(0, 0, 5), (0, 6, 11), (0, 12, 14), (0, 19, 20), (0, 21, 22), (2, 0, 1)]
+
+
+def test_rejected_documents(spark):
+    d = docs(spark, [(i, "the cat and the dog with this", "en", "s") for i in range(30)] + [(90, "12 34", "en", "s"), (91, None, "en", "s"), (92, "", None, None)])
+    kept = language.reject_documents(d.withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x")))
+    assert kept.columns == [*d.columns, "score", "lang_pred"] and sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
 def test_mixing_targets_and_draws(spark):
     rows = [(i, "w " * (i % 13 + 1), "en", ["a", "b", None][i % 3] if i % 4 else "a") for i in range(300)] + [(None, None, "en", "a"), (5, "w", "en", "z")]
     d = docs(spark, rows)
