@@ -6,12 +6,14 @@ hundred by a hash. A source whose target is q times its size and a rest draws ev
 blocks up to the rest; the last block is cut at the exact word. The block quotas of all sources are split among the
 output shards by a binary tree: at each node the left half draws its number of slots from the node's blocks without
 replacement, which is a multivariate hypergeometric draw, made as one hypergeometric draw for each source. A
-source's permuted blocks are then dealt to the shards by its quotas, so shards are disjoint, and the documents of a
-shard are put into a random order of their own.
+source's permuted blocks are then dealt to the shards by its quotas, so shards are disjoint. ``mix`` sends each shard to
+one partition and sorts it in a random order of its own; the number of shards grows with the words. Sources are taken
+to be a small dimension: their plan is a row for each, sorted in one task, and a node of the tree lists them all.
 
 Defined cases: a null or empty text has size 0, is in the mix when its block is, and adds no words; a null source is
 a source of its own that comes last; repeated rows are documents of their own; no documents give no rows; a source
-without words has target 0. Extra columns of the input, whatever their names, don't change the plan.
+without words has target 0. Extra columns of the input, whatever their names, don't change the plan and stay in the
+mix; a column that ``mix`` adds under a name that is taken gets underscores before it. Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
-_BITS = 53
+SHARD_WORDS = 64_000_000
+MOST_BROADCAST = 100_000
 
 
 def _hash(seed: int, *parts: Column) -> Column:
@@ -33,6 +36,17 @@ def _hash(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _uniform(seed: int, *parts: Column) -> Column:
+    """From 0 to below 1: the first 52 bits of an md5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def _key() -> Column:
+    """The source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, n_docs, source_size, target). One row for each source; sources are a small dimension."""
     stats = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
@@ -121,8 +135,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         start = F.struct(F.col("slots").alias("slots"), F.col("n").alias("n"), F.array().cast("array<bigint>").alias("left"))
 
         def draw(s: Column, x: Column) -> Column:
-            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("low"), F.col("high"), x["source"], x["source"].isNull()), 64 - _BITS) / F.lit(float(2**_BITS))
-            got = _hypergeometric(u, x["quota"], s["slots"], s["n"])
+            got = _hypergeometric(_uniform(seed, F.col("low"), F.col("high"), x["source"]), x["quota"], s["slots"], s["n"])
             return F.struct((s["slots"] - got).alias("slots"), (s["n"] - x["quota"]).alias("n"), F.concat(s["left"], F.array(got)).alias("left"))
 
         nodes = nodes.withColumn("left", F.aggregate("q", start, draw)["left"])
@@ -142,12 +155,12 @@ def _running(df: DataFrame, value: str, order: str, out: str, bins: int = 1024)
     No source is gathered in a task: sums of hash ranges come first, then each range has its own window.
     """
     ranged = df.withColumn("_bin", F.floor(F.col(order) * bins / F.lit(2**32)).cast("int"))
-    bin_sums = ranged.groupBy("source", "_bin").agg(F.sum(value).alias("_s"))
-    over_bins = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bin_sums.select(F.col("source").alias("_src"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_s").over(over_bins), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_bin").orderBy(order, "block", "draw").rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(starts, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bin") == F.col("_b")))
-    return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_bin", "_src", "_b", "_before")
+    bin_sums = ranged.groupBy("_key", "_bin").agg(F.sum(value).alias("_s"))
+    over_bins = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bin_sums.select("_key", "_bin", F.coalesce(F.sum("_s").over(over_bins), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_key", "_bin").orderBy(order, "block", "draw").rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(starts, ["_key", "_bin"])
+    return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_bin", "_before")
 
 
 def _size() -> Column:
@@ -158,64 +171,76 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", _size().alias("size"))
 
 
-def mix_plan(docs: DataFrame, shards: int = 16, block_docs: int = 256, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: bool = False) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, block, at, draws; with keep, its whole row as _row.
+def mix_plan(docs: DataFrame, shards: int | None = None, block_docs: int = 256, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: bool = False) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, block, at, shards, draws; with keep, its whole row as _row.
 
     ``draws`` lists what the mix takes of it: shard, draw (0 and on: whole passes; last: the permuted rest) and words.
+    ``shards`` is their number: by default 16, or more where a shard would get over SHARD_WORDS words.
     """
     sized = cut(sized_documents(docs))
     targets = cut(source_targets(sized, weights, share, most))
     quota = targets.select(
-        F.col("source").alias("_src"), "source_size", "target",
+        _key().alias("_key"), "source_size", "target",
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).alias("_blocks"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("_passes"),
     )
     quota = quota.withColumn("_rest", F.floor("target") - F.col("_passes") * F.col("source_size"))
+    facts = targets.agg(F.count("*").alias("sources"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("words")).first()
+    shards = shards or max(16, math.ceil(float(share) * facts["words"] / SHARD_WORDS))
+
+    def held(small: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(small) if rows <= MOST_BROADCAST else small
 
     def place(rows: DataFrame) -> DataFrame:
-        rows = rows.join(quota, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+        rows = rows.withColumn("_key", _key()).join(held(quota, facts["sources"]), "_key")
         return rows.withColumn("at", _hash(seed, F.col("doc_id"))).withColumn("block", F.pmod(_hash(seed + 1, F.col("doc_id")), F.col("_blocks")))
 
-    blocks = place(sized).groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("_passes").alias("passes"), F.first("_rest").alias("rest"))
+    blocks = place(sized).groupBy("_key", "source", "block").agg(F.sum("size").alias("words"), F.first("_passes").alias("passes"), F.first("_rest").alias("rest"))
     blocks = blocks.withColumn("order", _hash(seed + 2, F.col("source"), F.col("block"))).withColumn("draw", F.lit(0))
     blocks = cut(_running(blocks, "words", "order", "before"))
     passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("passes"), F.lit(1))), lambda i: F.struct((i - 1).cast("int").alias("draw"), F.col("words").alias("limit")))).otherwise(F.array())
     rest = F.when(F.col("rest") > F.col("before"), F.array(F.struct(F.col("passes").cast("int").alias("draw"), F.least("words", F.col("rest") - F.col("before")).alias("limit")))).otherwise(F.array())
-    slots = blocks.select("source", "block", F.inline(F.concat(passes, rest)))
+    slots = blocks.select("_key", "source", "block", F.inline(F.concat(passes, rest)))
     slots = slots.withColumn("one", F.lit(1)).withColumn("order", _hash(seed + 3, F.col("source"), F.col("block"), F.col("draw")))
     slots = _running(slots, "one", "order", "rank")
 
-    shares = split_quotas(slots.groupBy("source").agg(F.count("*").alias("quota")), shards, seed)
-    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ends = shares.withColumn("end", F.sum("quota").over(upto)).groupBy(F.col("source").alias("_src")).agg(F.sort_array(F.collect_list("end")).alias("_ends"))
-    shard = F.size(F.filter("_ends", lambda e: e <= F.col("rank")))
-    dealt = slots.join(ends, F.col("source").eqNullSafe(F.col("_src"))).withColumn("shard", shard)
-    drawn = dealt.groupBy(F.col("source").alias("_src"), F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("draw", "shard", "limit"))).alias("_slots"))
+    quotas = split_quotas(slots.groupBy("source").agg(F.count("*").alias("quota")), shards, seed).withColumn("_key", _key())
+    upto = Window.partitionBy("_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    ends = quotas.withColumn("end", F.sum("quota").over(upto)).groupBy("_key").agg(F.sort_array(F.collect_list("end")).alias("_ends"))
+    dealt = slots.join(held(ends, facts["sources"] * shards), "_key").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("rank"))))
+    drawn = dealt.groupBy("_key", "block").agg(F.sort_array(F.collect_list(F.struct("draw", "shard", "limit"))).alias("_slots"))
 
-    inside = Window.partitionBy("source", "block").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # The window and the join deal rows alike, so whole rows are shuffled once.
+    inside = Window.partitionBy("_key", "block").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.select("doc_id", "source", _size().alias("size"), F.struct("*").alias("_row")) if keep else sized
-    out = place(rows).withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(drawn, F.col("source").eqNullSafe(F.col("_src")) & (F.col("block") == F.col("_b")), "left")
+    out = place(rows).withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(drawn, ["_key", "block"], "left")
     words = lambda s: F.greatest(F.lit(0), F.least(F.col("size"), s["limit"] - F.col("_before"))).cast("long")
     drawn_words = F.transform("_slots", lambda s: F.struct(s["shard"].alias("shard"), s["draw"].alias("draw"), words(s).alias("words")))
     kept = F.filter(drawn_words, lambda d: (d["words"] > 0) | (F.col("size") == 0))
     draws = F.coalesce(kept, F.array().cast("array<struct<shard:int,draw:int,words:bigint>>"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "block", "at", draws.alias("draws"), *["_row"] * keep)
+    return out.select("doc_id", "source", "size", "source_size", "target", "block", "at", F.lit(shards).alias("shards"), draws.alias("draws"), *["_row"] * keep)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
     """The mix itself: a row for each document drawn, with all columns of docs and shard, draw, words and position.
 
-    The text of a document that is cut at a target holds its first words. Sort by position within a shard to read it.
+    A shard is in one partition, sorted by position. The text of a document that is cut at a target holds its first words.
     """
-    plan = mix_plan(docs, keep=True, **options).select("doc_id", "size", "_row", F.explode("draws").alias("_d"))
+    plan = mix_plan(docs, shards, keep=True, **options).select("doc_id", "size", "_row", "shards", F.explode("draws").alias("_d"))
     part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), " ")
     text = F.when(F.col("_d.words") < F.col("size"), part).otherwise(F.col("_row.text"))
-    others = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("text", "shard", "draw", "words", "position")]
     position = F.xxhash64(F.lit(options.get("seed", 17)), "doc_id", F.col("_d.draw"))
-    return plan.select(*others, text.alias("text"), F.col("_d.shard").alias("shard"), F.col("_d.draw").alias("draw"), F.col("_d.words").alias("words"), position.alias("position"))
+    named = {n: free_name(n, docs.columns) for n in ("shard", "draw", "words", "position")}
+    out = plan.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], *[F.col(f"_d.{n}").alias(named[n]) for n in ("shard", "draw", "words")], position.alias(named["position"]))
+    n = shards or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return out.repartition(n, named["shard"]).sortWithinPartitions(named["shard"], named["position"])
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: what the plan takes of each document."""
+    """doc_id, size, source_size, target, taken, draws: what the plan takes of each document.
+
+    draws lists shard:draw:words, comma-joined.
+    """
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
-    return mix_plan(docs, **options).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    listed = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["draw"].cast("string"), d["words"].cast("string"))), ",")
+    return mix_plan(docs, **options).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.alias("taken"), listed.alias("draws"))

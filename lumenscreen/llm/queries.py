@@ -9,7 +9,7 @@ from . import ann, decontamination, language, licenses, line_templates, mixing,
 from .shared import table
 
 OP9_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS r FROM d GROUP BY source
@@ -36,9 +36,43 @@ WITH d AS (
   SELECT p.*, c.before, c.words, coalesce(sum(p.size) OVER (PARTITION BY p.source, p.block ORDER BY p.at, p.doc_id, p.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
   FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source AND p.block = c.block
 )
-SELECT doc_id, size, source_size, target::DOUBLE AS target,
-  (passes * size + CASE WHEN rest > before THEN greatest(0, least(size, least(words, rest - before) - pre)) ELSE 0 END)::BIGINT AS taken
-FROM x
+-- The tree: a row is a node (shards low to high, quotas qs of all sources) with the draws of the first i sources.
+, k AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY o, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+slots AS (
+  SELECT source, block, draw::INT AS draw, lim FROM (
+    SELECT k.source, block, unnest(range(0, passes)) AS draw, words AS lim FROM k JOIN q2 ON k.source IS NOT DISTINCT FROM q2.source
+    UNION ALL
+    SELECT k.source, block, passes AS draw, least(words, rest - before) AS lim FROM k JOIN q2 ON k.source IS NOT DISTINCT FROM q2.source WHERE rest > before)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('20|' || coalesce(source, '~') || '|' || block::VARCHAR || '|' || draw::VARCHAR), 1, 8))::BIGINT, block, draw) - 1 AS rank FROM slots
+), quotas AS (SELECT source, count(*) AS quota FROM slots GROUP BY source),
+root AS (SELECT list(coalesce(source, '~') ORDER BY source NULLS FIRST) AS names, list(quota ORDER BY source NULLS FIRST) AS qs FROM quotas),
+shards AS (SELECT greatest(16, ceil(1.5 * sum(size) / 64000000))::INT AS n FROM d),
+tree AS (
+  SELECT 0 AS low, shards.n AS high, names, qs, 0 AS i, list_sum(qs)::BIGINT AS m, floor(list_sum(qs) * (shards.n // 2) / shards.n)::BIGINT AS left_slots, []::BIGINT[] AS lefts FROM root, shards
+  UNION ALL
+  SELECT nl, nh, names, nq, ni, CASE WHEN ni = 0 THEN list_sum(nq)::BIGINT ELSE nm END, CASE WHEN ni = 0 THEN floor(list_sum(nq) * ((nl + nh) // 2 - nl) / (nh - nl))::BIGINT ELSE ns END, nf FROM (
+    SELECT names, CASE WHEN done AND side = 1 THEN (low + high) // 2 ELSE low END AS nl, CASE WHEN done AND side = 0 THEN (low + high) // 2 ELSE high END AS nh,
+      CASE WHEN NOT done THEN qs WHEN side = 0 THEN lefts ELSE list_transform(range(1, len(qs) + 1), lambda j: qs[j] - lefts[j]) END AS nq,
+      CASE WHEN done THEN 0 ELSE i + 1 END AS ni, m - qs[i + 1] AS nm, left_slots - got AS ns, CASE WHEN done THEN [] ELSE list_append(lefts, got) END AS nf
+    FROM (
+      SELECT *, xs[coalesce(list_filter(range(1, len(ws) + 1), lambda j: list_sum(ws[1:j]) > u * list_sum(ws))[1], 1)]::BIGINT AS got FROM (
+        SELECT *, list_transform(xs, lambda x: exp(lgamma(mode + 1) + lgamma(kk - mode + 1) + lgamma(left_slots - mode + 1) + lgamma(m - kk - left_slots + mode + 1) - lgamma(x + 1) - lgamma(kk - x + 1) - lgamma(left_slots - x + 1) - lgamma(m - kk - left_slots + x + 1))) AS ws FROM (
+          SELECT *, list_concat(range(mode, least(most, mode + reach) + 1), list_reverse(range(greatest(least_, mode - reach), mode))) AS xs FROM (
+            SELECT *, least(most, greatest(least_, floor((left_slots + 1.0) * (kk + 1) / (m + 2))::BIGINT)) AS mode FROM (
+              SELECT *, coalesce(qs[i + 1], 0) AS kk, greatest(0, left_slots + coalesce(qs[i + 1], 0) - m) AS least_, least(coalesce(qs[i + 1], 0), left_slots) AS most, i = len(qs) AS done,
+                ceil(12 * sqrt(left_slots * (coalesce(qs[i + 1], 0) / greatest(m, 1)) * (1 - coalesce(qs[i + 1], 0) / greatest(m, 1))) + 24)::BIGINT AS reach, unnest([0, 1]) AS side,
+                ('0x' || substr(md5('17|' || low || '|' || high || '|' || names[i + 1]), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+              FROM tree WHERE high - low > 1) WHERE side = 0 OR done)))))
+), leaves AS (SELECT low AS shard, unnest(names) AS name, unnest(qs) AS quota FROM tree WHERE high - low = 1 AND i = 0),
+ends AS (SELECT name, shard, sum(quota) OVER (PARTITION BY name ORDER BY shard) AS e FROM leaves),
+dealt AS (SELECT source, block, draw, lim, (SELECT count(*) FROM ends WHERE name = coalesce(source, '~') AND e <= rank) AS shard FROM ranked),
+taken AS (
+  SELECT x.doc_id, x.size, x.source_size, x.target, x.at, dealt.draw, dealt.shard, greatest(0, least(x.size, lim - pre))::BIGINT AS got FROM x LEFT JOIN dealt ON x.source IS NOT DISTINCT FROM dealt.source AND x.block = dealt.block
+)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, coalesce(sum(got), 0)::BIGINT AS taken,
+  coalesce(string_agg(shard || ':' || draw || ':' || got, ',' ORDER BY draw, shard) FILTER (draw IS NOT NULL AND (got > 0 OR size = 0)), '') AS draws
+FROM taken GROUP BY doc_id, size, source_size, target
 """
 
 

@@ -72,7 +72,15 @@ def test_mixing_targets_and_draws(spark):
     assert drawn.agg(F.sum("words")).first()[0] == sum(r.taken for r in got)
     assert sorted(c for c in drawn.columns if c != "size") == sorted(["doc_id", "text", "lang", "source", "n_chars", "shard", "draw", "words", "position"])
     assert drawn.where("words <> size(filter(split(text, ' '), x -> x <> ''))").count() == 0
-    assert mixing.taken_words(d.limit(0)).count() == 0
+    assert mixing.taken_words(d.limit(0)).count() == 0 and mixing.mix(d.limit(0)).count() == 0
+    # A shard is one partition in the order of its positions, and the whole mix is what the plan says.
+    placed = drawn.select(F.spark_partition_id().alias("p"), "shard", "position").collect()
+    assert len({r.shard for r in placed}) == 4 == len({(r.p, r.shard) for r in placed})
+    assert all(a.position <= b.position for a, b in itertools.pairwise(placed) if (a.p, a.shard) == (b.p, b.shard))
+    want = sum(len([x for x in r.draws.split(",") if x]) for r in mixing.taken_words(d, block_docs=16, shards=4).collect())
+    assert len(placed) == want
+    clash = d.selectExpr("*", "1 AS shard", "2 AS position", "3 AS block", "4 AS words", "5 AS _row")
+    assert mixing.mix(clash, block_docs=16, shards=4).columns == [*clash.columns, "_shard", "draw", "_words", "_position"]
 
 
 def test_split_quotas_is_exact_and_hypergeometric(spark):
