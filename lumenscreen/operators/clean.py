@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,53 +37,6 @@ def line_fit(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def ransac_line(x: np.ndarray, y: np.ndarray, trials: int = 500, share: float = 0.6, seed: int = 0) -> tuple[float, float]:
-    """Slope and intercept: trials on 60% of the rows, inliers within the MAD of y, most inliers wins, then R2; refit."""
-    if len(x) < 2 or np.ptp(x) == 0:
-        return float("nan"), float("nan")
-    rng = np.random.default_rng(seed)
-    limit = np.median(np.abs(y - np.median(y)))
-    n = max(2, int(np.ceil(share * len(x))))
-
-    def fit(rows: np.ndarray) -> tuple[float, float]:
-        a, b = x[rows], y[rows]
-        spread = ((a - a.mean()) ** 2).sum()
-        slope = ((a - a.mean()) * (b - b.mean())).sum() / spread if spread else 0.0
-        return slope, b.mean() - slope * a.mean()
-
-    best, chosen = (-1, -np.inf), None
-    for _ in range(trials):
-        slope, intercept = fit(rng.choice(len(x), n, replace=False))
-        rest = y - slope * x - intercept
-        inside = np.abs(rest) <= limit
-        if inside.sum() < 2:
-            continue
-        spread = ((y[inside] - y[inside].mean()) ** 2).sum()
-        key = (int(inside.sum()), 1 - (rest[inside] ** 2).sum() / spread if spread else 0.0)
-        if key > best:
-            best, chosen = key, inside
-    return fit(np.flatnonzero(chosen)) if chosen is not None else fit(np.arange(len(x)))
-
-
-def robust_line(rows: DataFrame, x: str, y: str, keys: list[str], below: float = 15000.0, trials: int = 500, share: float = 0.6, seed: int = 0, most_rows: int = 200_000) -> DataFrame:
-    """Slope and intercept per well on rows with x below a cut.
-
-    Only keys and two columns reach a task, of each well at most about ``most_rows`` rows, chosen by a hash: a
-    documented bound on what the fit reads; prediction and bands use all rows.
-    """
-    used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) < below)).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    sizes = used.groupBy(*keys).agg(F.count("*").alias("_n"))
-    used = used.join(sizes, keys).where(F.pmod(F.xxhash64("x", "y", *keys), F.lit(1 << 20)) < F.lit(most_rows * (1 << 20)) / F.col("_n")).drop("_n")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", slope double, intercept double"
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["x", "y"])
-        slope, intercept = ransac_line(group["x"].to_numpy(), group["y"].to_numpy(), trials, share, seed)
-        return pd.DataFrame([[*key, slope, intercept]], columns=[*keys, "slope", "intercept"])
-
-    return used.groupBy(*keys).applyInPandas(fit, schema)
-
-
 def in_band(x: Column, y: Column, slope: Column, intercept: Column, scalar, offset: float) -> Column:
     """Strictly within x * scalar + offset of the line; a null counts as outside."""
     return F.coalesce(F.abs(slope * x + intercept - y) < x * scalar + F.lit(offset), F.lit(False))

@@ -31,12 +31,13 @@ def best_tile(scored: DataFrame, field: list[str]) -> DataFrame:
     return scored.groupBy(*field).agg(F.max_by(F.struct("tile", "cc"), F.struct("cc", (-F.col("tile_order")).alias("o"))).alias("_t")).select(*field, "_t.tile", "_t.cc")
 
 
-def mutual_nearest(nuclei_40x: DataFrame, nuclei_10x: DataFrame, keys: list[str], most: float = 15.0, ratio: float = 0.9, accept_single: bool = False, bucketed: bool = False) -> DataFrame:
+def mutual_nearest(nuclei_40x: DataFrame, nuclei_10x: DataFrame, keys: list[str], most: float = 15.0, ratio: float = 0.9, accept_single: bool = False, bucketed: bool = True) -> DataFrame:
     """Mutual nearest neighbours with a ratio test, within a registered pair.
 
-    Inputs have the keys, label, x, y and intensity. Exact form: all pairs of a registered pair. Bucketed form: only
-    neighbours within most / ratio, through a grid of that size; the second distance is null beyond, and the number of
-    10x nuclei tells a lone nucleus from one whose second neighbour is far. Both accept the same pairs.
+    Inputs have the keys, label, x, y and intensity. Bucketed form: only neighbours within most / ratio, through a grid
+    of that size; the second distance is null beyond, and the number of 10x nuclei tells a lone nucleus from one whose
+    second neighbour is far. The other form takes all pairs of a registered pair, which also gives far second
+    distances. Both accept the same pairs.
     """
     a = nuclei_40x.select(*keys, F.col("label").alias("label_40x"), F.col("x").alias("x_40x"), F.col("y").alias("y_40x"), F.col("intensity").alias("intensity_40x"))
     b = nuclei_10x.select(*keys, F.col("label").alias("label_10x"), F.col("x").alias("x_10x"), F.col("y").alias("y_10x"), F.col("intensity").alias("intensity_10x"))

@@ -1,6 +1,6 @@
-"""Objects inside cells, grown labels, crops, flat fields and affine maps.
+"""Objects inside cells, grown labels, crops, flat fields and registration of images.
 
-Tasks in Python hold one cell, one averaged image or the registrations of one well, never a whole plate.
+Tasks in Python hold one image, whose cells they take one by one, one averaged image or a pair of images.
 """
 
 from __future__ import annotations
@@ -17,6 +17,15 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
 
+def _cells_of_images(cells: DataFrame, one, keys: list[str], schema: str) -> DataFrame:
+    """one(pixels of a cell) for all cells of an image and channel in a task: far fewer groups than one for each cell."""
+
+    def every(key: tuple, image: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(cell.copy()) for _, cell in image.groupby("label", sort=False)])
+
+    return cells.groupBy(*keys, "channel").applyInPandas(every, schema)
+
+
 def smoothed_field(pixels: DataFrame, keys: list[str], sigma: float | None = None) -> DataFrame:
     """Mean image of the keys and channel, smoothed (a tenth of its height, edges extended), over its maximum."""
     means = pixels.groupBy(*keys, "channel", "row", "col").agg(F.avg("value").alias("value"))
@@ -51,7 +60,8 @@ def connected(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     while True:
         wide = np.pad(label, 1, constant_values=np.iinfo(np.int64).max)
         least = np.minimum.reduce([label, *[wide[1 + i : 1 + i + h, 1 + j : 1 + j + w] for i, j in steps]])
-        least = np.where(mask, least, np.iinfo(np.int64).max)
+        # A label is a place; the label of that place is as small or smaller, so long paths shorten quickly.
+        least = np.where(mask, label.ravel()[np.minimum(least, mask.size) - 1], np.iinfo(np.int64).max)
         if (least == label).all():
             return np.where(mask, label, 0)
         label = least
@@ -71,7 +81,7 @@ def label_objects(pixels: DataFrame, mask: str, least_hole: int = 4, least_area:
     by = [*keys, "label", "channel"]
     cells = pixels.where("label <> 0").select(*by, "row", "col", "value", F.coalesce(F.col(mask), F.lit(False)).alias("_m"))
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         r, c = (g[n].to_numpy() - g[n].min() for n in ("row", "col"))
         inside = np.zeros((r.max() + 3, c.max() + 3), bool)
         found = inside.copy()
@@ -84,7 +94,7 @@ def label_objects(pixels: DataFrame, mask: str, least_hole: int = 4, least_area:
         g["object"] = np.searchsorted(names, label[r + 1, c + 1]).astype(np.int32)
         return g[[*by, "row", "col", "value", "object"]]
 
-    return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", object int")
+    return _cells_of_images(cells, one, keys, _schema(cells, [*by, "row", "col", "value"]) + ", object int")
 
 
 def _box(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +138,7 @@ def flag_holes(pixels: DataFrame, most_fill: int = 50, least_hole: int = 10, key
     by = [*keys, "label", "channel"]
     cells = pixels.where("label <> 0").select(*by, "row", "col", F.coalesce("value", F.lit(0)).alias("value"))
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         r, c, inside, value = _box(g)
         dark = value < -cross_entropy_threshold(-value, -1.0)
         dark |= _small(connected(_enclosed(dark), True), most_fill)
@@ -136,7 +146,7 @@ def flag_holes(pixels: DataFrame, most_fill: int = 50, least_hole: int = 10, key
         g["hole"] = dark[r, c]
         return g[[*by, "row", "col", "value", "hole"]]
 
-    return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", hole boolean")
+    return _cells_of_images(cells, one, keys, _schema(cells, [*by, "row", "col", "value"]) + ", hole boolean")
 
 
 def nucleolus_mask(pixels: DataFrame, thresholds: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
@@ -144,14 +154,14 @@ def nucleolus_mask(pixels: DataFrame, thresholds: DataFrame, keys: list[str] = I
     by = [*keys, "label", "channel"]
     cells = pixels.where("label <> 0").join(thresholds, by).select(*by, "row", "col", "value", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("nucleolus"))
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         r, c, inside, _ = _box(g)
         mask = np.zeros(inside.shape, bool)
         mask[r, c] = g["nucleolus"]
         g["nucleolus"] = (mask | _enclosed(mask))[r, c]
         return g[[*by, "row", "col", "value", "nucleolus"]]
 
-    return cells.groupBy(*by).applyInPandas(one, _schema(cells, [*by, "row", "col", "value"]) + ", nucleolus boolean")
+    return _cells_of_images(cells, one, keys, _schema(cells, [*by, "row", "col", "value"]) + ", nucleolus boolean")
 
 
 def _within(mask: np.ndarray, distance: int) -> np.ndarray:
@@ -176,7 +186,7 @@ def condensate_intensities(objects: DataFrame, every: str = "object", hole: str
     no_hole = F.lit(False) if hole is None else F.coalesce(F.col(hole), F.lit(False))
     cells = objects.where("label <> 0").select(*by, "row", "col", "value", (F.coalesce("object", F.lit(0)) != 0).alias("_own"), (F.coalesce(F.col(every).cast("int"), F.lit(0)) != 0).alias("_every"), no_hole.alias("_hole"))
 
-    def flagged(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def flagged(g: pd.DataFrame) -> pd.DataFrame:
         r, c, inside, _ = _box(g)
         own, near = np.zeros(inside.shape, bool), np.zeros(inside.shape, bool)
         own[r, c], near[r, c] = g["_own"], g["_every"]
@@ -184,7 +194,7 @@ def condensate_intensities(objects: DataFrame, every: str = "object", hole: str
         g["_dilute"] = ~_within(near, grow)[r, c] & ~g["_hole"].to_numpy()
         return g[[*by, "value", "_own", "_hole", "_core", "_dilute"]]
 
-    flags = cells.groupBy(*by).applyInPandas(flagged, _schema(cells, [*by, "value"]) + ", _own boolean, _hole boolean, _core boolean, _dilute boolean")
+    flags = _cells_of_images(cells, flagged, keys, _schema(cells, [*by, "value"]) + ", _own boolean, _hole boolean, _core boolean, _dilute boolean")
     chosen = {"condensate": "_core", "condensate_no_shrink": "_own", "dilute": "_dilute"}
     parts = [f(F.when(F.col(flag), F.col("value"))).alias(f"{stat}_{name}") for name, flag in chosen.items() for stat, f in (("mean", F.avg), ("std", F.stddev_pop))]
     return flags.groupBy(*by).agg(*parts, F.avg(F.when(~F.col("_hole"), F.col("value"))).alias("mean_no_holes"))
@@ -266,26 +276,3 @@ def crops(pixels: DataFrame, size: int = 185, most: float = 65535.0, keys: list[
     at = lambda c, low, extent: (F.col(c) - F.col(low) + F.floor((size - F.col(extent)) / 2)).cast("int").alias(c)
     value = F.floor(F.least(F.col("value"), F.lit(most)) / most * 65535).cast("int")
     return cells.join(box.where((F.col("_h") <= size) & (F.col("_w") <= size)), by).select(*by, at("row", "_r", "_h"), at("col", "_c", "_w"), value.alias("value"), "n_clipped")
-
-
-def robust_affine(rows: DataFrame, keys: list[str], most: float = 10.0, trials: int = 1000, seed: int = 0) -> DataFrame:
-    """(x, y) -> (to_x, to_y) from three points a trial; within ``most`` of the map is an inlier; most inliers, then refit.
-
-    Coefficients are arrays (constant, of x, of y), null below three rows or where all trials are degenerate.
-    """
-    columns = ["x", "y", "to_x", "to_y"]
-    used = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns)
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(columns)
-        a, b = np.column_stack([np.ones(len(g)), g["x"], g["y"]]), g[["to_x", "to_y"]].to_numpy()
-        rng, best = np.random.default_rng(seed), np.zeros(len(g), bool)
-        for _ in range(trials if len(g) >= 3 else 0):
-            some = rng.choice(len(g), 3, replace=False)
-            if abs(np.linalg.det(a[some])) > 1e-9:
-                good = np.abs(a @ np.linalg.solve(a[some], b[some]) - b).sum(1) <= most
-                best = good if good.sum() > best.sum() else best
-        fit = np.linalg.lstsq(a[best], b[best], rcond=None)[0] if best.sum() >= 3 else None
-        return pd.DataFrame([[*key, None if fit is None else fit[:, 0], None if fit is None else fit[:, 1], int(best.sum())]], columns=[*keys, "of_x", "of_y", "n_inliers"])
-
-    return used.groupBy(*keys).applyInPandas(one, _schema(used, keys) + ", of_x array<double>, of_y array<double>, n_inliers int")

@@ -18,9 +18,14 @@ def between_open(x: Column, low: float, high: float) -> Column:
     return (x > low) & (x < high)
 
 
-def above_floor(cells: DataFrame, x: str, percent: float, key: str = BARCODE) -> DataFrame:
-    """Drop the lowest part of each barcode; keep what is above the exact percentile."""
-    floors = cells.groupBy(F.col(key).alias("_key")).agg(F.percentile(x, F.lit(percent / 100)).alias("_floor"))
+def _middle(x: Column, share: float, approximate: bool) -> Column:
+    """A percentile: exact, which holds the different values of a group in one task, or by a sketch of bounded size."""
+    return F.percentile_approx(x, F.lit(share), F.lit(100_000)) if approximate else F.percentile(x, F.lit(share))
+
+
+def above_floor(cells: DataFrame, x: str, percent: float, key: str = BARCODE, approximate: bool = False) -> DataFrame:
+    """Drop the lowest part of each barcode; keep what is above the percentile."""
+    floors = cells.groupBy(F.col(key).alias("_key")).agg(_middle(F.col(x), percent / 100, approximate).alias("_floor"))
     return cells.join(floors, F.col(key) == F.col("_key")).where(F.col(x) > F.col("_floor")).drop("_key", "_floor")
 
 
@@ -58,19 +63,19 @@ def mean_condensates(cells: DataFrame, barcodes: DataFrame, intensity: str, low:
     return _for_requested(barcodes, single_barcode(cells).groupBy(BARCODE).agg(value.alias("mean_num_cond")))
 
 
-def average_property(cells: DataFrame, barcodes: DataFrame, prop: str, intensity: str, how: str = "mean", low: float = 100.0, high: float = 10000.0, min_cells: int = 30, min_frac: float = 0.3, floor_percent: float | None = None) -> DataFrame:
+def average_property(cells: DataFrame, barcodes: DataFrame, prop: str, intensity: str, how: str = "mean", low: float = 100.0, high: float = 10000.0, min_cells: int = 30, min_frac: float = 0.3, floor_percent: float | None = None, approximate: bool = False) -> DataFrame:
     """Mean or median per barcode where enough cells, and a large enough share, are in range."""
     rows = single_barcode(cells)
-    rows = rows if floor_percent is None else above_floor(rows, intensity, floor_percent)
+    rows = rows if floor_percent is None else above_floor(rows, intensity, floor_percent, approximate=approximate)
     inside = between_open(F.col(intensity), low, high)
     x = F.when(inside, F.col(prop))
-    value = F.avg(x) if how == "mean" else F.when(F.count(x) == F.count_if(inside), F.median(x))
+    value = F.avg(x) if how == "mean" else F.when(F.count(x) == F.count_if(inside), _middle(x, 0.5, approximate))
     n = F.count_if(inside)
     gated = F.when((n >= min_cells) & (n >= min_frac * F.count("*")), value)
     return _for_requested(barcodes, rows.groupBy(BARCODE).agg(gated.alias("value"), n.alias("n_in_range")))
 
 
-def barcode_statistics(cells: DataFrame, barcodes: DataFrame, props: list[str], intensity: str, condensate_props: tuple[str, ...] = (), how: str = "mean", low: float = 100.0, high: float = 10000.0, min_cells: int = 30, min_frac: float = 0.3) -> DataFrame:
+def barcode_statistics(cells: DataFrame, barcodes: DataFrame, props: list[str], intensity: str, condensate_props: tuple[str, ...] = (), how: str = "mean", low: float = 100.0, high: float = 10000.0, min_cells: int = 30, min_frac: float = 0.3, approximate: bool = False) -> DataFrame:
     """Mean and population deviation, or median and raw MAD, of many properties in one grouped pass (two for MAD).
 
     Condensate properties use only cells with condensates and have a gate of their own. Gates count rows. Mean and
@@ -89,9 +94,9 @@ def barcode_statistics(cells: DataFrame, barcodes: DataFrame, props: list[str],
         stats = rows.groupBy(BARCODE).agg(F.count_if(inside).alias("n_in_range"), *[F.when(gate[n.split("_", 1)[1]], c).alias(n) for c, n in zip(out, names, strict=True)])
         return _for_requested(barcodes, stats)
     whole = {p: F.count(F.when(scope(p), F.col(p))) == F.count_if(scope(p)) for p in props}
-    medians = rows.groupBy(BARCODE).agg(F.count_if(inside).alias("n_in_range"), *[F.when(gate[p] & whole[p], F.median(F.when(scope(p), F.col(p)))).alias(f"median_{p}") for p in props])
+    medians = rows.groupBy(BARCODE).agg(F.count_if(inside).alias("n_in_range"), *[F.when(gate[p] & whole[p], _middle(F.when(scope(p), F.col(p)), 0.5, approximate)).alias(f"median_{p}") for p in props])
     again = rows.join(medians.withColumnRenamed(BARCODE, "_b"), F.col(BARCODE) == F.col("_b"))
-    mads = again.groupBy(BARCODE).agg(*[F.median(F.when(scope(p), F.abs(F.col(p) - F.col(f"median_{p}")))).alias(f"mad_{p}") for p in props])
+    mads = again.groupBy(BARCODE).agg(*[_middle(F.when(scope(p), F.abs(F.col(p) - F.col(f"median_{p}"))), 0.5, approximate).alias(f"mad_{p}") for p in props])
     return _for_requested(barcodes, medians.join(mads, BARCODE, "left"))
 
 

@@ -10,19 +10,39 @@ from ..functions.coords import distance
 TILE = ["plate", "well", "tile"]
 
 
-def _previous(nuclei: DataFrame, keys: list[str], step) -> DataFrame:
-    now = nuclei.select(*keys, "frame", "nucleus_num", F.col("centroid_x").alias("_x"), F.col("centroid_y").alias("_y"))
-    before = nuclei.select(*keys, step.alias("frame"), F.col("nucleus_num").alias("prev_num"), F.col("centroid_x").alias("_px"), F.col("centroid_y").alias("_py"))
-    return now.join(before, [*keys, "frame"]).withColumn("dist", distance(F.col("_x"), F.col("_y"), F.col("_px"), F.col("_py"))).drop("_x", "_y", "_px", "_py")
+def edges(nuclei: DataFrame, k: int = 3, keys: list[str] = TILE, present_frames: bool = False, cell: float = 50.0, widenings: tuple[int, ...] = (1, 6)) -> DataFrame:
+    """Each nucleus to its k nearest of the frame before, or of the last frame that is present.
 
-
-def edges(nuclei: DataFrame, k: int = 3, keys: list[str] = TILE, present_frames: bool = False) -> DataFrame:
-    """Each nucleus to its k nearest of the frame before, or of the last frame that is present."""
-    rows = nuclei
+    Neighbours are looked for in a grid of square cells: all within a cell's width are in the nine cells around. A
+    nucleus with k of them is done; the others look through wider cells, and what is left then through its whole tile.
+    Nuclei without a position have no edges.
+    """
+    rows = nuclei.where("centroid_x IS NOT NULL AND centroid_y IS NOT NULL")
     if present_frames:
-        rows = nuclei.withColumn("frame", F.dense_rank().over(Window.partitionBy(*keys).orderBy("frame")))
-    order = Window.partitionBy(*keys, "frame", "nucleus_num").orderBy("dist", "prev_num")
-    return _previous(rows, keys, F.col("frame") + 1).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        rows = rows.withColumn("frame", F.dense_rank().over(Window.partitionBy(*keys).orderBy("frame")))
+    left = rows.select(*keys, "frame", "nucleus_num", F.col("centroid_x").alias("_x"), F.col("centroid_y").alias("_y"))
+    before = rows.select(*keys, (F.col("frame") + 1).alias("frame"), F.col("nucleus_num").alias("prev_num"), F.col("centroid_x").alias("_px"), F.col("centroid_y").alias("_py"))
+    own = [*keys, "frame", "nucleus_num"]
+    order = F.row_number().over(Window.partitionBy(*own).orderBy("dist", "prev_num"))
+    apart = distance(F.col("_x"), F.col("_y"), F.col("_px"), F.col("_py"))
+    found = []
+    for wide in (*(cell * w for w in widenings), None):
+        if wide is None:
+            pairs = left.join(before, [*keys, "frame"])
+        else:
+            at = lambda c, w=wide: F.floor(F.col(c) / w).cast("long")
+            near = lambda c, at=at: F.explode(F.array(at(c) - 1, at(c), at(c) + 1))
+            around = left.withColumn("_gx", near("_x")).withColumn("_gy", near("_y"))
+            pairs = around.join(before.withColumn("_gx", at("_px")).withColumn("_gy", at("_py")), [*keys, "frame", "_gx", "_gy"]).where(apart <= wide)
+        ranked = pairs.withColumn("dist", apart).withColumn("rank", order).where(F.col("rank") <= k)
+        if wide is not None:
+            ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*own))).where(F.col("_n") == k)
+            left = left.join(ranked.where("rank = 1").select(*own), own, "left_anti")
+        found.append(ranked.select(*own, "prev_num", "dist", "rank"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def cheapest_paths(links: DataFrame, start: int, last: int, cutoff: float = 100.0, keys: list[str] = TILE) -> DataFrame:

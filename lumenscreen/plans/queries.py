@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import coords
-from ..operators import clean, match, pixels, reads, regions, stats, track
+from ..functions import coords, names
+from ..operators import clean, match, pixels, reads, regions, robust, stats, track
 from ..sources import tables
 from . import views as v
 
@@ -171,7 +171,7 @@ def _(spark, d):
 
 @_query("a12_robust_line")
 def _(spark, d):
-    return clean.robust_line(v.cells(spark, d), "area", "intensity", ["plate", "well"], trials=100)
+    return robust.robust_line(v.cells(spark, d), "area", "intensity", ["plate", "well"])
 
 
 SWEEP = ", ".join(f"avg(CASE WHEN abs(slope * area + icpt - intensity) < area * {s} + 100 THEN 0.0 ELSE 1.0 END) AS f{i}" for i, s in enumerate((10, 20, 40, 80)))
@@ -245,11 +245,97 @@ def _(spark, d):
     return rows.groupBy("plate", "well", "replicate").agg(F.count("*").alias("n"), F.round(F.sum("area"), 4).alias("area"))
 
 
-@_query("s9_extra_features", "SELECT o_orderkey, round(o_totalprice, 2) AS price, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@_query("s9_extra_features", """SELECT 'again_' || o_orderstatus || '/new/' || o_orderkey AS path, round(CASE WHEN o_orderstatus = 'F' THEN 1.5 * (o_totalprice - 2) + 2 ELSE o_totalprice END, 4) AS price, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
 def _(spark, d):
-    extra = v.table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
-    rows = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return tables.with_extra_features(rows, extra, "o_orderkey").groupBy("o_orderkey", "price").agg(F.count("*").alias("n"))
+    orders = v.table(spark, d, "orders")
+    extra = orders.select(F.concat(F.lit("old_"), "o_orderstatus", F.lit("/"), "o_orderkey").alias("path"), F.col("o_orderstatus").alias("plate"), F.lit("w").alias("well"), F.col("o_totalprice").alias("price"))
+    cells = v.table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("again_"), "o_orderstatus", F.lit("/new/"), "o_orderkey").alias("path"))
+    parameters = spark.createDataFrame([("F", "w", 1.5, 2.0)], "plate string, well string, slope double, offset double")
+    old = F.concat(F.lit("old_"), F.col("plate"), F.lit("/"))
+    out = tables.with_extra_features(cells, extra, "path", (old, F.lit("new/")), F.concat(F.lit("again_"), F.col("plate"), F.lit("/")), parameters, "price")
+    return out.groupBy("path", F.round("price", 4).alias("price")).agg(F.count("*").alias("n"))
+
+
+@_query("s1_s2_s7_u1_tables", f"WITH {v.CELLS} SELECT plate, well, cell_barcode_0, count(*) AS n, sum(ord)::BIGINT AS ord, round(sum(feature), 4) AS feature, count(feature) AS n_feature FROM cells GROUP BY ALL")
+def _(spark, d):
+    """Cells written as CSV by plate and well in two parts, read again together; a missing feature is written as nan."""
+    rows = v.cells(spark, d).select("plate", "well", "cell_barcode_0", "ord", F.coalesce("feature", F.lit(float("nan"))).alias("feature"))
+    paths = [tables.work_folder(spark) for _ in range(2)]
+    for part, path in enumerate(paths):
+        tables.write_tables(rows.where(F.col("ord") % 2 == part), path, "csv")
+    again = tables.read_tables(spark, paths, "cell_barcode_0 string, ord long, feature double, plate string, well string")
+    return again.groupBy("plate", "well", "cell_barcode_0").agg(F.count("*").alias("n"), F.sum("ord").alias("ord"), F.round(F.sum("feature"), 4).alias("feature"), F.count("feature").alias("n_feature"))
+
+
+@_query("s6_barcode_list", "SELECT DISTINCT p_brand || '-' || p_type AS barcode FROM part")
+def _(spark, d):
+    path = tables.work_folder(spark)
+    v.table(spark, d, "part").select(F.concat_ws("-", "p_brand", "p_type").alias("barcode")).write.option("header", True).csv(path)
+    return tables.read_barcodes(spark, path)
+
+
+@_query("s3_registrations", """WITH l AS (SELECT o_custkey % 40 AS field, o_orderkey AS k FROM orders) SELECT field, '/i m/' || max(k) || '.tif' AS image_10x, 0.5 AS cc_mag, max(k)::DOUBLE AS shift_x, CASE WHEN field % 2 = 0 THEN 7.5 END AS actual_y FROM l GROUP BY field""")
+def _(spark, d):
+    """Logs of registration attempts, a file for each field, in the new and the old form; the last attempt counts."""
+    path = tables.work_folder(spark)
+    form = F.when(F.col("field") % 2 == 0, F.concat_ws(" ", F.lit("0.5"), "k", F.lit("2 3 4 5 7.5"))).otherwise(F.concat_ws(" ", F.lit("0.5"), "k", F.lit("2")))
+    lines = v.table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("field"), F.col("o_orderkey").alias("k"))
+    lines = lines.select("field", "k", F.concat_ws(" ", F.concat(F.lit("/i m//"), "k", F.lit(".tif")), form).alias("value"))
+    lines.repartition("field").sortWithinPartitions("field", "k").select("field", "value").write.partitionBy("field").text(path)
+    found = tables.read_registrations(spark, path)
+    return found.select(F.regexp_extract("file_40x", r"field=(\d+)", 1).cast("long").alias("field"), "image_10x", "cc_mag", "shift_x", "actual_y")
+
+
+@_query("s4_s5_positions", f"WITH {v.NUCLEI} SELECT 'B' || label % 4 || '-' || label || '-ch1.tif' AS url, -round(x, 3) AS x, round(y, 3) AS y FROM nuclei WHERE label % 4 = 2 AND label % 3 > 0")
+def _(spark, d):
+    """Stage positions written as an XML index and read for one well and channel; x is negated."""
+    path = tables.work_folder(spark)
+    channel = F.when(F.col("label") % 3 > 0, "-ch1.tif").otherwise("-ch2.tif")
+    rows = v.nuclei(spark, d).select(F.concat(F.lit("B"), F.col("label") % 4, F.lit("-"), "label", channel).alias("URL"), F.round("x", 3).alias("PositionX"), F.round("y", 3).alias("PositionY"))
+    rows.write.format("xml").option("rowTag", "Image").save(path)
+    found = tables.read_field_index(spark, path, "B2").select("url", F.col("position_x").alias("x_raw"), F.col("position_y").alias("y_raw"))
+    return tables.sites_10x(found).select("url", "x", "y")
+
+
+@_query("s13_images", f"WITH {v.PIXELS} SELECT plate, well, field, row, col, value::DOUBLE AS value FROM pixels WHERE channel = 'c0'")
+def _(spark, d):
+    keys = ["plate", "well", "field"]
+    return tables.pixel_rows(tables.image_rows(v.pixels(spark, d).where("channel = 'c0'"), 40, 40, keys), keys).drop("channel")
+
+
+@_query("f1_f5_f13_f14_names", """SELECT o_orderkey AS k, chr((65 + o_orderkey % 6)::INT) || (o_custkey % 9 + 1) AS well, (o_orderkey % 333)::INT AS tile, CASE WHEN o_orderkey % 6 < 4 THEN printf('r%02dc%02d', o_orderkey % 6 + 1, o_custkey % 9 + 1) END AS code, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100)::INT END AS field,
+'x/f' || o_orderkey % 100 || 'p01-ch1.tiff' AS image, 'x/f' || o_orderkey % 100 || 'max-ch2.tif' AS partner, o_custkey % 7 || '_' || o_orderkey % 333 AS track, o_orderpriority || '_' || o_orderstatus || '_' || round_even(o_totalprice, 0)::BIGINT || '_x_f' || o_orderkey % 100 || 'max-ch1.tif' AS export FROM orders""")
+def _(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    low = F.concat(F.lit("/data/p/Well"), F.chr(65 + k % 6), c % 9 + 1, F.lit("_SBS-"), k % 333, F.lit(".tif"))
+    high = F.concat(F.when(k % 5 > 0, "r01c02f").otherwise("r01c02g"), k % 100, F.lit("max-ch1.tif"))
+    image = F.concat(F.lit("x/f"), k % 100, F.lit("max-ch1.tif"))
+    rows = v.table(spark, d, "orders").select("*", low.alias("low"), high.alias("high"), image.alias("image"))
+    well = names.well_10x(F.col("low"))
+    return rows.select(
+        k.alias("k"), well.alias("well"), names.tile_10x(F.col("low")).alias("tile"), names.well_code(well).alias("code"), names.field_40x(F.col("high")).alias("field"), names.image_key(F.col("image")).alias("image"),
+        names.partner_channel(F.col("image")).alias("partner"), names.track_id(c % 7, k % 333).alias("track"), names.export_name(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice"), F.col("image")).alias("export"),
+    )
+
+
+@_query("f11_f15_a14_values", "SELECT l_orderkey AS k, l_linenumber AS line, floor(l_extendedprice / 50) * 50 AS bin, round(l_tax / nullif(l_discount * l_quantity, 0), 6) AS fraction, round(1.5 + 2 * l_quantity - 0.25 * l_tax, 6) AS mapped FROM lineitem")
+def _(spark, d):
+    rows = v.table(spark, d, "lineitem")
+    mapped = match.affine(F.col("l_quantity"), F.col("l_tax"), [F.lit(1.5), F.lit(2.0), F.lit(-0.25)])
+    out = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), coords.floor_bin(F.col("l_extendedprice"), 50.0).cast("double").alias("bin"), coords.condensate_fraction(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity")).alias("fraction"), mapped.alias("mapped"))
+    return _rounded(out, "fraction", "mapped")
+
+
+@_query("p9_fitting_gate", f"WITH {v.NUCLEI} SELECT label FROM nuclei WHERE intensity / 20 >= 0.35 AND sqrt(x * x + y * y) <= 60")
+def _(spark, d):
+    rows = v.nuclei(spark, d).select("label", (F.col("intensity") / 20).alias("cc_mag"), F.col("x").alias("expected_x"), F.col("y").alias("expected_y"), F.lit(0.0).alias("actual_x"), F.lit(0.0).alias("actual_y"))
+    return match.registration_gate(rows, 0.35, 60).select("label")
+
+
+@_query("w6_random_fields", "SELECT o_orderstatus AS well, o_orderkey AS field FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('5|' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 24")
+def _(spark, d):
+    fields = v.table(spark, d, "orders").select(F.col("o_orderstatus").alias("well"), F.col("o_orderkey").alias("field"))
+    return stats.random_n(fields, 24, ["field"], 5, ["well"])
 
 
 @_query("s10_manifest", "SELECT o_orderkey, count(l_orderkey) AS n_files, count(l_orderkey) = 1 AS ok FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -277,12 +363,12 @@ m AS (SELECT * FROM r WHERE r1 = 1 AND r2 = 1 AND dist < 15 AND dist / nullif(se
 
 @_query("j3_mutual_nearest", PAIRS + " SELECT tile, label_40x, label_10x, round(dist, 6) AS dist, round(second_dist, 6) AS second_dist, round(intensity_diff, 6) AS intensity_diff FROM m")
 def _(spark, d):
-    return _rounded(match.mutual_nearest(v.nuclei(spark, d, 0), v.nuclei(spark, d, 1), ["tile"]), "dist", "second_dist", "intensity_diff")
+    return _rounded(match.mutual_nearest(v.nuclei(spark, d, 0), v.nuclei(spark, d, 1), ["tile"], bucketed=False), "dist", "second_dist", "intensity_diff")
 
 
 @_query("j3_mutual_nearest_grid", PAIRS + " SELECT tile, label_40x, label_10x, round(dist, 6) AS dist FROM m")
 def _(spark, d):
-    return _rounded(match.mutual_nearest(v.nuclei(spark, d, 0), v.nuclei(spark, d, 1), ["tile"], bucketed=True).select("tile", "label_40x", "label_10x", "dist"), "dist")
+    return _rounded(match.mutual_nearest(v.nuclei(spark, d, 0), v.nuclei(spark, d, 1), ["tile"]).select("tile", "label_40x", "label_10x", "dist"), "dist")
 
 
 @_query("a3_match_statistics", PAIRS + " SELECT n.tile, count(label_10x) AS n_matched, round(count(label_10x) / count(*), 6) AS fraction, (count(label_10x) - count(DISTINCT label_10x)) AS n_duplicated FROM (SELECT * FROM nuclei WHERE side = 0) n LEFT JOIN m ON n.tile = m.tile AND n.label = label_40x GROUP BY 1")
@@ -346,14 +432,31 @@ def _(spark, d):
     return _rounded(track.cheapest_paths(track.edges(v.frames(spark, d)), 0, 3).select("tile", "at", "cost"), "cost")
 
 
-@_query("t3_strict_paths")
+def _step(n: int) -> str:
+    """s{n}: the cheapest path to each nucleus of frame n, of equal costs the first."""
+    start = "prev_num IS NOT NULL" if n == 1 else f"prev_num = s{n - 1}.fin"
+    cost, path = ("dist", "[prev_num, nucleus_num]") if n == 1 else ("c + dist", "list_append(path, nucleus_num)")
+    source = "l" if n == 1 else f"l JOIN s{n - 1} ON l.tile = s{n - 1}.tile AND {start}"
+    return f"s{n} AS (SELECT tile, fin, c, path FROM (SELECT l.tile, nucleus_num AS fin, {cost} AS c, {path} AS path, row_number() OVER (PARTITION BY l.tile, nucleus_num ORDER BY {cost}, {path}) AS r FROM {source} WHERE frame = {n} AND {cost} <= 100) WHERE r = 1)"
+
+
+PATHS = f"WITH {EDGES}, l AS (SELECT * FROM ranked WHERE rank <= 3), {_step(1)}, {_step(2)}, {_step(3)}"
+STRICT = "nodes AS (SELECT tile, fin, unnest(path) AS node, generate_subscripts(path, 1) AS step FROM {0}), shared AS (SELECT DISTINCT tile, fin FROM nodes QUALIFY count(*) OVER (PARTITION BY tile, step, node) > 1) SELECT tile, fin AS at, round(c, 6) AS cost, array_to_string(path, '-') AS path FROM {0} WHERE c <= 60 AND (tile, fin) NOT IN (SELECT (tile, fin) FROM shared)"
+BETTER = "ordered AS (SELECT tile, fin, c, unnest(path) AS node, generate_subscripts(path, 1) AS step FROM s3), lost AS (SELECT DISTINCT tile, fin FROM ordered QUALIFY row_number() OVER (PARTITION BY tile, step, node ORDER BY c, fin) > 1), better AS (SELECT * FROM s3 WHERE (tile, fin) NOT IN (SELECT (tile, fin) FROM lost))"
+
+
+def _paths_shown(paths):
+    return _rounded(paths.select("tile", "at", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path")), "cost")
+
+
+@_query("t3_strict_paths", f"{PATHS}, {STRICT.format('s3')}")
 def _(spark, d):
-    return track.strict_paths(track.cheapest_paths(track.edges(v.frames(spark, d)), 0, 3), 60).select("tile", "at", "cost", "path")
+    return _paths_shown(track.strict_paths(track.cheapest_paths(track.edges(v.frames(spark, d)), 0, 3), 60))
 
 
-@_query("t4_better_paths")
+@_query("t4_better_paths", f"{PATHS}, {BETTER}, {STRICT.format('better')}")
 def _(spark, d):
-    return track.better_paths(track.cheapest_paths(track.edges(v.frames(spark, d)), 0, 3), 60).select("tile", "at", "cost", "path")
+    return _paths_shown(track.better_paths(track.cheapest_paths(track.edges(v.frames(spark, d)), 0, 3), 60))
 
 
 CHAIN = f"""WITH {EDGES}, n AS (SELECT *, row_number() OVER (PARTITION BY tile, frame, prev_num ORDER BY dist, nucleus_num) AS r FROM ranked WHERE rank = 1 AND dist <= 250), k AS (SELECT * FROM n WHERE r = 1),
@@ -502,9 +605,7 @@ def _(spark, d):
 def _(spark, d):
     """Each field's first channel against that of the next field of its well."""
     rows = v.pixels(spark, d).where("channel = 'c0'")
-    dark = F.lit(None).cast("double")
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("row") * 40 + F.col("col")).alias("at"), F.col("value").cast("double").alias("value"))))
-    images = rows.groupBy("plate", "well", "field").agg(at.alias("_at")).select("plate", "well", "field", F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.coalesce(F.try_element_at("_at", i), dark)).alias("pixels"))
+    images = tables.image_rows(rows, 40, 40, ["plate", "well", "field"])
     size = lambda side: [F.lit(40).alias(f"{side}_height"), F.lit(40).alias(f"{side}_width")]
     source = images.select("plate", "well", "field", F.col("pixels").alias("source"), *size("source"))
     target = images.select("plate", "well", (F.col("field") - 1).alias("field"), F.col("pixels").alias("target"), *size("target"))
@@ -541,7 +642,7 @@ def _(spark, d):
 @_query("a13_robust_affine")
 def _(spark, d):
     rows = v.nuclei(spark, d).select(F.col("tile"), "x", "y", (2 * F.col("x") + F.col("intensity") / 50 + 5).alias("to_x"), (2 * F.col("y") - 3).alias("to_y"))
-    return regions.robust_affine(rows, ["tile"], trials=200)
+    return robust.robust_affine(rows, ["tile"])
 
 
 def queries() -> dict:

@@ -59,15 +59,20 @@ FRAMES = "frames AS (SELECT tile, ((label // 10) % 4)::INT AS frame, label AS nu
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order line is a pixel of two channels: 40 x 40 places of an image for each flag and status."""
-    r, c = (F.col("l_orderkey") % 40).cast("int"), (F.col("l_partkey") % 40).cast("int")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("plate"), F.col("l_linestatus").alias("well"), (F.col("l_suppkey") % 7).cast("int").alias("field"), r.alias("row"), c.alias("col"), F.col("l_extendedprice").cast("int").alias("v0"), (F.col("l_quantity") * 100).cast("int").alias("v1"))
-    one = rows.groupBy("plate", "well", "field", "row", "col").agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"))
+    """Order lines as pixels of two channels: 400 orders make an image of 40 x 40 places, so images grow with the table.
+
+    Lines of one order with the same place add up.
+    """
+    at = (F.col("l_orderkey") % 400) * 4 + F.col("l_linenumber") % 4
+    field = F.floor(F.col("l_orderkey") / 400).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(field.alias("field"), F.floor(at / 40).cast("int").alias("row"), (at % 40).cast("int").alias("col"), F.col("l_extendedprice").cast("int").alias("v0"), (F.col("l_quantity") * 100).cast("int").alias("v1"))
+    one = rows.groupBy("field", "row", "col").agg(F.sum("v0").cast("int").alias("v0"), F.sum("v1").cast("int").alias("v1"))
+    place = [F.concat(F.lit("P"), F.floor(F.col("field") / 50)).alias("plate"), F.concat(F.lit("W"), F.floor(F.col("field") / 10) % 5).alias("well")]
     label = F.when((F.col("row") % 10 < 8) & (F.col("col") % 20 < 16), F.floor(F.col("row") / 10) * 2 + F.floor(F.col("col") / 20) + 1).otherwise(0).cast("int")
     both = F.explode(F.array(F.struct(F.lit("c0").alias("channel"), F.col("v0").alias("value")), F.struct(F.lit("c1").alias("channel"), F.col("v1").alias("value"))))
-    return one.withColumn("label", label).select("plate", "well", "field", "row", "col", "label", both.alias("x")).select("plate", "well", "field", "x.channel", "row", "col", "x.value", "label")
+    return one.withColumn("label", label).select(*place, "field", "row", "col", "label", both.alias("x")).select("plate", "well", "field", "x.channel", "row", "col", "x.value", "label")
 
 
-PIXELS = """one AS (SELECT l_returnflag AS plate, l_linestatus AS well, (l_suppkey % 7)::INT AS field, (l_orderkey % 40)::INT AS row, (l_partkey % 40)::INT AS col, max(trunc(l_extendedprice)::INT) AS v0, max(trunc(l_quantity * 100)::INT) AS v1 FROM lineitem GROUP BY ALL),
-lab AS (SELECT *, (CASE WHEN row % 10 < 8 AND col % 20 < 16 THEN (row // 10) * 2 + col // 20 + 1 ELSE 0 END)::INT AS label FROM one),
+PIXELS = """one AS (SELECT (l_orderkey // 400)::INT AS field, (((l_orderkey % 400) * 4 + l_linenumber % 4) // 40)::INT AS row, (((l_orderkey % 400) * 4 + l_linenumber % 4) % 40)::INT AS col, sum(trunc(l_extendedprice)::INT)::INT AS v0, sum(trunc(l_quantity * 100)::INT)::INT AS v1 FROM lineitem GROUP BY ALL),
+lab AS (SELECT 'P' || field // 50 AS plate, 'W' || field // 10 % 5 AS well, *, (CASE WHEN row % 10 < 8 AND col % 20 < 16 THEN (row // 10) * 2 + col // 20 + 1 ELSE 0 END)::INT AS label FROM one),
 pixels AS (SELECT plate, well, field, 'c0' AS channel, row, col, v0 AS value, label FROM lab UNION ALL SELECT plate, well, field, 'c1', row, col, v1, label FROM lab)"""

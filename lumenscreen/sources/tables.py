@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; without that setting a local one, if all tasks run in this process."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='lumen-')).rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def read_tables(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
-    """One or many CSV tables with a header; NaN becomes null."""
-    out = spark.read.schema(schema).option("header", True).option("nanValue", "nan").option("positiveInf", "inf").option("negativeInf", "-inf").csv(paths)
+    """One or many CSV tables with a header; NaN becomes null. A table may have folders for each plate and well."""
+    source = spark.read.schema(schema).option("header", True).option("nanValue", "nan").option("positiveInf", "inf").option("negativeInf", "-inf")
+    first, *others = [paths] if isinstance(paths, str) else paths
+    out = source.csv(first)
+    for path in others:
+        out = out.unionByName(source.csv(path))
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in out.dtypes if t in ("double", "float")})
 
 
@@ -54,9 +69,31 @@ def cohort(cells: DataFrame, plate_map: DataFrame, sublib: str, rep: int, base_d
     return out.withColumns({p: F.concat(F.lit(base_dir), F.col(p)) for p in paths}) if base_dir else out
 
 
-def with_extra_features(cells: DataFrame, extra: DataFrame, key: str = "cell_img_gfp_file") -> DataFrame:
-    """S9, J7."""
-    return cells.join(extra.dropDuplicates([key]), key)
+def with_extra_features(cells: DataFrame, extra: DataFrame, key: str = "cell_img_gfp_file", rewrite: tuple[Column, Column] | None = None, prefix: Column | None = None, parameters: DataFrame | None = None, feature: str | None = None) -> DataFrame:
+    """Features of another analysis of the same cells.
+
+    Their key becomes that of the cells: a part of it is replaced (old, new) and a prefix put before it, both of which
+    may depend on the row. With parameters, the one feature is calibrated as in F10; extra has plate and well then.
+    """
+    path = F.col(key) if rewrite is None else F.replace(F.col(key), *rewrite)
+    extra = extra.withColumn(key, path if prefix is None else F.concat(prefix, path))
+    if parameters is not None:
+        extra = calibrate(extra, parameters, [feature])
+    known = [c for c in ("plate", "well") if c in extra.columns and c in cells.columns]
+    return cells.join(extra.dropDuplicates([key]).drop(*known), key)
+
+
+def image_rows(pixels: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
+    """Pixel rows -> keys, channel, height, width and the pixels row by row, null where there is none."""
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("row") * width + F.col("col")).alias("at"), F.col("value").cast("double").alias("value"))))
+    every = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.try_element_at("_at", i))
+    return pixels.groupBy(*keys, "channel").agg(at.alias("_at")).select(*keys, "channel", F.lit(height).alias("height"), F.lit(width).alias("width"), every.alias("pixels"))
+
+
+def pixel_rows(images: DataFrame, keys: list[str]) -> DataFrame:
+    """Array rows (height, width, pixels) -> keys, channel, row, col, value. A null image or pixel has no row."""
+    flat = images.select(*keys, "channel", "width", F.posexplode("pixels").alias("_at", "value")).where("value IS NOT NULL AND width > 0")
+    return flat.select(*keys, "channel", F.floor(F.col("_at") / F.col("width")).cast("int").alias("row"), (F.col("_at") % F.col("width")).cast("int").alias("col"), "value")
 
 
 def calibrate(cells: DataFrame, parameters: DataFrame, features: list[str]) -> DataFrame:

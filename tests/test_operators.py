@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenscreen.functions import coords, names
-from lumenscreen.operators import clean, match, pixels, reads, stats, track
+from lumenscreen.operators import clean, match, pixels, reads, robust, stats, track
 from lumenscreen.sources import tables
 
 
@@ -45,10 +45,33 @@ def test_robust_line_finds_planted_line(spark):
     y = 2 * x + 5 + rng.normal(0, 1, 400)
     y[:40] += rng.uniform(500, 3000, 40)
     rows = [("p", "w", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("p", "w", None, 1.0), ("p", "w", 20000.0, 0.0)]
-    fit = clean.robust_line(spark.createDataFrame(rows, "plate string, well string, x double, y double"), "x", "y", ["plate", "well"], trials=100).first()
+    fit = robust.robust_line(spark.createDataFrame(rows, "plate string, well string, x double, y double"), "x", "y", ["plate", "well"], trials=100).first()
     assert abs(fit.slope - 2) < 0.5
 
 
+def test_robust_line_against_one_array(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 60, 900).astype(float)
+    y = np.round(3 * x - 4 + rng.normal(0, 5, 900))
+    y[:200] = 500 - 2 * x[:200]
+    df = spark.createDataFrame([("p", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("q", 1.0, 2.0), ("q", 1.0, 3.0), ("r", None, 1.0)], "k string, x double, y double")
+    fits = [{r.k: r for r in robust.robust_line(df.repartition(n), "x", "y", ["k"], trials=60).collect()} for n in (1, 7)]
+    assert set(fits[0]) == {"p", "q"} and fits[0]["q"].slope is None
+    data = robust._identified(df.where("k = 'p'").select("k", "x", "y"), ["k"], ["x", "y"], 0).toPandas()
+    x, y, taken = data["x"].to_numpy(), data["y"].to_numpy(), robust.draws(data["_row"].to_numpy(), 60) < 0.6
+    assert len(x) == 900 and 0.55 < taken.mean() < 0.65
+    limit, best = np.median(np.abs(y - np.median(y))), None
+    for t in range(60):
+        slope, intercept = np.polyfit(x[taken[:, t]], y[taken[:, t]], 1)
+        rest = y - slope * x - intercept
+        inside = np.abs(rest) <= limit
+        key = (inside.sum(), round(1 - (rest[inside] ** 2).sum() / ((y[inside] - y[inside].mean()) ** 2).sum(), 9))
+        best = max(best, (key, -t, inside), key=lambda b: b[:2]) if best else (key, -t, inside)
+    want = np.polyfit(x[best[2]], y[best[2]], 1)
+    for fit in fits:
+        assert np.allclose([fit["p"].slope, fit["p"].intercept], want) and fit["p"].n_inliers == best[2].sum()
+
+
 def test_sweep_without_passing_scalar(spark):
     rows = spark.createDataFrame([("p", "w", 1.0, float(i * 1000)) for i in range(10)], "plate string, well string, x double, y double")
     lines = spark.createDataFrame([("p", "w", 0.0, 0.0)], "plate string, well string, slope double, intercept double")
@@ -66,6 +89,27 @@ def test_statistics_gates_and_nulls(spark):
     assert share == {"a": (1.0, 30), "b": (0.0, 29), "absent": (None, 0)}
 
 
+def test_edges_of_the_grid_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    spots = [(t, f, n, float(rng.integers(0, 400 if t else 4000)), float(rng.integers(0, 60))) for t in range(2) for f in range(3) for n in range(40 if t else 12)]
+    rows = [("p", "w", *s) for s in spots] + [("p", "w", 1, 1, 99, None, 1.0)]
+    nuclei = spark.createDataFrame(rows, "plate string, well string, tile int, frame int, nucleus_num int, centroid_x double, centroid_y double")
+    want = set()
+    for t, f, n, x, y in spots:
+        near = sorted((float(np.sqrt((x - a) * (x - a) + (y - b) * (y - b))), m) for u, g, m, a, b in spots if (u, g) == (t, f - 1))
+        want |= {(t, f, n, m, d, i + 1) for i, (d, m) in enumerate(near[:3])}
+    for cell in (5.0, 50.0, 1e5):
+        got = track.edges(nuclei, cell=cell).collect()
+        assert {(r.tile, r.frame, r.nucleus_num, r.prev_num, r.dist, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_images_as_arrays(spark):
+    px = spark.createDataFrame([(0, "a", 0, 1, 5), (0, "a", 2, 0, 7), (1, "b", 1, 1, 9)], "field int, channel string, row int, col int, value int")
+    images = tables.image_rows(px, 3, 2, ["field"])
+    assert {r.field: r.pixels for r in images.collect()} == {0: [None, 5.0, None, None, 7.0, None], 1: [None, None, None, 9.0, None, None]}
+    assert sorted(tuple(r) for r in tables.pixel_rows(images, ["field"]).collect()) == sorted((f, c, r, k, float(x)) for f, c, r, k, x in px.collect())
+
+
 def test_tracks_need_every_frame(spark):
     rows = [(t, f, 10 * f + t, float(t * 50), float(f)) for t in range(3) for f in range(3) if (t, f) != (2, 1)]
     nuclei = spark.createDataFrame([("p", "w", 1, f, n, x, y) for _, f, n, x, y in rows], "plate string, well string, tile int, frame int, nucleus_num int, centroid_x double, centroid_y double")

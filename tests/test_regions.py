@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenscreen.operators import regions
+from lumenscreen.operators import regions, robust
 
 PIXELS = "plate string, well string, field int, channel string, row int, col int, value int, label int"
 
@@ -48,7 +48,7 @@ def test_crops_flat_field_and_affine(spark):
     to = np.column_stack([5 + 2 * xy[:, 0], -3 + 2 * xy[:, 1]])
     to[:12] += rng.uniform(100, 900, (12, 2))
     rows = [("a", *map(float, x), *map(float, y)) for x, y in zip(xy, to, strict=True)] + [("a", None, 1.0, 1.0, 1.0), ("b", 1.0, 1.0, 1.0, 1.0)]
-    fit = {r.k: r for r in regions.robust_affine(spark.createDataFrame(rows, "k string, x double, y double, to_x double, to_y double"), ["k"], trials=200).collect()}
+    fit = {r.k: r for r in robust.robust_affine(spark.createDataFrame(rows, "k string, x double, y double, to_x double, to_y double"), ["k"], trials=200).collect()}
     assert np.allclose(fit["a"].of_x, [5, 2, 0]) and np.allclose(fit["a"].of_y, [-3, 0, 2]) and fit["a"].n_inliers == 28 and fit["b"].of_x is None
 
 
