@@ -2,7 +2,11 @@
 
 import hashlib
 
-from lumenscreen.llm.secrets import INSIDE, WIDTH, pieces, scan, train, window
+import numpy as np
+from pyspark.sql import functions as F
+
+from lumenscreen.llm.language import fold
+from lumenscreen.llm.secrets import INSIDE, WIDTH, elsewhere, examples, pieces, scan, train, window
 
 
 def corpus(findings=200):
@@ -42,3 +46,22 @@ def test_rare_findings_are_learned_from(spark):
     model = train(rows)
     assert model is not None and 0 < model.threshold < 1
     assert train(rows.where("doc_id >= 10000")) is None
+
+
+def test_held_out_findings_without_their_keywords(spark):
+    docs = spark.createDataFrame(corpus(400), "doc_id long, text string")
+    rest = fold(F.col("doc_id"))
+    model = train(docs.where(rest != 0))
+    windows, labels, _ = examples(docs.where(rest == 0))
+    secret, other = ([w for w, k in zip(windows, labels, strict=True) if k == want and len(w) == WIDTH] for want in (1, 0))
+    (x, _), (y, _) = pieces(secret), pieces(other)
+    hidden = [r.tobytes() for r in elsewhere(x, y, np.random.default_rng(3))]
+    assert len(hidden) > 50 and (model.score(hidden) >= model.threshold).mean() >= 0.9
+    assert (model.score(other) >= model.threshold).mean() <= 0.02
+
+
+def test_any_token_can_be_an_example(spark):
+    # A text of many long tokens: each of them is learned from, not the longest ones only.
+    text = " ".join(f"{'abcdefghij'[i]}-longword-{'klmnopqrst'[i]}" for i in range(10))
+    windows, labels, fewest = examples(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
+    assert len(windows) == 10 and not labels.any() and fewest == 0
