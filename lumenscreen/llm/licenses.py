@@ -3,10 +3,12 @@
 A text is cut into sentences, each is normalised (lower case, letters, digits and dots of versions only) and looked up
 among known license sentences. The identifiers that are found, in order, are matched against rules: a rule is an
 ordered list of identifiers, and it holds where they stand in this order, with at most ``gap`` unknown sentences
-between neighbours. The longest rule wins at each place.
+between neighbours. The longest rule wins at each place. Short notices are also known within a longer sentence, and
+tags with an SPDX expression name their licenses themselves. Of the long licenses one sentence of each text is known.
 
 Defined cases: null and empty texts have no license; repeated sentences give repeated spans; rows that repeat a doc_id
-each get their result; spans are code points of the text, end exclusive; extra columns are ignored.
+each get their result; spans are code points of the text, end exclusive; a text of any length is read whole; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,13 @@ SENTENCES = {
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
+    "agpl3-text": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    "apache-text": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    "gpl2-text": "To protect your rights, we need to make restrictions that forbid anyone to deny you these rights or to ask you to surrender the rights",
+    "gpl3-text": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "lgpl21-text": "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it",
+    "lgpl3-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "mpl-text": "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
@@ -56,7 +65,12 @@ RULES = [
     ("GPL-3.0", ("gpl3-notice",)), ("GPL-3.0-or-later", ("gpl3-program", "gpl-hope")), ("GPL-3.0-or-later", ("gpl3-program",)),
     ("LGPL-3.0", ("lgpl-notice",)), ("MIT", ("mit-grant", "mit-notice", "mit-warranty")), ("MIT", ("mit-grant",)), ("MIT", ("mit-licensed",)), ("MIT", ("mit-released",)),
     ("MPL-2.0", ("mpl-notice",)), ("Unlicense", ("unlicense",)), ("all-rights-reserved", ("all-rights",)),
+    ("AGPL-3.0", ("agpl3-text",)), ("Apache-2.0", ("apache-text",)), ("GPL-2.0", ("gpl2-text",)), ("GPL-3.0", ("gpl3-text",)), ("LGPL-2.1", ("lgpl21-text",)), ("LGPL-3.0", ("lgpl3-text",)), ("MPL-2.0", ("mpl-text",)),
 ]
+#: Notices that count within a longer sentence, too.
+INNER = ("apache-notice", "bsd-notice", "bsd-released", "cc-by", "cc-by-sa", "cc-by-nc", "mit-released", "mit-licensed", "mpl-notice", "unlicense")
+#: Every license has a sentence with one of these; texts without any aren't cut into sentences.
+RARE = r"(?i)licen[cs]|rights|warrant|software|redistribut"
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
@@ -113,13 +127,27 @@ def _known() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 
 
 _BY_NORMAL, _RULES = _known()
+_INNER = re.compile("(?<![a-z0-9])(?:" + "|".join(normal(SENTENCES[n]) for n in sorted(INNER, key=lambda n: -len(SENTENCES[n]))) + ")(?![a-z0-9])")
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+\)?(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]+\)?)*)")
 _LEADS = {s.split()[0] + " " + s.split()[1] for s in _BY_NORMAL}
 _MOST_WORDS = max(len(s.split()) for s in _BY_NORMAL)
 
 
 def sentences(text: str) -> list[tuple[str | None, int, int]]:
-    """(identifier or None, start, end) of all sentences; a known sentence that marks cut up is put together again."""
-    cuts = [(m.start(), m.end(), normal(m.group())) for m in _SENTENCE.finditer(text)]
+    """(identifier or None, start, end) of all sentences; a known sentence that marks cut up is put together again.
+
+    A tag that names a license is a sentence of its own, known as "spdx:" and its expression.
+    """
+    out, at = [], 0
+    for tag in _TAG.finditer(text):
+        out += _between(text, at, tag.start())
+        out.append(("spdx:" + " ".join(tag[1].split()), tag.start(), tag.end()))
+        at = tag.end()
+    return out + _between(text, at, len(text))
+
+
+def _between(text: str, low: int, high: int) -> list[tuple[str | None, int, int]]:
+    cuts = [(m.start(), m.end(), normal(m.group())) for m in _SENTENCE.finditer(text, low, high)]
     cuts = [c for c in cuts if c[2]]
     out, i = [], 0
     while i < len(cuts):
@@ -133,7 +161,17 @@ def sentences(text: str) -> list[tuple[str | None, int, int]]:
                 if j >= len(cuts) or len(joined.split()) > _MOST_WORDS:
                     break
                 joined += " " + cuts[j][2]
-        out.append((name, cuts[i][0], cuts[i + taken - 1][1]) if taken else (None, cuts[i][0], cuts[i][1]))
+        if taken:
+            out.append((name, cuts[i][0], cuts[i + taken - 1][1]))
+        else:
+            # Up to two cuts together, as a mark or a line end may stand within a notice.
+            pair = cuts[i][2] + (" " + cuts[i + 1][2] if i + 1 < len(cuts) else "")
+            inner = _INNER.search(pair)
+            if inner and inner.start() < len(cuts[i][2]):
+                taken = 1 if inner.end() <= len(cuts[i][2]) else 2
+                out.append((_BY_NORMAL[inner.group()], cuts[i][0], cuts[i + taken - 1][1]))
+            else:
+                out.append((None, cuts[i][0], cuts[i][1]))
         i += max(taken, 1)
     return out
 
@@ -143,6 +181,8 @@ def match_rules(found: list[tuple[str | None, int, int]], gap: int = 1) -> list[
     out, i = [], 0
     while i < len(found):
         step = 1
+        if (found[i][0] or "").startswith("spdx:"):
+            out.append((found[i][0][5:], found[i][1], found[i][2]))
         for name, wanted in _RULES:
             at, k = i, 0
             while k < len(wanted) and at < len(found):
@@ -161,18 +201,19 @@ def match_rules(found: list[tuple[str | None, int, int]], gap: int = 1) -> list[
 
 
 def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    leads = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted(x.replace(" ", "[^a-z0-9]+") for x in _LEADS)) + ")", re.IGNORECASE)
+    leads = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted({x.replace(" ", "[^a-z0-9]+") for x in _LEADS})) + ")|" + "|".join(sorted({SENTENCES[n].split()[0] + " " + SENTENCES[n].split()[1] for n in INNER})) + "|SPDX-", re.IGNORECASE)
     for batch in batches:
-        names, spans = [], []
+        names, spans, counts = [], [], []
         for text in batch.column(1).to_pylist():
             hits = match_rules(sentences(text)) if text and leads.search(text) else []
             names.append(",".join(sorted({h[0] for h in hits})))
             spans.append(",".join(f"{n}:{s}:{e}" for n, s, e in hits))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(spans, pa.string()), pa.array([s.count(":") // 2 for s in spans], pa.int64())], names=["doc_id", "licenses", "spans", "n_spans"])
+            counts.append(len(hits))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(spans, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "licenses", "spans", "n_spans"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted names), spans (license:start:end), n_spans of every document."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scanner, "doc_id long, licenses string, spans string, n_spans long")
+    text = F.when(F.col("text").rlike(RARE), F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_scanner, "doc_id long, licenses string, spans string, n_spans long")

@@ -1,10 +1,12 @@
 """Whole license texts are found wrapped, in one line and as a list."""
 
+import re
 import textwrap
+from pathlib import Path
 
 import pytest
 
-from lumenscreen.llm.licenses import TEXTS, match_rules, sentences
+from lumenscreen.llm.licenses import RARE, RULES, SENTENCES, TEXTS, match_rules, scan, sentences
 
 
 @pytest.mark.parametrize("name", TEXTS)
@@ -21,3 +23,41 @@ def test_whole_texts_are_found(name):
 
 def test_a_wrapped_mit_grant_is_enough():
     assert [x[0] for x in match_rules(sentences(textwrap.fill(TEXTS["MIT"].splitlines()[0], 70)))] == ["MIT"]
+
+
+@pytest.mark.parametrize("text, names", [
+    ("See file. Released under the MIT License by Foo", ["MIT"]),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */ int x;", ["GPL-2.0-or-later"]),
+    ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os", ["(MIT OR Apache-2.0)"]),
+    ("This file is licensed under the Apache License,\nVersion 2.0, by all of us.", ["Apache-2.0"]),
+    ("licensed under the mit licensee", []), ("the license of the software is not named", []), ("SPDX-License-Identifier:", []),
+])
+def test_notices_within_sentences_and_tags(text, names):
+    assert [x[0] for x in match_rules(sentences(text))] == names
+
+
+def test_every_license_has_a_rare_word():
+    for name, wanted in RULES:
+        assert re.search(RARE, " ".join(SENTENCES[w] for w in wanted)), name
+    assert all(re.search(RARE, t) for t in TEXTS.values())
+
+
+OFFICIAL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("file", OFFICIAL)
+def test_official_texts_of_this_machine(file):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("the texts aren't installed")
+    found = {x[0] for x in match_rules(sentences(path.read_text()))}
+    assert OFFICIAL[file] in found and not {n for n in OFFICIAL.values() if n != OFFICIAL[file]} & found
+
+
+def test_scan_of_nulls_repeated_rows_and_long_texts(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, None, 0), (2, "", 0), (3, notice, 0), (3, notice, 0), (None, notice, 0), (4, "plain words " * 100_000 + notice, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = sorted((str(r.doc_id), r.licenses, r.n_spans) for r in scan(df).collect())
+    assert got == sorted([("1", "", 0), ("2", "", 0), ("3", "MIT", 1), ("3", "MIT", 1), ("None", "MIT", 1), ("4", "MIT", 1)])
+    assert scan(df.limit(0)).count() == 0
