@@ -3,17 +3,18 @@
 Coarse centroids and the residual codebooks are fitted on at most ``sample`` vectors (a documented bound; a hash of the
 id picks them). The number of lists to probe is measured on the same sample: as many as hold 0.97 of the neighbours
 there. Every vector is then assigned to its centroid's list and coded. A query probes
-its nearest lists and scores their codes through its table of inner products, the asymmetric distance table. The best
+its nearest lists, more of them where these hold fewer than k others, and scores their codes through its table of inner products, the asymmetric distance table. The best
 are reranked on the original vectors in double precision.
 
-Lists are cut into parts of bounded size, so that a list with a third of all rows is many tasks' work, and the parts
-are dealt to units. A task holds the candidates of one unit; the queries that probe a list of it stream by. Only the k
+Lists are cut into parts of bounded size, so that a list with a third of all rows is many tasks' work, and the parts,
+in an order that keeps near lists together, are dealt to units. A task holds the candidates of one unit; the queries that probe a list of it stream by. Only the k
 best of a query leave a unit, after the exact reranking there. Query vectors are shuffled, never broadcast; only the
 fitted index is, whose size the parameters bound.
 
 Defined cases: a vector that is null, empty, zero, of another length than most, or holds null or non-finite components
 takes no part; a null id takes no part; equal scores go to the smaller id; with fewer candidates than k all are
-returned; an empty table gives no rows; rows that repeat an id are candidates of their own.
+returned; an empty table gives no rows; rows that repeat an id are queries and candidates of their own, and each finds
+the others.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, steps: int) -> np.ndarray:
-    centres = x[rng.choice(len(x), k, replace=False)].copy()
+    different = np.unique(x, axis=0)
+    k = min(k, len(different))
+    centres = different[rng.choice(len(different), k, replace=False)].copy()
     for _ in range(steps):
         own = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
         n = np.bincount(own, minlength=k)
@@ -69,6 +72,15 @@ class Index:
         del self.unit  # isn't part of the index
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
+    def probes(self, x: np.ndarray, n: int, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each row its nearest lists that hold something: n of them, or more until they hold ``least`` rows."""
+        near = self.nearest(x, len(self.centres))
+        out = []
+        for own in near:
+            own = own[sizes[own] > 0]
+            out.append(own[: max(n, int(np.searchsorted(np.cumsum(sizes[own]), least)) + 1)])
+        return out
+
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         score = x @ self.centres.T - 0.5 * (self.centres**2).sum(1)
         n = min(n, len(self.centres))
@@ -112,30 +124,50 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
+def near_order(x: np.ndarray) -> np.ndarray:
+    """An order of the rows that puts near ones together: halved again and again along the widest direction."""
+    if len(x) < 3:
+        return np.arange(len(x))
+    middle = x - x.mean(0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    order = np.argsort(along, kind="stable")
+    low, high = order[: len(x) // 2], order[len(x) // 2 :]
+    return np.concatenate([low[near_order(x[low])], high[near_order(x[high])]])
+
+
 class Deal:
-    """Where the parts of the lists go: part p of list l is in unit (start[l] + p) % units."""
+    """Where the parts of the lists go: lists near each other follow each other, and units are even shares of all rows.
 
-    def __init__(self, sizes: np.ndarray, units: int, part_rows: int):
-        self.parts = np.maximum(1, -(-sizes // part_rows))
-        self.start = np.cumsum(self.parts) - self.parts
-        self.units = units
+    So the lists of a query lie in few units, and a list with a third of all rows is spread over a third of them.
+    """
+
+    def __init__(self, sizes: np.ndarray, order: np.ndarray, units: int, part_rows: int):
+        self.sizes, self.units = sizes.astype(np.int64), units
+        self.parts = np.maximum(1, -(-self.sizes // part_rows))
+        self.before = np.zeros(len(sizes), np.int64)
+        self.before[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+        self.total = max(1, int(self.sizes.sum()))
+
+    def unit(self, lists: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (self.before[lists] + part * self.sizes[lists] // self.parts[lists]) * self.units // self.total
 
     def of_rows(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
         mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        return (self.start[own] + (mixed % self.parts[own].astype(np.uint64)).astype(np.int64)) % self.units
+        return self.unit(own, (mixed % self.parts[own].astype(np.uint64)).astype(np.int64))
 
     def of_query(self, lists: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Each unit that holds a part of these lists, with those of the lists that it holds."""
-        many = np.minimum(self.parts[lists], self.units)
+        many = self.parts[lists]
         each = np.repeat(lists, many)
-        at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-        unit = (self.start[each] + at) % self.units
+        unit = self.unit(each, np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many))
         order = np.argsort(unit, kind="stable")
         cuts = np.flatnonzero(np.diff(unit[order])) + 1
-        return [(int(unit[some[0]]), each[some]) for some in np.split(order, cuts)]
+        return [(int(unit[some[0]]), np.unique(each[some])) for some in np.split(order, cuts)]
 
 
-SCANNED = "unit int, side int, id long, v binary, list int, code binary"
+#: side 0: candidates, 1: queries; twin tells queries apart that share an id; times: how many equal rows ask.
+SCANNED = "unit int, side int, id long, v binary, list int, code binary, twin long, times int"
+_SCANNED = [x.split()[0] for x in SCANNED.split(", ")]
 
 
 def _assigner(shared):
@@ -157,12 +189,13 @@ def _coder(shared, deal: Deal, dtype: str):
                 own, codes = shared.value.encode(_unit(v))
                 unit = deal.of_rows(own, batch.column(0).to_numpy())
                 side = pa.array(np.zeros(len(v)), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), side, batch.column(0), _binary(v.astype(dtype)), pa.array(own, pa.int32()), _binary(codes)], names=["unit", "side", "id", "v", "list", "code"])
+                none = pa.nulls(len(v), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), side, batch.column(0), _binary(v.astype(dtype)), pa.array(own, pa.int32()), _binary(codes), none, none.cast(pa.int32())], names=_SCANNED)
 
     return code
 
 
-def _prober(shared, deal: Deal, probes: int, dtype: str):
+def _prober(shared, deal: Deal, probes: int, least: int, dtype: str):
     """Queries, side 1: once for each unit that holds a probed list, with those lists in place of a code."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +204,14 @@ def _prober(shared, deal: Deal, probes: int, dtype: str):
                 some = batch.slice(at, 64)
                 v = _matrix(some, "v")
                 row, unit, lists = [], [], []
-                for i, near in enumerate(shared.value.nearest(_unit(v), probes)):
+                for i, near in enumerate(shared.value.probes(_unit(v), probes, deal.sizes, least)):
                     for u, held in deal.of_query(near):
                         row.append(i)
                         unit.append(u)
                         lists.append(held.astype(np.int32).tobytes())
                 take = pa.array(row, pa.int64())
                 side = pa.array(np.ones(len(row)), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), side, some.column(0).take(take), _binary(v.astype(dtype)).take(take), pa.nulls(len(row), pa.int32()), pa.array(lists, pa.binary())], names=["unit", "side", "id", "v", "list", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), side, some.column(0).take(take), _binary(v.astype(dtype)).take(take), pa.nulls(len(row), pa.int32()), pa.array(lists, pa.binary()), some.column(2).take(take), some.column(3).take(take)], names=_SCANNED)
 
     return probe
 
@@ -195,8 +228,8 @@ class _Unit:
         self.lists, first = np.unique(self.own, return_index=True)
         self.edges = np.append(first, len(ids))
 
-    def nearest(self, queries: pa.RecordBatch, dtype: str, best: int, k: int) -> pa.RecordBatch:
-        """The k best of each query: the ``best`` by its distance tables, reranked by the cosine of the vectors."""
+    def nearest(self, queries: pa.RecordBatch, dtype: str, best: int | None, k: int) -> pa.RecordBatch:
+        """The k best of each query: the ``best`` (None: all) by its distance tables, reranked by the vectors' cosine."""
         raw = _rows(queries.column(3), dtype).astype(np.float64)
         unit = _unit(raw)
         tables = self.index.tables(unit).astype(np.float32)
@@ -211,24 +244,27 @@ class _Unit:
                 for m in range(self.codes.shape[1]):
                     part += np.take(tables[wanted, m], self.codes[s:e, m], 1)
                 score[wanted, s:e] = part
-        query_id, vec_id, exact = [], [], []
+        chosen_of, vec_id, exact = [], [], []
         for i, query in enumerate(queries.column(2).to_pylist()):
-            score[i, self.ids == query] = -np.inf
-            n = min(best, score.shape[1])
+            # The query's own row is out; others with its id, and further equal rows, are candidates.
+            mine = np.flatnonzero(self.ids == query)
+            score[i, mine[(self.v[mine].astype(np.float64) == raw[i]).all(1)][:1]] = -np.inf
+            n = min(best or score.shape[1], score.shape[1])
             limit = np.partition(score[i], score.shape[1] - n)[score.shape[1] - n]
             # All that tie with the last one compete, and the smaller ids among equals stay.
             top = np.flatnonzero((score[i] >= limit) & np.isfinite(score[i]))
-            top = top[np.lexsort((self.ids[top], -score[i, top]))][:best]
+            top = top[np.lexsort((self.ids[top], -score[i, top]))][:n]
             x, y = _scaled(raw[i : i + 1]), _scaled(self.v[top].astype(np.float64)) if len(top) else self.v[top]
             found = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
             chosen = np.lexsort((self.ids[top], -found))[:k]
-            query_id.append(np.full(len(chosen), query))
+            chosen_of.append(np.full(len(chosen), i))
             vec_id.append(self.ids[top][chosen])
             exact.append(found[chosen])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(query_id), pa.int64()), pa.array(np.concatenate(vec_id), pa.int64()), pa.array(np.concatenate(exact), pa.float64())], names=["query_id", "vec_id", "score"])
+        of = pa.array(np.concatenate(chosen_of), pa.int64())
+        return pa.RecordBatch.from_arrays([queries.column(2).take(of), queries.column(6).take(of), queries.column(7).take(of), pa.array(np.concatenate(vec_id), pa.int64()), pa.array(np.concatenate(exact), pa.float64())], names=["query_id", "twin", "times", "vec_id", "score"])
 
 
-def _scanner(shared, dtype: str, best: int, k: int):
+def _scanner(shared, dtype: str, best: int | None, k: int):
     """Units in order, candidates before queries: the candidates of one unit are held, its queries stream by."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +287,11 @@ def _scanner(shared, dtype: str, best: int, k: int):
     return scan
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_rows: int = 256, most_lists: int = 2048, recall: float = 0.97, parts: int = 32, codes: int = 256, rerank: int = 200, unit_rows: int = 32768, seed: int = 3) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds."""
+def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_rows: int = 256, most_lists: int = 2048, recall: float = 0.97, parts: int = 32, codes: int = 256, rerank: int = 200, unit_rows: int = 32768, seed: int = 3, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds.
+
+    exact: all lists are probed and all their vectors reranked, so that no neighbour is missed.
+    """
     spark = vectors.sparkSession
     small_batches(spark)
     rows = usable(vectors)
@@ -267,18 +306,22 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = 20_000, list_
     fitted = np.asarray(picked.flatten(), np.float64).reshape(len(picked), -1)
     lists = max(1, min(most_lists, total // list_rows))
     index = Index(fitted / np.abs(fitted).max(1, keepdims=True), lists, parts, codes, seed)
-    probes = index.probes_for(recall, k, seed)
+    probes, best = index.probes_for(recall, k, seed), rerank
+    if exact:
+        probes, best = len(index.centres), None
     shared = spark.sparkContext.broadcast(index)
 
     counted = np.zeros(len(index.centres), np.int64)  # most_lists numbers at most
     for row in rows.select("v").mapInArrow(_assigner(shared), "list int").groupBy("list").count().collect():
         counted[row["list"]] = row["count"]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    deal = Deal(counted, max(partitions, -(-total // unit_rows)), unit_rows // 4)
+    deal = Deal(counted, near_order(index.centres), max(partitions, -(-total // unit_rows)), unit_rows // 4)
     dtype = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     coded = rows.select("vec_id", "v").mapInArrow(_coder(shared, deal, dtype), SCANNED)
-    asked = rows.where(is_query).select("vec_id", "v").mapInArrow(_prober(shared, deal, probes, dtype), SCANNED)
+    queries = rows.where(is_query).groupBy("vec_id", "v").agg(F.count("*").cast("int").alias("times"))
+    asked = queries.select("vec_id", "v", F.xxhash64("v").alias("twin"), "times").mapInArrow(_prober(shared, deal, probes, k + 1, dtype), SCANNED)
     in_order = coded.unionAll(asked).repartition(partitions, "unit").sortWithinPartitions("unit", "side")
-    found = in_order.mapInArrow(_scanner(shared, dtype, rerank, k), "query_id long, vec_id long, score double")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = in_order.mapInArrow(_scanner(shared, dtype, best, k), "query_id long, twin long, times int, vec_id long, score double")
+    ranked = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
+    kept = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return kept.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", "rank", "vec_id", "score")
