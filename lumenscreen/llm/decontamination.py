@@ -5,11 +5,12 @@ vocabulary; runs of known words that are long enough to hold a window are indexe
 All benchmark windows are searched backwards through the index at once, their occurrences are located from sampled
 suffix positions, and overlapping occurrences merge into removal spans. Documents are never shuffled.
 
-The benchmark is read in blocks of bounded size (``block_bytes``); each block is one more pass over the same rows.
+The benchmark is read in blocks of bounded size (``block_bytes``), whose windows, about ten times its bytes, are
+broadcast; each block is one more pass over the same rows.
 
 A window is 13 consecutive words of an item; a shorter item is one window; an item without words has none.
 Defined cases: a null or empty text has no words and is never contaminated; a null item text has no window; repeated
-item ids count once for a document; repeated document rows each get their own result; an empty benchmark marks
+item ids count once for a document; a null item id is named "null"; a text of any length is one shard or more; repeated document rows each get their own result; an empty benchmark marks
 nothing; columns of docs beyond doc_id and text are kept by ``find_contamination`` under their own names.
 """
 
@@ -30,27 +31,30 @@ WINDOW = 13
 
 
 class Windows:
-    """The windows of a block of items, as rows of identifiers for each window length."""
+    """The windows of a block of items, as rows of identifiers for each window length, and the items that have each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         batch = pa.RecordBatch.from_pydict({"text": [t for _, t in items]}, schema=pa.schema([("text", pa.large_string())]))
-        found: dict[tuple, set[int]] = {}
+        symbols, bounds, self.vocabulary = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.uint64)
         for part in slices(iter([batch]), most=1 << 62):
             lowered = LOWER[part.data]
             start, end, bounds = part.words(lowered, ALNUM)
-            hashes = span_hashes(prefix_hashes(lowered), start, end)
-            self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
-            symbols = symbols + 1
-            for i in range(len(part)):
-                words = symbols[bounds[i] : bounds[i + 1]]
-                for k in range(max(1, len(words) - window + 1) if len(words) else 0):
-                    found.setdefault(tuple(words[k : k + window].tolist()), set()).add(i)
+            self.vocabulary, symbols = np.unique(span_hashes(prefix_hashes(lowered), start, end), return_inverse=True)
+            symbols = (symbols + 1).astype(np.int32)
         self.items = [x for x, _ in items]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in sorted({len(w) for w in found}):
-            own = [(w, sorted(i)) for w, i in found.items() if len(w) == length]
-            bounds = np.append(0, np.cumsum([len(i) for _, i in own]))
-            self.by_length[length] = (np.array([w for w, _ in own], np.int64), bounds, np.concatenate([np.array(i) for _, i in own]))
+        counts = np.diff(bounds)
+        sizes = np.minimum(counts, window)
+        for length in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == length)
+            n = counts[own] - length + 1
+            item = np.repeat(own, n)
+            at = np.repeat(bounds[:-1][own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(symbols, length)[at])
+            _, first, name = np.unique(rows.view(np.dtype((np.void, 4 * length))).ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(name * np.int64(len(items)) + item)
+            owners = np.append(0, np.cumsum(np.bincount(pairs // len(items), minlength=len(first))))
+            self.by_length[length] = (rows[first], owners, (pairs % len(items)).astype(np.int32))
 
 
 def _hits(known: np.ndarray, bounds: np.ndarray, windows: Windows, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +95,9 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
 
 
-def _marker(windows: Windows, shard_bytes: int, sample: int):
+def _marker(shared, shard_bytes: int, sample: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: Windows = shared.value
         item_names = np.array(windows.items, object)
         for part in slices(batches, "_text", shard_bytes):
             lowered = LOWER[part.data]
@@ -136,7 +141,7 @@ def _span_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_words": F.lit(0).cast("long"), "word_spans": none, "byte_spans": none, "items": F.array().cast("array<string>"), "new_items": F.array().cast("array<string>")})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 1_500_000, block_bytes: int = 16_000_000, sample: int = 16) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 1_500_000, block_bytes: int = 4_000_000, sample: int = 16) -> DataFrame:
     """doc_id, doc (the whole row), n_words, word_spans and byte_spans (start, end, start, end ...), sorted items."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -147,7 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for block in range(blocks):
         own = texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
         windows = Windows([tuple(x) for x in sorted(own)], window)
-        out = out.mapInArrow(_marker(windows, shard_bytes, sample), out.schema)
+        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(windows), shard_bytes, sample), out.schema)
         out = out.withColumn("items", F.array_distinct(F.concat("items", "new_items")))
     return out.select(F.col("doc.doc_id").alias("doc_id"), "doc", "n_words", "word_spans", "byte_spans", F.array_sort("items").alias("items"))
 

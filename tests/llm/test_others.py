@@ -168,3 +168,35 @@ def test_lines_and_licenses(spark):
     assert {r.doc_id: r.licenses for r in found} == {1: "Apache-2.0,MIT,all-rights-reserved", 2: "", 3: ""}
     spans = [re.split(":", s) for s in next(r.spans for r in found if r.doc_id == 1).split(",")]
     assert text[int(spans[0][1]) : int(spans[0][2])].strip().startswith("Licensed under the Apache")
+
+
+def test_ann_exact_mode_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 6)), 3)
+    ids = np.arange(400)
+    ids[300:310] = 50  # ten more rows with the id of a query
+    x[300] = x[50]  # and one of them its twin
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0, exact=True).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        others = np.delete(np.arange(400), q)
+        near = others[np.lexsort((ids[others], -np.round(u[others] @ u[q], 12)))][:5]
+        want += [(int(ids[q]), k + 1, int(ids[j])) for k, j in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
+    assert ann.search(df.limit(0), F.lit(True)).count() == 0 and ann.search(df.limit(1), F.lit(True)).count() == 0
+
+
+def test_windows_of_a_large_benchmark_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(5000)])
+    items = [(str(i), " ".join(words[rng.integers(0, 5000, 400)])) for i in range(2000)]
+    tracemalloc.start()
+    windows = decontamination.Windows(items, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    patterns, owners, _ = windows.by_length[13]
+    assert len(patterns) == 2000 * 388 == owners[-1] and peak < 100 * sum(len(t) for _, t in items)
