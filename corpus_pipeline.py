@@ -36,7 +36,7 @@ STAGES = [
     ("mixing sources", mix_sources),
 ]
 
-#: Learned language models, templates and sketches can't be written in SQL; tests hold the stages against brute force.
+#: Learned language models and sketches can't be written in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
