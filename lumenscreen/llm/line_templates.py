@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import salted_join, stored
+from .shared import discard, salted_join, stored
 
 FIELD = "<*>"
 BROADCAST_ROWS = 1_000_000
@@ -56,7 +56,7 @@ def parsed_lines(docs: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def templates(rows: DataFrame, min_contexts: int = 8, constant_share: float = 0.6, constant_places: float = 0.5) -> DataFrame:
-    """line, first_doc, rows of the lines that recur by themselves or by their template. rows: stored parsed lines."""
+    """line, first_doc, rows of the lines that recur by themselves or by their template, stored. rows: stored parsed lines."""
     alone = rows.groupBy("line", "copy").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.sum("n").alias("rows"))
     alone = stored(alone)
     crowded = stored(rows.groupBy("leaf", "context").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("contexts"), F.sum("n").alias("_rows")).where(F.col("contexts") >= min_contexts).select("leaf", "_rows"))
@@ -80,15 +80,19 @@ def templates(rows: DataFrame, min_contexts: int = 8, constant_share: float = 0.
     recurring = found.groupBy("template").agg(F.count("*").alias("contexts"), F.min("doc_id").alias("first_doc")).where(F.col("contexts") >= min_contexts)
     by_template = named.join(recurring, "template").select("line", "first_doc").join(alone.select("line", "rows"), "line")
     by_itself = alone.where(F.col("copies") >= min_contexts).select("line", "first_doc", "rows")
-    return by_itself.union(by_template).groupBy("line").agg(F.min("first_doc").alias("first_doc"), F.max("rows").alias("rows"))
+    out = stored(by_itself.union(by_template).groupBy("line").agg(F.min("first_doc").alias("first_doc"), F.max("rows").alias("rows")))
+    discard(alone, crowded, distinct)
+    return out
 
 
 def dropped_lines(docs: DataFrame, depth: int = 3, min_contexts: int = 8, **options) -> DataFrame:
     """doc_id, drop: the places of the lines that go."""
     rows = stored(parsed_lines(docs, depth))
-    found = stored(templates(rows, min_contexts, **options))
+    found = templates(rows, min_contexts, **options)
     hit = salted_join(rows.select("doc_id", "pos", "line"), found, "line", F.col("doc_id"), "rows").where("first_doc IS NOT NULL AND doc_id <> first_doc")
-    return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+    drops = stored(hit.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")))
+    discard(rows, found)
+    return drops
 
 
 def _kept(text: Column, drop: Column) -> Column:

@@ -145,7 +145,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             F.struct(part(lambda x, i: x["quota"] - F.get("left", i)).alias("q"), F.col("mid").alias("low"), F.col("high").alias("high")),
         )
         whole = F.array(F.struct(F.col("q").alias("q"), F.col("low").alias("low"), F.col("high").alias("high")))
-        tree = nodes.select(F.inline(F.when(F.col("high") - F.col("low") > 1, halves).otherwise(whole)))
+        # Each level is cut, so that plans stay small; a level is a row for each shard at most.
+        tree = cut(nodes.select(F.inline(F.when(F.col("high") - F.col("low") > 1, halves).otherwise(whole))))
     return tree.select(F.col("low").alias("shard"), F.explode("q").alias("x")).select("x.source", "shard", "x.quota")
 
 

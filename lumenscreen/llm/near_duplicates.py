@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import salted_join, small_batches, stored
+from .shared import discard, salted_join, small_batches, stored
 from .sketches import SIGNATURE, SKETCH_BITS, setter, signer
 from .text import NOT_SPACE
 
@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     more = stored(in_order.mapInArrow(_cross_links(limit, percent), pair).distinct())
     if more.limit(1).count():
         roots = components(links.union(more))
+    discard(members, detail, star, near, links, more)
 
     of_rep = classes.groupBy("rep").agg(F.count("*").alias("_n")).join(roots.withColumnRenamed("node", "rep"), "rep")
     found = salted_join(classes.select("doc_id", "rep"), of_rep, "rep", F.col("doc_id"), "_n")
@@ -191,7 +192,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     out = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).where("doc_id IS NOT NULL").join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     nulls = signed.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(nulls).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = stored(out.unionByName(nulls).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    discard(signed, classes)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
