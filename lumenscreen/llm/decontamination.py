@@ -141,7 +141,7 @@ def _span_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_words": F.lit(0).cast("long"), "word_spans": none, "byte_spans": none, "items": F.array().cast("array<string>"), "new_items": F.array().cast("array<string>")})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 1_500_000, block_bytes: int = 4_000_000, sample: int = 16) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 750_000, block_bytes: int = 4_000_000, sample: int = 16) -> DataFrame:
     """doc_id, doc (the whole row), n_words, word_spans and byte_spans (start, end, start, end ...), sorted items."""
     spark = docs.sparkSession
     small_batches(spark)

@@ -233,7 +233,7 @@ def _labeller(shared, spans: bool):
         model = shared.value
         scorer, n_labels = Scorer(model), len(model.languages)
         # Words times languages bound the memory of a slice.
-        for part in slices(batches, "_text", max(100_000, min(4_000_000, 80_000_000 // n_labels))):
+        for part in slices(batches, "_text", max(100_000, min(2_000_000, 80_000_000 // n_labels))):
             words, n = Words(part), len(part)
             names, score = np.full(n, "und", object), np.zeros(n)
             first = last = own = np.zeros(0, np.int64)

@@ -234,7 +234,8 @@ def mix(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
     named = {n: free_name(n, docs.columns) for n in ("shard", "draw", "words", "position")}
     out = plan.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], *[F.col(f"_d.{n}").alias(named[n]) for n in ("shard", "draw", "words")], position.alias(named["position"]))
     n = shards or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartition(n, named["shard"]).sortWithinPartitions(named["shard"], named["position"])
+    # A hash would put several shards in one partition and none in others.
+    return out.repartitionById(n, named["shard"]).sortWithinPartitions(named["shard"], named["position"])
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
