@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language, licenses, line_templates, mixing, near_duplicates, secrets, suffix_dedup, warc
+from . import ann, decontamination, language, licenses, line_templates, mixing, near_duplicates, packing, resampling, secrets, suffix_dedup, vector_codes, warc
 from .shared import table
 
 OP9_SQL = r"""
@@ -186,6 +186,65 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _op11_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds unrolled; the smallest of 16 * distance + entry gives both."""
+    out = """WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x FROM (SELECT *, unnest(range(8)) AS part FROM k)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS r FROM p) WHERE r <= 16)"""
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (
+  SELECT vec_id, part, any_value(x) AS x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT * 16 + entry) AS m FROM p JOIN b{i} USING (part) GROUP BY vec_id, part
+)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM (
+  SELECT part, m % 16 AS entry, pos, sum(x[pos])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS pos FROM a{i}) GROUP BY ALL) GROUP BY part, entry),
+b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN s{i} USING (part, entry))"""
+    return out + f""",
+e AS (SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, sum(m // 16)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM e JOIN k USING (vec_id), h"""
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+# CRC-32 bit by bit for the 256 bytes, then byte by byte for each different word.
+OP12_SQL = r"""
+WITH tab AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM (SELECT unnest(range(256))::BIGINT AS i)
+), raw AS MATERIALIZED (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 'b', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), vocabulary AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(w)), lambda i: ('0x' || hex(w)[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM raw), tab
+), counts AS MATERIALIZED (SELECT side, doc_id, bucket, count(*) AS n FROM raw JOIN vocabulary USING (w) GROUP BY ALL),
+bs AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM counts GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM bs) + 10000) / ((s + 1) * ((SELECT sum(t) FROM bs) + 10000))))::BIGINT AS g FROM bs),
+weights AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM counts JOIN gain USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN weights USING (doc_id)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -198,8 +257,11 @@ def queries() -> dict:
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_minhash": op10_minhash,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_resampling": op12_resampling,
+        "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_line_templates": OP5_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL, "op10_minhash": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_line_templates": OP5_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL, "op10_minhash": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_resampling": OP12_SQL}
