@@ -39,9 +39,27 @@ def test_pieces_give_the_ids_of_whole_texts(whole, monkeypatch):
             assert encoded(text) == whole(text), repr(text)
 
 
-def test_the_cache_is_bounded(whole, monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_PIECES", 3)
-    text = " ".join(f"word{i % 50}" for i in range(500)) + "x" * 100
+def test_other_definitions_and_changed_ones_go_through_tokenizers():
+    import json
+
+    from tokenizers import Tokenizer
+
+    lower = public_tokenizers.path("word_bpe_49k.json")
+    given = open(lower, encoding="utf-8").read()
+    slow = Tokenizer.from_str(given)
+    slow.encode_special_tokens = True
+    e = packing.Encoder(given)
+    text = "Some Words, and <|endoftext|> 12 more\n" * 9
+    assert not e.cut and np.frombuffer(e(text), e.kind).tolist() == slow.encode(text, add_special_tokens=False).ids
+    bytewise = json.loads(open(PATH, encoding="utf-8").read())
+    assert packing._ranks(bytewise)
+    assert packing._ranks(bytewise | {"normalizer": {"type": "Lowercase"}}) is None
+    assert packing._ranks(bytewise | {"model": bytewise["model"] | {"merges": bytewise["model"]["merges"][::-1]}}) is None
+
+
+@pytest.mark.parametrize("text", ["x" * 200_000, " " * 100_000 + "a", "\n" * 50_000, "ab " * 60_000 + " " * 9, "é" * 50_000])
+def test_long_runs(whole, monkeypatch, text):
+    monkeypatch.setattr(packing, "STRETCH", 20_000)
     assert encoded(text) == whole(text)
 
 
@@ -62,14 +80,15 @@ def check(rows, sequences, whole, length=1024):
     """Every id of every document lies in one piece, pieces fill sequences, sequences have allowed sizes."""
     found = {}
     for s in sequences:
-        assert len(s.ids) == length or (len(s.ids) < length and len(s.ids).bit_count() == 1)
+        ids = np.frombuffer(s.ids, "<u2").tolist()
+        assert len(ids) == length or (len(ids) < length and len(ids).bit_count() == 1)
         at = 0
         for p in s.pieces:
-            own = s.ids[p.offset : p.offset + p.length]
+            own = ids[p.offset : p.offset + p.length]
             assert p.offset == at and p.length > 0 and p.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
             found.setdefault(p.doc_id, []).append((p.start, own, p.doc_tokens))
             at += p.length
-        assert at == len(s.ids)
+        assert at == len(ids)
     assert len({s.sequence_id for s in sequences}) == len(sequences)
     want = {}
     for i, text in rows:
