@@ -6,7 +6,9 @@ All benchmark windows are searched backwards through the index at once, their oc
 suffix positions, and overlapping occurrences merge into removal spans. Documents are never shuffled.
 
 The benchmark is read in blocks of bounded size (``block_bytes``), whose windows, about ten times its bytes, are
-broadcast; each block is one more pass over the same rows.
+broadcast. A pass over the rows takes ``blocks_at_once`` blocks one after the other in one Python function; between
+passes the rows and what was found are stored, so neither the plan nor a worker's memory grows with the benchmark.
+Words are looked up by a hash and their bytes compared, so no other word passes for one of the benchmark's.
 
 A window is 13 consecutive words of an item; a shorter item is one window; an item without words has none.
 Defined cases: a null or empty text has no words and is never contaminated; a null item text has no window; repeated
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import small_batches
-from .text import ALNUM, LOWER, prefix_hashes, runs, slices, span_hashes
+from .shared import discard, small_batches, stored
+from .text import ALNUM, LOWER, same_bytes, slices, word_hashes
 
 WINDOW = 13
 
@@ -39,9 +41,41 @@ class Windows:
         for part in slices(iter([batch]), most=1 << 62):
             lowered = LOWER[part.data]
             start, end, bounds = part.words(lowered, ALNUM)
-            self.vocabulary, symbols = np.unique(span_hashes(prefix_hashes(lowered), start, end), return_inverse=True)
-            symbols = (symbols + 1).astype(np.int32)
+            symbols = self._learn(lowered, start, end)
         self.items = [x for x, _ in items]
+        self._index(symbols, bounds, window)
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The vocabulary: hashes, and bytes of each word; 1 and on for every word. Hashes that meet are salted anew."""
+        for salt in range(64):
+            self.salt = salt
+            self.vocabulary, first, symbols = np.unique(word_hashes(data, start, end, salt), return_index=True, return_inverse=True)
+            size = end - start
+            same = size == size[first][symbols]
+            some = np.flatnonzero(same)
+            if same.all() and same_bytes(data, start[some], data, start[first][symbols[some]], size[some]).all():
+                break
+        else:
+            raise ValueError("different words of a benchmark block always have equal hashes")
+        self.size = size[first]
+        at = np.cumsum(self.size) - self.size
+        self.bytes = data[np.repeat(start[first] - at, self.size) + np.arange(int(self.size.sum()))]
+        self.at = at
+        return (symbols + 1).astype(np.int32)
+
+    def known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The symbols of words, 0 for words that aren't in the vocabulary."""
+        hashes = word_hashes(data, start, end, self.salt)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        size = end - start
+        likely = np.flatnonzero((self.vocabulary[at] == hashes) & (self.size[at] == size))
+        likely = likely[same_bytes(data, start[likely], self.bytes, self.at[at[likely]], size[likely])]
+        out = np.zeros(len(start), np.int64)
+        out[likely] = at[likely] + 1
+        return out
+
+    def _index(self, symbols: np.ndarray, bounds: np.ndarray, window: int) -> None:
+        items = self.items
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         counts = np.diff(bounds)
         sizes = np.minimum(counts, window)
@@ -95,22 +129,25 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
 
 
-def _marker(shared, shard_bytes: int, sample: int):
+def _marker(blocks: list, shard_bytes: int, sample: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = shared.value
-        item_names = np.array(windows.items, object)
         for part in slices(batches, "_text", shard_bytes):
             lowered = LOWER[part.data]
             start, end, bounds = part.words(lowered, ALNUM)
             n_words = np.diff(bounds)
-            spans = items = np.zeros((0, 2), np.int64)
-            if windows.by_length and len(start):
-                hashes = span_hashes(prefix_hashes(lowered), start, end)
-                at = np.minimum(np.searchsorted(windows.vocabulary, hashes), len(windows.vocabulary) - 1)
-                spans, items = _hits(np.where(windows.vocabulary[at] == hashes, at + 1, 0), bounds, windows, sample)
+            doc = np.repeat(np.arange(len(part)), n_words)
             cover = np.zeros(len(start) + 1, np.int64)
-            np.add.at(cover, spans[:, 0], 1)
-            np.add.at(cover, spans[:, 1], -1)
+            own, names = [], []
+            for shared in blocks:
+                windows: Windows = shared.value
+                if not windows.by_length or not len(start):
+                    continue
+                spans, items = _hits(windows.known(lowered, start, end), bounds, windows, sample)
+                np.add.at(cover, spans[:, 0], 1)
+                np.add.at(cover, spans[:, 1], -1)
+                pairs = np.unique(np.stack([doc[items[:, 0]], items[:, 1]], 1), axis=0)
+                own.append(pairs[:, 0])
+                names.append(np.array(windows.items, object)[pairs[:, 1]])
             earlier = part.batch.column(part.batch.schema.get_field_index("word_spans"))
             flat = np.asarray(earlier.flatten(), np.int64)
             if len(flat):
@@ -118,7 +155,6 @@ def _marker(shared, shard_bytes: int, sample: int):
                 np.add.at(cover, (flat + shift)[0::2], 1)
                 np.add.at(cover, (flat + shift)[1::2], -1)
             hit = np.cumsum(cover)[:-1] > 0
-            doc = np.repeat(np.arange(len(part)), n_words)
             # Merged spans: maximal runs of hit words within a document.
             edge = np.zeros(len(start) + 1, bool)
             edge[bounds] = True
@@ -127,11 +163,12 @@ def _marker(shared, shard_bytes: int, sample: int):
             per_doc = np.bincount(doc[s], minlength=len(part)) if len(s) else np.zeros(len(part), np.int64)
             words = np.stack([s - bounds[doc[s]], e + 1 - bounds[doc[s]]], 1).ravel()
             octets = np.stack([start[s] - part.start[doc[s]], end[e] - part.start[doc[s]]], 1).ravel()
-            pairs = np.unique(np.stack([doc[items[:, 0]], items[:, 1]], 1), axis=0)
-            new_items = _lists(item_names[pairs[:, 1]], np.bincount(pairs[:, 0], minlength=len(part)), pa.string())
-            own = {n: part.batch.column(i) for i, n in enumerate(part.batch.schema.names)}
-            own |= {"n_words": pa.array(n_words, pa.int64()), "word_spans": _lists(words, 2 * per_doc, pa.int32()), "byte_spans": _lists(octets, 2 * per_doc, pa.int32()), "new_items": new_items}
-            yield pa.RecordBatch.from_pydict(own)
+            owner, name = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own, names))
+            order = np.argsort(owner, kind="stable")
+            new_items = _lists(name[order], np.bincount(owner, minlength=len(part)), pa.string())
+            columns = {n: part.batch.column(i) for i, n in enumerate(part.batch.schema.names)}
+            columns |= {"n_words": pa.array(n_words, pa.int64()), "word_spans": _lists(words, 2 * per_doc, pa.int32()), "byte_spans": _lists(octets, 2 * per_doc, pa.int32()), "new_items": new_items}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return mark
 
@@ -141,7 +178,7 @@ def _span_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_words": F.lit(0).cast("long"), "word_spans": none, "byte_spans": none, "items": F.array().cast("array<string>"), "new_items": F.array().cast("array<string>")})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 750_000, block_bytes: int = 4_000_000, sample: int = 16) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 750_000, block_bytes: int = 4_000_000, sample: int = 16, blocks_at_once: int = 4) -> DataFrame:
     """doc_id, doc (the whole row), n_words, word_spans and byte_spans (start, end, start, end ...), sorted items."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -149,11 +186,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     out = _span_columns(docs.select(F.struct("*").alias("doc"), F.col("text").alias("_text")))
-    for block in range(blocks):
-        own = texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        windows = Windows([tuple(x) for x in sorted(own)], window)
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(windows), shard_bytes, sample), out.schema)
+    held = None
+    for low in range(0, blocks, blocks_at_once):
+        shared = []
+        for block in range(low, min(blocks, low + blocks_at_once)):
+            own = texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+            shared.append(spark.sparkContext.broadcast(Windows([tuple(x) for x in sorted(own)], window)))
+        out = out.mapInArrow(_marker(shared, shard_bytes, sample), out.schema)
         out = out.withColumn("items", F.array_distinct(F.concat("items", "new_items")))
+        if low + blocks_at_once < blocks:
+            out = stored(out)
+            if held is not None:
+                discard(held)
+            held = out
     return out.select(F.col("doc.doc_id").alias("doc_id"), "doc", "n_words", "word_spans", "byte_spans", F.array_sort("items").alias("items"))
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches
 from .text import Slice, mix, powers, runs, slices, span_hashes
@@ -225,7 +226,7 @@ def train(docs: DataFrame, train_docs: int = 8000, switch: float = 12.0) -> Mode
     return Model(languages, counts[:, : 1 << BITS], counts[:, 1 << BITS :], switch)
 
 
-SPAN = "array<struct<start:int,end:int,lang:string>>"
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
 
 def _labeller(shared, spans: bool):
@@ -268,7 +269,8 @@ def predict(rows: DataFrame, text: Column, model: Model | None, spans: bool = Fa
         out = rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
         return out.withColumn("spans", F.array().cast(SPAN)) if spans else out
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "lang_pred string, score double", *[f"spans {SPAN}"] * spans])
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = schema.add(T.StructField("spans", SPAN)) if spans else schema
     return rows.withColumn("_text", text).mapInArrow(_labeller(shared, spans), schema)
 
 

@@ -199,5 +199,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with the first document of each component only."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

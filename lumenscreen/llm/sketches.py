@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .text import LOWER, Slice, mix, prefix_hashes, slices, span_hashes
+from .text import LOWER, Slice, mix, slices, word_hashes
 
 SKETCH_BITS = 2048
 
@@ -17,7 +17,7 @@ def shingle_sets(part: Slice, inside: np.ndarray, words: int) -> tuple[np.ndarra
     """Distinct 64-bit shingle hashes of each document: values and bounds (n + 1)."""
     lowered = LOWER[part.data]
     start, end, first = part.words(lowered, inside)
-    tokens = span_hashes(prefix_hashes(lowered), start, end)
+    tokens = word_hashes(lowered, start, end)
     counts = np.diff(first)
     n = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
     # Every position with its word-gram; those that would cross into the next document are cut below.

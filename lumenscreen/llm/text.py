@@ -6,6 +6,7 @@ documents. All character classes in use are ASCII ranges and "everything else",
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,40 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Longer words are hashed by BLAKE2b.
+SHORT = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of every data[start:end], eight bytes at a time, each stirred into what came before.
+
+    Unlike a polynomial modulo a power of two this has no structure by which regular words meet.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) + U64((_BASE * (2 * salt + 1)) % 2**64))
+    # Eight bytes from any place of the data on.
+    eights = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    active, at = np.flatnonzero(size <= SHORT), 0
+    while len(active):
+        left = size[active] - at
+        some = eights[start[active] + at]
+        some = np.where(left >= 8, some, some & ((U64(1) << (U64(8) * np.minimum(left, 7).astype(np.uint64))) - U64(1)))
+        out[active] = mix((out[active] ^ some) * U64(_BASE) + U64(at + 1))
+        at += 8
+        active = active[left > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def same_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether left[a:a + size] equals right[b:b + size], for many places; every size is above zero."""
+    first = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(first, size)
+    equal = left[np.repeat(a, size) + step] == right[np.repeat(b, size) + step]
+    return np.logical_and.reduceat(equal, first) if len(size) else np.zeros(0, bool)
+
+
 class Slice:
     """Consecutive rows of a batch: ``data`` holds their bytes, document i is data[start[i]:end[i]]."""
 
