@@ -172,8 +172,13 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", _size().alias("size"))
 
 
-def mix_plan(docs: DataFrame, shards: int | None = None, block_docs: int = 256, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: bool = False) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, block, at, shards, draws; with keep, its whole row as _row.
+def mix_plan(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
+    """The plan of ``planned`` alone."""
+    return planned(docs, shards, **options)[0]
+
+
+def planned(docs: DataFrame, shards: int | None = None, block_docs: int = 256, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: bool = False) -> tuple[DataFrame, int]:
+    """The plan and its number of shards. One row for each document: doc_id, source, size, source_size, target, block, at, shards, draws; with keep, its whole row as _row.
 
     ``draws`` lists what the mix takes of it: shard, draw (0 and on: whole passes; last: the permuted rest) and words.
     ``shards`` is their number: by default 16, or more where a shard would get over SHARD_WORDS words.
@@ -219,7 +224,7 @@ def mix_plan(docs: DataFrame, shards: int | None = None, block_docs: int = 256,
     drawn_words = F.transform("_slots", lambda s: F.struct(s["shard"].alias("shard"), s["draw"].alias("draw"), words(s).alias("words")))
     kept = F.filter(drawn_words, lambda d: (d["words"] > 0) | (F.col("size") == 0))
     draws = F.coalesce(kept, F.array().cast("array<struct<shard:int,draw:int,words:bigint>>"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "block", "at", F.lit(shards).alias("shards"), draws.alias("draws"), *["_row"] * keep)
+    return out.select("doc_id", "source", "size", "source_size", "target", "block", "at", F.lit(shards).alias("shards"), draws.alias("draws"), *["_row"] * keep), shards
 
 
 def mix(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
@@ -227,14 +232,14 @@ def mix(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
 
     A shard is in one partition, sorted by position. The text of a document that is cut at a target holds its first words.
     """
-    plan = mix_plan(docs, shards, keep=True, **options).select("doc_id", "size", "_row", "shards", F.explode("draws").alias("_d"))
+    plan, n = planned(docs, shards, keep=True, **options)
+    plan = plan.select("doc_id", "size", "_row", F.explode("draws").alias("_d"))
     part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), " ")
     text = F.when(F.col("_d.words") < F.col("size"), part).otherwise(F.col("_row.text"))
     position = F.xxhash64(F.lit(options.get("seed", 17)), "doc_id", F.col("_d.draw"))
     named = {n: free_name(n, docs.columns) for n in ("shard", "draw", "words", "position")}
     out = plan.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], *[F.col(f"_d.{n}").alias(named[n]) for n in ("shard", "draw", "words")], position.alias(named["position"]))
-    n = shards or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # A hash would put several shards in one partition and none in others.
+    # A partition for each planned shard; a hash would put several in one and none in others.
     return out.repartitionById(n, named["shard"]).sortWithinPartitions(named["shard"], named["position"])
 
 
