@@ -3,8 +3,10 @@
 A text is cut into sentences, each is normalised (lower case, letters, digits and dots of versions only) and looked up
 among known license sentences. The identifiers that are found, in order, are matched against rules: a rule is an
 ordered list of identifiers, and it holds where they stand in this order, with at most ``gap`` unknown sentences
-between neighbours. The longest rule wins at each place. Short notices are also known within a longer sentence, and
-tags with an SPDX expression name their licenses themselves. Of the long licenses one sentence of each text is known.
+between neighbours. The longest rule wins at each place. Short notices are also known within a longer sentence; titles
+are sentences of their own line. A sentence that names its holder is known by what stands around the name. Tags with an
+SPDX expression, "License: name" lines and dual-license notices name their licenses themselves: they are sentences
+whose identifier is the expression. Of the long licenses one sentence of each text is known.
 
 Defined cases: null and empty texts have no license; repeated sentences give repeated spans; rows that repeat a doc_id
 each get their result; spans are code points of the text, end exclusive; a text of any length is read whole; extra
@@ -67,6 +69,27 @@ RULES = [
     ("MPL-2.0", ("mpl-notice",)), ("Unlicense", ("unlicense",)), ("all-rights-reserved", ("all-rights",)),
     ("AGPL-3.0", ("agpl3-text",)), ("Apache-2.0", ("apache-text",)), ("GPL-2.0", ("gpl2-text",)), ("GPL-3.0", ("gpl3-text",)), ("LGPL-2.1", ("lgpl21-text",)), ("LGPL-3.0", ("lgpl3-text",)), ("MPL-2.0", ("mpl-text",)),
 ]
+#: Titles of public licenses, each alone in its line, by license.
+TITLES = {
+    "AGPL-3.0": ("GNU Affero General Public License, Version 3", "GNU Affero General Public License Version 3, 19 November 2007"),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "GPL-2.0": ("GNU General Public License, Version 2", "GNU General Public License Version 2, June 1991"),
+    "GPL-3.0": ("GNU General Public License, Version 3", "GNU General Public License Version 3, 29 June 2007"),
+    "ISC": ("ISC License", "The ISC License"),
+    "LGPL-2.1": ("GNU Lesser General Public License, Version 2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    "LGPL-3.0": ("GNU Lesser General Public License, Version 3", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License Version 2.0"),
+    "Unlicense": ("The Unlicense",),
+}
+#: How license names are written in notices, and their SPDX identifiers.
+NAMES = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "Apache 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "Apache License, Version 2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "BSD 2-Clause": "BSD-2-Clause", "BSD 3-Clause": "BSD-3-Clause",
+    "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0-only", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPLv2": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0-only", "GPL-3.0-or-later": "GPL-3.0-or-later", "GPLv3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3.0", "AGPL-3.0": "AGPL-3.0",
+    "MPL-2.0": "MPL-2.0", "ISC": "ISC", "0BSD": "0BSD", "Zlib": "Zlib", "Unlicense": "Unlicense", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0",
+}
 #: Notices that count within a longer sentence, too.
 INNER = ("apache-notice", "bsd-notice", "bsd-released", "cc-by", "cc-by-sa", "cc-by-nc", "mit-released", "mit-licensed", "mpl-notice", "unlicense")
 #: Every license has a sentence with one of these; texts without any aren't cut into sentences.
@@ -121,6 +144,9 @@ def _known() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
     for license_, text in TEXTS.items():
         wanted = tuple(known.setdefault(normal(s), f"{license_}-{i}") for i, s in enumerate(text.splitlines()))
         rules.append((license_, wanted))
+    for license_, titles in TITLES.items():
+        for i, title in enumerate(titles):
+            rules.append((license_, (known.setdefault(normal(title), f"title-{license_}-{i}"),)))
     # The whole first sentence of MIT shows it as its first part does.
     rules.append(("MIT", (known[normal(TEXTS["MIT"].splitlines()[0])],)))
     return known, sorted(rules, key=lambda r: -len(r[1]))
@@ -128,24 +154,69 @@ def _known() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 
 _BY_NORMAL, _RULES = _known()
 _INNER = re.compile("(?<![a-z0-9])(?:" + "|".join(normal(SENTENCES[n]) for n in sorted(INNER, key=lambda n: -len(SENTENCES[n]))) + ")(?![a-z0-9])")
-_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+\)?(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]+\)?)*)")
+_ID = r"\(?[A-Za-z0-9.+-]*[A-Za-z0-9.+]\)?"
+#: A tag counts only if all of its line can be read: identifiers with OR, AND, WITH or a slash between, then a comment's end at most.
+_TAG = re.compile(rf"SPDX-License-Identifier:[ \t]*({_ID}(?:(?:[ \t]+(?:OR|AND|WITH)[ \t]+|[ \t]*/[ \t]*){_ID})*)(?=[ \t]*(?:\*/|-->|#\}}|[\"'`;,]|$|\n|\r))", re.MULTILINE)
+_NAME = "(?:" + "|".join(re.escape(n).replace(r"\ ", r"[ \t]+") for n in sorted(NAMES, key=lambda n: -len(n))) + ")"
+_LINE = re.compile(rf"^[^\w\n]*licen[cs]e[ \t]*:[ \t]*({_NAME})(?:[ \t]+licen[cs]e)?[ \t]*[.;,]?[ \t]*$", re.IGNORECASE | re.MULTILINE)
+_DUAL = re.compile(rf"\bdual[ \t-]+licen[cs]ed[ \t]+under[ \t]+(?:both[ \t]+)?(?:the[ \t]+)?({_NAME})(?:[ \t]+licen[cs]e)?[ \t]*(?:and/or|and|or|/|&)[ \t]*(?:the[ \t]+)?({_NAME})(?![\w-])", re.IGNORECASE)
+_SPDX = {re.sub(r"\s+", " ", n).lower(): i for n, i in NAMES.items()}
+#: A holder's name of up to 16 words, where a license's own text says who holds or gives it.
+_HOLDER = r"(?:[a-z0-9]+ ){1,16}?"
+
+
+def _with_holders() -> list[tuple[re.Pattern, str]]:
+    """Patterns of known sentences in which the holder's name may be another."""
+    out = []
+    for holder in ("the copyright holder nor", "the copyright holders and contributors as", "the copyright holder or contributors be", "the authors or copyright holders be", "the author disclaims", "the author be"):
+        *name, after = holder.split()
+        for s, identifier in _BY_NORMAL.items():
+            if (place := f" {holder} ") in s:
+                low, high = s.split(place, 1)
+                out.append((re.compile(f"{low} {_HOLDER}{after} {high}"), identifier))
+    return out
+
+
+_HELD = _with_holders()
+
+
+def known_as(sentence: str) -> str | None:
+    """The identifier of a normal form."""
+    if sentence in _BY_NORMAL:
+        return _BY_NORMAL[sentence]
+    if sentence.startswith(_HELD_LEADS):
+        return next((i for pattern, i in _HELD if pattern.fullmatch(sentence)), None)
+    return None
+
+
 _LEADS = {s.split()[0] + " " + s.split()[1] for s in _BY_NORMAL}
-_MOST_WORDS = max(len(s.split()) for s in _BY_NORMAL)
+_HELD_LEADS = tuple({" ".join(p.pattern.split()[:3]) for p, _ in _HELD})
+_MOST_WORDS = max(len(s.split()) for s in _BY_NORMAL) + 16
 
 
 def sentences(text: str) -> list[tuple[str | None, int, int]]:
     """(identifier or None, start, end) of all sentences; a known sentence that marks cut up is put together again.
 
-    A tag that names a license is a sentence of its own, known as "spdx:" and its expression.
+    What names its licenses itself is a sentence of its own, known as "spdx:" and its expression.
     """
     out, at = [], 0
-    for tag in _TAG.finditer(text):
-        out += _between(text, at, tag.start())
-        out.append(("spdx:" + " ".join(tag[1].split()), tag.start(), tag.end()))
-        at = tag.end()
+    for start, end, expression in self_named(text):
+        if start >= at:
+            out += _between(text, at, start)
+            out.append((f"spdx:{expression}", start, end))
+            at = end
     return out + _between(text, at, len(text))
 
 
+def self_named(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, SPDX expression) of tags, "License: name" lines and dual-license notices."""
+    spdx = lambda name: _SPDX[re.sub(r"\s+", " ", name).lower()]
+    found = [(m.start(), m.end(), " ".join(re.sub(r"[ \t]*/[ \t]*", " OR ", m[1]).split())) for m in _TAG.finditer(text)]
+    found += [(m.start(), m.end(), spdx(m[1])) for m in _LINE.finditer(text)]
+    found += [(m.start(), m.end(), f"{spdx(m[1])} OR {spdx(m[2])}") for m in _DUAL.finditer(text)]
+    return sorted(found)
+
+
 def _between(text: str, low: int, high: int) -> list[tuple[str | None, int, int]]:
     cuts = [(m.start(), m.end(), normal(m.group())) for m in _SENTENCE.finditer(text, low, high)]
     cuts = [c for c in cuts if c[2]]
@@ -155,8 +226,8 @@ def _between(text: str, low: int, high: int) -> list[tuple[str | None, int, int]
         if " ".join(joined.split()[:2]) in _LEADS or len(joined.split()) < 2:
             j = i
             while True:
-                if joined in _BY_NORMAL:
-                    taken, name = j - i + 1, _BY_NORMAL[joined]
+                if identifier := known_as(joined):
+                    taken, name = j - i + 1, identifier
                 j += 1
                 if j >= len(cuts) or len(joined.split()) > _MOST_WORDS:
                     break
@@ -201,7 +272,7 @@ def match_rules(found: list[tuple[str | None, int, int]], gap: int = 1) -> list[
 
 
 def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    leads = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted({x.replace(" ", "[^a-z0-9]+") for x in _LEADS})) + ")|" + "|".join(sorted({SENTENCES[n].split()[0] + " " + SENTENCES[n].split()[1] for n in INNER})) + "|SPDX-", re.IGNORECASE)
+    leads = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted({x.replace(" ", "[^a-z0-9]+") for x in _LEADS})) + ")|" + "|".join(sorted({SENTENCES[n].split()[0] + " " + SENTENCES[n].split()[1] for n in INNER})) + "|SPDX-|licen[cs]e[ \t]*:|dual[ \t-]+licen", re.IGNORECASE)
     for batch in batches:
         names, spans, counts = [], [], []
         for text in batch.column(1).to_pylist():
