@@ -1,20 +1,30 @@
-"""Robust fits by random trials, on all rows of a group: trials, inliers and the refit are sums that tasks add up.
+"""Robust fits by random trials, on all rows of a group, from one stored input.
 
 A row's part in a trial follows from a hash of its values and its number among equal rows, so the fit depends neither on
-the partitions nor on the order of rows. A task turns its rows into sums for each group and trial; what is shuffled is a
-row of sums for each group and task. The models of all trials are a few kilobytes for each group; they are broadcast for
-``at_once`` groups at a time.
+the partitions nor on the order of rows. Models are made in tasks, from sums or samples of bounded size for each group.
+To score them, a group's models go first through a stream and its rows follow; a large group has several streams. Few
+rows need all models: of lines, the rows between the innermost and the outermost model's band; of maps, only models
+that a bounded sample hasn't ruled out see all rows. Sums leave the streams; the driver sees no row and no model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.tables import stored
+from .spread import Step, join_key, numbers, quantiles, streamed
+
+#: Rows of a group that go through one stream.
+STREAM = 200_000
+#: Rows of a group are dealt to so many blocks by their hash; a trial takes or leaves whole blocks.
+BLOCKS = 1024
 _GROUP = "_g long, "
 
 
@@ -25,9 +35,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def draws(row: np.ndarray, trials: int) -> np.ndarray:
-    """rows x trials numbers from 0 to below 1, by a hash of the row's identity and the trial."""
-    mixed = _mixed(row.astype(np.uint64)[:, None] + _mixed(np.arange(1, trials + 1, dtype=np.uint64))[None, :])
+def draws(row: np.ndarray, trials: int, blocks: int = BLOCKS) -> np.ndarray:
+    """rows x trials numbers from 0 to below 1, by a hash of the row's block, which its identity gives, and the trial."""
+    block = row.astype(np.int64) % blocks
+    mixed = _mixed(_mixed(block.astype(np.uint64))[:, None] + _mixed(np.arange(1, trials + 1, dtype=np.uint64))[None, :])
     return (mixed >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
@@ -39,38 +50,6 @@ def _identified(rows: DataFrame, keys: list[str], columns: list[str], seed: int)
     return each.select("_g", *columns, F.xxhash64(F.lit(seed), *columns, "_i").alias("_row"))
 
 
-def _summed(rows: DataFrame, columns: list[str], per_group: Callable, width: int) -> DataFrame:
-    """_g, sums: an array of ``width`` sums of per_group(_g, matrix of columns, _row) over all rows of each group."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group, row = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-            values = np.stack([batch.column(i + 1).to_numpy() for i in range(len(columns))], 1)
-            order = np.argsort(group, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                g = int(group[some[0]])
-                for at in range(0, len(some), 2000):
-                    part = some[at : at + 2000]
-                    sums = per_group(g, values[part], row[part])
-                    held[g] = held[g] + sums if g in held else sums
-            if sum(len(x) for x in held.values()) > 4_000_000:
-                yield _sums(held)
-                held = {}
-        if held:
-            yield _sums(held)
-
-    places = rows.select("_g", *columns, "_row").mapInArrow(partial, _GROUP + "sums array<double>").select("_g", F.posexplode("sums").alias("at", "x"))
-    added = places.groupBy("_g", "at").agg(F.sum("x").alias("x")).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s"))
-    return added.select("_g", F.transform("s", lambda s: s["x"]).alias("sums"))
-
-
-def _sums(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["_g", "sums"])
-
-
 def _solve_lines(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slope and intercept from n, sums of x, y, x * x and x * y (rows of s)."""
     n, x, y, xx, xy = s
@@ -80,19 +59,83 @@ def _solve_lines(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slope, (y - slope * x) / n
 
 
-def _chunks(rows: DataFrame, at_once: int) -> Iterator[list]:
-    """The collected rows, one for each group, so many at a time."""
-    held: list = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == at_once:
-            yield held
-            held = []
-    if held:
-        yield held
-
+def _beside(rows: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
+    """Input of ``streamed`` by (_g, _salt): of each group its model (a binary) first, then its rows.
 
-def robust_line(rows: DataFrame, x: str, y: str, keys: list[str], below: float = 15000.0, trials: int = 500, share: float = 0.6, seed: int = 0, at_once: int = 2000) -> DataFrame:
+    ``models`` has _g, _n (rows of the group) and _model; a group with many rows has several streams, by the rows' hash.
+    """
+    sized = models.withColumn("_salts", F.ceil(F.col("_n") / STREAM).cast("int"))
+    hot = stored(sized.where("_salts > 1").select("_g", "_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"), F.lit(0))
+    dealt = join_key(rows, hot, ["_g"], "left").select("_g", salt.alias("_salt"), F.lit(1).alias("_kind"), *columns, F.lit(None).cast("binary").alias("_model"))
+    first = sized.select("_g", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), *[F.lit(None).cast("double").alias(c) for c in columns], "_model")
+    return first.unionByName(dealt)
+
+
+_SUMS = T.StructType([T.StructField("_g", T.LongType()), T.StructField("trial", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+
+def _sum_rows(g: int, trials: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """trials x numbers as rows."""
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(trials), g)), pa.array(trials, pa.int32()), lists], names=["_g", "trial", "sums"])
+
+
+def _added(sums: DataFrame, width: int) -> DataFrame:
+    """The rows of sums of all streams of a group, added for each trial."""
+    return sums.groupBy("_g", "trial").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
+
+
+def _outer(slope: np.ndarray, intercept: np.ndarray) -> np.ndarray:
+    """Lines that are highest or lowest somewhere: corners of the convex hull of (slope, intercept)."""
+    order = np.lexsort((intercept, slope))
+    corners: list[int] = []
+    for turn in (order, order[::-1]):
+        side: list[int] = []
+        for i in turn.tolist():
+            while len(side) > 1:
+                a, b = side[-2], side[-1]
+                if (slope[b] - slope[a]) * (intercept[i] - intercept[a]) - (intercept[b] - intercept[a]) * (slope[i] - slope[a]) > 0:
+                    break
+                side.pop()
+            side.append(i)
+        corners += side
+    return np.unique(corners)
+
+
+class _Lines(Step):
+    """Sums over the inliers of every line. A row inside all bands is added once, one outside all of them never; only
+    rows between, where lines disagree, are held against each line."""
+
+    def __init__(self, first: pa.Table):
+        super().__init__(first)
+        self.g = int(first["_g"][0].as_py())
+        limit, *lines = np.frombuffer(first["_model"][0].as_py(), np.float64)
+        self.limit, (self.slope, self.intercept) = limit, np.array(lines).reshape(2, -1)
+        self.corners = _outer(self.slope, self.intercept)
+        self.common, self.own = np.zeros(6), np.zeros((len(self.slope), 6))
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x, y = numbers(batch, "x"), numbers(batch, "y")
+        at = self.slope[self.corners] * x[:, None] + self.intercept[self.corners]
+        low, high = at.min(1), at.max(1)
+        slack = 1e-9 * (np.abs(y) + np.abs(low) + np.abs(high) + self.limit)
+        always = (y - low <= self.limit - slack) & (y - high >= slack - self.limit)
+        never = (y - high > self.limit + slack) | (y - low < -self.limit - slack)
+        moments = np.stack([np.ones(len(x)), x, y, x * x, x * y, y * y], 1)
+        self.common += moments[always].sum(0)
+        between = np.flatnonzero(~always & ~never)
+        for some in np.array_split(between, max(1, len(between) // 2000)):
+            rest = y[some, None] - self.slope * x[some, None] - self.intercept
+            self.own += (np.abs(rest) <= self.limit).astype(np.float64).T @ moments[some]
+        yield from ()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        # The sum of squared rests follows from the moments.
+        yield _sum_rows(self.g, np.arange(len(self.own)), self.own + self.common)
+
+
+def robust_line(rows: DataFrame, x: str, y: str, keys: list[str], below: float = 15000.0, trials: int = 500, share: float = 0.6, seed: int = 0) -> DataFrame:
     """Keys, slope, intercept, n_inliers of y over x per well, on all rows with x below a cut.
 
     A trial fits a line to about a share of the rows. Inliers lie within the median absolute deviation of y. The trial
@@ -100,56 +143,54 @@ def robust_line(rows: DataFrame, x: str, y: str, keys: list[str], below: float =
     null take no part; a group without two different x has nulls.
     """
     used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) < below))
-    names = used.select(F.xxhash64(*keys).alias("_g"), *keys).distinct()
-    data = _identified(used.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")), keys, ["x", "y"], seed)
-    middle = data.groupBy("_g").agg(F.median("y").alias("m"))
-    around = data.join(middle, "_g").withColumn("d", F.abs(F.col("y") - F.col("m")))
-    facts = around.groupBy("_g").agg(F.median("d").alias("limit"), F.avg("x").alias("mx"), F.first("m").alias("m"), (F.max("x") > F.min("x")).alias("spread"))
-
-    def of_trials(g: int, v: np.ndarray, row: np.ndarray) -> np.ndarray:
-        taken = (draws(row, trials) < share).astype(np.float64)
-        px, py = v[:, 0], v[:, 1]
-        return (np.stack([np.ones(len(v)), px, py, px * px, px * py]) @ taken).ravel()
-
+    named = stored(used.select(F.xxhash64(*keys).alias("_g"), *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    names = named.select("_g", *keys).distinct()
+    data = stored(_identified(named.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y")), keys, ["x", "y"], seed))
+    middle = stored(quantiles(data, ["_g"], {"y": [0.5]}, {"n": F.count("*"), "mx": F.avg("x"), "spread": F.max("x") > F.min("x")}).where("spread").select("_g", "n", "mx", F.col("y")[0].alias("m")))
     # Centred values keep the sums precise.
-    centred = data.join(facts, "_g").where("spread").select("_g", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("m")).alias("y"), "_row")
-    models = _summed(centred, ["x", "y"], of_trials, 5 * trials).join(facts, "_g")
-    spark, out = rows.sparkSession, None
-    for some in _chunks(models.select("_g", "sums", "limit"), at_once):
-        lines = {r["_g"]: (*_solve_lines(np.array(r["sums"]).reshape(5, trials)), r["limit"]) for r in some}
-        shared = spark.sparkContext.broadcast(lines)
-
-        def of_inliers(g: int, v: np.ndarray, row: np.ndarray, shared=shared) -> np.ndarray:
-            slope, intercept, limit = shared.value[g]
-            px, py = v[:, :1], v[:, 1:]
-            rest = py - slope * px - intercept
-            inside = (np.abs(rest) <= limit).astype(np.float64)
-            sums = [inside, px * inside, py * inside, px * px * inside, px * py * inside, py * py * inside, rest * rest * inside]
-            return np.stack([s.sum(0) for s in sums]).ravel()
-
-        here = centred.join(F.broadcast(spark.createDataFrame([(r["_g"],) for r in some], "_g long")), "_g")
-        found = _summed(here, ["x", "y"], of_inliers, 7 * trials)
-        out = found if out is None else out.union(found)
-    schema = _GROUP + "slope double, intercept double, n_inliers long"
+    centred = join_key(data, middle, ["_g"]).select("_g", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("m")).alias("y"), "_row")
+    centred = stored(centred.withColumn("d", F.abs("y")))
+    block = F.pmod(F.col("_row"), F.lit(BLOCKS)).alias("block")
+    terms = {"n": F.count("*").cast("double"), "sx": F.sum("x"), "sy": F.sum("y"), "sxx": F.sum(F.col("x") * F.col("x")), "sxy": F.sum(F.col("x") * F.col("y"))}
+    blocks = centred.groupBy("_g", block).agg(*[f.alias(n) for n, f in terms.items()])
+    # At most BLOCKS rows of sums for each group.
+    per_group = blocks.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("block", *terms))).alias("b"), F.sum("n").cast("long").alias("_n"))
+    limits = quantiles(centred, ["_g"], {"d": [0.5]}).select("_g", F.col("d")[0].alias("limit"))
+
+    fields = list(terms)
+
+    def models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for own, limit in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                sums = np.array([[b[n] for n in fields] for b in own])
+                taken = (draws(np.array([b["block"] for b in own]), trials) < share).astype(np.float64)
+                made.append(np.concatenate([[limit], *_solve_lines(sums.T @ taken)]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["_g", "_n", "_model"])
+
+    ready = stored(per_group.join(limits, "_g").select("_g", "b", "_n", "limit").mapInArrow(models, _GROUP + "_n long, _model binary"))
+    found = _added(streamed(_beside(centred, ready, ["x", "y"]), ["_g", "_salt"], [], _Lines, _SUMS), 6)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = []
-            for sums in batch.column(1).to_pylist():
-                s = np.array(sums).reshape(7, trials)
-                n = np.maximum(s[0], 1)
-                total = s[5] - s[2] ** 2 / n
-                r2 = np.where(total > 0, 1 - s[6] / np.where(total > 0, total, 1), 0.0)
+            for own, model in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                s = np.zeros((6, trials))
+                s[:, [o["trial"] for o in own]] = np.array([[o[f"s{i}"] for o in own] for i in range(6)])
+                slope, intercept = np.frombuffer(model, np.float64)[1:].reshape(2, -1)
+                count = np.maximum(s[0], 1)
+                total = s[5] - s[2] ** 2 / count
+                rest = s[5] - 2 * slope * s[4] - 2 * intercept * s[2] + slope**2 * s[3] + 2 * slope * intercept * s[1] + intercept**2 * s[0]
+                r2 = np.where(total > 0, 1 - rest / np.where(total > 0, total, 1), 0.0)
                 won = np.lexsort((np.arange(trials), -np.round(r2, 9), -s[0]))[0]
                 slope, intercept = _solve_lines(s[:5, won : won + 1])
                 fits.append((float(slope[0]), float(intercept[0]), int(s[0, won])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in fits], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int64()))]], names=["_g", "slope", "intercept", "n_inliers"])
 
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    else:
-        out = out.mapInArrow(best, schema).join(facts.select("_g", "mx", "m"), "_g").select("_g", "slope", (F.col("intercept") + F.col("m") - F.col("slope") * F.col("mx")).alias("intercept"), "n_inliers")
-    return names.join(out, "_g", "left").drop("_g")
+    sums = found.groupBy("_g").agg(F.collect_list(F.struct("trial", *[f"s{i}" for i in range(6)])).alias("s"))
+    fits = sums.join(ready.select("_g", "_model"), "_g").mapInArrow(best, _GROUP + "slope double, intercept double, n_inliers long")
+    back = F.col("intercept") + F.col("m") - F.col("slope") * F.col("mx")
+    return names.join(fits.join(middle, "_g").select("_g", "slope", back.alias("intercept"), "n_inliers"), "_g", "left").drop("_g")
 
 
 def _map_of(s: np.ndarray) -> np.ndarray | None:
@@ -158,75 +199,109 @@ def _map_of(s: np.ndarray) -> np.ndarray | None:
     return np.linalg.solve(a, b) if abs(np.linalg.det(a)) > 1e-9 else None
 
 
-def robust_affine(rows: DataFrame, keys: list[str], most: float = 10.0, trials: int = 1000, seed: int = 0, at_once: int = 2000) -> DataFrame:
+def _inlier_sums(points: np.ndarray, maps: np.ndarray, most: float) -> np.ndarray:
+    """maps x 16: inliers, and their sums of products, of every map."""
+    out = np.zeros((len(maps), 16))
+    step = max(1, 400_000 // max(1, len(maps)))
+    for at in range(0, len(points), step):
+        v = points[at : at + step]
+        a = np.column_stack([np.ones(len(v)), v[:, :2]])
+        inside = (np.abs(np.einsum("ni,tij->tnj", a, maps) - v[None, :, 2:]).sum(2) <= most).astype(np.float64)
+        products = np.concatenate([(a[:, :, None] * a[:, None, :]).reshape(len(v), 9), (a[:, :, None] * v[:, None, 2:]).reshape(len(v), 6)], 1)
+        out += np.column_stack([inside.sum(1), inside @ products])
+    return out
+
+
+def trial_maps(sample: np.ndarray, row: np.ndarray, trials: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and maps of the trials that aren't degenerate: the three sampled rows with a trial's smallest draws."""
+    drawn = draws(row, trials, 1 << 62)
+    three = np.argsort(drawn, 0, kind="stable")[:3].T
+    p = sample[three]
+    a = np.concatenate([np.ones((len(p), 3, 1)), p[:, :, :2]], 2)
+    good = np.flatnonzero(np.abs(np.linalg.det(a)) > 1e-9)
+    return good, np.linalg.solve(a[good], p[good][:, :, 2:])
+
+
+def still_open(inliers: np.ndarray, sampled: int, failure: float = 1e-9) -> np.ndarray:
+    """Models that may have most inliers of all rows, by their inliers in a sample; wrong with less than this chance.
+
+    Hoeffding's bound on each model's share, twice its width below the best one.
+    """
+    width = math.sqrt(math.log(2 * max(1, len(inliers)) / failure) / (2 * sampled))
+    return np.flatnonzero(inliers / sampled >= inliers.max(initial=0) / sampled - 2 * width)
+
+
+class _Maps(Step):
+    """Sums over the inliers of the maps that are still open."""
+
+    most = 0.0
+
+    def __init__(self, first: pa.Table):
+        super().__init__(first)
+        self.g = int(first["_g"][0].as_py())
+        model = np.frombuffer(first["_model"][0].as_py(), np.float64).reshape(-1, 7)
+        self.trial, self.maps = model[:, 0].astype(np.int64), model[:, 1:].reshape(-1, 3, 2)
+        self.sums = np.zeros((len(self.maps), 16))
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.sums += _inlier_sums(np.stack([numbers(batch, c) for c in ("x", "y", "to_x", "to_y")], 1), self.maps, self.most)
+        yield from ()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield _sum_rows(self.g, self.trial, self.sums)
+
+
+def robust_affine(rows: DataFrame, keys: list[str], most: float = 10.0, trials: int = 1000, seed: int = 0, sample: int = 4096, failure: float = 1e-9) -> DataFrame:
     """(x, y) -> (to_x, to_y) from three points a trial, on all rows; within ``most`` of the map is an inlier.
 
-    A trial takes the three rows with its smallest draws; the trial with most inliers wins, of equals the first, and its
-    inliers are fitted again. Coefficients are arrays (constant, of x, of y), null below three rows or where all trials
-    are degenerate. Rows with a null take no part.
+    The ``sample`` rows of a group with the smallest hashes give the trials their points and a first count of inliers.
+    Models that this leaves a chance (``still_open``) are scored on all rows, unless the sample is the group; the one
+    with most inliers wins, of equals the first, and its inliers are fitted again. Coefficients are arrays (constant,
+    of x, of y), null below three rows or where all trials are degenerate. Rows with a null take no part.
     """
     columns = ["x", "y", "to_x", "to_y"]
-    used = rows.dropna(subset=columns)
+    used = stored(rows.dropna(subset=columns).select(*keys, *columns))
     names = used.select(F.xxhash64(*keys).alias("_g"), *keys).distinct()
-    data = _identified(used.select(*keys, *columns), keys, columns, seed)
+    data = stored(_identified(used, keys, columns, seed))
+    first = Window.partitionBy("_g").orderBy("_row", *columns)
+    sampled = data.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_r", "_row", *columns))).alias("p"))
+    sampled = sampled.join(data.groupBy("_g").agg(F.count("*").alias("_n")), "_g")
 
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The three smallest draws of each trial, of the rows of a task."""
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, row = batch.column(0).to_numpy(), batch.column(5).to_numpy()
-            order = np.argsort(group, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-                held = [], [], []
-                for at in range(0, len(some), 2000):
-                    d = draws(row[some[at : at + 2000]], trials)
-                    n = min(3, len(d))
-                    low = np.argpartition(d, n - 1, 0)[:n] if n < len(d) else np.repeat(np.arange(n)[:, None], trials, 1)
-                    held[0].append(np.tile(np.arange(trials), n))
-                    held[1].append(np.take_along_axis(d, low, 0).ravel())
-                    held[2].append(some[at + low.ravel()])
-                trial, drawn, at = (np.concatenate(h) for h in held)
-                keep = np.lexsort((drawn, trial))
-                keep = keep[np.arange(len(keep)) - np.searchsorted(trial[keep], trial[keep]) < 3]
-                take = pa.array(at[keep])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(trial[keep], pa.int32()), pa.array(drawn[keep]), *[batch.column(i).take(take) for i in range(1, 5)]], names=["_g", "trial", "draw", *columns])
-
-    drawn = data.select("_g", *columns, "_row").mapInArrow(smallest, _GROUP + "trial int, draw double, x double, y double, to_x double, to_y double")
-    first = Window.partitionBy("_g", "trial").orderBy("draw", *columns)
-    three = drawn.withColumn("r", F.row_number().over(first)).where("r <= 3").groupBy("_g", "trial").agg(F.sort_array(F.collect_list(F.struct("r", *columns))).alias("p")).where("size(p) = 3")
-    points = F.flatten(F.transform("p", lambda q: F.array(*[q[c] for c in columns])))
-    models = three.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("trial", points.alias("p")))).alias("t"))
-    spark, out = rows.sparkSession, None
-    for some in _chunks(models, at_once):
-        maps = {}
-        for r in some:
-            p = np.array([t["p"] for t in r["t"]]).reshape(-1, 3, 4)
-            a = np.concatenate([np.ones((len(p), 3, 1)), p[:, :, :2]], 2)
-            good = np.abs(np.linalg.det(a)) > 1e-9
-            if good.any():
-                maps[r["_g"]] = np.linalg.solve(a[good], p[good][:, :, 2:])
-        shared = spark.sparkContext.broadcast(maps)
-
-        def of_inliers(g: int, v: np.ndarray, row: np.ndarray, shared=shared) -> np.ndarray:
-            coefficients = shared.value[g]
-            a = np.column_stack([np.ones(len(v)), v[:, :2]])
-            inside = (np.abs(np.einsum("ni,tij->tnj", a, coefficients) - v[None, :, 2:]).sum(2) <= most).astype(np.float64)
-            products = np.concatenate([(a[:, :, None] * a[:, None, :]).reshape(len(v), 9), (a[:, :, None] * v[:, None, 2:]).reshape(len(v), 6)], 1)
-            return np.column_stack([inside.sum(1), inside @ products]).ravel()
-
-        here = data.join(F.broadcast(spark.createDataFrame([(g,) for g in maps], "_g long")), "_g")
-        found = _summed(here, columns, of_inliers, 0)
-        out = found if out is None else out.union(found)
-    schema = _GROUP + "of_x array<double>, of_y array<double>, n_inliers int"
+            for g, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = np.array([[q[c] for c in columns] for q in own])
+                trial, maps = trial_maps(p, np.array([q["_row"] for q in own]), trials) if len(p) >= 3 else (np.zeros(0, np.int64), np.zeros((0, 3, 2)))
+                sums = _inlier_sums(p, maps, most)
+                kept = np.arange(len(trial)) if n <= len(p) else still_open(sums[:, 0], len(p), failure)
+                model = np.column_stack([trial[kept], maps[kept].reshape(-1, 6)]).tobytes()
+                whole = sums.ravel().tolist() if n <= len(p) else None
+                yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([n]), pa.array([model], pa.binary()), pa.array([whole], pa.list_(pa.float64()))], names=["_g", "_n", "_model", "whole"])
+
+    begun = stored(sampled.select("_g", "p", "_n").mapInArrow(begin, _GROUP + "_n long, _model binary, whole array<double>"))
+    large = begun.where("whole IS NULL").drop("whole")
+
+    class Maps(_Maps):
+        pass
+
+    Maps.most = most
+    found = _added(streamed(_beside(data.join(large.select("_g"), "_g", "left_semi"), large, columns), ["_g", "_salt"], [], Maps, _SUMS), 16)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = []
-            for sums in batch.column(1).to_pylist():
-                s = np.array(sums).reshape(-1, 16)
-                won = int(s[:, 0].argmax())
-                fit = _map_of(s[won, 1:]) if s[won, 0] >= 3 else None
-                fits.append((None if fit is None else fit[:, 0].tolist(), None if fit is None else fit[:, 1].tolist(), int(s[won, 0])))
+            for model, whole, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                trial = np.frombuffer(model, np.float64).reshape(-1, 7)[:, 0]
+                if whole is None:
+                    at = {o["trial"]: [o[f"s{i}"] for i in range(16)] for o in own or []}
+                    s = np.array([at[int(t)] for t in trial])
+                else:
+                    s = np.array(whole).reshape(-1, 16)
+                won = int(s[:, 0].argmax()) if len(s) else -1
+                fit = _map_of(s[won, 1:]) if len(s) and s[won, 0] >= 3 else None
+                fits.append((None if fit is None else fit[:, 0].tolist(), None if fit is None else fit[:, 1].tolist(), int(s[won, 0]) if len(s) else 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in fits], t) for i, t in enumerate((pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32()))]], names=["_g", "of_x", "of_y", "n_inliers"])
 
-    out = spark.createDataFrame([], schema) if out is None else out.mapInArrow(best, schema)
+    sums = found.groupBy("_g").agg(F.collect_list(F.struct("trial", *[f"s{i}" for i in range(16)])).alias("s"))
+    out = begun.join(sums, "_g", "left").select("_g", "_model", "whole", "s").mapInArrow(best, _GROUP + "of_x array<double>, of_y array<double>, n_inliers int")
     return names.join(out, "_g", "left").withColumn("n_inliers", F.coalesce("n_inliers", F.lit(0))).drop("_g")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .spread import MOST_BROADCAST, join_key, quantiles, ranked
+
 BARCODE = "cell_barcode_0"
 
 
@@ -18,15 +21,21 @@ def between_open(x: Column, low: float, high: float) -> Column:
     return (x > low) & (x < high)
 
 
-def _middle(x: Column, share: float, approximate: bool) -> Column:
-    """A percentile: exact, which holds the different values of a group in one task, or by a sketch of bounded size."""
-    return F.percentile_approx(x, F.lit(share), F.lit(100_000)) if approximate else F.percentile(x, F.lit(share))
+def _percentiles(rows: DataFrame, wanted: dict[str, list[float]], also: dict[str, Column], approximate: bool) -> DataFrame:
+    """A row a barcode: also, and an array of percentiles of each wanted column; exact ones hold no barcode in one task."""
+    if not approximate:
+        return quantiles(rows, [BARCODE], wanted, also)
+    sketches = [F.percentile_approx(c, F.array(*[F.lit(s) for s in shares]), F.lit(100_000)).alias(c) for c, shares in wanted.items()]
+    return rows.where(F.col(BARCODE).isNotNull()).groupBy(BARCODE).agg(*[f.alias(n) for n, f in also.items()], *sketches)
 
 
 def above_floor(cells: DataFrame, x: str, percent: float, key: str = BARCODE, approximate: bool = False) -> DataFrame:
     """Drop the lowest part of each barcode; keep what is above the percentile."""
-    floors = cells.groupBy(F.col(key).alias("_key")).agg(_middle(F.col(x), percent / 100, approximate).alias("_floor"))
-    return cells.join(floors, F.col(key) == F.col("_key")).where(F.col(x) > F.col("_floor")).drop("_key", "_floor")
+    rows = cells if approximate else stored(cells)
+    floors = _percentiles(rows.select(F.col(key).alias(BARCODE), F.col(x).cast("double").alias("_x")), {"_x": [percent / 100]}, {}, approximate)
+    floors = stored(floors.select(F.col(BARCODE).alias("_key"), F.col("_x")[0].alias("_floor")))
+    floors = F.broadcast(floors) if floors.count() <= MOST_BROADCAST else floors
+    return rows.join(floors, F.col(key) == F.col("_key")).where(F.col(x) > F.col("_floor")).drop("_key", "_floor")
 
 
 def representative(cells: DataFrame, features: list[str], intensity: str, least: float = 300.0, keys: list[str] = ["plate", "well"]) -> DataFrame:  # noqa: B006
@@ -69,10 +78,15 @@ def average_property(cells: DataFrame, barcodes: DataFrame, prop: str, intensity
     rows = rows if floor_percent is None else above_floor(rows, intensity, floor_percent, approximate=approximate)
     inside = between_open(F.col(intensity), low, high)
     x = F.when(inside, F.col(prop))
-    value = F.avg(x) if how == "mean" else F.when(F.count(x) == F.count_if(inside), _middle(x, 0.5, approximate))
     n = F.count_if(inside)
-    gated = F.when((n >= min_cells) & (n >= min_frac * F.count("*")), value)
-    return _for_requested(barcodes, rows.groupBy(BARCODE).agg(gated.alias("value"), n.alias("n_in_range")))
+    if how == "mean":
+        gated = F.when((n >= min_cells) & (n >= min_frac * F.count("*")), F.avg(x))
+        return _for_requested(barcodes, rows.groupBy(BARCODE).agg(gated.alias("value"), n.alias("n_in_range")))
+    marked = rows.select(BARCODE, inside.alias("_in"), x.cast("double").alias("_x"))
+    n = F.count_if("_in")
+    gate = (n >= min_cells) & (n >= min_frac * F.count("*")) & (F.count("_x") == n)
+    out = _percentiles(marked if approximate else stored(marked), {"_x": [0.5]}, {"n_in_range": n, "_gate": gate}, approximate)
+    return _for_requested(barcodes, out.select(BARCODE, F.when(F.col("_gate"), F.col("_x")[0]).alias("value"), "n_in_range"))
 
 
 def barcode_statistics(cells: DataFrame, barcodes: DataFrame, props: list[str], intensity: str, condensate_props: tuple[str, ...] = (), how: str = "mean", low: float = 100.0, high: float = 10000.0, min_cells: int = 30, min_frac: float = 0.3, approximate: bool = False) -> DataFrame:
@@ -93,10 +107,17 @@ def barcode_statistics(cells: DataFrame, barcodes: DataFrame, props: list[str],
         names = [f"{n}_{p}" for p in props for n in ("mean", "std")]
         stats = rows.groupBy(BARCODE).agg(F.count_if(inside).alias("n_in_range"), *[F.when(gate[n.split("_", 1)[1]], c).alias(n) for c, n in zip(out, names, strict=True)])
         return _for_requested(barcodes, stats)
-    whole = {p: F.count(F.when(scope(p), F.col(p))) == F.count_if(scope(p)) for p in props}
-    medians = rows.groupBy(BARCODE).agg(F.count_if(inside).alias("n_in_range"), *[F.when(gate[p] & whole[p], _middle(F.when(scope(p), F.col(p)), 0.5, approximate)).alias(f"median_{p}") for p in props])
-    again = rows.join(medians.withColumnRenamed(BARCODE, "_b"), F.col(BARCODE) == F.col("_b"))
-    mads = again.groupBy(BARCODE).agg(*[_middle(F.when(scope(p), F.abs(F.col(p) - F.col(f"median_{p}"))), 0.5, approximate).alias(f"mad_{p}") for p in props])
+    count = {p: F.count_if(f"_in_{p}") for p in props}
+    n = F.count_if("_in")
+    gates = {f"_gate_{p}": (n >= min_cells) & (n >= min_frac * F.count("*")) & (count[p] >= min_cells) & (F.count(f"_x_{p}") == count[p]) for p in props}
+    marked = rows.select(BARCODE, inside.alias("_in"), *[c for p in props for c in (scope(p).alias(f"_in_{p}"), F.when(scope(p), F.col(p)).cast("double").alias(f"_x_{p}"))])
+    marked = marked if approximate else stored(marked)
+    middle = _percentiles(marked, {f"_x_{p}": [0.5] for p in props}, {"n_in_range": n, **gates}, approximate)
+    medians = stored(middle.select(BARCODE, "n_in_range", *[F.when(F.col(f"_gate_{p}"), F.col(f"_x_{p}")[0]).alias(f"median_{p}") for p in props]))
+    apart = join_key(marked.select(BARCODE, *[f"_x_{p}" for p in props]), medians.drop("n_in_range"), [BARCODE])
+    apart = apart.select(BARCODE, *[F.abs(F.col(f"_x_{p}") - F.col(f"median_{p}")).alias(f"_d_{p}") for p in props])
+    mads = _percentiles(apart if approximate else stored(apart), {f"_d_{p}": [0.5] for p in props}, {}, approximate)
+    mads = mads.select(BARCODE, *[F.col(f"_d_{p}")[0].alias(f"mad_{p}") for p in props])
     return _for_requested(barcodes, medians.join(mads, BARCODE, "left"))
 
 
@@ -110,10 +131,11 @@ def condensate_share(cells: DataFrame, barcodes: DataFrame, intensity: str, low:
 def percentiles(cells: DataFrame, barcodes: DataFrame, prop: str, intensity: str, percents: list[float], low: float = 0.0, high: float = 100000.0, min_cells: int = 30, min_frac: float = 0.3, approximate: bool = False) -> DataFrame:
     """Percentile list and in-range count; a gate that fails gives a null list but still the count."""
     inside = F.coalesce(between_open(F.col(intensity), low, high), F.lit(False))
-    x, p = F.when(inside, F.col(prop)), F.array(*[F.lit(v / 100) for v in percents])
-    value = F.percentile_approx(x, p) if approximate else F.percentile(x, p)
-    n = F.count_if(inside)
-    stats = single_barcode(cells).groupBy(BARCODE).agg(F.when((n >= min_cells) & (n >= min_frac * F.count("*")), value).alias("percentiles"), n.alias("n"))
+    marked = single_barcode(cells).select(BARCODE, inside.alias("_in"), F.when(inside, F.col(prop)).cast("double").alias("_x"))
+    n = F.count_if("_in")
+    gate = (n >= min_cells) & (n >= min_frac * F.count("*"))
+    out = _percentiles(marked if approximate else stored(marked), {"_x": [v / 100 for v in percents]}, {"n": n, "_gate": gate}, approximate)
+    stats = out.select(BARCODE, F.when(F.col("_gate"), F.col("_x")).alias("percentiles"), "n")
     return _for_requested(barcodes, stats).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -128,9 +150,8 @@ def random_n(cells: DataFrame, n: int, identity: list[str], seed: int = 1, keys:
 
 
 def grid(cells: DataFrame, order: list, per_row: int = 20, keys: list[str] = [BARCODE]) -> DataFrame:  # noqa: B006
-    """Rank within the key and its place on a grid."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return cells.withColumn("rank", rank).withColumn("grid_row", F.floor((F.col("rank") - 1) / per_row)).withColumn("grid_col", F.pmod(F.col("rank") - 1, F.lit(per_row)))
+    """Rank within the key and its place on a grid; a key may own most rows."""
+    return ranked(cells, keys, order).withColumn("grid_row", F.floor((F.col("rank") - 1) / per_row)).withColumn("grid_col", F.pmod(F.col("rank") - 1, F.lit(per_row)))
 
 
 def with_sublibrary(cells: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,12 +160,15 @@ def with_sublibrary(cells: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def paired_by_rank(pooled: DataFrame, arrayed: DataFrame, n: int, identity: list[str], intensity: str, seed: int = 1) -> DataFrame:
-    """min(n, pooled cells) cells of each barcode from both sides, lined up by intensity rank."""
+    """min(n, pooled cells) cells of each barcode from both sides, lined up by intensity rank.
+
+    The limit n is known to the plan, so every task keeps n rows of a barcode before the shuffle.
+    """
     sizes = pooled.groupBy(BARCODE).agg(F.least(F.count("*"), F.lit(n)).alias("_take"))
 
     def ranked(d: DataFrame, name: str) -> DataFrame:
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
-        drawn = d.join(sizes, BARCODE).withColumn("_r", F.row_number().over(Window.partitionBy(BARCODE).orderBy(key, *identity))).where("_r <= _take")
+        drawn = d.withColumn("_r", F.row_number().over(Window.partitionBy(BARCODE).orderBy(key, *identity))).where(F.col("_r") <= n).join(sizes, BARCODE).where("_r <= _take")
         rank = F.row_number().over(Window.partitionBy(BARCODE).orderBy(intensity, *identity))
         return drawn.select(BARCODE, rank.alias("rank"), F.struct(*identity).alias(name), F.col(intensity).alias(f"{name}_intensity"))
 

@@ -4,17 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; without that setting a local one, if all tasks run in this process."""
-    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not base and not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='lumen-')).rstrip('/')}/work-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir; without that setting a local one, if all tasks run in this process.
+
+    All of an application's work folders are deleted when it ends.
+    """
+    context = spark.sparkContext
+    base = getattr(context, "_lumenscreen_work", None)
+    if base is None:
+        root, master = spark.conf.get("spark.checkpoint.dir", None), context.master
+        if not root and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = context._lumenscreen_work = f"{(root or 'file://' + tempfile.mkdtemp(prefix='lumen-')).rstrip('/')}/work-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a work folder and read again: later steps neither repeat it nor lose it with an executor."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_tables(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
@@ -83,11 +105,45 @@ def with_extra_features(cells: DataFrame, extra: DataFrame, key: str = "cell_img
     return cells.join(extra.dropDuplicates([key]).drop(*known), key)
 
 
-def image_rows(pixels: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
+def pixel_bands(pixels: DataFrame, height: int, width: int, keys: list[str], rows: int = 32) -> DataFrame:
+    """Pixel rows -> keys, channel, band and its pixels: ``rows`` image rows at once, null where there is no pixel.
+
+    Pixels at one place count once: the largest value, null only if all are. Pixels outside the image are left out. One
+    shuffle, by band; a task holds the pixels of a band.
+    """
+    inside = pixels.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    at = ((F.col("row") % rows) * width + F.col("col")).cast("int")
+    placed = inside.select(*keys, "channel", F.floor(F.col("row") / rows).cast("int").alias("band"), at.alias("at"), F.col("value").cast("double").alias("value"))
+    own = [*keys, "channel", "band"]
+    once = placed.repartition(*own).groupBy(*own, "at").agg(F.max("value").alias("value"))
+    lists = once.groupBy(*own).agg(F.collect_list(F.struct("at", "value")).alias("pixels"))
+    schema = T.StructType([*lists.schema.fields[:-1], T.StructField("pixels", T.ArrayType(T.DoubleType()))])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat, sizes = lists.flatten(), np.asarray(pa.compute.list_value_length(lists), np.int64)
+            band = batch.column(batch.num_columns - 2).to_numpy()
+            places = np.minimum(rows, height - band * rows).astype(np.int64) * width
+            first = np.cumsum(places) - places
+            value = flat.field("value")
+            known = np.asarray(value.is_valid())
+            place = (np.repeat(first, sizes) + flat.field("at").to_numpy())[known]
+            out, there = np.zeros(places.sum()), np.zeros(places.sum(), bool)
+            out[place], there[place] = value.drop_null().to_numpy(), True
+            packed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(places)), pa.int32()), pa.array(out, mask=~there))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+    return lists.mapInArrow(scatter, schema)
+
+
+def image_rows(pixels: DataFrame, height: int, width: int, keys: list[str], rows: int = 32) -> DataFrame:
     """Pixel rows -> keys, channel, height, width and the pixels row by row, null where there is none."""
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("row") * width + F.col("col")).alias("at"), F.col("value").cast("double").alias("value"))))
-    every = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.try_element_at("_at", i))
-    return pixels.groupBy(*keys, "channel").agg(at.alias("_at")).select(*keys, "channel", F.lit(height).alias("height"), F.lit(width).alias("width"), every.alias("pixels"))
+    bands = pixel_bands(pixels, height, width, keys, rows)
+    joined = bands.groupBy(*keys, "channel").agg(F.map_from_entries(F.collect_list(F.struct("band", "pixels"))).alias("_bands"))
+    gap = lambda b: F.array_repeat(F.lit(None).cast("double"), (F.least(F.lit(rows), height - b * rows) * width).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.lit((height - 1) // rows)), lambda b: F.coalesce(F.try_element_at("_bands", b), gap(b)))
+    return joined.select(*keys, "channel", F.lit(height).alias("height"), F.lit(width).alias("width"), F.flatten(every).alias("pixels"))
 
 
 def pixel_rows(images: DataFrame, keys: list[str]) -> DataFrame:

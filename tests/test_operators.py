@@ -89,7 +89,7 @@ def test_statistics_gates_and_nulls(spark):
     assert share == {"a": (1.0, 30), "b": (0.0, 29), "absent": (None, 0)}
 
 
-def test_edges_of_the_grid_are_those_of_all_pairs(spark):
+def test_edges_of_the_leaves_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(8)
     spots = [(t, f, n, float(rng.integers(0, 400 if t else 4000)), float(rng.integers(0, 60))) for t in range(2) for f in range(3) for n in range(40 if t else 12)]
     rows = [("p", "w", *s) for s in spots] + [("p", "w", 1, 1, 99, None, 1.0)]
@@ -98,8 +98,8 @@ def test_edges_of_the_grid_are_those_of_all_pairs(spark):
     for t, f, n, x, y in spots:
         near = sorted((float(np.sqrt((x - a) * (x - a) + (y - b) * (y - b))), m) for u, g, m, a, b in spots if (u, g) == (t, f - 1))
         want |= {(t, f, n, m, d, i + 1) for i, (d, m) in enumerate(near[:3])}
-    for cell in (5.0, 50.0, 1e5):
-        got = track.edges(nuclei, cell=cell).collect()
+    for leaf in (2, 9, 4096):
+        got = track.edges(nuclei, leaf=leaf).collect()
         assert {(r.tile, r.frame, r.nucleus_num, r.prev_num, r.dist, r["rank"]) for r in got} == want and len(got) == len(want)
 
 
