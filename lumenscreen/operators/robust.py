@@ -22,7 +22,7 @@ from ..sources.tables import stored
 from .spread import Step, join_key, numbers, quantiles, streamed
 
 #: Rows of a group that go through one stream.
-STREAM = 200_000
+STREAM = 50_000
 #: Rows of a group are dealt to so many blocks by their hash; a trial takes or leaves whole blocks.
 BLOCKS = 1024
 _GROUP = "_g long, "
@@ -143,19 +143,19 @@ def robust_line(rows: DataFrame, x: str, y: str, keys: list[str], below: float =
     null take no part; a group without two different x has nulls.
     """
     used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) < below))
-    named = stored(used.select(F.xxhash64(*keys).alias("_g"), *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
-    names = named.select("_g", *keys).distinct()
-    data = stored(_identified(named.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y")), keys, ["x", "y"], seed))
-    middle = stored(quantiles(data, ["_g"], {"y": [0.5]}, {"n": F.count("*"), "mx": F.avg("x"), "spread": F.max("x") > F.min("x")}).where("spread").select("_g", "n", "mx", F.col("y")[0].alias("m")))
+    names = stored(used.groupBy(*keys).agg(F.count("*").alias("_rows")).select(F.xxhash64(*keys).alias("_g"), *keys, "_rows"))
+    largest = names.agg(F.max("_rows")).first()[0] or 0
+    data = stored(_identified(used.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")), keys, ["x", "y"], seed))
+    middle = stored(quantiles(data, ["_g"], {"y": [0.5]}, {"n": F.count("*"), "mx": F.avg("x"), "spread": F.max("x") > F.min("x")}, largest=largest).where("spread").select("_g", "n", "mx", F.col("y")[0].alias("m")))
     # Centred values keep the sums precise.
     centred = join_key(data, middle, ["_g"]).select("_g", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("m")).alias("y"), "_row")
-    centred = stored(centred.withColumn("d", F.abs("y")))
+    centred = centred.withColumn("d", F.abs("y"))
     block = F.pmod(F.col("_row"), F.lit(BLOCKS)).alias("block")
     terms = {"n": F.count("*").cast("double"), "sx": F.sum("x"), "sy": F.sum("y"), "sxx": F.sum(F.col("x") * F.col("x")), "sxy": F.sum(F.col("x") * F.col("y"))}
     blocks = centred.groupBy("_g", block).agg(*[f.alias(n) for n, f in terms.items()])
     # At most BLOCKS rows of sums for each group.
     per_group = blocks.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("block", *terms))).alias("b"), F.sum("n").cast("long").alias("_n"))
-    limits = quantiles(centred, ["_g"], {"d": [0.5]}).select("_g", F.col("d")[0].alias("limit"))
+    limits = quantiles(centred, ["_g"], {"d": [0.5]}, largest=largest).select("_g", F.col("d")[0].alias("limit"))
 
     fields = list(terms)
 
@@ -190,7 +190,7 @@ def robust_line(rows: DataFrame, x: str, y: str, keys: list[str], below: float =
     sums = found.groupBy("_g").agg(F.collect_list(F.struct("trial", *[f"s{i}" for i in range(6)])).alias("s"))
     fits = sums.join(ready.select("_g", "_model"), "_g").mapInArrow(best, _GROUP + "slope double, intercept double, n_inliers long")
     back = F.col("intercept") + F.col("m") - F.col("slope") * F.col("mx")
-    return names.join(fits.join(middle, "_g").select("_g", "slope", back.alias("intercept"), "n_inliers"), "_g", "left").drop("_g")
+    return names.drop("_rows").join(fits.join(middle, "_g").select("_g", "slope", back.alias("intercept"), "n_inliers"), "_g", "left").drop("_g")
 
 
 def _map_of(s: np.ndarray) -> np.ndarray | None:

@@ -18,6 +18,8 @@ from ..sources.tables import stored
 MOST_BROADCAST = 50_000
 #: Keys with fewer values are bracketed by their whole range.
 FEW = 4_000
+#: Rows of a key that one task may hold.
+DIRECT = 1_000_000
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -60,46 +62,53 @@ def _brackets(rows: DataFrame, keys: list[str], wanted: dict[str, list[float]],
     return rows.groupBy(*keys).agg(*parts, *[f.alias(n) for n, f in also.items()])
 
 
-def quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, list[float]], also: dict[str, Column] | None = None, width: float = 0.0005, accuracy: int = 10_000) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, list[float]], also: dict[str, Column] | None = None, width: float = 0.0005, accuracy: int = 10_000, largest: int | None = None) -> DataFrame:
     """keys, the columns of ``also`` (aggregates) and for each wanted double column an array of exact percentiles.
 
-    All keys, columns and shares at once: a sketch gives a bracket for each share; a second pass counts the values below
-    a bracket and the different values inside it, and their running sums give the two values around the wanted place,
+    Keys are counted first, unless the rows of the ``largest`` key are given. If none has over ``DIRECT`` rows, one aggregation holds a key's values. Otherwise, for all
+    keys, columns and shares at once, a sketch gives a bracket for each share; a second pass counts the values below a
+    bracket and the different values inside it, and their running sums give the two values around the wanted place,
     which are interpolated linearly. A bracket holds about a thousandth of a key's values. The counts prove a bracket;
     keys where one fails, if any, go through wider ones. Nulls don't count; a key without values has null; rows with a
-    null key take no part. ``rows`` is read twice, so it should be stored.
+    null key take no part.
     """
     rows = rows.where(functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
+    if largest is None:
+        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= DIRECT:
+        exact = [F.percentile(c, F.array(*[F.lit(float(x)) for x in shares])).alias(c) for c, shares in wanted.items()]
+        return rows.groupBy(*keys).agg(*[f.alias(n) for n, f in (also or {}).items()], *exact)
     asked = [(c, i, s) for c, shares in wanted.items() for i, s in enumerate(shares)]
     found = None
-    left = rows
+    left = stored(rows)
     while True:
         facts = stored(_brackets(left, keys, wanted, also or {}, width, accuracy))
         marked = join_key(left.select(*keys, *wanted), facts.select(*keys, *[f"_b_{c}" for c in wanted]), keys)
-        # Of every value up to a bracket's end: the value inside, null below.
-        hits = [F.when(F.col(c) <= F.col(f"_b_{c}")[i]["high"], F.struct(F.lit(n).alias("id"), F.when(F.col(c) >= F.col(f"_b_{c}")[i]["low"], F.col(c)).alias("v"))) for n, (c, i, _) in enumerate(asked)]
-        counts = marked.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("n")).select(*keys, "h.id", "h.v", "n")
-        upto = Window.partitionBy(*keys, "id").orderBy(F.col("v").asc_nulls_first())
-        total = functools.reduce(lambda a, x: F.when(F.col("id") == x[0], F.col(f"_n_{x[1][0]}")).otherwise(a), enumerate(asked), F.lit(None).cast("long"))
-        share = functools.reduce(lambda a, x: F.when(F.col("id") == x[0], F.lit(float(x[1][2]))).otherwise(a), enumerate(asked), F.lit(None).cast("double"))
-        summed = join_key(counts.withColumn("upto", F.sum("n").over(upto)), facts.select(*keys, *[f"_n_{c}" for c in wanted]), keys).withColumn("place", (total - 1) * share)
-        value = lambda place: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > place), F.col("v")))
-        below, upper = F.floor("place"), F.ceil("place")
-        proof = (F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)) <= F.first(below)) & (F.max("upto") > F.first(upper))
-        around = summed.groupBy(*keys, "id").agg(value(below).alias("a"), value(upper).alias("b"), F.first("place").alias("p"), proof.alias("ok"))
+        ends = [(n, F.col(c), F.col(f"_b_{c}")[i]) for n, (c, i, _) in enumerate(asked)]
+        below = stored(marked.groupBy(*keys).agg(*[F.count_if(x < b["low"]).alias(f"_l_{n}") for n, x, b in ends]).join(facts.select(*keys, *[f"_n_{c}" for c in wanted]), keys))
+        inside = F.array_compact(F.array(*[F.when((x >= b["low"]) & (x <= b["high"]), F.struct(F.lit(n).alias("id"), x.alias("v"))) for n, x, b in ends]))
+        counts = marked.select(*keys, F.explode(inside).alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("n")).select(*keys, "h.id", "h.v", "n")
+        chosen = lambda values, kind: functools.reduce(lambda a, x: F.when(F.col("id") == x[0], x[1]).otherwise(a), enumerate(values), F.lit(None).cast(kind))
+        place = (chosen([F.col(f"_n_{c}") for c, _, _ in asked], "long") - 1) * chosen([F.lit(float(s)) for _, _, s in asked], "double")
+        low = chosen([F.col(f"_l_{n}") for n in range(len(asked))], "long")
+        running = F.sum("n").over(Window.partitionBy(*keys, "id").orderBy("v"))
+        summed = join_key(counts.withColumn("upto", running), below, keys).select(*keys, "id", "v", (F.col("upto") + low).alias("upto"), place.alias("place"), low.alias("low"))
+        value = lambda at: F.min(F.when(F.col("upto") > at, F.col("v")))
+        first, second = F.floor("place"), F.ceil("place")
+        proof = (F.first("low") <= F.first(first)) & (F.max("upto") > F.first(second))
+        around = summed.groupBy(*keys, "id").agg(value(first).alias("a"), value(second).alias("b"), F.first("place").alias("p"), proof.alias("ok"))
         exact = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("p") - F.col("p")) * F.col("a") + (F.col("p") - F.floor("p")) * F.col("b"))
-        per_key = stored(around.groupBy(*keys).agg(F.bool_and("ok").alias("_ok"), *[F.max(F.when(F.col("id") == n, exact)).alias(f"_q_{n}") for n in range(len(asked))]))
+        per_key = around.groupBy(*keys).agg(F.bool_and("ok").alias("_ok"), F.count("*").alias("_ids"), *[F.max(F.when(F.col("id") == n, exact)).alias(f"_q_{n}") for n in range(len(asked))])
+        # A key has an answer for each share of the columns in which it has values, or the bracket held none of them.
+        due = functools.reduce(operator.add, [F.when(F.col(f"_n_{c}") > 0, len(shares)).otherwise(0) for c, shares in wanted.items()])
+        answered = F.coalesce(F.col("_ok"), F.lit(True)) & (F.coalesce("_ids", F.lit(0)) == due)
+        done = stored(facts.join(per_key, keys, "left").withColumn("_ok", F.lit(True) if width >= 1 else answered))
         ids = {c: [n for n, (d, _, _) in enumerate(asked) if d == c] for c in wanted}
         lists = [F.when(F.col(f"_q_{own[0]}").isNotNull(), F.array(*[F.col(f"_q_{n}") for n in own])).alias(c) for c, own in ids.items()]
-        done = facts.join(per_key.where("_ok"), keys) if width < 1 else facts.join(per_key, keys, "left")
-        if width < 1:
-            # Keys without any value have no counts.
-            none = facts.where(functools.reduce(operator.and_, [F.col(f"_n_{c}") == 0 for c in wanted]))
-            done = done.unionByName(none, allowMissingColumns=True)
-        done = done.select(*keys, *(also or {}), *lists)
-        found = done if found is None else found.unionByName(done)
-        failed = per_key.where("NOT _ok").select(*keys)
-        if width >= 1 or not failed.limit(1).count():
+        good = done.where("_ok").select(*keys, *(also or {}), *lists)
+        found = good if found is None else found.unionByName(good)
+        failed = done.where("NOT _ok").select(*keys)
+        if not failed.limit(1).count():
             return found
         left, width = left.join(failed, keys, "left_semi"), min(1.0, width * 32)
 

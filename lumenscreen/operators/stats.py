@@ -31,11 +31,10 @@ def _percentiles(rows: DataFrame, wanted: dict[str, list[float]], also: dict[str
 
 def above_floor(cells: DataFrame, x: str, percent: float, key: str = BARCODE, approximate: bool = False) -> DataFrame:
     """Drop the lowest part of each barcode; keep what is above the percentile."""
-    rows = cells if approximate else stored(cells)
-    floors = _percentiles(rows.select(F.col(key).alias(BARCODE), F.col(x).cast("double").alias("_x")), {"_x": [percent / 100]}, {}, approximate)
+    floors = _percentiles(cells.select(F.col(key).alias(BARCODE), F.col(x).cast("double").alias("_x")), {"_x": [percent / 100]}, {}, approximate)
     floors = stored(floors.select(F.col(BARCODE).alias("_key"), F.col("_x")[0].alias("_floor")))
     floors = F.broadcast(floors) if floors.count() <= MOST_BROADCAST else floors
-    return rows.join(floors, F.col(key) == F.col("_key")).where(F.col(x) > F.col("_floor")).drop("_key", "_floor")
+    return cells.join(floors, F.col(key) == F.col("_key")).where(F.col(x) > F.col("_floor")).drop("_key", "_floor")
 
 
 def representative(cells: DataFrame, features: list[str], intensity: str, least: float = 300.0, keys: list[str] = ["plate", "well"]) -> DataFrame:  # noqa: B006
@@ -85,7 +84,7 @@ def average_property(cells: DataFrame, barcodes: DataFrame, prop: str, intensity
     marked = rows.select(BARCODE, inside.alias("_in"), x.cast("double").alias("_x"))
     n = F.count_if("_in")
     gate = (n >= min_cells) & (n >= min_frac * F.count("*")) & (F.count("_x") == n)
-    out = _percentiles(marked if approximate else stored(marked), {"_x": [0.5]}, {"n_in_range": n, "_gate": gate}, approximate)
+    out = _percentiles(marked, {"_x": [0.5]}, {"n_in_range": n, "_gate": gate}, approximate)
     return _for_requested(barcodes, out.select(BARCODE, F.when(F.col("_gate"), F.col("_x")[0]).alias("value"), "n_in_range"))
 
 
@@ -111,12 +110,12 @@ def barcode_statistics(cells: DataFrame, barcodes: DataFrame, props: list[str],
     n = F.count_if("_in")
     gates = {f"_gate_{p}": (n >= min_cells) & (n >= min_frac * F.count("*")) & (count[p] >= min_cells) & (F.count(f"_x_{p}") == count[p]) for p in props}
     marked = rows.select(BARCODE, inside.alias("_in"), *[c for p in props for c in (scope(p).alias(f"_in_{p}"), F.when(scope(p), F.col(p)).cast("double").alias(f"_x_{p}"))])
-    marked = marked if approximate else stored(marked)
+    marked = stored(marked)
     middle = _percentiles(marked, {f"_x_{p}": [0.5] for p in props}, {"n_in_range": n, **gates}, approximate)
     medians = stored(middle.select(BARCODE, "n_in_range", *[F.when(F.col(f"_gate_{p}"), F.col(f"_x_{p}")[0]).alias(f"median_{p}") for p in props]))
     apart = join_key(marked.select(BARCODE, *[f"_x_{p}" for p in props]), medians.drop("n_in_range"), [BARCODE])
     apart = apart.select(BARCODE, *[F.abs(F.col(f"_x_{p}") - F.col(f"median_{p}")).alias(f"_d_{p}") for p in props])
-    mads = _percentiles(apart if approximate else stored(apart), {f"_d_{p}": [0.5] for p in props}, {}, approximate)
+    mads = _percentiles(apart, {f"_d_{p}": [0.5] for p in props}, {}, approximate)
     mads = mads.select(BARCODE, *[F.col(f"_d_{p}")[0].alias(f"mad_{p}") for p in props])
     return _for_requested(barcodes, medians.join(mads, BARCODE, "left"))
 
@@ -134,7 +133,7 @@ def percentiles(cells: DataFrame, barcodes: DataFrame, prop: str, intensity: str
     marked = single_barcode(cells).select(BARCODE, inside.alias("_in"), F.when(inside, F.col(prop)).cast("double").alias("_x"))
     n = F.count_if("_in")
     gate = (n >= min_cells) & (n >= min_frac * F.count("*"))
-    out = _percentiles(marked if approximate else stored(marked), {"_x": [v / 100 for v in percents]}, {"n": n, "_gate": gate}, approximate)
+    out = _percentiles(marked, {"_x": [v / 100 for v in percents]}, {"n": n, "_gate": gate}, approximate)
     stats = out.select(BARCODE, F.when(F.col("_gate"), F.col("_x")).alias("percentiles"), "n")
     return _for_requested(barcodes, stats).withColumn("n", F.coalesce("n", F.lit(0)))
 

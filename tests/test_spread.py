@@ -18,8 +18,12 @@ def percentile(x, share):
 
 
 @pytest.mark.parametrize(("width", "accuracy", "few"), [(0.0005, 10_000, 4_000), (0.001, 200, 50), (1e-9, 10, 20)])
-def test_exact_quantiles_of_a_hot_key(spark, monkeypatch, width, accuracy, few):
+@pytest.mark.parametrize("direct", [0, 1_000_000])
+def test_exact_quantiles_of_a_hot_key(spark, monkeypatch, width, accuracy, few, direct):
+    if direct and few < 4_000:
+        pytest.skip("no brackets")
     monkeypatch.setattr(spread, "FEW", few)
+    monkeypatch.setattr(spread, "DIRECT", direct)
     rng = np.random.default_rng(3)
     hot = np.append(rng.normal(0, 50, 8500), np.repeat(7.0, 500))
     rows = [("hot", float(v), float(np.floor(v))) for v in hot] + [("b", 1.0, None), ("b", 2.0, None), ("b", 5.0, 1.0), ("c", None, None), (None, 9.0, 9.0), ("d", 4.0, 4.0)]
@@ -36,7 +40,8 @@ def test_exact_quantiles_of_a_hot_key(spark, monkeypatch, width, accuracy, few):
         assert got[k].n == sum(r[0] == k for r in rows)
 
 
-def test_quantiles_hold_no_key_in_a_window(spark):
+def test_quantiles_hold_no_key_in_a_window(spark, monkeypatch):
+    monkeypatch.setattr(spread, "DIRECT", 1000)
     # The windows' input is what a bracket holds: a few of the different values of a key.
     df = tables.stored(spark.range(200_000).select(F.lit("k").alias("k"), F.rand(5).alias("x")))
     seen = []
@@ -50,7 +55,9 @@ def test_quantiles_hold_no_key_in_a_window(spark):
     assert seen[1].count() < 2_000
 
 
-def test_statistics_with_ninety_percent_in_one_barcode(spark):
+@pytest.mark.parametrize("direct", [0, 1_000_000])
+def test_statistics_with_ninety_percent_in_one_barcode(spark, monkeypatch, direct):
+    monkeypatch.setattr(spread, "DIRECT", direct)
     rng = np.random.default_rng(6)
     rows = [("a" if i % 10 else f"b{i % 7}", None, float(rng.integers(1, 1000)), int(rng.integers(0, 3)), float(rng.normal())) for i in range(6000)]
     cells = spark.createDataFrame(rows, "cell_barcode_0 string, cell_barcode_1 string, intensity double, num_condensates int, f double")
