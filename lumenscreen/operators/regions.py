@@ -1,6 +1,6 @@
-"""Objects inside cells, grown labels, crops, flat fields and registration of images.
+"""Objects inside cells, crops and registration of images; grown labels and flat fields are those of ``bands``.
 
-Tasks in Python hold one image, whose cells they take one by one, one averaged image or a pair of images.
+Tasks in Python hold one cell, a strip of an image or a pair of images.
 """
 
 from __future__ import annotations
@@ -10,61 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bands import distance_to, grown_labels, labelled, run_labels, smoothed_field, split_touching
 from .pixels import IMAGE
+from .registration import correlation, fast_size, placement, transform
+from .spread import each_group
+
+__all__ = ["condensate_intensities", "connected", "crops", "flag_holes", "grown_labels", "label_objects", "labelled", "nucleolus_mask", "registration_scores", "smoothed_field"]
 
 
 def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
 
-def _cells_of_images(cells: DataFrame, one, keys: list[str], schema: str) -> DataFrame:
-    """one(pixels of a cell) for all cells of an image and channel in a task: far fewer groups than one for each cell."""
-
-    def every(key: tuple, image: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(cell.copy()) for _, cell in image.groupby("label", sort=False)])
-
-    return cells.groupBy(*keys, "channel").applyInPandas(every, schema)
-
-
-def smoothed_field(pixels: DataFrame, keys: list[str], sigma: float | None = None) -> DataFrame:
-    """Mean image of the keys and channel, smoothed (a tenth of its height, edges extended), over its maximum."""
-    means = pixels.groupBy(*keys, "channel", "row", "col").agg(F.avg("value").alias("value"))
-    by = [*keys, "channel"]
-
-    def blur(image: np.ndarray, s: float) -> np.ndarray:
-        reach = int(4 * s + 0.5)
-        weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / s) ** 2)
-        weights /= weights.sum()
-        for axis in (0, 1):
-            wide = np.pad(image, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-            image = sum(w * np.take(wide, np.arange(i, i + image.shape[axis]), axis) for i, w in enumerate(weights))
-        return image
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # Places without a pixel take the image's mean.
-        image = np.full((int(group["row"].max()) + 1, int(group["col"].max()) + 1), group["value"].mean())
-        image[group["row"], group["col"]] = group["value"]
-        smooth = blur(image, sigma or max(image.shape[0] / 10, 0.5))
-        top = smooth.max()
-        group["value"] = (smooth / top if top else smooth)[group["row"], group["col"]]
-        return group[[*by, "row", "col", "value"]]
-
-    return means.groupBy(*by).applyInPandas(one, _schema(means, [*by, "row", "col"]) + ", value double")
-
-
 def connected(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     """0 outside; inside, the smallest flat index + 1 of the pixel's connected set."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(h, w), np.iinfo(np.int64).max)
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (diagonal or not (i and j))]
-    while True:
-        wide = np.pad(label, 1, constant_values=np.iinfo(np.int64).max)
-        least = np.minimum.reduce([label, *[wide[1 + i : 1 + i + h, 1 + j : 1 + j + w] for i, j in steps]])
-        # A label is a place; the label of that place is as small or smaller, so long paths shorten quickly.
-        least = np.where(mask, label.ravel()[np.minimum(least, mask.size) - 1], np.iinfo(np.int64).max)
-        if (least == label).all():
-            return np.where(mask, label, 0)
-        label = least
+    row, col = np.nonzero(mask)
+    first = run_labels(row, col, diagonal)
+    out = np.zeros(mask.shape, np.int64)
+    out[row, col] = row[first] * mask.shape[1] + col[first] + 1
+    return out
 
 
 def _small(label: np.ndarray, below: int) -> np.ndarray:
@@ -72,11 +36,12 @@ def _small(label: np.ndarray, below: int) -> np.ndarray:
     return ((n < below) & (values != 0))[at.reshape(label.shape)]
 
 
-def label_objects(pixels: DataFrame, mask: str, least_hole: int = 4, least_area: int = 4, keys: list[str] = IMAGE) -> DataFrame:
+def label_objects(pixels: DataFrame, mask: str, least_hole: int = 4, least_area: int = 4, depth: float | None = None, keys: list[str] = IMAGE) -> DataFrame:
     """Pixels of a cell with object (0: none), from a boolean column.
 
-    Holes (joined by edges) and objects (joined by edges or corners) below the sizes go; so do objects at the edge of
-    the cell's box or with a neighbour outside the cell. Objects are numbered in row order within a cell.
+    Holes (joined by edges) and objects (joined by edges or corners) below the sizes go. With a depth, objects that
+    touch are told apart (``split_touching``). Then objects at the edge of the cell's box or with a neighbour outside
+    the cell go. Objects are numbered in row order within a cell.
     """
     by = [*keys, "label", "channel"]
     cells = pixels.where("label <> 0").select(*by, "row", "col", "value", F.coalesce(F.col(mask), F.lit(False)).alias("_m"))
@@ -88,13 +53,16 @@ def label_objects(pixels: DataFrame, mask: str, least_hole: int = 4, least_area:
         inside[r + 1, c + 1], found[r + 1, c + 1] = True, g["_m"]
         found |= _small(connected(~found, False), least_hole) & inside
         label = connected(found, True)
+        label[_small(label, least_area)] = 0
+        if depth is not None:
+            label = split_touching(label > 0, depth)
         edge = np.unique(label[np.logical_or.reduce([~np.roll(inside, s, a) for a in (0, 1) for s in (-1, 1)])])
-        label[_small(label, least_area) | np.isin(label, edge)] = 0
+        label[np.isin(label, edge)] = 0
         names = np.unique(np.append(0, label))
         g["object"] = np.searchsorted(names, label[r + 1, c + 1]).astype(np.int32)
         return g[[*by, "row", "col", "value", "object"]]
 
-    return _cells_of_images(cells, one, keys, _schema(cells, [*by, "row", "col", "value"]) + ", object int")
+    return each_group(cells, by, one, _schema(cells, [*by, "row", "col", "value"]) + ", object int")
 
 
 def _box(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +114,7 @@ def flag_holes(pixels: DataFrame, most_fill: int = 50, least_hole: int = 10, key
         g["hole"] = dark[r, c]
         return g[[*by, "row", "col", "value", "hole"]]
 
-    return _cells_of_images(cells, one, keys, _schema(cells, [*by, "row", "col", "value"]) + ", hole boolean")
+    return each_group(cells, by, one, _schema(cells, [*by, "row", "col", "value"]) + ", hole boolean")
 
 
 def nucleolus_mask(pixels: DataFrame, thresholds: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
@@ -161,18 +129,12 @@ def nucleolus_mask(pixels: DataFrame, thresholds: DataFrame, keys: list[str] = I
         g["nucleolus"] = (mask | _enclosed(mask))[r, c]
         return g[[*by, "row", "col", "value", "nucleolus"]]
 
-    return _cells_of_images(cells, one, keys, _schema(cells, [*by, "row", "col", "value"]) + ", nucleolus boolean")
+    return each_group(cells, by, one, _schema(cells, [*by, "row", "col", "value"]) + ", nucleolus boolean")
 
 
 def _within(mask: np.ndarray, distance: int) -> np.ndarray:
     """Pixels whose Euclidean distance to the mask is at most ``distance``."""
-    h, w = mask.shape
-    wide, out = np.pad(mask, distance), np.zeros_like(mask)
-    for i in range(-distance, distance + 1):
-        for j in range(-distance, distance + 1):
-            if i * i + j * j <= distance * distance:
-                out |= wide[distance + i : distance + i + h, distance + j : distance + j + w]
-    return out
+    return distance_to(mask) <= distance * distance
 
 
 def condensate_intensities(objects: DataFrame, every: str = "object", hole: str | None = None, shrink: int = 2, grow: int = 8, keys: list[str] = IMAGE) -> DataFrame:
@@ -194,7 +156,7 @@ def condensate_intensities(objects: DataFrame, every: str = "object", hole: str
         g["_dilute"] = ~_within(near, grow)[r, c] & ~g["_hole"].to_numpy()
         return g[[*by, "value", "_own", "_hole", "_core", "_dilute"]]
 
-    flags = _cells_of_images(cells, flagged, keys, _schema(cells, [*by, "value"]) + ", _own boolean, _hole boolean, _core boolean, _dilute boolean")
+    flags = each_group(cells, by, flagged, _schema(cells, [*by, "value"]) + ", _own boolean, _hole boolean, _core boolean, _dilute boolean")
     chosen = {"condensate": "_core", "condensate_no_shrink": "_own", "dilute": "_dilute"}
     parts = [f(F.when(F.col(flag), F.col("value"))).alias(f"{stat}_{name}") for name, flag in chosen.items() for stat, f in (("mean", F.avg), ("std", F.stddev_pop))]
     return flags.groupBy(*by).agg(*parts, F.avg(F.when(~F.col("_hole"), F.col("value"))).alias("mean_no_holes"))
@@ -206,22 +168,9 @@ def masked_correlation(fixed: np.ndarray, moving: np.ndarray, fixed_mask: np.nda
     Entry (i, j) has the moving image's first pixel at (i, j) - moving shape + 1 of the fixed one. Shifts whose
     overlap is below a share of the largest one are 0.
     """
-    shape = [a + b - 1 for a, b in zip(fixed.shape, moving.shape, strict=True)]
-    fast = [1 << (n - 1).bit_length() for n in shape]
-    into = lambda x: np.fft.rfft2(x, fast)
-    back = lambda x: np.fft.irfft2(x, fast)[: shape[0], : shape[1]]
-    fixed, moving = np.where(fixed_mask, fixed, 0.0), np.where(moving_mask, moving, 0.0)[::-1, ::-1]
-    f, m, fm, mm = into(fixed), into(moving), into(fixed_mask.astype(float)), into(moving_mask[::-1, ::-1].astype(float))
-    overlap = np.maximum(np.round(back(fm * mm)), np.finfo(float).eps)
-    f_sum, m_sum = back(f * mm), back(fm * m)
-    f_var = np.maximum(back(into(fixed * fixed) * mm) - f_sum**2 / overlap, 0)
-    m_var = np.maximum(back(fm * into(moving * moving)) - m_sum**2 / overlap, 0)
-    scale = np.sqrt(f_var * m_var)
-    enough = scale > 1e3 * np.finfo(float).eps * max(scale.max(), 1e-300)
-    out = np.zeros(shape)
-    np.divide(back(f * m) - f_sum * m_sum / overlap, scale, out=out, where=enough)
-    out[overlap < least_overlap * overlap.max()] = 0
-    return np.clip(out, -1, 1)
+    fast = fast_size([a + b - 1 for a, b in zip(fixed.shape, moving.shape, strict=True)])
+    spectra = [transform(np.where(mask, x, np.nan), fast) for x, mask in ((fixed, fixed_mask), (moving, moving_mask))]
+    return correlation(*spectra, fixed.shape, moving.shape, fast, least_overlap)
 
 
 def registration_scores(pairs: DataFrame, keys: list[str], least_overlap: float = 0.3) -> DataFrame:
@@ -246,25 +195,13 @@ def registration_scores(pairs: DataFrame, keys: list[str], least_overlap: float
         out = g[keys].assign(cc=None, shift_row=None, shift_col=None)
         if source is not None and target is not None:
             cc = masked_correlation(target, source, ~np.isnan(target), ~np.isnan(source), least_overlap)
-            shift = np.argwhere(cc >= cc.max() - 1e-9).mean(0) - np.array(source.shape) + 1
-            shift = -shift + (np.array(target.shape) - np.array(source.shape)) / 2
-            out = g[keys].assign(cc=float(cc.max()), shift_row=shift[0], shift_col=shift[1])
+            best, row, col = placement(cc, source.shape, target.shape)
+            out = g[keys].assign(cc=best, shift_row=row, shift_col=col)
         return out
 
     return used.groupBy(*keys, "_pair").applyInPandas(one, _schema(used, keys) + ", cc double, shift_row double, shift_col double")
 
 
-def grown_labels(pixels: DataFrame, distance: int, keys: list[str] = IMAGE) -> DataFrame:
-    """Background pixels within a distance take the nearest label, the smaller one of equals."""
-    disk = [(i, j) for i in range(-distance, distance + 1) for j in range(-distance, distance + 1) if 0 < i * i + j * j <= distance * distance]
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disk]))
-    reach = pixels.where("label <> 0").select(*keys, "channel", "row", "col", "label", steps.alias("_s"))
-    d2 = F.col("_s.i") * F.col("_s.i") + F.col("_s.j") * F.col("_s.j")
-    near = reach.groupBy(*keys, "channel", (F.col("row") + F.col("_s.i")).alias("row"), (F.col("col") + F.col("_s.j")).alias("col")).agg(F.min(F.struct(d2.alias("d"), "label")).alias("_n"))
-    out = pixels.join(near, [*keys, "channel", "row", "col"], "left")
-    return out.withColumn("label", F.when(F.col("label") != 0, F.col("label")).otherwise(F.coalesce("_n.label", F.lit(0)))).drop("_n")
-
-
 def crops(pixels: DataFrame, size: int = 185, most: float = 65535.0, keys: list[str] = IMAGE) -> DataFrame:
     """Pixels of each cell, centred in a square (an odd remainder to the right), clipped and scaled to 16 bits.
 

@@ -7,6 +7,7 @@ import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,6 +160,38 @@ def streamed(rows: DataFrame, group: list[str], order: list[str], step: Callable
     return placed.mapInArrow(run, schema)
 
 
+def each_group(rows: DataFrame, group: list[str], one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """one(rows of a group) for all groups; a task holds one small group at a time, and gives many at once back."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.withColumn("_group", F.xxhash64(*group)).repartition(parts, *group).sortWithinPartitions(*group)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, done, size = None, [], [], 0
+
+        def solved() -> pd.DataFrame:
+            return one(pd.concat(held, ignore_index=True).drop(columns="_group"))
+
+        for frame in frames:
+            g = frame["_group"].to_numpy()
+            bounds = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)] if len(g) else [0]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if g[a] != now:
+                    if held:
+                        done.append(solved())
+                        size += len(done[-1])
+                    now, held = g[a], []
+                    if size > 50_000:
+                        yield pd.concat(done)
+                        done, size = [], 0
+                held.append(frame.iloc[a:b])
+        if held:
+            done.append(solved())
+        if done:
+            yield pd.concat(done)
+
+    return placed.mapInPandas(run, schema)
+
+
 def numbers(batch: pa.RecordBatch | pa.Table, name: str, kind=np.float64) -> np.ndarray:
     """A column without nulls as numpy."""
     column = batch[name] if isinstance(batch, pa.Table) else batch.column(batch.schema.get_field_index(name))

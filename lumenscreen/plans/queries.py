@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords, names
-from ..operators import clean, match, pixels, reads, regions, robust, stats, track
+from ..operators import clean, match, pixels, reads, regions, registration, robust, stats, track
 from ..sources import tables
 from . import views as v
 
@@ -297,10 +297,10 @@ def _(spark, d):
     return tables.sites_10x(found).select("url", "x", "y")
 
 
-@_query("s13_images", f"WITH {v.PIXELS} SELECT plate, well, field, row, col, value::DOUBLE AS value FROM pixels WHERE channel = 'c0'")
+@_query("s13_images", f"WITH {v.PIXELS} SELECT plate, well, field, channel, row, col, value::DOUBLE AS value FROM pixels")
 def _(spark, d):
     keys = ["plate", "well", "field"]
-    return tables.pixel_rows(tables.image_rows(v.pixels(spark, d).where("channel = 'c0'"), 40, 40, keys), keys).drop("channel")
+    return tables.pixel_rows(tables.image_rows(v.pixels(spark, d), 40, 40, keys), keys)
 
 
 @_query("f1_f5_f13_f14_names", """SELECT o_orderkey AS k, chr((65 + o_orderkey % 6)::INT) || (o_custkey % 9 + 1) AS well, (o_orderkey % 333)::INT AS tile, CASE WHEN o_orderkey % 6 < 4 THEN printf('r%02dc%02d', o_orderkey % 6 + 1, o_custkey % 9 + 1) END AS code, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100)::INT END AS field,
@@ -489,9 +489,9 @@ def _(spark, d):
     return _rounded(pixels.channel_correlation(v.pixels(spark, d), "c0", "c1"), "corr")
 
 
-@_query("x6_inside_regions", f"{P} SELECT {IMG}, label, count(*) AS area FROM pixels WHERE label <> 0 AND channel = 'c0' GROUP BY ALL HAVING count(*) > 5 AND count(*) < 2000 AND min(row) > 0 AND min(col) > 0 AND max(row) + 1 < 40 AND max(col) + 1 < 40")
+@_query("x6_inside_regions", f"{P} SELECT {IMG}, label, channel, count(*) AS area FROM pixels WHERE label <> 0 GROUP BY ALL HAVING count(*) > 5 AND count(*) < 2000 AND min(row) > 0 AND min(col) > 0 AND max(row) + 1 < 40 AND max(col) + 1 < 40")
 def _(spark, d):
-    return pixels.inside_regions(pixels.region_statistics(v.pixels(spark, d).where("channel = 'c0'")), 5, 2000, 40, 40).select("plate", "well", "field", "label", "area")
+    return pixels.inside_regions(pixels.region_statistics(v.pixels(spark, d)), 5, 2000, 40, 40).select("plate", "well", "field", "label", "channel", "area")
 
 
 @_query("x3_bleedthrough", f"WITH {v.PIXELS} SELECT {IMG}, row, col, trunc(greatest(0, v0 - v1 * 2.5))::INT AS value FROM lab")
@@ -554,7 +554,15 @@ def _(spark, d):
 
 @_query("x13_objects")
 def _(spark, d):
-    return regions.label_objects(v.pixels(spark, d).withColumn("bright", F.col("value") > 2500), "bright")
+    return regions.label_objects(v.pixels(spark, d).withColumn("bright", F.col("value") > 2500), "bright", depth=1.0)
+
+
+@_query("x13_connected_regions", f"""WITH RECURSIVE {v.PIXELS}, b AS (SELECT plate, well, field, row, col, row * 40 + col + 1 AS place FROM pixels WHERE channel = 'c1' AND value > 4000),
+r AS (SELECT {IMG}, place AS seed, row, col FROM b UNION SELECT r.plate, r.well, r.field, seed, b.row, b.col FROM r JOIN b ON (r.plate, r.well, r.field) = (b.plate, b.well, b.field) AND abs(r.row - b.row) + abs(r.col - b.col) = 1)
+SELECT {IMG}, row, col, min(seed)::BIGINT AS component FROM r GROUP BY ALL""")
+def _(spark, d):
+    rows = v.pixels(spark, d).where("channel = 'c1'").withColumn("bright", F.col("value") > 4000)
+    return regions.labelled(rows, "bright", ["plate", "well", "field"], 40, rows=8)
 
 
 @_query("x11_holes")
@@ -574,11 +582,11 @@ def _(spark, d):
     return regions.nucleolus_mask(rows, pixels.nucleolus_threshold(rows))
 
 
-@_query("x14_object_properties", f"""{P}, o AS (SELECT *, CASE WHEN value > 2500 THEN 1 + col % 2 ELSE 0 END AS object FROM pixels WHERE label <> 0 AND channel = 'c1'), part_ AS (SELECT {IMG}, label, object, count(*) AS area, sum(value) AS total FROM o WHERE object <> 0 GROUP BY ALL)
-SELECT {IMG}, label, count(total) AS num, sum(total)::BIGINT AS total_intensity, sum(area)::BIGINT AS total_area, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area FROM (SELECT DISTINCT {IMG}, label FROM o) LEFT JOIN part_ USING (plate, well, field, label) GROUP BY ALL""")
+@_query("x14_object_properties", f"""{P}, o AS (SELECT *, CASE WHEN value > 2500 THEN 1 + col % 2 ELSE 0 END AS object FROM pixels WHERE label <> 0), part_ AS (SELECT {IMG}, label, channel, object, count(*) AS area, sum(value) AS total FROM o WHERE object <> 0 GROUP BY ALL)
+SELECT {IMG}, label, channel, count(total) AS num, sum(total)::BIGINT AS total_intensity, sum(area)::BIGINT AS total_area, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area FROM (SELECT DISTINCT {IMG}, label, channel FROM o) LEFT JOIN part_ USING (plate, well, field, label, channel) GROUP BY ALL""")
 def _(spark, d):
-    rows = v.pixels(spark, d).where("channel = 'c1'").withColumn("object", F.when(F.col("value") > 2500, 1 + F.col("col") % 2).otherwise(0))
-    out = pixels.object_properties(rows).select("plate", "well", "field", "label", "num", "total_intensity", "total_area", "mean_area", "std_area")
+    rows = v.pixels(spark, d).withColumn("object", F.when(F.col("value") > 2500, 1 + F.col("col") % 2).otherwise(0))
+    out = pixels.object_properties(rows, ["plate", "well", "field", "channel"]).select("plate", "well", "field", "label", "channel", "num", "total_intensity", "total_area", "mean_area", "std_area")
     return _rounded(out, "mean_area", "std_area")
 
 
@@ -587,40 +595,41 @@ def _condensates(name: str, flag: str) -> str:
     return f"round(avg({case}), 4) AS mean_{name}, round(stddev_pop({case}), 4) AS std_{name}"
 
 
-X14 = f"""{P}, o AS (SELECT *, value > 4500 AS own FROM pixels WHERE label <> 0 AND channel = 'c1'), box AS (SELECT {IMG}, label, channel, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM o GROUP BY ALL),
-grid AS (SELECT {IMG}, label, channel, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM box)), empty AS (SELECT g.* FROM grid g LEFT JOIN o ON (g.plate, g.well, g.field, g.label, g.r, g.c) = (o.plate, o.well, o.field, o.label, o.row, o.col) WHERE NOT coalesce(own, FALSE)),
-f AS (SELECT o.*, NOT EXISTS (SELECT 1 FROM o b WHERE b.own AND (b.plate, b.well, b.field, b.label) = (o.plate, o.well, o.field, o.label) AND (b.row - o.row) * (b.row - o.row) + (b.col - o.col) * (b.col - o.col) <= 9) AS dil,
-own AND NOT EXISTS (SELECT 1 FROM empty e WHERE (e.plate, e.well, e.field, e.label) = (o.plate, o.well, o.field, o.label) AND (e.r - o.row) * (e.r - o.row) + (e.c - o.col) * (e.c - o.col) <= 1) AS core FROM o)
+X14 = f"""{P}, o AS (SELECT *, value > 4500 AS own FROM pixels WHERE label <> 0), box AS (SELECT {IMG}, label, channel, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM o GROUP BY ALL),
+grid AS (SELECT {IMG}, label, channel, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM box)), empty AS (SELECT g.* FROM grid g LEFT JOIN o ON (g.plate, g.well, g.field, g.label, g.channel, g.r, g.c) = (o.plate, o.well, o.field, o.label, o.channel, o.row, o.col) WHERE NOT coalesce(own, FALSE)),
+f AS (SELECT o.*, NOT EXISTS (SELECT 1 FROM o b WHERE b.own AND (b.plate, b.well, b.field, b.label, b.channel) = (o.plate, o.well, o.field, o.label, o.channel) AND (b.row - o.row) * (b.row - o.row) + (b.col - o.col) * (b.col - o.col) <= 9) AS dil,
+own AND NOT EXISTS (SELECT 1 FROM empty e WHERE (e.plate, e.well, e.field, e.label, e.channel) = (o.plate, o.well, o.field, o.label, o.channel) AND (e.r - o.row) * (e.r - o.row) + (e.c - o.col) * (e.c - o.col) <= 1) AS core FROM o)
 SELECT {IMG}, label, channel, {_condensates("condensate", "core")}, {_condensates("condensate_no_shrink", "own")}, {_condensates("dilute", "dil")}, round(avg(CASE WHEN value % 5 <> 0 THEN value END), 4) AS mean_no_holes FROM f GROUP BY ALL""".replace("AS dil,", "AND value % 5 <> 0 AS dil,")
 
 
 @_query("x14_condensate_intensities", X14)
 def _(spark, d):
-    rows = v.pixels(spark, d).where("channel = 'c1'").withColumns({"object": (F.col("value") > 4500).cast("int"), "hole": F.col("value") % 5 == 0})
+    rows = v.pixels(spark, d).withColumns({"object": (F.col("value") > 4500).cast("int"), "hole": F.col("value") % 5 == 0})
     out = regions.condensate_intensities(rows, hole="hole", shrink=1, grow=3)
     return _rounded(out, *[c for c in out.columns if c.startswith(("mean", "std"))], digits=4)
 
 
 @_query("x18_registration")
 def _(spark, d):
-    """Each field's first channel against that of the next field of its well."""
-    rows = v.pixels(spark, d).where("channel = 'c0'")
-    images = tables.image_rows(rows, 40, 40, ["plate", "well", "field"])
-    size = lambda side: [F.lit(40).alias(f"{side}_height"), F.lit(40).alias(f"{side}_width")]
-    source = images.select("plate", "well", "field", F.col("pixels").alias("source"), *size("source"))
-    target = images.select("plate", "well", (F.col("field") - 1).alias("field"), F.col("pixels").alias("target"), *size("target"))
-    return _rounded(regions.registration_scores(source.join(target, ["plate", "well", "field"]), ["plate", "well", "field"]), "cc", "shift_row", "shift_col")
+    """Each field's channels against those of the next field of its well; an image is transformed once."""
+    keys = ["plate", "well", "field", "channel"]
+    images = tables.image_rows(v.pixels(spark, d), 40, 40, keys[:-1])
+    transforms = registration.image_transforms(images, keys)
+    pairs = transforms.select(*keys, (F.col("field") + 1).alias("target"))
+    pairs = pairs.join(transforms.select("plate", "well", F.col("field").alias("target"), "channel"), ["plate", "well", "target", "channel"], "left_semi")
+    found = registration.registered(transforms, pairs, keys, keys, ["plate", "well", "target", "channel"])
+    return _rounded(found.drop("target"), "cc", "shift_row", "shift_col")
 
 
-@_query("j4_overlap_match", f"""{P}, b AS (SELECT {IMG}, row, (col + 4) % 40 AS col, label AS label_10x FROM pixels WHERE label <> 0 AND channel = 'c0'), a AS (SELECT {IMG}, row, col, label AS label_40x FROM pixels WHERE label <> 0 AND channel = 'c0'),
-ar AS (SELECT {IMG}, label_40x, count(*) AS area FROM a GROUP BY ALL), n AS (SELECT {IMG}, label_40x, label_10x, count(*) AS n FROM a JOIN b USING (plate, well, field, row, col) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS nxt FROM n WINDOW w AS (PARTITION BY {IMG}, label_40x ORDER BY n DESC, label_10x)),
-g AS (SELECT {IMG}, label_40x, label_10x, n, area FROM r JOIN ar USING (plate, well, field, label_40x) WHERE rn = 1 AND n / area > 0.25 AND (nxt IS NULL OR n / nxt > 1.5))
-SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY {IMG}, label_10x) = 1""")
+@_query("j4_overlap_match", f"""{P}, b AS (SELECT {IMG}, channel, row, (col + 4) % 40 AS col, label AS label_10x FROM pixels WHERE label <> 0), a AS (SELECT {IMG}, channel, row, col, label AS label_40x FROM pixels WHERE label <> 0),
+ar AS (SELECT {IMG}, channel, label_40x, count(*) AS area FROM a GROUP BY ALL), n AS (SELECT {IMG}, channel, label_40x, label_10x, count(*) AS n FROM a JOIN b USING (plate, well, field, channel, row, col) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS nxt FROM n WINDOW w AS (PARTITION BY {IMG}, channel, label_40x ORDER BY n DESC, label_10x)),
+g AS (SELECT {IMG}, channel, label_40x, label_10x, n, area FROM r JOIN ar USING (plate, well, field, channel, label_40x) WHERE rn = 1 AND n / area > 0.25 AND (nxt IS NULL OR n / nxt > 1.5))
+SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY {IMG}, channel, label_10x) = 1""")
 def _(spark, d):
-    rows = v.pixels(spark, d).where("channel = 'c0'")
+    rows = v.pixels(spark, d)
     moved = rows.withColumn("col", ((F.col("col") + 4) % 40).cast("int"))
-    return match.overlap_match(rows, moved, ["plate", "well", "field"])
+    return match.overlap_match(rows, moved, ["plate", "well", "field", "channel"])
 
 
 @_query("j5_attach_once", """WITH m AS (SELECT o_orderkey AS field, o_custkey AS nucleus, o_orderkey % 3 AS well, o_orderkey % 500 AS cell FROM orders), s AS (SELECT ps AS cell, sum(1) AS n, min(k) AS s_value FROM (SELECT l_partkey % 500 AS ps, l_orderkey AS k FROM lineitem WHERE l_quantity < 2 AND l_linenumber = 1) GROUP BY 1 HAVING count(*) = 1),
@@ -634,7 +643,15 @@ def _(spark, d):
     return match.attach_once(matches, sbs, phenotype, ["cell"], ["field"]).select("field", "cell", "well", "feature", "s_value")
 
 
-@_query("x1_flat_field")
+X1 = f"""{P}, m AS (SELECT plate, well, channel, row, col, avg(value) AS v FROM pixels GROUP BY ALL), z AS (SELECT plate, well, channel, max(row) + 1 AS h, max(col) + 1 AS w, avg(v) AS mean, greatest((max(row) + 1) / 10, 0.5::DOUBLE) AS s FROM m GROUP BY ALL),
+e AS (SELECT plate, well, channel, s, unnest(range(-floor(4 * s + 0.5)::BIGINT, floor(4 * s + 0.5)::BIGINT + 1)) AS k FROM z), t AS (SELECT plate, well, channel, k, exp(-0.5 * (k / s) * (k / s)) / sum(exp(-0.5 * (k / s) * (k / s))) OVER (PARTITION BY plate, well, channel) AS part FROM e),
+g AS (SELECT plate, well, channel, h, w, mean, row, unnest(range(w)) AS col FROM (SELECT *, unnest(range(h)) AS row FROM z)), f AS (SELECT g.*, coalesce(v, mean) AS v FROM g LEFT JOIN m USING (plate, well, channel, row, col)),
+a AS (SELECT f.plate, f.well, f.channel, f.h, f.row, f.col, sum(part * n.v) AS v FROM f JOIN t USING (plate, well, channel) JOIN f n ON (n.plate, n.well, n.channel, n.row) = (f.plate, f.well, f.channel, f.row) AND n.col = greatest(0, least(f.w - 1, f.col + k)) GROUP BY ALL),
+b AS (SELECT a.plate, a.well, a.channel, a.row, a.col, sum(part * n.v) AS v FROM a JOIN t USING (plate, well, channel) JOIN a n ON (n.plate, n.well, n.channel, n.col) = (a.plate, a.well, a.channel, a.col) AND n.row = greatest(0, least(a.h - 1, a.row + k)) GROUP BY ALL)
+SELECT plate, well, channel, row, col, value FROM (SELECT *, round(v / max(v) OVER (PARTITION BY plate, well, channel), 6) AS value FROM b) SEMI JOIN m USING (plate, well, channel, row, col)"""
+
+
+@_query("x1_flat_field", X1)
 def _(spark, d):
     return _rounded(regions.smoothed_field(v.pixels(spark, d), ["plate", "well"]), "value")
 
