@@ -163,7 +163,7 @@ def _marker(blocks: list, shard_bytes: int, sample: int):
             per_doc = np.bincount(doc[s], minlength=len(part)) if len(s) else np.zeros(len(part), np.int64)
             words = np.stack([s - bounds[doc[s]], e + 1 - bounds[doc[s]]], 1).ravel()
             octets = np.stack([start[s] - part.start[doc[s]], end[e] - part.start[doc[s]]], 1).ravel()
-            owner, name = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own, names))
+            owner, name = np.concatenate([np.zeros(0, np.int64), *own]), np.concatenate([np.zeros(0, object), *names])
             order = np.argsort(owner, kind="stable")
             new_items = _lists(name[order], np.bincount(owner, minlength=len(part)), pa.string())
             columns = {n: part.batch.column(i) for i, n in enumerate(part.batch.schema.names)}

@@ -97,12 +97,19 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int
     return out
 
 
-def same_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether left[a:a + size] equals right[b:b + size], for many places; every size is above zero."""
-    first = np.cumsum(size) - size
-    step = np.arange(int(size.sum())) - np.repeat(first, size)
-    equal = left[np.repeat(a, size) + step] == right[np.repeat(b, size) + step]
-    return np.logical_and.reduceat(equal, first) if len(size) else np.zeros(0, bool)
+def same_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """Whether left[a:a + size] equals right[b:b + size], for many places; every size is above zero.
+
+    About ``most`` bytes are compared at once.
+    """
+    out = np.zeros(len(size), bool)
+    share = np.cumsum(size) // most
+    for some in np.split(np.arange(len(size)), np.flatnonzero(np.diff(share)) + 1) if len(size) else []:
+        n = size[some]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        out[some] = np.logical_and.reduceat(left[np.repeat(a[some], n) + step] == right[np.repeat(b[some], n) + step], first)
+    return out
 
 
 class Slice:

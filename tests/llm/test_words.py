@@ -29,8 +29,8 @@ def test_hashes_of_words():
 
 def test_mirrored_words_neither_link_nor_contaminate(spark):
     a, b = mirrored()
-    docs = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two"), (3, f"{a} one two three")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in near_duplicates.near_duplicates(docs, percent=50, words=3).collect()} == {1: True, 2: True, 3: False}
+    docs = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two"), (3, f"{a} ONE two")], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in near_duplicates.near_duplicates(docs, percent=85, words=3).collect()} == {1: True, 2: True, 3: False}
     items = spark.createDataFrame([(7, f"{a} one"), (8, b)], "item_id long, text string")
     got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.report(docs, items).collect()}
     assert got == {1: (2, 1), 2: (1, 1), 3: (2, 1)}
