@@ -576,7 +576,13 @@ def _(spark, d):
     return _rounded(pixels.nucleolus_threshold(v.pixels(spark, d)), "threshold", digits=4)
 
 
-@_query("x12_nucleoli")
+@_query("x12_nucleoli", f"""WITH RECURSIVE {v.PIXELS}, m AS (SELECT *, avg(value) OVER (PARTITION BY {IMG}, label, channel) AS m FROM pixels WHERE label <> 0),
+t AS (SELECT {IMG}, label, channel, greatest(avg(value) + 0.9 * stddev_pop(value) FILTER (value < 2 * m), 300) AS threshold FROM m GROUP BY ALL),
+o AS (SELECT p.*, coalesce(value > threshold, FALSE) AS own FROM pixels p JOIN t USING (plate, well, field, label, channel) WHERE label <> 0), box AS (SELECT {IMG}, label, channel, min(row) - 1 AS r0, max(row) + 1 AS r1, min(col) - 1 AS c0, max(col) + 1 AS c1 FROM o GROUP BY ALL),
+grid AS (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM box)),
+free AS (SELECT g.plate, g.well, g.field, g.label, g.channel, r, c, r = r0 AND c = c0 AS corner FROM grid g LEFT JOIN o ON own AND (g.plate, g.well, g.field, g.label, g.channel, g.r, g.c) = (o.plate, o.well, o.field, o.label, o.channel, o.row, o.col) WHERE own IS NULL),
+open_ AS (SELECT {IMG}, label, channel, r, c FROM free WHERE corner UNION SELECT f.plate, f.well, f.field, f.label, f.channel, f.r, f.c FROM open_ x JOIN free f ON (f.plate, f.well, f.field, f.label, f.channel) = (x.plate, x.well, x.field, x.label, x.channel) AND abs(f.r - x.r) + abs(f.c - x.c) = 1)
+SELECT o.plate, o.well, o.field, o.label, o.channel, row, col, value, x.r IS NULL AS nucleolus FROM o LEFT JOIN open_ x ON (x.plate, x.well, x.field, x.label, x.channel, x.r, x.c) = (o.plate, o.well, o.field, o.label, o.channel, o.row, o.col)""")
 def _(spark, d):
     rows = v.pixels(spark, d)
     return regions.nucleolus_mask(rows, pixels.nucleolus_threshold(rows))
