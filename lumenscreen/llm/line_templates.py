@@ -28,6 +28,8 @@ from .shared import discard, salted_join, stored
 
 FIELD = "<*>"
 BROADCAST_ROWS = 1_000_000
+#: Documents with lines that go, and an eighth of such lines, up to which their places are sent to every task.
+MOST_SENT = 250_000
 
 
 def _spaced(line: Column) -> Column:
@@ -102,6 +104,10 @@ def _kept(text: Column, drop: Column) -> Column:
 def _with_drops(docs: DataFrame, **options) -> DataFrame:
     """_row: the whole row of docs, _drop: the places of its lines that go, null where none does."""
     found = dropped_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
+    places = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_drop")), F.lit(0)).alias("places")).first()
+    if places.n <= MOST_SENT and places.places <= 8 * MOST_SENT:
+        # A few megabytes spare the texts a shuffle.
+        found = F.broadcast(found)
     return docs.select(F.struct("*").alias("_row")).join(found, F.col("_row.doc_id") == F.col("_id"), "left").drop("_id")
 
 

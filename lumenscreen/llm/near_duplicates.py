@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, salted_join, small_batches, stored
+from .shared import discard, held, salted_join, small_batches, stored
 from .sketches import SIGNATURE, SKETCH_BITS, setter, signer
 from .text import NOT_SPACE
 
@@ -155,8 +155,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     buckets = banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last"), F.count("*").alias("size")).where("pivot < _last").drop("_last")
     # Only rows of shared buckets stay.
     members = stored(salted_join(banded, buckets.withColumn("_rows", F.col("size")), "bucket", F.col("doc"), "_rows", bands * usable.count()).where("pivot IS NOT NULL").select("doc", "band", "key", "pivot", "size"))
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(setter(inside, words, samples), "doc_id long, shingles binary, sketch binary")
+    wanted = stored(members.select(F.col("doc").alias("doc_id")).distinct())
+    sets = texts.join(held(wanted), "doc_id", "left_semi").mapInArrow(setter(inside, words, samples), "doc_id long, shingles binary, sketch binary")
     keys = classes.groupBy("doc_id").agg(F.first("bands").alias("bands"))
     detail = stored(sets.dropDuplicates(["doc_id"]).join(keys, "doc_id"))
 
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     more = stored(in_order.mapInArrow(_cross_links(limit, percent), pair).distinct())
     if more.limit(1).count():
         roots = components(links.union(more))
-    discard(members, detail, star, near, links, more)
+    discard(members, wanted, detail, star, near, links, more)
 
     of_rep = classes.groupBy("rep").agg(F.count("*").alias("_n")).join(roots.withColumnRenamed("node", "rep"), "rep")
     found = salted_join(classes.select("doc_id", "rep"), of_rep, "rep", F.col("doc_id"), "_n")
@@ -199,5 +199,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with the first document of each component only."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stored(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")))
+    return docs.join(held(gone), docs["doc_id"] == gone["_gone"], "left_anti")

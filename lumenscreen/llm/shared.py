@@ -73,6 +73,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def held(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of ids, or of ids and short lists, for a join: sent to every task if its counted rows allow."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, or name with underscores before it until no column of that name is there."""
     known = {c.lower() for c in taken}
