@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenscreen.llm import decontamination, language, line_templates, mixing, near_duplicates
-from lumenscreen.llm.shared import shared_folder, table
+from lumenscreen.llm.shared import discard, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each is written as Parquet in the shared folder and read again, its input deleted then."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        path = shared_folder(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for place, (_, stage) in enumerate(STAGES):
+        after = stored(stage(spark, docs, sf_dir))
+        if place:
+            discard(docs)
+        docs = after
     return docs
 
 
