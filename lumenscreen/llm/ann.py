@@ -6,6 +6,9 @@ there. Every vector is then assigned to its centroid's list and coded. A query p
 its nearest lists, more of them where these hold fewer than k others, and scores their codes through its table of inner products, the asymmetric distance table. The best
 are reranked on the original vectors in double precision.
 
+There is a list for about ``list_rows`` vectors, but ``most_lists`` at most, as the driver holds the centroids; beyond
+list_rows * most_lists vectors the lists grow with the table, and a query's work with them.
+
 Lists are cut into parts of bounded size, so that a list with a third of all rows is many tasks' work, and the parts,
 in an order that keeps near lists together, are dealt to units. A task holds the candidates of one unit; the queries that probe a list of it stream by. Only the k
 best of a query leave a unit, after the exact reranking there. Query vectors are shuffled, never broadcast; only the
