@@ -34,6 +34,8 @@ from .shared import small_batches
 from .text import Slice, mix, powers, runs, slices, span_hashes
 
 BITS = 16
+#: Bytes of text that are scored at once: a hundred times as many bytes of memory, about.
+SLICE = 1_000_000
 #: First and last code point of the ranges that name a script, in order of code points.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, "latin"), (0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x0530, 0x058F, "armenian"), (0x0590, 0x05FF, "hebrew"),
@@ -189,7 +191,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
 def _counter(languages: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), (1 << BITS) + len(SCRIPTS)), np.int64)
-        for part in slices(batches):
+        for part in slices(batches, "text", SLICE // 2):
             own = pa.compute.index_in(part.batch.column(1), pa.array(languages, pa.string())).to_numpy(zero_copy_only=False)
             words = Words(part)
             if not len(words.name):
@@ -234,7 +236,7 @@ def _labeller(shared, spans: bool):
         model = shared.value
         scorer, n_labels = Scorer(model), len(model.languages)
         # Words times languages bound the memory of a slice.
-        for part in slices(batches, "_text", max(100_000, min(2_000_000, 80_000_000 // n_labels))):
+        for part in slices(batches, "_text", max(100_000, min(SLICE, 80_000_000 // n_labels))):
             words, n = Words(part), len(part)
             names, score = np.full(n, "und", object), np.zeros(n)
             first = last = own = np.zeros(0, np.int64)

@@ -6,6 +6,7 @@ documents. All character classes in use are ASCII ranges and "everything else",
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -137,6 +138,14 @@ class Slice:
         return starts, ends, bounds
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can: a worker waits for later stages beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[Slice]:
     """Slices of about ``most`` bytes; a longer document gets one of its own. A null text counts as empty."""
     for batch in batches:
@@ -158,6 +167,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             part = bounds[low : high + 1] - bounds[low]
             yield Slice(batch.slice(low, high - low), data[bounds[low] : bounds[high]], part[:-1], part[1:], valid[low:high])
             low = high
+    give_back()
 
 
 def ids(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:
