@@ -74,8 +74,8 @@ def pending(work: DataFrame, folder: str, keys: list[str]) -> DataFrame:
 
 def write(rows: DataFrame, folder: str) -> str:
     """Write a run's rows where nobody reads them yet; the run's name."""
-    run = uuid.uuid4().hex
-    rows.write.parquet(f"{folder}/runs/{run}")
+    run = f"r{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/runs/{_RUN}={run}")
     return run
 
 
@@ -109,12 +109,8 @@ def read(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame | None:
     done = finished(spark, folder, keys)
     if done is None:
         return None
-    runs = [r[0] for r in done.select(_RUN).distinct().collect()]
-    # One folder for each run; their names are what the driver reads.
-    parts = [spark.read.parquet(f"{folder}/runs/{run}").withColumn(_RUN, F.lit(run)) for run in sorted(runs)]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+    # The run is a partition column; folders of runs that don't count are pruned by the join.
+    rows = spark.read.parquet(f"{folder}/runs")
     match = rows[_RUN] == done[_RUN]
     for k in keys:
         match = match & rows[k].eqNullSafe(done[k])
@@ -125,7 +121,7 @@ def clean(spark: SparkSession, folder: str) -> int:
     """Delete rows of runs that never were committed; to be called while no job runs. How many there were."""
     log = [f"{folder}/commits/{n}" for n in commits(spark, folder)]
     done = {r[0] for r in spark.read.parquet(*log).select(_RUN).distinct().collect()} if log else set()
-    lost = [f"{folder}/runs/{n}" for n in _names(spark, f"{folder}/runs") if n not in done]
+    lost = [f"{folder}/runs/{n}" for n in _names(spark, f"{folder}/runs") if n.removeprefix(f"{_RUN}=") not in done]
     for name in [*lost, f"{folder}/staged"]:
         path, store = _store(spark, name)
         store.delete(path, True)
