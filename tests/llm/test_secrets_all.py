@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lumenscreen.llm.secrets import CharCNN, Quick, _learned, all_windows, flat, least_loss, pieces, train, window, with_parameters
+from lumenscreen.llm.secrets import CharCNN, Quick, _learned, all_windows, flat, least_loss, pieces, scan, train, window, with_parameters
 from lumenscreen.llm.text import slices
 
 
@@ -64,3 +64,13 @@ def test_every_token_is_in_the_fit(spark):
     other = spark.createDataFrame([(10_000 + i, f"see {hashlib.sha1(str(7 * i).encode()).hexdigest()[:15].upper()} here") for i in range(3000)], "doc_id long, text string")
     moved = train(docs.union(other), most=60)
     assert (flat(moved) != flat(model)).any() and moved.threshold != model.threshold
+
+
+def test_candidates_are_judged_by_the_fit_on_all_tokens(spark):
+    # Long words with a digit are candidates; the fit on all tokens without them finds most unlike secrets.
+    more = [(10_000 + i, f"some prose internationalisation-of-things-{i % 10} and more") for i in range(300)]
+    keys = [(20_000 + i, f"some prose {hashlib.sha1(str(9000 + i).encode()).hexdigest()[:28]} and after") for i in range(40)]
+    docs = spark.createDataFrame([*rows(400), *more, *keys], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in scan(docs, most=60).collect()}
+    assert sum("cnn:" in got[i] for i, _ in keys) >= 36
+    assert sum("cnn:" in got[i] for i, _ in more) <= 15
