@@ -202,6 +202,10 @@ class CharCNN:
         self.threshold = float(1 / (1 + np.exp(-best)))
 
 
+#: So many windows at a time stay in the processor's cache.
+CHUNK = 256
+
+
 class Quick:
     """The network's loss and gradient for many windows: what pairs of bytes add to the filters is looked up."""
 
@@ -212,6 +216,7 @@ class Quick:
         t[-1] += self.p["b"].astype(np.float32)
         self.tables = [(a[:, None] + b[None]).reshape(-1, a.shape[1]) for a, b in zip(t[:-1:2], t[1::2], strict=True)]
         self.last, self.filters = t[-1], t.shape[2]
+        self.row, self.column = np.indices((CHUNK, self.filters)).reshape(2, -1)
 
     def _filters(self, x: np.ndarray) -> np.ndarray:
         n = x.shape[1] - self.width + 1
@@ -231,24 +236,24 @@ class Quick:
             levels.append(np.maximum(levels[-1][:, :half], levels[-1][:, -half:]))
         return levels
 
-    @staticmethod
-    def _place(levels: list[np.ndarray], row: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """A place that has the maximum of these rows and filters, from the last half to the first."""
-        at, top = np.zeros(len(row), np.int64), levels[-1][row, 0, column]
+    def _place(self, levels: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+        """A place that has the maximum, for these of all rows' filters, from the last half to the first."""
+        f, row, column = self.filters, self.row.take(one), self.column.take(one)
+        at, top = np.zeros(len(one), np.int64), levels[-1].ravel().take(one)
         for h, halved in zip(levels[-2::-1], levels[:0:-1], strict=True):
-            at += (h.ravel().take((row * h.shape[1] + at) * h.shape[2] + column) != top) * (h.shape[1] - halved.shape[1])
+            at += (h.ravel().take((row * h.shape[1] + at) * f + column) != top) * (h.shape[1] - halved.shape[1])
         return at
 
     def short(self, x: np.ndarray, around: Surroundings | None = None, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of windows of about one length, and the windows without zeros that only repeat a place of nothing but zeros.
 
-        256 at a time stay in the processor's cache. With other surroundings the places that reach into the token are left, as
-        the others are looked up; no token may fill its place then.
+        With other surroundings the places that reach into the token are left, as the others are looked up; no token may fill
+        its place then.
         """
         used = _used(x)
         order = np.argsort(used.astype(np.uint8), kind="stable")
-        for i in range(0, len(x), 256):
-            some = order[i : i + 256]
+        for i in range(0, len(x), CHUNK):
+            some = order[i : i + CHUNK]
             kept = AROUND + min(INSIDE, int(used[some[-1]]) + self.width)
             if around is None:
                 yield some, np.concatenate([x[some, :kept], x[some, AROUND + INSIDE :]], 1)
@@ -269,11 +274,10 @@ class Quick:
     def best(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row and filter the maximum over places, and a place that has it."""
         top, at = np.zeros((len(x), self.filters), np.float32), np.zeros((len(x), self.filters), np.int64)
-        for i in range(0, len(x), 256):
-            levels = self._tops(self._filters(x[i : i + 256]))
-            top[i : i + 256] = levels[-1][:, 0]
-            row, column = np.indices(levels[-1][:, 0].shape).reshape(2, -1)
-            at[i : i + 256] = self._place(levels, row, column).reshape(-1, self.filters)
+        for i in range(0, len(x), CHUNK):
+            levels = self._tops(self._filters(x[i : i + CHUNK]))
+            top[i : i + CHUNK] = levels[-1][:, 0]
+            at[i : i + CHUNK] = self._place(levels, np.arange(levels[-1].size)).reshape(-1, self.filters)
         return top, at
 
     def sums(self, x: np.ndarray, label: int) -> np.ndarray:
@@ -329,7 +333,6 @@ class Sums:
         """Windows as they are, or their tokens in these of the other surroundings."""
         quick, sign = self.quick, 1 - 2 * self.label
         self.n += len(x)
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for _, windows, looked_up, place in _shown(x, self.around, which):
             for rows, short in quick.short(windows, looked_up, place):
                 levels = quick._tops(quick._filters(short))
@@ -343,18 +346,15 @@ class Sums:
                 dz = sign / (1 + np.exp(-sign * z))
                 self.w += positive.T @ dz
                 self.c += float(dz.sum())
-                dtop, left = dz[:, None] * quick.p["w"], top > 0
+                dtop, left = (dz[:, None] * quick.p["w"]).ravel(), top > 0
                 here = left & (middle == top)
-                row, column = np.nonzero(here)
-                self._spread(short, row * short.shape[1] + quick._place(levels, row, column), column, dtop[row, column])
-                for tops, own in zip(beside, found, strict=False):
+                one = np.flatnonzero(here)
+                self._spread(short, quick.row.take(one) * short.shape[1] + quick._place(levels, one), quick.column.take(one), dtop.take(one))
+                for tops, side in zip(beside, self.sides, strict=False):
                     left = left & ~here
                     here = left & (tops == top)
-                    row, column = np.nonzero(here)
-                    own.append((place[rows[row]] * quick.filters + column, dtop[row, column]))
-        for side, own in zip(self.sides, found, strict=True):
-            if own:
-                side += np.bincount(*(np.concatenate(part) for part in zip(*own, strict=True)), len(side))
+                    one = np.flatnonzero(here)
+                    np.add.at(side, place[rows].take(quick.row.take(one)) * quick.filters + quick.column.take(one), dtop.take(one))
 
     def total(self) -> np.ndarray:
         """As ``Quick.sums``; what was looked up goes to its bytes only now, once for all windows."""
