@@ -1,9 +1,9 @@
-"""Registration of many pairs of images whose Fourier transforms are made once for each image.
+"""Registration of many pairs of images by Fourier transforms, which are made in tasks and never stored.
 
-The transforms of an image's values, squares and mask are stored, all padded to one size, and joined to its pairs. The
-transform of a reversed image follows from the image's own by conjugation and a phase, so an image can be on either side.
-A pair costs six inverse transforms. A task holds one source's transforms while those of its targets pass by; a source
-with many pairs is dealt to several streams.
+A transform has 12 times an image's bytes and more, so images travel, not transforms. Images are numbered in the order of
+their keys and cut into blocks; the pairs between two blocks are one stream, which gets each of its images once and makes
+its transforms once. The transform of a reversed image follows from the image's own by conjugation and a phase, so an
+image can be on either side. A pair costs six inverse transforms.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import stored
-from .spread import Step, join_key, streamed
+from .spread import MOST_BROADCAST, Step, join_key, numbers, ranked, streamed
 
-#: Pairs of a source that go through one stream.
-STREAM = 64
+#: Images of a block at most.
+STREAM = 32
+#: Bytes of a block's transforms at most, if it has more than one image.
+BLOCK_BYTES = 64_000_000
 #: Rows of several megabytes: batches are bounded in bytes.
 BATCH_BYTES = 64_000_000
 
@@ -69,55 +71,42 @@ def placement(cc: np.ndarray, source: tuple[int, int], target: tuple[int, int])
 
 
 def image_transforms(images: DataFrame, keys: list[str]) -> DataFrame:
-    """A stored row for each image (keys, height, width, pixels row by row): keys, height, width and spectrum.
+    """A stored row for each image (keys, height, width, pixels row by row): all that its transforms are made from.
 
-    Null pixels are masked; a null or empty image, or one without any valid pixel, has a null spectrum. A spectrum has
-    48 bytes for each of half the places of the padded image, which is at most four times the largest one in each direction.
+    ``fast`` is the size that all are padded to, at most four times the largest image in each direction; transforms have
+    48 bytes for each of half its places. Null pixels are masked.
     """
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    most = images.agg(F.max("height").alias("h"), F.max("width").alias("w")).first()
-    fast = fast_size([2 * (most.h or 1) - 1, 2 * (most.w or 1) - 1])
-    used = images.select(*keys, F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("pixels").cast("array<double>").alias("pixels"))
-    schema = T.StructType([*used.schema.fields[:-1], T.StructField("fast", T.ArrayType(T.IntegerType())), T.StructField("spectrum", T.BinaryType())])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_columns
-            for i in range(batch.num_rows):
-                h, w, pixels = (batch.column(j)[i] for j in (n - 3, n - 2, n - 1))
-                spectrum = None
-                if pixels.is_valid and h.is_valid and w.is_valid and len(pixels.values):
-                    image = pixels.values.to_numpy(zero_copy_only=False).reshape(h.as_py(), w.as_py())
-                    spectrum = None if np.isnan(image).all() else transform(image, fast).tobytes()
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([list(fast)], pa.list_(pa.int32())), pa.array([spectrum], pa.binary())], names=[*one.schema.names[:-1], "fast", "spectrum"])
-
-    return stored(used.mapInArrow(make, schema))
+    table = stored(images.select(*keys, F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("pixels").cast("array<double>").alias("pixels")))
+    most = table.agg(F.max("height").alias("h"), F.max("width").alias("w")).first()
+    return table.withColumn("fast", F.array(*[F.lit(n) for n in fast_size([2 * (most.h or 1) - 1, 2 * (most.w or 1) - 1])]))
 
 
 def _pair_scores(columns: list[str], least_overlap: float):
-    """Streams of a source's transform (_kind 0), then of its pairs with the targets' transforms."""
-
-    def unpacked(row: dict) -> tuple[np.ndarray, tuple[int, int], tuple[int, int]]:
-        fast = tuple(row["fast"])
-        return np.frombuffer(row["spectrum"], np.complex128).reshape(3, fast[0], fast[1] // 2 + 1), (row["height"], row["width"]), fast
+    """Streams of the images of two blocks (_kind 0), then of pairs of them by number."""
 
     class Pairs(Step):
         def __init__(self, first: pa.Table | None):
             super().__init__(first)
-            source = first.slice(0, 1).to_pylist()[0] if first is not None else {"spectrum": None}
-            self.source = unpacked(source) if source["spectrum"] is not None else None
+            self.at = {number: i for i, number in enumerate(first["_i"].to_pylist())} if first is not None else {}
+            self.made: dict[int, tuple | None] = {}
+
+        def transforms(self, number: int) -> tuple | None:
+            """An image's transforms, shape and padded size; none without any valid pixel."""
+            if number not in self.made:
+                row = self.first.slice(self.at[number], 1)
+                h, w, pixels, fast = (row[n][0] for n in ("_height", "_width", "_pixels", "_fast"))
+                self.made[number] = None
+                if pixels.is_valid and h.is_valid and w.is_valid and len(pixels.values):
+                    image = pixels.values.to_numpy(zero_copy_only=False).reshape(h.as_py(), w.as_py())
+                    if not np.isnan(image).all():
+                        self.made[number] = transform(image, tuple(fast.as_py())), image.shape, tuple(fast.as_py())
+            return self.made[number]
 
         def rows(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             found = []
-            for i in range(batch.num_rows):
-                target = batch.slice(i, 1).select(["height", "width", "fast", "spectrum"]).to_pylist()[0]
-                if self.source is None or target["spectrum"] is None:
-                    found.append((None, None, None))
-                    continue
-                moving, source, fast = self.source
-                fixed, shape, _ = unpacked(target)
-                found.append(placement(correlation(fixed, moving, shape, source, fast, least_overlap), source, shape))
+            for source, target in zip(numbers(batch, "_s", np.int64).tolist(), numbers(batch, "_t", np.int64).tolist(), strict=True):
+                moving, fixed = self.transforms(source), self.transforms(target)
+                found.append((None, None, None) if moving is None or fixed is None else placement(correlation(fixed[0], moving[0], fixed[1], *moving[1:], least_overlap), moving[1], fixed[1]))
             own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array([f[k] for f in found], pa.float64()) for k in range(3)]], names=[*columns, "cc", "shift_row", "shift_col"])
 
@@ -128,19 +117,27 @@ def registered(transforms: DataFrame, pairs: DataFrame, keys: list[str], source:
     """pairs with cc (the largest correlation) and shift_row, shift_col, which lay the target over the source.
 
     The columns ``source`` and ``target`` of pairs name images by the keys of ``transforms``, in this order. Equal largest
-    correlations (to 1e-9) give the mean of their shifts. A pair with an unknown image, or one without a spectrum, has nulls.
+    correlations (to 1e-9) give the mean of their shifts. A pair with an unknown image, or one without valid pixels, has nulls.
     """
     spark = pairs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    facts = ["height", "width", "fast", "spectrum"]
     own = [f"_k{i}" for i in range(len(keys))]
-    named = stored(pairs.select("*", *[F.col(c).alias(k) for c, k in zip(source, own, strict=True)], *[F.col(c).alias(f"_t{i}") for i, c in enumerate(target)]))
-    sizes = stored(named.groupBy(*own).agg(F.ceil(F.count("*") / STREAM).cast("int").alias("_salts")))
-    images = transforms.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], *facts)
-    on = functools.reduce(operator.and_, [named[f"_t{i}"] == images[f"_t{i}"] for i in range(len(keys))])
-    asked = named.join(images, on, "left").select(*[named[c] for c in (*pairs.columns, *own)], *facts)
-    asked = join_key(asked, sizes, own, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in target]), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts").withColumn("_kind", F.lit(1))
-    first = join_key(transforms.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], *facts), sizes, own)
-    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts").withColumn("_kind", F.lit(0))
+    images = transforms.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], *[F.col(c).alias(f"_{c}") for c in ("height", "width", "fast", "pixels")])
+    one = images.select("_fast").first()
+    size = max(1, min(STREAM, BLOCK_BYTES // (48 * one[0][0] * (one[0][1] // 2 + 1)))) if one else 1
+    numbered = stored(ranked(images.select(*own), [], own, "_i"))
+    few = numbered.count() <= MOST_BROADCAST
+
+    def looked_up(rows: DataFrame, names: list[str], number: str) -> DataFrame:
+        known = numbered.select(*[F.col(o).alias(f"{number}{o}") for o in own], F.col("_i").alias(number))
+        on = functools.reduce(operator.and_, [rows[c] == F.col(f"{number}{o}") for c, o in zip(names, own, strict=True)])
+        return rows.join(F.broadcast(known) if few else known, on, "left").drop(*[f"{number}{o}" for o in own])
+
+    asked = stored(looked_up(looked_up(pairs, source, "_s"), target, "_t"))
+    known = asked.where("_s IS NOT NULL AND _t IS NOT NULL").withColumns({b: F.floor((F.col(n) - 1) / size) for b, n in (("_a", "_s"), ("_b", "_t"))})
+    sides = [known.select("_a", "_b", F.col(n).alias("_i"), *[F.col(c).alias(o) for c, o in zip(names, own, strict=True)]) for n, names in (("_s", source), ("_t", target))]
+    sent = join_key(images, stored(sides[0].union(sides[1]).distinct()), own).drop(*own).withColumn("_kind", F.lit(0))
     schema = T.StructType([*pairs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("cc", "shift_row", "shift_col")]])
-    return streamed(asked.unionByName(first, allowMissingColumns=True), [*own, "_salt"], [], _pair_scores(pairs.columns, least_overlap), schema)
+    found = streamed(known.withColumn("_kind", F.lit(1)).unionByName(sent, allowMissingColumns=True), ["_a", "_b"], ["_s"], _pair_scores(pairs.columns, least_overlap), schema)
+    unknown = asked.where("_s IS NULL OR _t IS NULL").select(*pairs.columns, *[F.lit(None).cast("double").alias(n) for n in ("cc", "shift_row", "shift_col")])
+    return found.unionByName(unknown)

@@ -627,7 +627,7 @@ def _(spark, d):
 
 @_query("x18_registration")
 def _(spark, d):
-    """Each field's channels against those of the next field of its well; an image is transformed once."""
+    """Each field's channels against those of the next field of its well; images are stored, their transforms are made in tasks."""
     keys = ["plate", "well", "field", "channel"]
     images = tables.image_rows(v.pixels(spark, d), 40, 40, keys[:-1])
     transforms = registration.image_transforms(images, keys)
