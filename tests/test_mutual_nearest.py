@@ -71,3 +71,22 @@ def test_a_hundred_million_pairs(spark):
     got = match.mutual_nearest(given(spark, a), given(spark, b), ["k"], bucketed=False).collect()
     assert len(got) > n - 10 and all(r.label_40x == r.label_10x and r.intensity_diff == 2 for r in got)
     assert all(abs(r.dist - 1e-6) < 1e-12 < 1e-6 < r.second_dist for r in got)
+
+
+def test_the_bucketed_form_accepts_the_same_pairs(spark):
+    rng = np.random.default_rng(2)
+    a = [(0, i, float(x), float(y), 1.0) for i, (x, y) in enumerate(rng.uniform(0, 200, (60, 2)))] + [(k, 1, 1.0, 0.0, 1.0) for k in (1, 2, 3)]
+    b = [(0, i, float(x), float(y), 2.0) for i, (x, y) in enumerate(rng.uniform(0, 200, (50, 2)))] + [(1, 1, 0.0, 0.0, 1.0), (1, 2, None, 0.0, 1.0), (2, 1, 0.0, 0.0, 1.0), (2, 2, math.nan, 0.0, 1.0), (3, 1, 0.0, 0.0, 1.0), (3, 2, 50.0, 0.0, 1.0)]
+    want = [(*r[:4], r[4] if r[4] <= 15.0 / 0.9 else None, r[5]) for r in brute(a, b)]
+    assert {r[0] for r in want} == {0, 3} and {r[4] is None for r in want} == {True, False}
+    for leaf in (1024, 8):
+        assert sorted(map(tuple, match.mutual_nearest(given(spark, a), given(spark, b), ["k"], leaf=leaf).collect()), key=str) == sorted(want, key=str)
+
+
+def test_nuclei_of_one_place_are_looked_up_once(spark):
+    # 3,000 nuclei of each side share a place: nine million pairs, one row each for the leaves.
+    a = [(1, i, 5.0, 5.0, 1.0) for i in range(3000)] + [(1, 3000, 80.0, 0.0, 1.0)]
+    b = [(1, i, 6.0, 5.0, 1.0) for i in range(3000)] + [(1, 3000, 81.0, 0.0, 1.0)]
+    assert match._places(given(spark, a), ["k"]).count() == 2
+    got = match.mutual_nearest(given(spark, a), given(spark, b), ["k"]).collect()
+    assert [tuple(r) for r in got] == [(1, 3000, 3000, 1.0, None, 0.0)]
