@@ -90,3 +90,14 @@ def test_nuclei_of_one_place_are_looked_up_once(spark):
     assert match._places(given(spark, a), ["k"]).count() == 2
     got = match.mutual_nearest(given(spark, a), given(spark, b), ["k"]).collect()
     assert [tuple(r) for r in got] == [(1, 3000, 3000, 1.0, None, 0.0)]
+
+
+def test_statistics_leave_out_pairs_without_a_second_place(spark):
+    a = [(1, i, float(100 * i), 0.0, 1.0) for i in range(3)] + [(2, 1, 0.0, 0.0, 1.0), (2, 2, None, 0.0, 1.0), (3, 1, None, None, 1.0)]
+    b = [(1, i, 100.0 * i + 1, 0.0, 1.0) for i in range(2)] + [(2, 1, 1.0, 0.0, 1.0), (2, 2, None, 0.0, 1.0)]
+    # 20,000 nuclei of each side in one place: 400 million pairs if they were compared.
+    a += [(4, i, 5.0, 5.0, 1.0) for i in range(20_000)] + [(4, 20_000, 90.0, 0.0, 1.0)]
+    b += [(4, i, 5.0, 6.0, 1.0) for i in range(20_000)] + [(4, 20_000, 91.0, 0.0, 1.0)]
+    nuclei = given(spark, a)
+    got = match.match_statistics(nuclei, match.mutual_nearest(nuclei, given(spark, b), ["k"]), ["k"])
+    assert {r.k: (r.n_matched, round(r.fraction, 9), r.n_duplicated) for r in got.collect()} == {1: (2, round(2 / 3, 9), 0), 2: (0, 0.0, 0), 3: (0, 0.0, 0), 4: (1, round(1 / 20_001, 9), 0)}
